@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, packing, tokenfiles
+from . import common, linededup, packing, secrets, simhash, tokenfiles
 
 
 def _tokenizer(name: str) -> str:
@@ -16,19 +16,32 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(common.read(spark, sf_dir, "documents"), size=3)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(common.read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), 2048, 0)
     placed = packed.placed("doc_id", "piece", "start", F.crc32("ids").alias("ids_crc32"))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(common.read(spark, sf_dir, "documents"), 40, 5)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(common.read(spark, sf_dir, "documents")))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tokenfiles.write(common.read(spark, sf_dir, "documents"), common.shared_dir(spark), _tokenizer("word_bpe_49k.json"), 1)
     return files.read().select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op10_token_files)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_best_fit_packing, op4_line_dedup, op8_secret_scan, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

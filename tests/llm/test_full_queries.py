@@ -1,0 +1,124 @@
+"""The registered queries over whole tables against plain brute-force versions."""
+
+import hashlib
+import re
+import zlib
+from array import array
+from collections import Counter, defaultdict
+
+import pytest
+
+from gazettemill.llm import queries
+
+SPACE = " \t\n\x0b\f\r"
+
+
+def lower(text):
+    return text.translate({c: c + 32 for c in range(65, 91)})
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def rows(spark, sf, name):
+    return [r.asDict() for r in queries.queries()[name](spark, sf).collect()]
+
+
+def test_op1(spark, sf, documents):
+    xxhash = pytest.importorskip("xxhash")
+    prints = {}
+    for d in documents:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", lower(d["text"] or "")) if w]
+        shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+        h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        prints[d["doc_id"]] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    parent = {k: k for k in prints}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(prints)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if (prints[a] ^ prints[b]).bit_count() <= 2:
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in rows(spark, sf, "op1_simhash_near_dedup")}
+    assert got == {k: (f"{prints[k]:016x}", root(k)) for k in ids}
+
+
+def test_op2(spark, sf, documents):
+    tokenizers = pytest.importorskip("tokenizers")
+    tk = tokenizers.Tokenizer.from_file(queries._tokenizer("byte_bpe_50k.json"))
+    got = defaultdict(list)
+    bins = defaultdict(list)
+    for r in rows(spark, sf, "op2_best_fit_packing"):
+        got[r["doc_id"]].append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    total = 0
+    for d in documents:
+        ids = tk.encode(d["text"] or "", add_special_tokens=False).ids + [0]
+        total += len(ids)
+        cuts = [0, *range(len(ids) % 2048 or 2048, len(ids), 2048), len(ids)]
+        cuts = sorted(set(cuts))
+        assert sorted(got[d["doc_id"]]) == [(i, a, b - a, zlib.crc32(array("I", ids[a:b]).tobytes())) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    for placed in bins.values():
+        at = 0
+        for offset, length in sorted(placed):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(bins) <= -(-total // 2048) * 1.03 + 1
+
+
+def test_op4(spark, sf, documents):
+    key = lambda line: lower(line.strip(SPACE))
+    holders = defaultdict(set)
+    for d in documents:
+        for line in (d["text"] or "").split("\n"):
+            if len(key(line)) >= 40:
+                holders[key(line)].add(d["doc_id"])
+    want = {}
+    for d in documents:
+        lines = (d["text"] or "").split("\n")
+        kept = [x for x in lines if len(holders.get(key(x), ())) < 5 or d["doc_id"] == max(holders[key(x)])]
+        want[d["doc_id"]] = (len(lines), len(lines) - len(kept), sha("\n".join(kept)))
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in rows(spark, sf, "op4_line_dedup")}
+    assert got == want
+    assert any(n for _, n, _ in want.values())
+
+
+def test_op8(spark, sf, documents):
+    kinds = {
+        "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6),
+        "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
+        "hex": (re.compile(r"[0-9a-f]+"), 0, 24),
+    }
+    want = {}
+    for d in documents:
+        spans = []
+        for order, (kind, (pattern, group, least)) in enumerate(kinds.items()):
+            spans += [(m.start(), order, kind, m.end()) for m in pattern.finditer(d["text"] or "") if len(m[group]) >= least]
+        n = Counter(s[2] for s in spans)
+        base = ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(spans))
+        want[d["doc_id"]] = (*(n[k] for k in kinds), sha(base), base)
+    got = {r["doc_id"]: r for r in rows(spark, sf, "op8_secret_scan")}
+    assert {k: (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for k, r in got.items()} == {k: v[:4] for k, v in want.items()}
+    for k, r in got.items():
+        assert set(filter(None, want[k][4].split(","))) <= set(r["spans"].split(","))
+    assert sum(v[0] for v in want.values())
+
+
+def test_op10(spark, sf, documents):
+    tokenizers = pytest.importorskip("tokenizers")
+    tk = tokenizers.Tokenizer.from_file(queries._tokenizer("word_bpe_49k.json"))
+    want, start = [], 0
+    for d in sorted(documents, key=lambda d: d["doc_id"]):
+        ids = tk.encode(d["text"] or "", add_special_tokens=False).ids + [1]
+        want.append((d["doc_id"], start, len(ids), zlib.crc32(array("I", ids).tobytes())))
+        start += len(ids)
+    got = sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in rows(spark, sf, "op10_token_files"))
+    assert got == want
