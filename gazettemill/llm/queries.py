@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, linededup, packing, secrets, simhash, tokenfiles, toxicity
+from . import common, ctph, decontam, htmlmain, linededup, packing, secrets, simhash, tokenfiles, toxicity
 
 
 def _tokenizer(name: str) -> str:
@@ -35,17 +35,29 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.extract(common.read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op7_piecewise_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.with_next(common.read(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(common.read(spark, sf_dir, "documents")))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"), 0.8)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tokenfiles.write(common.read(spark, sf_dir, "documents"), common.shared_dir(spark), _tokenizer("word_bpe_49k.json"), 1)
     return files.read().select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_best_fit_packing, op3_toxicity, op4_line_dedup, op8_secret_scan, op10_token_files)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_best_fit_packing, op3_toxicity, op4_line_dedup, op5_main_text, op7_piecewise_hashes, op8_secret_scan, op9_benchmark_decontamination, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
