@@ -56,8 +56,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read().select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_best_fit_packing, op3_toxicity, op4_line_dedup, op5_main_text, op7_piecewise_hashes, op8_secret_scan, op9_benchmark_decontamination, op10_token_files)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_best_fit_packing, op3_toxicity, op4_line_dedup, op5_main_text, op7_piecewise_hashes, op8_secret_scan, op9_benchmark_decontamination, op10_token_files, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -143,3 +143,102 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document; fingerprint in 16 hexadecimal digits."""
     found = components(fingerprints(docs, size))
     return found.select("doc_id", hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
+# Similar documents: SimHash views verified by the exact similarity.
+
+#: Odd multipliers of the views' orders, from one constant by rule.
+VIEWS, SAMPLE = 8, 3
+_ORDERS = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1) for i in range(VIEWS)]
+
+
+def _views(hashes: np.ndarray) -> list[int]:
+    """For each view, the SimHash of the ``SAMPLE`` shingles that come first in the view's order."""
+    out = []
+    for order in _ORDERS:
+        keys = hashes * order
+        first = hashes[np.argpartition(keys, SAMPLE)[:SAMPLE]] if len(hashes) > SAMPLE else hashes
+        if len(first) == SAMPLE:
+            a, b, c = first
+            out.append(int((a & b) | (a & c) | (b & c)))
+        else:
+            out.append(int(np.bitwise_and.reduce(first)) if len(first) else 0)
+    return [x - (1 << 64) if x >> 63 else x for x in out]
+
+
+def _similarities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for x, y in zip(pdf["x"], pdf["y"]):
+            one, two = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            both = len(np.intersect1d(one, two, assume_unique=True))
+            out.append(both / max(1, len(one) + len(two) - both))
+        yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "similarity": out})
+
+
+def similar_groups(docs: DataFrame, size: int = 5, min_similarity: float = 0.8) -> DataFrame:
+    """(doc_id, group_id) of every document that has a similar one: Jaccard of ``size``-word shingles.
+
+    A single SimHash at distance 2 finds few of the pairs at similarity 0.8
+    (their distance is about 6 of 64 bits), so candidates come from eight
+    more SimHashes besides, each of the few shingles first in an order of its
+    own: equal for both texts with probability s cubed at similarity s, so
+    that a pair at 0.8 is missed by all eight in 3 of 1000 cases. Documents
+    of equal view meet the bucket's most central and its first document, not
+    each other: linear in the bucket. Each candidate pair is verified by the
+    shingle sets of both whole texts, and links are joined to components.
+
+    Exact copies are grouped by their text's hash. group_id is the smallest
+    doc_id of the group. Documents without words are one group of copies.
+    Null doc_ids take no part; repeated rows of a doc_id stand for its first
+    text.
+    """
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text")).where("doc_id is not null")
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh64_intdigest
+
+        for pdf in batches:
+            found = pdf["text"].tolist()
+            sets = [np.unique(np.array(_shingle_hashes(t, size), np.uint64)) for t in found]
+            copies = [xxh64_intdigest(" ".join(t.split()).encode("utf-8", "replace")) - (1 << 63) for t in found]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fingerprints_of(found, size).view(np.int64), "copies": copies, "views": [_views(s) for s in sets]})
+
+    prints = common.cut(texts.mapInPandas(sketch, "doc_id long, fp long, copies long, views array<long>"), "sketches")
+    classes = common.cut(prints.groupBy("copies", "fp").agg(F.min("doc_id").alias("doc_id"), F.first("views").alias("views"), F.count("*").alias("n")), "classes")
+
+    near = links(classes.select("fp").distinct())
+    by_print = classes.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    close = near.join(by_print.select(F.col("fp").alias("a"), F.col("doc_id").alias("x")), "a").join(by_print.select(F.col("fp").alias("b"), F.col("doc_id").alias("y")), "b").select("x", "y")
+
+    visits = classes.select("doc_id", F.posexplode("views").alias("view", "value")).select("doc_id", F.xxhash64("view", "value").alias("bucket"))
+    sizes = visits.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    visits = common.cut(visits.join(sizes, "bucket"), "buckets")
+    central = visits.join(visits.groupBy("doc_id").agg(F.sum("n").alias("weight")), "doc_id")
+    heads = central.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("back"))).alias("top"), F.min("doc_id").alias("first"))
+    heads = heads.select("bucket", F.array_distinct(F.array(-F.col("top.back"), F.col("first"))).alias("heads"))
+    met = visits.join(heads, "bucket").select(F.col("doc_id").alias("x"), F.explode("heads").alias("y"))
+    pairs = common.cut(met.union(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct(), "pairs")
+
+    def shingle_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [np.unique(np.array(_shingle_hashes(t, size), np.uint64).astype(np.uint32)).tobytes() for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "shingles": sets})
+
+    named = common.cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "named")
+    sets = common.cut(texts.join(named, "doc_id", "left_semi").mapInPandas(shingle_sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    similar = both.mapInPandas(_similarities, "a long, b long, similarity double").where(F.col("similarity") >= min_similarity)
+    roots = connected_components(similar, "a", "b")
+    roots = common.cut(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()), "roots")
+    grouped = classes.join(roots, classes["doc_id"] == roots["node"], "left").where("n > 1 or root is not null")
+    grouped = grouped.select("copies", "fp", F.coalesce("root", "doc_id").alias("group_id"))
+    return prints.join(grouped, ["copies", "fp"]).select("doc_id", "group_id").distinct()
+
+
+def one_of_each(docs: DataFrame, size: int = 5, min_similarity: float = 0.8) -> DataFrame:
+    """``docs`` with the smallest doc_id of each group of similar documents; all others stay as they are."""
+    others = common.cut(similar_groups(docs, size, min_similarity).where("doc_id <> group_id").select("doc_id").distinct(), "others")
+    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
