@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, ctph, decontam, htmlmain, linededup, packing, secrets, simhash, tokenfiles, toxicity
+from . import common, ctph, decontam, htmlmain, linededup, packing, secrets, simhash, suffixdedup, tokenfiles, toxicity
 
 
 def _tokenizer(name: str) -> str:
@@ -39,6 +39,11 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlmain.extract(common.read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op6_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixdedup.dedup(common.read(spark, sf_dir, "documents"), 200)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_piecewise_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.with_next(common.read(spark, sf_dir, "documents"))
 
@@ -63,7 +68,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_best_fit_packing, op3_toxicity, op4_line_dedup, op5_main_text, op7_piecewise_hashes, op8_secret_scan, op9_benchmark_decontamination, op10_token_files, pipeline)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_best_fit_packing, op3_toxicity, op4_line_dedup, op5_main_text, op6_repeated_substrings, op7_piecewise_hashes, op8_secret_scan, op9_benchmark_decontamination, op10_token_files, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
