@@ -171,7 +171,8 @@ def score(docs: DataFrame, labels: DataFrame, max_examples: int = 8000, k: int =
     def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for text, toxic in zip(pdf["text"], pdf["toxic"]):
-                yield pd.DataFrame({"feature": list(features(text)), "copies": _copy_key(text), "toxic": toxic})
+                found = pd.Series(list(features(text)), dtype=object)
+                yield pd.DataFrame({"feature": found, "copies": _copy_key(text), "toxic": toxic})
 
     counted = sample.mapInPandas(marks, "feature string, copies long, toxic int").groupBy("feature", "toxic", "copies").agg(F.count("*").alias("n"))
     by_feature = counted.groupBy("feature").agg(
