@@ -33,7 +33,7 @@ from . import common
 
 _NO_ID = -(1 << 63)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_STREAMED = "doc long, body long, pos int, n_lines int, h1 long, h2 long, open boolean"
+_STREAMED = "doc long, body long, pos int, n_lines int, h1 long, h2 long, open boolean, docs_here long"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -65,7 +65,9 @@ def _stream(min_docs: int):
         is_open[0] |= first_open
         is_open[-1] |= last_open
         keep = is_open[run] | ((n_docs[run] >= min_docs) & (doc != last[run]))
-        return rows[keep].assign(open=is_open[run][keep])
+        # An open run's documents are counted once, on its first row: ranges split by document, so counts add up.
+        here = np.where(new & is_open[run], n_docs[run], 0)
+        return rows[keep].assign(open=is_open[run][keep], docs_here=here[keep])
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []  # the run that goes on, in pieces
@@ -98,7 +100,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Da
     ordered = hashes.select("doc", "body", "pos", "n_lines", "h1", "h2").repartitionByRange(common.partitions(spark), "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "body", "pos")
     streamed = common.cut(ordered.mapInPandas(_stream(min_docs), _STREAMED), "streamed")
     undecided = streamed.where("open")
-    totals = undecided.select("h1", "h2", "doc").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= min_docs)
+    totals = undecided.groupBy("h1", "h2").agg(F.sum("docs_here").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= min_docs)
     late = undecided.join(totals, ["h1", "h2"]).where("doc <> last")
     columns = ["doc", "body", "n_lines", "pos"]
     return streamed.where("not open").select(columns).union(late.select(columns))
