@@ -80,8 +80,8 @@ class Index:
 
     def __post_init__(self):
         pad = -self.weights.shape[1] % BLOCK
-        self.blocks = np.pad(self.weights, ((0, 0), (0, pad))).reshape(len(self.weights), -1, BLOCK)
-        self.block_max = self.blocks.max(axis=2) if self.weights.size else np.zeros((len(self.weights), 0), np.float32)
+        self.blocks = np.pad(self.weights, ((0, 0), (0, pad))).reshape(len(self.weights), (self.weights.shape[1] + pad) // BLOCK, BLOCK)
+        self.block_max = self.blocks.max(axis=2)
 
     def vector(self, ids: list[int], counts: list[int]) -> np.ndarray:
         v = (1 + np.log(np.array(counts, np.float64))) * self.idf[ids]
