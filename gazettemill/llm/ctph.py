@@ -128,7 +128,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     common.small_batches(spark)
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
-        .repartitionByRange(common.partitions(spark), F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+        .repartitionByRange(common.partitions(spark), F.col("doc_id").desc_nulls_last())  # ids alone are sampled for the ranges
         .sortWithinPartitions(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
     )
 
