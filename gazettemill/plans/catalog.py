@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import coverage_queries, text_queries
+from . import coverage_queries, stream_queries, text_queries
 
-_MODULES = (coverage_queries, text_queries)
+_MODULES = (coverage_queries, text_queries, stream_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
