@@ -224,9 +224,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     whole = whole.select("*", F.lit(-side).alias("from"), F.lit(length).alias("to"))
 
     wanted = classes.join(several, "anchor").groupBy(F.col("at.doc").alias("doc"), F.col("at.body").alias("body")).agg(F.collect_list(F.struct("anchor", "context", "n", "contexts", F.col("at.pos").alias("pos"))).alias("wanted"))
-    wanted = common.cut(wanted, "wanted")
-    named = common.cut(wanted.select("doc", "body"), "named")
-    held = texts.join(named, ["doc", "body"], "left_semi").dropDuplicates(["doc", "body"]).join(wanted, ["doc", "body"])
+    held = texts.join(common.cut(wanted, "wanted"), ["doc", "body"])  # a repeated row gives its contexts again; see compare
 
     def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -245,12 +243,9 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
             group = [g for g in group if len(g[4]) >= length]
             if len(group) > 1 and not _reach([(g[4], g[3]) for g in group], length):
                 return [(g[0], g[1], -g[3], len(g[4]) - g[3]) for g in group if g[2] > 1]
-            out = []
             starts = repeated_starts([g[4] for g in group], [g[2] for g in group], [((g[5], g[6]), g[7]) for g in group], length)
-            for g, offsets in zip(group, starts):
-                for o in _merged(offsets, length):
-                    out.append((g[0], g[1], o[0] - g[3], o[1] - g[3]))
-            return out
+            # All windows of a context hold its anchor, so they overlap: one span.
+            return [(g[0], g[1], o[0] - g[3], o[-1] + length - g[3]) for g, o in zip(group, starts) if o]
 
         group: list[tuple] = []
         for pdf in batches:
@@ -259,7 +254,8 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
                 if group and group[0][0] != row[0]:
                     rows += decide(group)
                     group = []
-                group.append(row)
+                if not group or group[-1][1] != row[1]:
+                    group.append(row)
             yield pd.DataFrame(rows, columns=["anchor", "context", "from", "to"])
         if group:
             yield pd.DataFrame(decide(group), columns=["anchor", "context", "from", "to"])
@@ -281,23 +277,13 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     every = contexts.where(F.col("contexts") > CROWD).mapInPandas(windows, "anchor long, context long, n long, from int, window long, doc long, body long, place int")
     place = F.struct("doc", "body", "place")
     repeated = every.groupBy("window").agg(F.max("n").alias("n"), F.min(place).alias("a"), F.max(place).alias("b")).where("n > 1 or a <> b").select("window")
-    crowded = every.join(repeated, "window").select("anchor", "context", "from", (F.col("from") + length).alias("to"))
+    crowded = every.join(repeated, "window").groupBy("anchor", "context").agg(F.min("from").alias("from"), (F.max("from") + length).alias("to"))
 
     spans = whole.union(decided).union(crowded)
     placed = again.join(spans, ["anchor", "context"])
     return placed.select("doc", "body", F.greatest(F.col("pos") + F.col("from"), F.lit(0)).alias("start"), (F.col("pos") + F.col("to")).alias("end"))
 
 
-def _merged(starts: list[int], length: int) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s in starts:
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], s + length)
-        else:
-            out.append((s, s + length))
-    return out
-
-
 _REMOVED = T.StructType().add("kept", T.BinaryType()).add("n_bytes", T.LongType()).add("n_removed", T.LongType()).add("n_spans", T.LongType())
 
 
