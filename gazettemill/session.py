@@ -2,8 +2,31 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+ROOT = Path(__file__).resolve().parent.parent
+#: Whether workers find the package by the PYTHONPATH that this process began with.
+_INHERITED = str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once for each application, unless PYTHONPATH already leads there."""
+    app = spark.sparkContext.applicationId
+    if _INHERITED or app in _shipped:
+        return
+    _shipped.add(app)
+    staged = Path(tempfile.mkdtemp(prefix="gazettemill-ship-"))
+    shutil.copytree(ROOT / "gazettemill", staged / "pkg" / "gazettemill", ignore=shutil.ignore_patterns("__pycache__"))
+    for module in ROOT.glob("*_pipeline.py"):
+        shutil.copy(module, staged / "pkg")
+    spark.sparkContext.addPyFile(shutil.make_archive(str(staged / "gazettemill"), "zip", staged / "pkg"))
+
 
 def build_session(app: str = "gazettemill", cpus: int | str = "*", **conf: str) -> SparkSession:
     """Local session for development; on a cluster the submit settings win.
