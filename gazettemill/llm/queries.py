@@ -71,5 +71,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_simhash_near_dedup, op2_best_fit_packing, op3_toxicity, op4_line_dedup, op5_main_text, op6_repeated_substrings, op7_piecewise_hashes, op8_secret_scan, op9_benchmark_decontamination, op10_token_files, pipeline)}
 
 
+_OP4 = """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+ k AS (SELECT *, translate(trim(line, ' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+ r AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5),
+ d AS (SELECT k.*, coalesce(k.doc_id <> r.last, false) AS gone FROM k LEFT JOIN r USING (key))
+ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM d GROUP BY 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Line dedup is plain SQL; the others' hashes, tokenisers, models, trees and match positions are not."""
+    return {"op4_line_dedup": _OP4}

@@ -122,3 +122,125 @@ def test_op10(spark, sf, documents):
         start += len(ids)
     got = sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in rows(spark, sf, "op10_token_files"))
     assert got == want
+
+
+def test_op3_held_out(spark, sf):
+    """On a learnable corpus of its own, rows kept from learning are judged right (see also test_edges)."""
+    got = rows(spark, sf, "op3_toxicity")
+    for r in got:
+        assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_op5(spark, sf):
+    import html
+
+    import pyarrow.parquet as pq
+
+    want = {}
+    for page in pq.read_table(f"{sf}/pages.parquet").to_pylist():
+        article = re.search(r"<article>(.*?)</article>", page["html"], re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub("<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", article)]
+        want[page["page_id"]] = "\n".join(b for b in blocks if b)
+    got = rows(spark, sf, "op5_main_text")
+    assert {r["page_id"]: r["text"] for r in got} == want
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_op6(spark, sf, documents):
+    data = {d["doc_id"]: (d["text"] or "").encode() for d in documents}
+    seen = Counter(b[i : i + 200] for b in data.values() for i in range(len(b) - 199))
+    want = {}
+    for k, b in data.items():
+        cover = bytearray(len(b))
+        for i in range(len(b) - 199):
+            if seen[b[i : i + 200]] > 1:
+                cover[i : i + 200] = b"\1" * 200
+        kept = bytes(x for x, c in zip(b, cover) if not c)
+        spans = sum(1 for i, c in enumerate(cover) if c and (i == 0 or not cover[i - 1]))
+        want[k] = (len(b), sum(cover), spans, hashlib.sha256(kept).hexdigest())
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows(spark, sf, "op6_repeated_substrings")}
+    assert got == want and any(w[1] for w in want.values())
+
+
+def test_op7(spark, sf, documents):
+    ordered = sorted(documents, key=lambda d: -d["doc_id"])
+    got = {r["doc_id"]: r for r in rows(spark, sf, "op7_piecewise_hashes")}
+    for d, following in zip(ordered, ordered[1:] + ordered[:1]):
+        take = len(d["text"]) // 3
+        edited = d["text"][: len(d["text"]) - take] + following["text"][:take]
+        assert (got[d["doc_id"]]["n_chars"], got[d["doc_id"]]["edited_sha256"]) == (len(d["text"]), sha(edited))
+    assert sum(r["near_edited"] > r["near_next"] for r in got.values()) >= 0.95 * len(got)
+
+
+def _shingles(text):
+    words = [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+    return [tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
+
+
+def brute_leaks(documents, items):
+    found = {}
+    for d in documents:
+        s = _shingles(d["text"])
+        for item, t in items.items():
+            m, counted, best = len(t), Counter(t), 0
+            if len(set(s) & set(t)) == 0:
+                continue
+            for a in range(len(s)):
+                window = s[a : a + m]
+                both = sum((counted & Counter(window)).values())
+                best = max(best, both / (m + len(window) - both))
+            if best >= 0.8:
+                found[d["doc_id"], item] = round(best, 6)
+    return found
+
+
+def test_op9(spark, sf, documents):
+    import pyarrow.parquet as pq
+
+    items = {r["item_id"]: _shingles(r["text"]) for r in pq.read_table(f"{sf}/benchmark.parquet").to_pylist()}
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in rows(spark, sf, "op9_benchmark_decontamination")}
+    assert got == brute_leaks(documents, items)
+
+
+def test_pipeline(spark, sf):
+    """Each stage against a brute-force version on its own input."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns = sorted(docs.columns)
+    collected = []
+    for name, stage in corpus_pipeline.STAGES:
+        before = {r["doc_id"]: r.asDict() for r in docs.collect()} if sorted(docs.columns) == columns else None
+        docs = corpus_pipeline.common.cut(stage(spark, docs, sf), name)
+        collected.append((name, before, [r.asDict() for r in docs.collect()]))
+        assert name == "best_fit_packing" or sorted(docs.columns) == columns
+    assert [n for n, _, _ in collected] == ["toxicity", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "best_fit_packing"]
+
+    _, before, after = collected[1]
+    assert {r["doc_id"] for r in after} == set(before) and all(r["n_chars"] == len(r["text"]) for r in after)
+
+    _, before, after = collected[2]
+    sets = {k: {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, r in before.items() for w in [lower(r["text"]).split()]}
+    ids, parent = sorted(sets), {k: k for k in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if len(sets[a] & sets[b]) >= 0.8 * max(1, len(sets[a] | sets[b])):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    assert {r["doc_id"] for r in after} == {k for k in ids if root(k) == k}
+
+    import pyarrow.parquet as pq
+
+    items = {r["item_id"]: _shingles(r["text"]) for r in pq.read_table(f"{sf}/benchmark.parquet").to_pylist()}
+    _, before, after = collected[3]
+    assert {r["doc_id"] for r in after} == set(before) - {d for d, _ in brute_leaks(before.values(), items)}
+
+    _, before, after = collected[4]
+    assert {r["doc_id"] for r in after} == set(before)
