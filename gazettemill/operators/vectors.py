@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import tokens as T
 
 DIMENSIONS = 768
+BLOCK_ROWS = 2000
 
 
 def hashed_features(articles: DataFrame, stops: DataFrame, text: str = "title") -> DataFrame:
@@ -31,11 +32,13 @@ def hashed_features(articles: DataFrame, stops: DataFrame, text: str = "title")
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query, vec_id, cosine): exact top k of a stated query set against all rows, in blocks.
 
-    Queries are gathered in blocks of rows; each task multiplies its rows with
-    a block, keeps k of each query, and the k best of all tasks remain.
+    Queries and rows are gathered in blocks of about ``BLOCK_ROWS``; each pair
+    of blocks is one matrix product that keeps k of each query, and the k best
+    of all remain.
     """
-    blocks = queries.select("vec_id", "embedding").withColumn("block", F.col("vec_id") % 8).groupBy("block").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries"))
-    rows = vectors.select("vec_id", "embedding").withColumn("slice", F.spark_partition_id() * 64 + F.pmod(F.xxhash64("vec_id"), F.lit(64)))
+    n_blocks, n_slices = (max(1, -(-df.count() // BLOCK_ROWS)) for df in (queries, vectors))
+    blocks = queries.select("vec_id", "embedding").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))).groupBy("block").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries"))
+    rows = vectors.select("vec_id", "embedding").withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.lit(n_slices)))
     data = rows.groupBy("slice").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("rows"))
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
