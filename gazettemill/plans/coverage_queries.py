@@ -501,7 +501,7 @@ def p29(spark, d):
     return m.select("outlet_id", scaled("x").alias("px"), scaled("y").alias("py"))
 
 
-@query("p18_story_language", "SELECT story_id, language FROM (SELECT story_id, language, row_number() OVER (PARTITION BY story_id ORDER BY count(*) DESC, language) AS rn FROM cov GROUP BY 1,2) WHERE rn=1", COV)
+@query("p19_story_language", "SELECT story_id, language FROM (SELECT story_id, language, row_number() OVER (PARTITION BY story_id ORDER BY count(*) DESC, language) AS rn FROM cov GROUP BY 1,2) WHERE rn=1", COV)
 def p19(spark, d):
     n = views.cov(spark, d).groupBy("story_id", "language").agg(F.count("*").alias("n"))
     return n.withColumn("rn", F.row_number().over(Window.partitionBy("story_id").orderBy(F.desc("n"), "language"))).where("rn = 1").select("story_id", "language")

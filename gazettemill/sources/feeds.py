@@ -11,6 +11,19 @@ from ..functions import tokens
 _FEED = "title string, link string, description string, pubDate string, updated string, author string, thumbnail string"
 
 
+_CATALOGUE = ["slug", "name", "domain", "country", "language", "region", "enabled", "feed_urls"]
+
+
+def catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """Outlet catalogue from JSON lines: defaults for region and enabled, unknown keys kept in ``extra``."""
+    raw = spark.read.text(path).where("trim(value) <> ''").select(F.from_json("value", "map<string,string>").alias("m"))
+    key = lambda k: F.try_element_at("m", F.lit(k))
+    return raw.where(key("slug").isNotNull()).select(
+        *(key(k).alias(k) for k in _CATALOGUE[:5]), F.coalesce(key("region"), F.lit("world")).alias("region"), F.coalesce(key("enabled").cast("boolean"), F.lit(True)).alias("enabled"),
+        F.coalesce(F.from_json(key("feed_urls"), "array<string>"), F.array().cast("array<string>")).alias("feed_urls"), F.map_filter("m", lambda k, v: ~k.isin(_CATALOGUE)).alias("extra"),
+    )
+
+
 def rss_items(spark: SparkSession, path: str, tag: str = "item") -> DataFrame:
     """RSS items (or Atom entries) with a link and a title; published, else updated date."""
     raw = spark.read.format("xml").option("rowTag", tag).schema(_FEED).load(path)

@@ -45,6 +45,17 @@ def test_feed(spark, tmp_path):
     assert [(r["url"], r["title"], r["snippet"], r["authors"]) for r in rows] == [("http://e.org/1", "A & B", "Hi", ["X"])]
 
 
+def test_catalogue_and_sinks(spark, tmp_path):
+    (tmp_path / "c.jsonl").write_text('{"slug": "a", "name": "A", "feed_urls": ["u"], "motto": "m"}\n{"slug": "b", "enabled": false, "region": "eu"}\n{"name": "no slug"}\n')
+    rows = {r["slug"]: r for r in feeds.catalogue(spark, f"{tmp_path}/c.jsonl").collect()}
+    assert set(rows) == {"a", "b"} and rows["a"]["feed_urls"] == ["u"] and rows["a"]["extra"] == {"motto": "m"} and rows["a"]["region"] == "world" and rows["a"]["enabled"]
+    assert (rows["b"]["enabled"], rows["b"]["region"], rows["b"]["feed_urls"]) == (False, "eu", [])
+    table = spark.createDataFrame([(1, "x,y")], "id int, t string")
+    feeds.write_csv(table, f"{tmp_path}/csv")
+    feeds.write_jsonl(table, f"{tmp_path}/jsonl")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/csv").first()["t"] == "x,y" and spark.read.json(f"{tmp_path}/jsonl").first()["id"] == 1
+
+
 def test_search_and_social(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps({"articles": [{"url": "u", "title": "a , b", "seendate": "20240102T030405Z", "socialimage": "", "language": "German"}, {"url": "v", "title": ""}]}))
     (row,) = feeds.search_articles(spark, f"{tmp_path}/s.json").collect()
