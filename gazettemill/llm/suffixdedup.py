@@ -12,8 +12,9 @@ Lyndon prefix (up to the next smaller suffix), groups are laid out in
 descending order, and each group's order follows from already placed suffixes
 through the previous-smaller pointers, without renaming or recursion. Windows
 that are equal stand side by side. An anchor with more than ``CROWD``
-different contexts counts its windows by hash instead, partial sums first,
-so that a passage in a third of all documents is no large task.
+different contexts compares its windows by hash instead, within a task up to
+``MANY`` contexts, and beyond that over all tasks with partial aggregates, so
+that a passage in a third of all documents is no large task.
 
 Null text counts as empty. Matches never cross documents; spans are judged
 on the input. A row is a document of its own, so repeated rows repeat each
@@ -34,8 +35,8 @@ from pyspark.sql import types as T
 from . import common
 
 ANCHOR = 64
-#: Different contexts of an anchor up to which one suffix array holds them.
-CROWD = 64
+#: Different contexts of an anchor up to which one suffix array holds them, and up to which one task holds their windows' hashes.
+CROWD, MANY = 64, 20_000
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -130,6 +131,28 @@ def _agree(a: bytes, b: bytes) -> int:
     return int(np.argmax(x != y))
 
 
+def _hashed_spans(group: list[tuple], length: int) -> list[tuple]:
+    """Repeated span of each context of a crowded anchor, from its windows' hashes."""
+    grams = [Rolling(g[4]).grams(length) for g in group]
+    sizes = np.array([len(h) for h in grams])
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    offset = np.arange(sizes.sum()) - np.repeat(first, sizes)
+    document = _mixed(np.array([g[5] for g in group]).view(_U) ^ _mixed(np.array([g[6] for g in group]).view(_U)))
+    place = np.repeat(document, sizes) + (np.repeat([g[7] for g in group], sizes) + offset).astype(_U)
+    windows = np.concatenate(grams)
+    order = np.argsort(windows, kind="stable")
+    ordered = windows[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    starts = np.flatnonzero(new)
+    places, copies = place[order], np.repeat([g[2] for g in group], sizes)[order]
+    apart = (np.minimum.reduceat(places, starts) != np.maximum.reduceat(places, starts)) | (np.maximum.reduceat(copies, starts) > 1)
+    repeated = np.empty(len(order), bool)
+    repeated[order] = apart[np.cumsum(new) - 1]
+    least = np.minimum.reduceat(np.where(repeated, offset, length), first)
+    most = np.maximum.reduceat(np.where(repeated, offset, -1), first)
+    return [(g[0], g[1], int(a) - g[3], int(b) + length - g[3]) for g, a, b in zip(group, least, most) if b >= 0]
+
+
 @cache
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     n = 1 << bits
@@ -235,14 +258,16 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
 
     contexts = common.cut(held.mapInPandas(slices, "anchor long, context long, n long, contexts long, left int, bytes binary, doc long, body long, place int"), "contexts")
 
-    few = contexts.where(F.col("contexts") <= CROWD).repartition(common.partitions(spark), "anchor").sortWithinPartitions("anchor", "context")
+    few = contexts.where(F.col("contexts") <= MANY).repartition(common.partitions(spark), "anchor").sortWithinPartitions("anchor", "context")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5_000)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def decide(group: list[tuple]) -> list[tuple]:
             group = [g for g in group if len(g[4]) >= length]
-            if len(group) > 1 and not _reach([(g[4], g[3]) for g in group], length):
+            if 1 < len(group) <= CROWD and not _reach([(g[4], g[3]) for g in group], length):
                 return [(g[0], g[1], -g[3], len(g[4]) - g[3]) for g in group if g[2] > 1]
+            if len(group) > CROWD:
+                return _hashed_spans(group, length)
             starts = repeated_starts([g[4] for g in group], [g[2] for g in group], [((g[5], g[6]), g[7]) for g in group], length)
             # All windows of a context hold its anchor, so they overlap: one span.
             return [(g[0], g[1], o[0] - g[3], o[-1] + length - g[3]) for g, o in zip(group, starts) if o]
@@ -274,7 +299,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
             if parts:
                 yield pd.DataFrame(dict(zip(("anchor", "context", "n", "from", "window", "doc", "body", "place"), map(np.concatenate, zip(*parts)))))
 
-    every = contexts.where(F.col("contexts") > CROWD).mapInPandas(windows, "anchor long, context long, n long, from int, window long, doc long, body long, place int")
+    every = contexts.where(F.col("contexts") > MANY).mapInPandas(windows, "anchor long, context long, n long, from int, window long, doc long, body long, place int")
     place = F.struct("doc", "body", "place")
     repeated = every.groupBy("window").agg(F.max("n").alias("n"), F.min(place).alias("a"), F.max(place).alias("b")).where("n > 1 or a <> b").select("window")
     crowded = every.join(repeated, "window").groupBy("anchor", "context").agg(F.min("from").alias("from"), (F.max("from") + length).alias("to"))

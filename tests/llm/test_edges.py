@@ -152,8 +152,10 @@ def test_repeated_substrings(spark, docs, none):
     assert suffixdedup.dedup(none).count() == 0
 
 
-def test_repeated_substrings_in_a_crowd(spark):
-    """More different contexts of an anchor than one suffix array holds."""
+@pytest.mark.parametrize("many", [20_000, 50])
+def test_repeated_substrings_in_a_crowd(spark, monkeypatch, many):
+    """More different contexts of an anchor than one suffix array holds, and than one task holds."""
+    monkeypatch.setattr(suffixdedup, "MANY", many)
     passage = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(260))
     rows = [(i, hashlib.md5(str(i).encode()).hexdigest() * 4 + passage + hashlib.sha1(str(i).encode()).hexdigest() * 5) for i in range(90)]
     got = suffixdedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
