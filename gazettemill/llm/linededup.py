@@ -101,7 +101,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Da
     streamed = common.cut(ordered.mapInPandas(_stream(min_docs), _STREAMED), "streamed")
     undecided = streamed.where("open")
     totals = undecided.groupBy("h1", "h2").agg(F.sum("docs_here").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= min_docs)
-    late = undecided.join(totals, ["h1", "h2"]).where("doc <> last")
+    late = undecided.join(F.broadcast(totals), ["h1", "h2"]).where("doc <> last")  # at most two open runs for each partition
     columns = ["doc", "body", "n_lines", "pos"]
     return streamed.where("not open").select(columns).union(late.select(columns))
 
