@@ -194,9 +194,9 @@ _ALPHA = """ct AS (SELECT outlet, axis, article_id, value, count(*) AS n, sum(co
   LEFT JOIN (SELECT outlet, axis, max(n) AS n FROM mg GROUP BY 1,2) q ON q.outlet=t.outlet AND q.axis=t.axis LEFT JOIN sm ON sm.outlet=t.outlet AND sm.axis=t.axis)"""
 
 
-@query("b15_agreement", f"WITH {_ALPHA} SELECT outlet, axis, round(alpha,5) AS alpha FROM al", ANN)
+@query("b15_agreement", f"WITH {_ALPHA} SELECT outlet, axis, round(alpha,4) AS alpha FROM al", ANN)
 def b15(spark, d):
-    return annotation.agreement(views.ann(spark, d)).select("outlet", "axis", F.round("alpha", 5).alias("alpha"))
+    return annotation.agreement(views.ann(spark, d)).select("outlet", "axis", F.round("alpha", 4).alias("alpha"))
 
 
 @query("b16_brackets", f"SELECT {_BRACKET} AS bracket, count(*) AS n, count(DISTINCT annotator_id) AS annotators FROM ann GROUP BY 1", ANN)
