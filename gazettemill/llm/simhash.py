@@ -23,6 +23,7 @@ stay. An empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -145,25 +146,17 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     return found.select("doc_id", hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
-# Similar documents: SimHash views verified by the exact similarity.
+# Similar documents: prefix filter on rare shingles, verified by the exact similarity.
 
-#: Odd multipliers of the views' orders, from one constant by rule.
-VIEWS, SAMPLE = 8, 3
-_ORDERS = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1) for i in range(VIEWS)]
 
+def _shared(size: int, least: float) -> int:
+    """Shingles that a text of ``size`` shares with any similar one, at least."""
+    return math.ceil(least * size - 1e-9)
 
-def _views(hashes: np.ndarray) -> list[int]:
-    """For each view, the SimHash of the ``SAMPLE`` shingles that come first in the view's order."""
-    out = []
-    for order in _ORDERS:
-        keys = hashes * order
-        first = hashes[np.argpartition(keys, SAMPLE)[:SAMPLE]] if len(hashes) > SAMPLE else hashes
-        if len(first) == SAMPLE:
-            a, b, c = first
-            out.append(int((a & b) | (a & c) | (b & c)))
-        else:
-            out.append(int(np.bitwise_and.reduce(first)) if len(first) else 0)
-    return [x - (1 << 64) if x >> 63 else x for x in out]
+
+def _prefix(size: int, least: float, more: int = 0) -> int:
+    """First shingles, in one order for all texts, that hold the first ``more`` + 1 shared with any similar text."""
+    return min(size, size - _shared(size, least) + 1 + more)
 
 
 def _similarities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,14 +172,17 @@ def _similarities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def similar_groups(docs: DataFrame, size: int = 5, min_similarity: float = 0.8) -> DataFrame:
     """(doc_id, group_id) of every document that has a similar one: Jaccard of ``size``-word shingles.
 
-    A single SimHash at distance 2 finds few of the pairs at similarity 0.8
-    (their distance is about 6 of 64 bits), so candidates come from eight
-    more SimHashes besides, each of the few shingles first in an order of its
-    own: equal for both texts with probability s cubed at similarity s, so
-    that a pair at 0.8 is missed by all eight in 3 of 1000 cases. Documents
-    of equal view meet the bucket's most central and its first document, not
-    each other: linear in the bucket. Each candidate pair is verified by the
-    shingle sets of both whole texts, and links are joined to components.
+    Two texts at Jaccard similarity s share a shingle among the first
+    1 - s of each, in any one order of shingles, and a tenth of all shingles
+    more for a tenth more of them, so none is missed. The order by hash
+    leaves the texts that have enough shingles of others there (a tenth of
+    the smallest similar text's and one); among these the order is by frequency, rare ones first, so that common passages make
+    no buckets unless they are nearly the whole text. Texts of a bucket first
+    meet its most central and its first document; then all pairs of a bucket
+    that aren't yet in one component meet, unless their sizes or the number
+    of their shingles found elsewhere exclude the similarity. Each candidate
+    pair is verified by the shingle sets of both whole texts, and links are
+    joined to components.
 
     Exact copies are grouped by their text's hash. group_id is the smallest
     doc_id of the group. Documents without words are one group of copies.
@@ -202,40 +198,60 @@ def similar_groups(docs: DataFrame, size: int = 5, min_similarity: float = 0.8)
 
         for pdf in batches:
             found = pdf["text"].tolist()
-            sets = [np.unique(np.array(_shingle_hashes(t, size), np.uint64)) for t in found]
+            sets = [np.unique(np.array(_shingle_hashes(t, size), np.uint64)).view(np.int64) for t in found]
             copies = [xxh64_intdigest(" ".join(t.split()).encode("utf-8", "replace")) - (1 << 63) for t in found]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fingerprints_of(found, size).view(np.int64), "copies": copies, "views": [_views(s) for s in sets]})
-
-    prints = common.cut(texts.mapInPandas(sketch, "doc_id long, fp long, copies long, views array<long>"), "sketches")
-    classes = common.cut(prints.groupBy("copies", "fp").agg(F.min("doc_id").alias("doc_id"), F.first("views").alias("views"), F.count("*").alias("n")), "classes")
-
-    near = links(classes.select("fp").distinct())
-    by_print = classes.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    close = near.join(by_print.select(F.col("fp").alias("a"), F.col("doc_id").alias("x")), "a").join(by_print.select(F.col("fp").alias("b"), F.col("doc_id").alias("y")), "b").select("x", "y")
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "copies": copies, "needed": [_shared(len(s), min_similarity) // 10 + 1 for s in sets], "prefix": [s[: _prefix(len(s), min_similarity, len(s) // 10)] for s in sets]})
 
-    visits = classes.select("doc_id", F.posexplode("views").alias("view", "value")).select("doc_id", F.xxhash64("view", "value").alias("bucket"))
-    sizes = visits.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    visits = common.cut(visits.join(sizes, "bucket"), "buckets")
-    central = visits.join(visits.groupBy("doc_id").agg(F.sum("n").alias("weight")), "doc_id")
-    heads = central.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("back"))).alias("top"), F.min("doc_id").alias("first"))
-    heads = heads.select("bucket", F.array_distinct(F.array(-F.col("top.back"), F.col("first"))).alias("heads"))
-    met = visits.join(heads, "bucket").select(F.col("doc_id").alias("x"), F.explode("heads").alias("y"))
-    pairs = common.cut(met.union(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct(), "pairs")
+    prints = common.cut(texts.mapInPandas(sketch, "doc_id long, copies long, needed int, prefix array<long>"), "sketches")
+    classes = common.cut(prints.groupBy("copies").agg(F.min("doc_id").alias("doc_id"), F.first("needed").alias("needed"), F.first("prefix").alias("prefix"), F.count("*").alias("n")), "classes")
+    visits = classes.select("doc_id", F.explode("prefix").alias("shingle"))
+    met = visits.select("doc_id", F.count("*").over(Window.partitionBy("shingle")).alias("n")).where("n > 1")
+    met = common.cut(met.groupBy("doc_id").agg(F.count("*").alias("met")), "met")
+    named = common.cut(classes.select("doc_id", "needed").join(met, "doc_id").where("met >= needed").select("doc_id").distinct(), "named")
 
     def shingle_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sets = [np.unique(np.array(_shingle_hashes(t, size), np.uint64).astype(np.uint32)).tobytes() for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "shingles": sets})
-
-    named = common.cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "named")
-    sets = common.cut(texts.join(named, "doc_id", "left_semi").mapInPandas(shingle_sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    similar = both.mapInPandas(_similarities, "a long, b long, similarity double").where(F.col("similarity") >= min_similarity)
-    roots = connected_components(similar, "a", "b")
-    roots = common.cut(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()), "roots")
+            sets = [np.unique(np.array(_shingle_hashes(t, size), np.uint64)) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "hashes": [s.view(np.int64) for s in sets], "shingles": [s.astype(np.uint32).tobytes() for s in sets]})
+
+    sets = common.cut(texts.join(named, "doc_id", "left_semi").mapInPandas(shingle_sets, "doc_id long, hashes array<long>, shingles binary").dropDuplicates(["doc_id"]), "sets")
+    own = Window.partitionBy("doc_id")
+    terms = sets.select("doc_id", F.size("hashes").alias("size"), F.explode("hashes").alias("shingle"))
+    terms = terms.withColumn("df", F.count("*").over(Window.partitionBy("shingle"))).where("df > 1")
+    terms = terms.select("doc_id", "size", "shingle", F.count("*").over(own).alias("common"), F.row_number().over(own.orderBy("df", "shingle")).alias("at"))
+    first = F.least(F.col("size"), F.col("size") - F.ceil(min_similarity * F.col("size") - 1e-9) + 1)
+    buckets = common.cut(terms.where(F.col("size") - F.col("common") + F.col("at") <= first).select("shingle", "doc_id", "size", "common"), "buckets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+        similar = both.mapInPandas(_similarities, "a long, b long, similarity double").where(F.col("similarity") >= min_similarity)
+        return common.cut(similar.select("a", "b"), "similar")
+
+    weighed = buckets.join(buckets.groupBy("doc_id").agg(F.count("*").alias("weight")), "doc_id")
+    heads = weighed.groupBy("shingle").agg(F.max(F.struct("common", "weight", (-F.col("doc_id")).alias("back"))).alias("top"), F.min("doc_id").alias("first"))
+    heads = heads.select("shingle", F.array_distinct(F.array(-F.col("top.back"), F.col("first"))).alias("heads"))
+    met = buckets.join(heads, "shingle").select(F.col("doc_id").alias("x"), F.explode("heads").alias("y"))
+    tried = common.cut(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct(), "pairs")
+    similar = verified(tried)
+
+    roots = _rooted(similar)
+    placed = common.cut(buckets.join(roots, buckets["doc_id"] == roots["node"], "left").select("shingle", "doc_id", "size", "common", F.coalesce("root", "doc_id").alias("part")), "placed")
+    one, two = placed.alias("one"), placed.alias("two")
+    most = F.least("one.common", "two.common", "one.size", "two.size")
+    apart = (F.col("one.doc_id") < F.col("two.doc_id")) & (F.col("one.part") != F.col("two.part"))
+    possible = most >= min_similarity * (F.col("one.size") + F.col("two.size") - most) - 1e-6
+    rest = one.join(two, (F.col("one.shingle") == F.col("two.shingle")) & apart & possible).select(F.col("one.doc_id").alias("a"), F.col("two.doc_id").alias("b")).distinct()
+    rest = common.cut(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+    roots = _rooted(similar.union(verified(rest)))
     grouped = classes.join(roots, classes["doc_id"] == roots["node"], "left").where("n > 1 or root is not null")
-    grouped = grouped.select("copies", "fp", F.coalesce("root", "doc_id").alias("group_id"))
-    return prints.join(grouped, ["copies", "fp"]).select("doc_id", "group_id").distinct()
+    grouped = grouped.select("copies", F.coalesce("root", "doc_id").alias("group_id"))
+    return prints.join(grouped, "copies").select("doc_id", "group_id").distinct()
+
+
+def _rooted(links: DataFrame) -> DataFrame:
+    """(node, root) of every linked document, the roots included."""
+    roots = connected_components(links, "a", "b")
+    return common.cut(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()), "roots")
 
 
 def one_of_each(docs: DataFrame, size: int = 5, min_similarity: float = 0.8) -> DataFrame:

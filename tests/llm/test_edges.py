@@ -56,6 +56,22 @@ def test_similar_groups(docs, none):
     assert simhash.similar_groups(none).count() == 0
 
 
+def test_similar_groups_in_a_crowd(spark):
+    """A passage that all texts share is most of each; the pairs are unlike all the others."""
+    passage = [f"shared{i}" for i in range(80)]
+    texts = []
+    for i in range(300):
+        tail = [f"own{i}x{j}" for j in range(44)]
+        texts.append(passage + tail)
+        texts.append(passage + [f"other{i}x{j}" if j in (12, 28, 43) else w for j, w in enumerate(tail)])
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    assert all(len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1]) for i in range(0, len(sets), 2))
+    assert len(sets[0] & sets[2]) < 0.8 * len(sets[0] | sets[2])
+    got = {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(len(rows))}
+
+
 def test_packing(docs, none):
     path = queries._tokenizer("byte_bpe_50k.json")
     packed = packing.pack(docs, path, 64)
