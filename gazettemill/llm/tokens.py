@@ -3,7 +3,9 @@
 A BPE model encodes each pre-token by itself, so the ids of a text are the
 concatenated ids of its pre-tokens. Texts are split with the tokenizer's own
 pre-token pattern and each distinct pre-token is encoded by the library once
-per worker (bounded cache); repeated words cost a dictionary lookup. Tests
+per worker (bounded cache); repeated words cost a dictionary lookup. A text
+that holds one of the tokenizer's added tokens (``<|endoftext|>``), which the
+library takes out before anything else, goes through plain ``encode``. Tests
 compare the result with plain ``encode`` over whole texts.
 """
 
@@ -50,6 +52,9 @@ class PieceEncoder:
             self.pattern, self.prepare = regex.compile(WORD_PATTERN), _lowered
         else:
             self.pattern = None
+        added = [t["content"] for t in spec["added_tokens"]]
+        self.added = regex.compile("|".join(map(regex.escape, added)), regex.I if any(t["normalized"] for t in spec["added_tokens"]) else 0) if added else None
+        self.plain = Tokenizer.from_file(path)
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.cache: dict[str, bytes] = {}
 
@@ -62,7 +67,11 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.pattern is None:
-            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return self._plainly(texts)
+        if self.added and (holders := [i for i, t in enumerate(texts) if self.added.search(t)]):
+            apart = dict(zip(holders, self._plainly([texts[i] for i in holders])))
+            others = iter(self.encode([t for i, t in enumerate(texts) if i not in apart]))
+            return [apart[i] if i in apart else next(others) for i in range(len(texts))]
         if self.prepare:
             texts = [self.prepare(t) for t in texts]
         find, lookup = self.pattern.findall, self.cache.__getitem__
@@ -70,6 +79,9 @@ class PieceEncoder:
         self._learn(set().union(*(p for p in short if p)))
         return [b"".join(map(lookup, p)) if p is not None else self._long(t) for p, t in zip(short, texts)]
 
+    def _plainly(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _long(self, text: str) -> bytes:
         """A very long text goes through in runs of pre-tokens, so that memory stays bounded."""
         found, out = (m.group() for m in self.pattern.finditer(text)), []

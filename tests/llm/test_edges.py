@@ -90,6 +90,22 @@ def test_packing(docs, none):
     assert packing.pack(none, path, 64).placed("doc_id").count() == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_in_texts(name):
+    """Texts that spell an added token out get its id, as from plain ``encode``."""
+    from array import array
+
+    from tokenizers import Tokenizer
+
+    from gazettemill.llm import tokens
+
+    path = queries._tokenizer(name)
+    texts = ["plain words", "one<|endoftext|>two", "<|startoftext|> Ä É<|endoftext|>", "<|ENDOFTEXT|> <|endoftext |>", "", "x <|endoftext|>\n" * 3, "last words", "é <|startoftext|>é " * 90_000]
+    plain = Tokenizer.from_file(path)
+    want = [array("I", plain.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    assert tokens.PieceEncoder(path).encode(texts) == want
+
+
 @pytest.mark.parametrize("counts,bins", [({6: 2, 4: 2}, 2), ({10: 3}, 3), ({7: 1, 3: 1, 5: 2}, 2), ({5: 3, 2: 2, 1: 1}, 2), ({}, 0)])
 def test_packing_patterns(counts, bins):
     patterns = packing.pack_histogram(counts, 10)
