@@ -29,10 +29,16 @@ def _own_dir() -> str:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is missing (tests on one machine) a local
-    temporary folder stands in. Spark removes the folder when the JVM ends.
+    Only on one machine (a local master, as in tests) does a temporary folder
+    stand in where that setting is missing; on a cluster that is an error, as
+    executors wouldn't see each other's files. Spark removes the folder when
+    the JVM ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = _own_dir()
     path = f"{base.rstrip('/')}/gazettemill-{uuid.uuid4().hex}"
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -54,9 +60,32 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Rows per Arrow batch for jobs that hand whole texts to Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches bounded by bytes and rows, for jobs that hand whole texts to Python.
+
+    Every operator asks for the same bounds, and only where the session still
+    has Spark's own defaults, so it doesn't matter which plan runs last.
+    """
+    for name, default, bound in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", str((1 << 31) - 1), str(16 << 20))):
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name, default).rstrip("Bb") == default:
+            spark.conf.set(name, bound)
+
+
+def weighted_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right``, whose rows have different keys and tell in ``weight`` how many rows of ``left`` hold theirs.
+
+    A key of over 1000 rows and over a 100 000th of all is broadcast, so that
+    no task gets all its rows; there are under 100 000 such keys at any size.
+    All others are joined by a shuffle.
+    """
+    bounds = right.agg(F.sum(weight).alias("all"), F.max(weight).alias("most")).first()
+    heavy = 1000 + (bounds["all"] or 0) / 100_000
+    if (bounds["most"] or 0) <= heavy:
+        return left.join(right, keys, how)
+    often = F.broadcast(right.where(F.col(weight) > heavy))
+    rest = left.join(often.select(*keys), keys, "left_anti").join(right.where(F.col(weight) <= heavy), keys, how)
+    return left.join(often, keys).unionByName(rest)
 
 
 def text_or_empty(column: str = "text"):

@@ -4,21 +4,33 @@ A string of ``length`` bytes that starts at two places shares an anchor
 there: the smallest-hash ``ANCHOR``-gram of each window, which depends on the
 window's content alone. So the corpus is dealt out by anchors, and only
 contexts (the bytes within ``length`` of an anchor that occurs twice or more)
-are compared, each different context of an anchor once.
-
-Where an anchor has several different contexts, a suffix array of their
-concatenation shows which windows repeat: suffixes are grouped by their
-Lyndon prefix (up to the next smaller suffix), groups are laid out in
-descending order, and each group's order follows from already placed suffixes
-through the previous-smaller pointers, without renaming or recursion. Windows
-that are equal stand side by side. An anchor with more than ``CROWD``
-different contexts compares its windows by hash instead, within a task up to
-``MANY`` contexts, and beyond that over all tasks with partial aggregates, so
-that a passage in a third of all documents is no large task.
-
-Null text counts as empty. Matches never cross documents; spans are judged
-on the input. A row is a document of its own, so repeated rows repeat each
-other's strings. An empty table gives no rows. Other columns pass through.
+are compared, each different context of an anchor once. Contexts of an anchor
+stand aligned at it, so two of them share a window where the bytes that agree
+to the left and to the right add up to ``length``.
+
+Contexts that can't share a window with any other drop out first. The others
+are cut where any two of an anchor's contexts part, which makes each a short
+row of integers, and one suffix array for thousands of contexts shows which
+repeat. It is built by linear grouping: groups of suffixes are processed in
+descending order, previous-smaller pointers tell which suffixes a group
+extends, these become groups of their own above the rest of theirs until each
+group shares a Lyndon prefix, and a last pass emits each group's order, with
+no renaming and no recursion. Suffixes with equal left parts stand together,
+next to those whose right parts agree longest.
+
+An anchor with more than ``CROWD`` different contexts (the end of a passage
+in a third of all documents, say) is split first, by ranges of ``SPLIT``
+window offsets: contexts that share a window there have the bytes common to
+all these windows in common, so they are dealt out by these, and differ in
+under ``SPLIT`` bytes at each end, of which each different case goes into the
+same suffix arrays once. That is as exact, and leaves no large task.
+
+Whole contexts are held equal by two independent 64-bit hashes, of the anchor
+and of all bytes; the split's common bytes by these and a third; everything
+else by bytes. Null text counts as empty. Matches never cross documents;
+spans are judged on the input. A row is a document of its own, so repeated
+rows repeat each other's strings. An empty table gives no rows. Other columns
+pass through, but for those that carry the results' names.
 """
 
 from __future__ import annotations
@@ -28,6 +40,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,122 +48,183 @@ from pyspark.sql import types as T
 from . import common
 
 ANCHOR = 64
-#: Different contexts of an anchor up to which one suffix array holds them, and up to which one task holds their windows' hashes.
-CROWD, MANY = 64, 20_000
+#: Different contexts of an anchor beyond which they are split by their windows' offsets, and offsets in a range of the split.
+CROWD, SPLIT = 10_000, 8
+#: Contexts that go into one suffix array, unless one anchor has more.
+TOGETHER = 20_000
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
+_DOC, _BODY = "__gm_doc", "__gm_body"
 
 
-def suffix_array(text: bytes) -> list[int]:
-    """All suffixes of ``text`` in order, by Lyndon grouping."""
+def lyndon_groups(text: list[int]) -> tuple[list[int], list[int]]:
+    """Group (by its first place) of each suffix, by Lyndon prefix, and its pointer to the previous smaller group."""
     n = len(text)
-    following, previous = [n] * n, [-1] * n
-    stack: list[int] = []
-    open_suffixes: list[bytes] = []
-    for i in range(n):
-        suffix = text[i:]
-        while stack and open_suffixes[-1] > suffix:
-            following[stack.pop()] = i
-            open_suffixes.pop()
-        if stack:
-            previous[i] = stack[-1]
-        stack.append(i)
-        open_suffixes.append(suffix)
-    prefixes = [text[i : following[i]] for i in range(n)]
-    sizes: dict[bytes, int] = {}
-    for p in prefixes:
-        sizes[p] = sizes.get(p, 0) + 1
-    free, at = {}, n
-    for p in sorted(sizes, reverse=True):
-        at -= sizes[p]
-        free[p] = at
-    order = [n] * n
-    for q in range(-1, n):
-        i = n if q < 0 else order[q]
-        j = i - 1
-        while j >= 0 and following[j] == i:
-            p = prefixes[j]
-            order[free[p]] = j
-            free[p] += 1
+    order = np.argsort(np.array(text, np.int64), kind="stable").tolist()
+    place, group, size, previous = [0] * n, [0] * n, [0] * n, [-1] * n
+    first = 0
+    for at, i in enumerate(order):
+        if text[i] != text[order[first]]:
+            first = at
+        place[i] = at
+        group[i] = first
+        size[first] += 1
+    end = n - 1
+    while end >= 0:
+        g = group[order[end]]
+        members = order[g : end + 1]
+        members.sort()
+        reached: dict[int, int] = {}
+        for i in members:
+            p = i - 1
+            while p >= 0 and group[p] >= g:
+                p = previous[p]
+            previous[i] = p
+            if p >= 0:
+                reached[p] = reached.get(p, 0) + 1
+        # Suffixes that this group extends, most often first, move to the end of their groups.
+        often: dict[int, list[int]] = {}
+        for p, times in reached.items():
+            often.setdefault(times, []).append(p)
+        for times in sorted(often, reverse=True):
+            moved: dict[int, list[int]] = {}
+            for p in often[times]:
+                moved.setdefault(group[p], []).append(p)
+            for h, some in moved.items():
+                left = size[h] - len(some)
+                if not left:
+                    continue
+                at = h + size[h]
+                for p in some:
+                    at -= 1
+                    other, hole = order[at], place[p]
+                    order[at], order[hole] = p, other
+                    place[p], place[other] = at, hole
+                size[h] = left
+                size[at] = len(some)
+                for p in some:
+                    group[p] = at
+        end = g - 1
+    return group, previous
+
+
+def suffix_array(text: list[int]) -> list[int]:
+    """All suffixes of ``text`` in order; its last symbol must be smaller than all others."""
+    group, previous = lyndon_groups(text)
+    n = len(text)
+    free, out, placed = list(range(n)), [n - 1] * n, [False] * n
+    placed[n - 1] = True
+    for at in range(n):
+        j = out[at] - 1
+        while j >= 0 and not placed[j]:
+            g = group[j]
+            out[free[g]] = j
+            free[g] += 1
+            placed[j] = True
             j = previous[j]
-    return order
+    return out
+
+
+def _matrix(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, step: int) -> np.ndarray:
+    """A row of bytes for each start, read forwards or (step -1) backwards, filled up with zeros."""
+    width = int(sizes.max(initial=1)) or 1
+    reach = np.arange(width)
+    at = np.clip(starts[:, None] + step * reach, 0, max(0, len(data) - 1))
+    return np.where(reach < sizes[:, None], data[at] if len(data) else 0, 0).astype(np.uint8)
+
+
+def _ordered(owner: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Order by owner, then bytes, then size."""
+    keys = np.concatenate([owner.astype(">u4").view(np.uint8).reshape(-1, 4), rows, sizes.astype(">u4").view(np.uint8).reshape(-1, 4)], axis=1)
+    return np.argsort(np.ascontiguousarray(keys).view(f"S{keys.shape[1]}").ravel(), kind="stable")
+
+
+def _agreement(owner: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bytes that each row has in common with the one before it; -1 where that has another owner."""
+    out = np.full(len(rows), -1)
+    if len(rows) > 1:
+        same = rows[1:] == rows[:-1]
+        n = np.where(same.all(axis=1), rows.shape[1], same.argmin(axis=1))
+        out[1:] = np.where(owner[1:] == owner[:-1], np.minimum(n, np.minimum(sizes[1:], sizes[:-1])), -1)
+    return out
+
+
+def _best(order: np.ndarray, agree: np.ndarray) -> np.ndarray:
+    """Longest agreement of each row with any other of its owner, from those with its neighbours in order."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(agree, np.append(agree[1:], -1))
+    return out
 
 
-def repeated_starts(contexts: list[bytes], copies: list[int], places: list[tuple], length: int) -> list[list[int]]:
-    """For each context, the offsets whose ``length`` bytes start elsewhere too (in a copy or another context).
+class _Cuts:
+    """One side of the contexts, cut where any two of an owner's rows part: classes of rows that agree up to a cut."""
 
-    ``places`` are the (document, position) of the contexts' first bytes: contexts of one document overlap, and
-    a window that two of them show at the same position has one start only.
+    def __init__(self, owner: np.ndarray, rows: np.ndarray, sizes: np.ndarray):
+        order = _ordered(owner, rows, sizes)
+        owner, sizes = owner[order], sizes[order]
+        agree = _agreement(owner, rows[order], sizes)
+        cuts = np.unique(np.stack([owner, agree], axis=1)[agree > 0], axis=0)  # (owner, cut) in order
+        first, last = (np.searchsorted(owner, cuts[:, 0], side) for side in ("left", "right"))
+        times = last - first
+        cut = np.repeat(np.arange(len(cuts)), times)
+        at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)
+        depth = cuts[cut, 1]
+        self.symbol = np.cumsum(agree[at] < depth)  # a new class at each owner's first row, and where rows part
+        inside = sizes[at] >= depth
+        self.row, self.depth, self.symbol = order[at][inside], depth[inside], self.symbol[inside]
+
+
+def repeated_contexts(owner: np.ndarray, data: np.ndarray, starts: np.ndarray, left: np.ndarray, ends: np.ndarray, base: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes to the left, bytes to the right of the middle) of each context's repeated windows; -1 where it has none.
+
+    Contexts are data[starts:ends] with the middle ``left`` bytes in; ``base``
+    bytes to its right are equal within an owner and left out of ``data``.
+    Contexts of an owner are all different.
     """
-    text = b"\0".join(contexts)
-    owner, offset = [-1] * len(text), [0] * len(text)
-    at = 0
-    for k, c in enumerate(contexts):
-        for i in range(len(c) - length + 1):
-            owner[at + i], offset[at + i] = k, i
-        at += len(c) + 1
-    out: list[list[int]] = [[] for _ in contexts]
-    run: list[int] = []
-    shown = b""
-
-    def close() -> None:
-        first = run[0]
-        place = (places[owner[first]][0], places[owner[first]][1] + offset[first])
-        if any(copies[owner[i]] > 1 or (places[owner[i]][0], places[owner[i]][1] + offset[i]) != place for i in run):
-            for i in run:
-                out[owner[i]].append(offset[i])
-
-    for i in suffix_array(text):
-        if owner[i] < 0:
-            continue
-        window = text[i : i + length]
-        if run and window != shown:
-            close()
-            run.clear()
-        shown = window
-        run.append(i)
-    if run:
-        close()
-    return [sorted(s) for s in out]
-
-
-def _reach(contexts: list[tuple[bytes, int]], length: int) -> bool:
-    """Whether some two contexts agree around the anchor far enough for a shared window: a bound by sorted neighbours."""
-    best = []
-    for side in ([c[:left][::-1] for c, left in contexts], [c[left + ANCHOR :] for c, left in contexts]):
-        ordered = sorted(side)
-        best.append(max(_agree(a, b) for a, b in zip(ordered, ordered[1:])))
-    return sum(best) + ANCHOR >= length
-
-
-def _agree(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    x, y = np.frombuffer(a[:n], np.uint8), np.frombuffer(b[:n], np.uint8)
-    return int(np.argmax(x != y))
-
-
-def _hashed_spans(group: list[tuple], length: int) -> list[tuple]:
-    """Repeated span of each context of a crowded anchor, from its windows' hashes."""
-    grams = [Rolling(g[4]).grams(length) for g in group]
-    sizes = np.array([len(h) for h in grams])
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    offset = np.arange(sizes.sum()) - np.repeat(first, sizes)
-    document = _mixed(np.array([g[5] for g in group]).view(_U) ^ _mixed(np.array([g[6] for g in group]).view(_U)))
-    place = np.repeat(document, sizes) + (np.repeat([g[7] for g in group], sizes) + offset).astype(_U)
-    windows = np.concatenate(grams)
-    order = np.argsort(windows, kind="stable")
-    ordered = windows[order]
-    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    starts = np.flatnonzero(new)
-    places, copies = place[order], np.repeat([g[2] for g in group], sizes)[order]
-    apart = (np.minimum.reduceat(places, starts) != np.maximum.reduceat(places, starts)) | (np.maximum.reduceat(copies, starts) > 1)
-    repeated = np.empty(len(order), bool)
-    repeated[order] = apart[np.cumsum(new) - 1]
-    least = np.minimum.reduceat(np.where(repeated, offset, length), first)
-    most = np.maximum.reduceat(np.where(repeated, offset, -1), first)
-    return [(g[0], g[1], int(a) - g[3], int(b) + length - g[3]) for g, a, b in zip(group, least, most) if b >= 0]
+    middle = starts + left
+    right = ends - middle
+    before, after = _matrix(data, middle - 1, left, -1), _matrix(data, middle, right, 1)
+    best = 0
+    for rows, sizes in ((before, left), (after, right)):
+        order = _ordered(owner, rows, sizes)
+        agree = _best(order, _agreement(owner[order], rows[order], sizes[order]))
+        best = best + np.where(agree < 0, -length, agree)
+    kept = np.flatnonzero(best + base >= length)
+    most_left, most_right = np.full(len(owner), -1), np.full(len(owner), -1)
+    if not len(kept):
+        return most_left, most_right
+    owner = np.unique(owner[kept], return_inverse=True)[1]
+    befores, afters = _Cuts(owner, before[kept], left[kept]), _Cuts(owner, after[kept], right[kept])
+
+    # The integer text: each context's left classes from outside in, its owner, its right classes, and an end.
+    m = len(kept)
+    low = 2 + len(np.unique(owner))
+    high = low + int(befores.symbol.max(initial=0)) + 1
+    row = np.concatenate([befores.row, np.arange(m), afters.row, np.arange(m)])
+    rank = np.concatenate([-befores.depth, np.zeros(m, np.int64), afters.depth, np.full(m, length * 4)])
+    symbol = np.concatenate([befores.symbol + low, owner + 2, afters.symbol + high, np.ones(m, np.int64)])
+    order = np.lexsort((rank, row))
+    row, rank, symbol = row[order], rank[order], symbol[order]
+    found = np.array(suffix_array([*symbol.tolist(), 0]))
+    found = found[found < len(symbol)]
+    found = found[rank[found] <= 0]  # suffixes that start at the middle or before it
+
+    centre = np.flatnonzero(rank == 0)
+    a, b = found[:-1], found[1:]
+    together = symbol[a] == symbol[b]
+    a, b = a[together], b[together]
+    reach = np.zeros(len(a), np.int64)
+    live, step = np.arange(len(a)), 1
+    while len(live):
+        x, y = centre[row[a[live]]] + step, centre[row[b[live]]] + step
+        live = live[(symbol[x] == symbol[y]) & (symbol[x] >= high)]
+        reach[live] = rank[centre[row[a[live]]] + step]
+        step += 1
+    for i in (a, b):
+        good = reach - rank[i] + base >= length
+        np.maximum.at(most_left, kept[row[i[good]]], -rank[i[good]])
+        np.maximum.at(most_right, kept[row[i[good]]], reach[good] + base)
+    return most_left, most_right
 
 
 @cache
@@ -208,105 +282,182 @@ def anchors(roll: Rolling, length: int) -> tuple[np.ndarray, np.ndarray]:
     return chosen, grams[chosen]
 
 
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "body": F.xxhash64(common.text_or_empty()), "text": common.text_or_empty()})
+    return docs.withColumns({_DOC: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), _BODY: F.xxhash64(common.text_or_empty()), "text": common.text_or_empty()})
+
+
+def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of an Arrow text or binary column."""
+    _, offsets, data = column.buffers()
+    wide = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    at = np.frombuffer(offsets, wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
+
+
+def _cut_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all (start, end), one after the other, and their offsets."""
+    sizes = ends - starts
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    return data[np.arange(at[-1]) + np.repeat(starts - at[:-1], sizes)], at
+
 
+def _as_binary(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
 
-_ROW = "anchor long, context long, doc long, body long, pos int"
+
+def _compared(rows: DataFrame, key: list[str], base: int, length: int) -> DataFrame:
+    """(key, context, from, to) of the contexts that repeat in part; ``rows``: key, context, n, left, bytes."""
+    dealt = rows.repartition(common.partitions(rows.sparkSession), *key).sortWithinPartitions(*key, "context").select(*key, "context", "n", "left", "bytes")
+    names = [*key, "context"]
+
+    def decide(ids: np.ndarray, n: np.ndarray, left: np.ndarray, data: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        fresh = np.ones(len(ids), bool)
+        fresh[1:] = (ids[1:] != ids[:-1]).any(axis=1)  # a repeated row of a document gives its contexts again
+        ids, n, left, starts, ends = ids[fresh], n[fresh], left[fresh].astype(np.int64), at[:-1][fresh], at[1:][fresh]
+        owner = np.zeros(len(ids), np.int64)
+        owner[1:] = np.cumsum((ids[1:, :-1] != ids[:-1, :-1]).any(axis=1))
+        before, after = repeated_contexts(owner, data, starts, left, ends, base, length)
+        copied = (n > 1) & (ends - starts + base >= length)
+        before, after = np.where(copied, left, before), np.where(copied, ends - starts - left + base, after)
+        hit = before >= 0
+        return pa.RecordBatch.from_arrays([*(pa.array(ids[hit, k]) for k in range(len(names))), pa.array(-before[hit], pa.int32()), pa.array(after[hit], pa.int32())], names=[*names, "from", "to"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def joined() -> tuple:
+            ids, n, left = (np.concatenate([h[k] for h in held]) for k in range(3))
+            sizes = np.concatenate([np.diff(h[4]) for h in held])
+            return ids, n, left, np.concatenate([h[3] for h in held]), np.concatenate([[0], np.cumsum(sizes)])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data, at = _binary(batch.column(len(names) + 2))
+            ids = np.stack([batch.column(k).to_numpy() for k in range(len(names))], axis=1)
+            held.append((ids, batch.column(len(names)).to_numpy(), batch.column(len(names) + 1).to_numpy(), data[at[0] : at[-1]], at - at[0]))
+            if sum(len(h[0]) for h in held) < TOGETHER:
+                continue
+            ids, n, left, data, at = joined()
+            cut = len(ids) - int((ids[::-1, :-1] != ids[-1, :-1]).any(axis=1).argmax())
+            if (ids[0, :-1] == ids[-1, :-1]).all():
+                held = [(ids, n, left, data, at)]
+                continue
+            yield decide(ids[:cut], n[:cut], left[:cut], data, at[: cut + 1])
+            held = [(ids[cut:], n[cut:], left[cut:], data[at[cut] :], at[cut:] - at[cut])]
+        if held:
+            yield decide(*joined())
+
+    schema = ", ".join(f"{name} long" for name in names)
+    return dealt.mapInArrow(run, f"{schema}, from int, to int")
 
 
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
-    """(doc, body, start, end) of byte spans that repeat; they overlap."""
-    spark = docs.sparkSession
-    common.small_batches(spark)
+    """(doc, body, start, end) of byte spans that repeat; they overlap. doc and body are the keys of ``_keyed``."""
+    common.small_batches(docs.sparkSession)
     side = length - ANCHOR
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            parts = []
-            for doc, body, text in zip(pdf["doc"], pdf["body"], pdf["text"]):
-                data = text.encode("utf-8", "replace")
-                if len(data) < length:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
+        for batch in batches:
+            data, at = _binary(batch.column(2))
+            raw, parts = data.tobytes(), []
+            for doc, body, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                if b - a < length:
                     continue
-                roll = Rolling(data)
-                pos, hashes = anchors(roll, length)
-                starts, ends = np.maximum(pos - side, 0), np.minimum(pos + length, roll.n)
-                around = _mixed(roll.hashes(starts, ends) + (pos - starts).astype(_U))
+                whole = raw[a:b]
+                pos, hashes = anchors(Rolling(whole), length)
+                starts, ends = np.maximum(pos - side, 0), np.minimum(pos + length, b - a)
+                around = np.array([xxh3_64_intdigest(whole[x:y]) for x, y in zip(starts.tolist(), ends.tolist())], _U) + (pos - starts).astype(_U)
                 parts.append((hashes.view(np.int64), around.view(np.int64), np.full(len(pos), doc), np.full(len(pos), body), pos.astype(np.int32)))
             if parts:
-                yield pd.DataFrame(dict(zip(("anchor", "context", "doc", "body", "pos"), map(np.concatenate, zip(*parts)))))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["anchor", "context", "doc", "body", "pos"])
 
-    texts = _keyed(docs).select("doc", "body", "text")
-    found = common.cut(texts.mapInPandas(find, _ROW), "anchors")
-    often = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    again = common.cut(found.join(often, "anchor"), "again")
+    texts = _keyed(docs).select(F.col(_DOC).alias("doc"), F.col(_BODY).alias("body"), "text")
+    found = common.cut(texts.mapInArrow(find, "anchor long, context long, doc long, body long, pos int"), "anchors")
+    often = common.cut(found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1"), "often")
+    again = common.cut(common.weighted_join(found, often, ["anchor"], "times").drop("times"), "again")
 
     classes = common.cut(again.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc", "body", "pos")).alias("at")), "classes")
-    several = classes.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    whole = classes.join(several, "anchor", "left_anti").where("n > 1").select("anchor", "context")
-    whole = whole.select("*", F.lit(-side).alias("from"), F.lit(length).alias("to"))
-
-    wanted = classes.join(several, "anchor").groupBy(F.col("at.doc").alias("doc"), F.col("at.body").alias("body")).agg(F.collect_list(F.struct("anchor", "context", "n", "contexts", F.col("at.pos").alias("pos"))).alias("wanted"))
-    held = texts.join(common.cut(wanted, "wanted"), ["doc", "body"])  # a repeated row gives its contexts again; see compare
-
-    def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for doc, body, text, ws in zip(pdf["doc"], pdf["body"], pdf["text"], pdf["wanted"]):
-                data = text.encode("utf-8", "replace")
-                rows = [(w["anchor"], w["context"], w["n"], w["contexts"], min(w["pos"], side), data[max(0, w["pos"] - side) : w["pos"] + length], doc, body, max(0, w["pos"] - side)) for w in ws]
-                yield pd.DataFrame(rows, columns=["anchor", "context", "n", "contexts", "left", "bytes", "doc", "body", "place"])
-
-    contexts = common.cut(held.mapInPandas(slices, "anchor long, context long, n long, contexts long, left int, bytes binary, doc long, body long, place int"), "contexts")
-
-    few = contexts.where(F.col("contexts") <= MANY).repartition(common.partitions(spark), "anchor").sortWithinPartitions("anchor", "context")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5_000)
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def decide(group: list[tuple]) -> list[tuple]:
-            group = [g for g in group if len(g[4]) >= length]
-            if 1 < len(group) <= CROWD and not _reach([(g[4], g[3]) for g in group], length):
-                return [(g[0], g[1], -g[3], len(g[4]) - g[3]) for g in group if g[2] > 1]
-            if len(group) > CROWD:
-                return _hashed_spans(group, length)
-            starts = repeated_starts([g[4] for g in group], [g[2] for g in group], [((g[5], g[6]), g[7]) for g in group], length)
-            # All windows of a context hold its anchor, so they overlap: one span.
-            return [(g[0], g[1], o[0] - g[3], o[-1] + length - g[3]) for g, o in zip(group, starts) if o]
-
-        group: list[tuple] = []
-        for pdf in batches:
-            rows = []
-            for row in pdf[["anchor", "context", "n", "left", "bytes", "doc", "body", "place"]].itertuples(index=False, name=None):
-                if group and group[0][0] != row[0]:
-                    rows += decide(group)
-                    group = []
-                if not group or group[-1][1] != row[1]:
-                    group.append(row)
-            yield pd.DataFrame(rows, columns=["anchor", "context", "from", "to"])
-        if group:
-            yield pd.DataFrame(decide(group), columns=["anchor", "context", "from", "to"])
-
-    _SPAN = "anchor long, context long, from int, to int"
-    decided = few.mapInPandas(compare, _SPAN)
-
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            parts = []
-            for anchor, context, n, left, data, doc, body, place in pdf[["anchor", "context", "n", "left", "bytes", "doc", "body", "place"]].itertuples(index=False, name=None):
-                if len(data) >= length:
-                    hashes = Rolling(data).grams(length)
-                    m = len(hashes)
-                    parts.append((np.full(m, anchor), np.full(m, context), np.full(m, n), np.arange(m) - left, hashes.view(np.int64), np.full(m, doc), np.full(m, body), np.arange(m) + place))
-            if parts:
-                yield pd.DataFrame(dict(zip(("anchor", "context", "n", "from", "window", "doc", "body", "place"), map(np.concatenate, zip(*parts)))))
+    several = common.cut(classes.groupBy("anchor").agg(F.count("*").alias("contexts")), "several")
+    counted = common.cut(common.weighted_join(classes, several, ["anchor"], "contexts"), "counted")
+    whole = counted.where("contexts = 1 and n > 1").select("anchor", "context", F.lit(-side).alias("from"), F.lit(length).alias("to"))
+    split = counted.where("contexts > 1")
+    wanted = split.groupBy(F.col("at.doc").alias("doc"), F.col("at.body").alias("body")).agg(F.collect_list(F.struct("anchor", "context", "n", "contexts", F.col("at.pos").alias("pos"))).alias("wanted"))
+    held = texts.join(common.cut(wanted, "wanted"), ["doc", "body"]).select("text", "wanted")
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (data, at), asked = _binary(batch.column(0)), batch.column(1)
+            flat = asked.flatten()
+            anchor, context, n, contexts, pos = (flat.field(k) for k in range(5))
+            of = np.repeat(np.arange(len(asked)), np.diff(asked.offsets.to_numpy()))
+            here = at[of] + pos.to_numpy()
+            starts, ends = np.maximum(here - side, at[of]), np.minimum(here + length, at[of + 1])
+            for lo in range(0, len(flat), TOGETHER):
+                some = slice(lo, lo + TOGETHER)
+                m = len(here[some])
+                yield pa.RecordBatch.from_arrays(
+                    [x.slice(lo, m) for x in (anchor, context, n, contexts)] + [pa.array((here - starts)[some], pa.int32()), _as_binary(*_cut_bytes(data, starts[some], ends[some]))],
+                    names=["anchor", "context", "n", "contexts", "left", "bytes"],
+                )
+
+    contexts = common.cut(held.mapInArrow(slices, "anchor long, context long, n long, contexts long, left int, bytes binary"), "contexts")
+    spans = whole.union(_compared(contexts.where(F.col("contexts") <= CROWD), ["anchor"], 0, length))
+    if (several.agg(F.max("contexts")).first()[0] or 0) > CROWD:
+        spans = spans.union(_split(contexts.where(F.col("contexts") > CROWD), length))
+    spans = common.cut(spans.join(classes.select("anchor", "context", "n"), ["anchor", "context"]), "found")
+    placed = common.weighted_join(again, spans, ["anchor", "context"], "n")
+    return placed.select("doc", "body", F.greatest(F.col("pos") + F.col("from"), F.lit(0)).alias("start"), (F.col("pos") + F.col("to")).alias("end"))
 
-    every = contexts.where(F.col("contexts") > MANY).mapInPandas(windows, "anchor long, context long, n long, from int, window long, doc long, body long, place int")
-    place = F.struct("doc", "body", "place")
-    repeated = every.groupBy("window").agg(F.max("n").alias("n"), F.min(place).alias("a"), F.max(place).alias("b")).where("n > 1 or a <> b").select("window")
-    crowded = every.join(repeated, "window").groupBy("anchor", "context").agg(F.min("from").alias("from"), (F.max("from") + length).alias("to"))
 
-    spans = whole.union(decided).union(crowded)
-    placed = again.join(spans, ["anchor", "context"])
-    return placed.select("doc", "body", F.greatest(F.col("pos") + F.col("from"), F.lit(0)).alias("start"), (F.col("pos") + F.col("to")).alias("end"))
+def _split(contexts: DataFrame, length: int) -> DataFrame:
+    """(anchor, context, from, to) of crowded anchors: their contexts dealt out by what windows of near offsets share."""
+    side = length - ANCHOR
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
+        for batch in batches:
+            anchor, context, n, left, whole = (batch.column(k).to_pylist() for k in range(5))
+            rows = []
+            for a, c, k, before, data in zip(anchor, context, n, left, whole):
+                for low in range(0, side + 1, SPLIT):
+                    high = min(low + SPLIT - 1, side)  # windows that start low to high bytes before the anchor
+                    start, end = before - high, before + length - high
+                    end = before + length - high
+                    core = data[max(0, before - low) : before + length - high]
+                    if before < low or len(data) < before + length - high or len(core) != length - high + low:
+                        continue
+                    near = data[max(0, start) : before - low]
+                    after = data[end : before + length - low]
+                    rows.append((a, low, xxh3_64_intdigest(core) - (1 << 63), c, k, near, after))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 7, _DEALT)], names=["anchor", "low", "core", "context", "n", "near", "after"])
+
+    dealt = common.cut(contexts.select("anchor", "context", "n", "left", "bytes").dropDuplicates(["anchor", "context"]).mapInArrow(deal, "anchor long, low long, core long, context long, n long, near binary, after binary"), "dealt")
+    case = ["anchor", "low", "core", "near", "after"]
+    cases = dealt.groupBy(*case).agg(F.sum("n").alias("n"), F.count("*").alias("held"))
+    cases = common.cut(cases.withColumn("case", F.xxhash64("near", "after")), "cases")
+    met = cases.groupBy("anchor", "low", "core").agg(F.sum("n").alias("total")).where("total > 1").drop("total")
+    parts = []
+    for low in range(0, side + 1, SPLIT):
+        high = min(low + SPLIT - 1, side)
+        mine = cases.where(F.col("low") == low).join(met, ["anchor", "low", "core"], "left_semi")
+        rows = mine.select("anchor", "core", F.col("case").alias("context"), "n", F.length("near").alias("left"), F.concat("near", "after").alias("bytes"))
+        told = _compared(rows, ["anchor", "core"], length - high + low, length)
+        parts.append(told.select("anchor", F.lit(low).cast("long").alias("low"), "core", F.col("context").alias("case"), (F.col("from") - low).alias("from"), (F.col("to") - low).alias("to")))
+    told = parts[0]
+    for part in parts[1:]:
+        told = told.union(part)
+    told = common.cut(cases.select(*case, "case", "held").join(told, ["anchor", "low", "core", "case"]), "told")
+    each = common.weighted_join(dealt.select(*case, "context"), told, case, "held")
+    return each.groupBy("anchor", "context").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+
+
+_DEALT = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
 
 _REMOVED = T.StructType().add("kept", T.BinaryType()).add("n_bytes", T.LongType()).add("n_removed", T.LongType()).add("n_spans", T.LongType())
@@ -334,9 +485,9 @@ def _cut_out(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
 
 def dedup(docs: DataFrame, length: int = 200) -> DataFrame:
     """``docs`` with the kept bytes, n_bytes, n_removed and n_spans."""
-    spans = repeated_spans(docs, length)
-    by_doc = common.cut(spans.groupBy("doc", "body").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
-    common.small_batches(docs.sparkSession)
-    joined = _keyed(docs).join(by_doc, ["doc", "body"], "left")
-    done = joined.withColumn("r", _cut_out("text", "spans"))
-    return done.select(*(c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans")), "r.*")
+    spans = repeated_spans(docs, length).select(F.col("doc").alias(_DOC), F.col("body").alias(_BODY), F.struct("start", "end").alias("span"))
+    by_doc = common.cut(spans.groupBy(_DOC, _BODY).agg(F.collect_set("span").alias("__gm_spans")), "spans")
+    kept = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans")]
+    joined = _keyed(docs).join(by_doc, [_DOC, _BODY], "left")
+    done = joined.select(*kept, _cut_out("text", "__gm_spans").alias("__gm_done"))
+    return done.select(*kept, "__gm_done.*")

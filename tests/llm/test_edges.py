@@ -184,10 +184,19 @@ def test_repeated_substrings(spark, docs, none):
     assert suffixdedup.dedup(none).count() == 0
 
 
-@pytest.mark.parametrize("many", [20_000, 50])
-def test_repeated_substrings_in_a_crowd(spark, monkeypatch, many):
-    """More different contexts of an anchor than one suffix array holds, and than one task holds."""
-    monkeypatch.setattr(suffixdedup, "MANY", many)
+def test_suffix_array():
+    import random
+
+    draw = random.Random(1)
+    for _ in range(1500):
+        text = [draw.randint(1, draw.choice([1, 2, 3, 10])) for _ in range(draw.randint(0, 40))] * draw.choice([1, 1, 2, 3]) + [0]
+        assert suffixdedup.suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
+
+
+@pytest.mark.parametrize("crowd", [20_000, 50])
+def test_repeated_substrings_in_a_crowd(spark, monkeypatch, crowd):
+    """Many different contexts of an anchor, together and split by their windows' offsets."""
+    monkeypatch.setattr(suffixdedup, "CROWD", crowd)
     passage = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(260))
     rows = [(i, hashlib.md5(str(i).encode()).hexdigest() * 4 + passage + hashlib.sha1(str(i).encode()).hexdigest() * 5) for i in range(90)]
     got = suffixdedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
