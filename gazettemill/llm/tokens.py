@@ -16,33 +16,27 @@ from __future__ import annotations
 import json
 import os
 import re
-import unicodedata
 from array import array
 from functools import cache
 
-import numpy as np
-
 #: Entries of a cache's generation; two generations are kept, so words in use survive.
 _GENERATION = 250_000
-#: Words encoded side by side, and the marks that may follow a word's letters.
-_JOINT = 2_000
+#: Marks that may follow a word's letters.
 _MARKS = ".,;:!?$%&*#"
 #: Runs that the byte-level tokenizer cuts otherwise than word by word.
 _RUNS = ("\n\n\n", "\n\n ")
 
 
 class _Generations(dict):
-    """A bounded dictionary: what wasn't asked for during a whole generation goes."""
+    """A bounded dictionary that makes missing values: what wasn't asked for during a whole generation goes."""
 
-    old: dict = {}
+    def __init__(self, make):
+        self.make, self.old = make, {}
 
-    def find(self, key) -> bool:
-        """Whether the key is known in either generation; if so it is in the young one afterwards."""
-        if key not in self:
-            if key not in self.old:
-                return False
-            self[key] = self.old[key]
-        return True
+    def __missing__(self, key):
+        value = self.old[key] if key in self.old else self.make(key)
+        self[key] = value
+        return value
 
     def turn(self) -> None:
         if len(self) > _GENERATION:
@@ -50,6 +44,18 @@ class _Generations(dict):
             self.clear()
 
 
+class _Letters(dict):
+    """How the tokenizer's model spells a letter, by code point."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def __missing__(self, code: int) -> str:
+        text = self.tokenizer.normalizer.normalize_str(chr(code)) if self.tokenizer.normalizer else chr(code)
+        self[code] = "".join(piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text))
+        return self[code]
+
+
 class PieceEncoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
 
@@ -68,51 +74,39 @@ class PieceEncoder:
         #: Whether white space leaves no ids, or stands before the word it belongs to.
         self.spaceless = probe(" a \n b") == probe("a b") == probe("a") + probe("b")
         self.spaced = not self.spaceless and probe("a b,\nc") == probe("a") + probe(" b,") + probe("\nc")
-        #: Ids by word; None marks a word that a run of white space left.
-        self.cache, self.heads, self.cores, self.marks = (_Generations() for _ in range(4))
+        self.letters = _Letters(self.tokenizer)
+        self.words, self.cores, self.others = (_Generations(make) for make in (self._word, self._core, self._other))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joint_ids(self, words: list[str], each: int) -> list[bytes]:
-        """Ids of words that stand side by side in one text, where each makes ``each`` pre-tokens."""
-        out: list[bytes] = []
-        for at in range(0, len(words), _JOINT):
-            some = words[at : at + _JOINT]
-            encoded = self.tokenizer.encode("".join(some), add_special_tokens=False)
-            number = np.array(encoded.word_ids)
-            if number[-1] + 1 != each * len(some):
-                out += self._ids(some)
-                continue
-            raw, ends = array("I", encoded.ids).tobytes(), (4 * np.searchsorted(number, np.arange(0, each * len(some) + 1, each))).tolist()
-            out += [raw[a:b] for a, b in zip(ends, ends[1:])]
-        return out
+    def _core(self, core: str) -> bytes:
+        """Ids of letters up to U+02FF, a pre-token that no normalising joins: straight from the tokenizer's model."""
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(core.translate(self.letters))]).tobytes()
+
+    def _other(self, text: str) -> bytes:
+        return self._ids([text])[0]
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new words: letters and the marks after them are pre-tokens of their own, so they are learned apart."""
-        plain: dict[str, list[tuple[str, str]]] = {" ": [], "\n": []}
-        other = []
-        for w in words:
-            core = w.rstrip(_MARKS)
-            before = "\n" if core[:1] == "\n" else " "
-            bare = core[1:] if before == "\n" else core
-            if bare.isalpha() and (bare.isascii() or unicodedata.normalize("NFC", bare.lower()).isalpha()):
-                plain[before].append((w, before + bare))
-            elif self.spaced and w != "\n" and (not w.strip() or w[-1].isspace() or w[1 if w[0] == "\n" else 0].isspace()):
-                self.cache[w] = None
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a word and the space before it; None for what a run of white space left.
+
+        Letters and the marks after them are pre-tokens of their own, so they are learned apart.
+        """
+        core = word.rstrip(_MARKS)
+        start = core[:1] == "\n"
+        bare = core[1:] if start else core
+        if bare.isalpha() and (bare.isascii() or (max(bare) < "\u0300" and bare.lower().isalpha())):
+            if self.spaceless:
+                ids = self.cores[bare]
             else:
-                other.append(w)
-        self.cache.update(zip(other, self._ids([w if self.spaceless or w[0] == "\n" else " " + w for w in other])))
-        for before, found in plain.items():
-            known = {core: self.cores[core] for _, core in found if self.cores.find(core)}
-            cores = list({core for _, core in found if core not in known})
-            learned = dict(zip(cores, self._joint_ids(cores, 2 if before == "\n" and self.spaced else 1)))
-            self.cores.update(learned)
-            for w, core in found:
-                ids, marks = known.get(core) or learned[core], w[len(w.rstrip(_MARKS)) :]
-                if marks and marks not in self.marks:
-                    self.marks[marks] = self._ids([marks])[0]
-                self.cache[w] = ids + self.marks[marks] if marks else ids
+                ids = self.others["\n"] + self.cores[bare] if start else self.cores[" " + bare]
+            return ids + self.others[word[len(core) :]] if len(core) < len(word) else ids
+        if self.spaceless:
+            return self.others[word]
+        rest = word[1:] if word[:1] == "\n" else word
+        if word != "\n" and (not rest.strip() or rest[0].isspace() or rest[-1].isspace()):
+            return None
+        return self.others[word if word[0] == "\n" else " " + word]
 
     def _words(self, text: str) -> list[str] | None:
         """The words of a text; None where it must be encoded as a whole."""
@@ -124,30 +118,26 @@ class PieceEncoder:
             return None
         return text.replace("\n", " \n").split(" ")
 
-    def _head(self, word: str) -> bytes | None:
-        """Ids of a text's first word, which no space precedes."""
-        if word not in self.heads:
-            self.heads[word] = None if word and (word[0].isspace() or word[-1].isspace()) else self._ids([word])[0]
-        return self.heads[word]
+    def _joined(self, words: list[str] | None) -> bytes | None:
+        if words is None:
+            return None
+        head = ""
+        if self.spaced and (head := words.pop(0)) and (head[0].isspace() or head[-1].isspace()):
+            return None
+        try:
+            return (self.others[head] if head else b"") + b"".join(map(self.words.__getitem__, words))
+        except TypeError:  # a None among the words
+            return None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not (self.spaceless or self.spaced):
             return self._ids(texts)
-        for known in (self.cache, self.heads, self.cores, self.marks):
+        for known in (self.words, self.cores, self.others):
             known.turn()
-        found = [self._words(t) for t in texts]
-        heads = [b"" if self.spaceless or not w else self._head(w.pop(0)) for w in found]
-        ids = [None if w is None else list(map(self.cache.get, w)) for w in found]
-        new = {w for words, got in zip(found, ids) if got and None in got for w, b in zip(words, got) if b is None}
-        self._learn([w for w in new if not self.cache.find(w)])
-        out: list[bytes | None] = []
-        for head, words, got in zip(heads, found, ids):
-            if got and None in got:
-                got = [self.cache.get(w) if b is None else b for w, b in zip(words, got)]
-            out.append(None if got is None or head is None or None in got else head + b"".join(got))
-        rest = [i for i, b in enumerate(out) if b is None]
-        for i, b in zip(rest, self._ids([texts[i] for i in rest])):
-            out[i] = b
+        out = [self._joined(self._words(t)) for t in texts]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self._ids([texts[i] for i in rest])):
+            out[i] = ids
         return out
 
 
