@@ -19,15 +19,16 @@ no renaming and no recursion. Suffixes with equal left parts stand together,
 next to those whose right parts agree longest.
 
 An anchor with more than ``CROWD`` different contexts (the end of a passage
-in a third of all documents, say) is split first, by ranges of ``SPLIT``
-window offsets: contexts that share a window there have the bytes common to
-all these windows in common, so they are dealt out by these, and differ in
-under ``SPLIT`` bytes at each end, of which each different case goes into the
-same suffix arrays once. That is as exact, and leaves no large task.
+in a third of all documents, say) is no task's group: its contexts are dealt
+out by ranges of ``SPLIT`` window offsets. Contexts that share a window there
+have the bytes common to all these windows in common and differ in under
+``SPLIT`` bytes at each end, of which each different case is kept once, with
+its count, and its windows are counted one by one in partial aggregates. That
+is as exact, and loses nothing.
 
 Whole contexts are held equal by two independent 64-bit hashes, of the anchor
-and of all bytes; the split's common bytes by these and a third; everything
-else by bytes. Null text counts as empty. Matches never cross documents;
+and of all bytes; a range's common bytes by these and a third; everything else by
+bytes. Null text counts as empty. Matches never cross documents;
 spans are judged on the input. A row is a document of its own, so repeated
 rows repeat each other's strings. An empty table gives no rows. Other columns
 pass through, but for those that carry the results' names.
@@ -163,23 +164,30 @@ class _Cuts:
         order = _ordered(owner, rows, sizes)
         owner, sizes = owner[order], sizes[order]
         agree = _agreement(owner, rows[order], sizes)
-        cuts = np.unique(np.stack([owner, agree], axis=1)[agree > 0], axis=0)  # (owner, cut) in order
+        cuts = np.unique((owner << 32 | agree)[agree > 0])  # (owner, cut) in order
+        cuts = np.stack([cuts >> 32, cuts & 0xFFFFFFFF], axis=1)
         first, last = (np.searchsorted(owner, cuts[:, 0], side) for side in ("left", "right"))
         times = last - first
         cut = np.repeat(np.arange(len(cuts)), times)
         at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)
         depth = cuts[cut, 1]
-        self.symbol = np.cumsum(agree[at] < depth)  # a new class at each owner's first row, and where rows part
+        symbol = np.cumsum(agree[at] < depth)  # a new class at each owner's first row, and where rows part
         inside = sizes[at] >= depth
-        self.row, self.depth, self.symbol = order[at][inside], depth[inside], self.symbol[inside]
+        row, depth, symbol = order[at][inside], depth[inside], symbol[inside]
+        # A class counts where some of its rows part at this very cut: it is larger than the row's next one.
+        deep = np.lexsort((depth, row))
+        row, depth, symbol = row[deep], depth[deep], symbol[deep]
+        members = np.bincount(symbol)[symbol] if len(symbol) else symbol
+        later = np.append(np.where(row[1:] == row[:-1], members[1:], 1), 1)[: len(row)]
+        parts = members > later
+        self.row, self.depth, self.symbol = row[parts], depth[parts], symbol[parts]
 
 
-def repeated_contexts(owner: np.ndarray, data: np.ndarray, starts: np.ndarray, left: np.ndarray, ends: np.ndarray, base: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_contexts(owner: np.ndarray, data: np.ndarray, starts: np.ndarray, left: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(bytes to the left, bytes to the right of the middle) of each context's repeated windows; -1 where it has none.
 
-    Contexts are data[starts:ends] with the middle ``left`` bytes in; ``base``
-    bytes to its right are equal within an owner and left out of ``data``.
-    Contexts of an owner are all different.
+    Contexts are data[starts:ends] with the middle ``left`` bytes in; those of
+    an owner are all different.
     """
     middle = starts + left
     right = ends - middle
@@ -189,7 +197,7 @@ def repeated_contexts(owner: np.ndarray, data: np.ndarray, starts: np.ndarray, l
         order = _ordered(owner, rows, sizes)
         agree = _best(order, _agreement(owner[order], rows[order], sizes[order]))
         best = best + np.where(agree < 0, -length, agree)
-    kept = np.flatnonzero(best + base >= length)
+    kept = np.flatnonzero(best >= length)
     most_left, most_right = np.full(len(owner), -1), np.full(len(owner), -1)
     if not len(kept):
         return most_left, most_right
@@ -221,9 +229,9 @@ def repeated_contexts(owner: np.ndarray, data: np.ndarray, starts: np.ndarray, l
         reach[live] = rank[centre[row[a[live]]] + step]
         step += 1
     for i in (a, b):
-        good = reach - rank[i] + base >= length
+        good = reach - rank[i] >= length
         np.maximum.at(most_left, kept[row[i[good]]], -rank[i[good]])
-        np.maximum.at(most_right, kept[row[i[good]]], reach[good] + base)
+        np.maximum.at(most_right, kept[row[i[good]]], reach[good])
     return most_left, most_right
 
 
@@ -307,10 +315,10 @@ def _as_binary(data: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def _compared(rows: DataFrame, key: list[str], base: int, length: int) -> DataFrame:
-    """(key, context, from, to) of the contexts that repeat in part; ``rows``: key, context, n, left, bytes."""
-    dealt = rows.repartition(common.partitions(rows.sparkSession), *key).sortWithinPartitions(*key, "context").select(*key, "context", "n", "left", "bytes")
-    names = [*key, "context"]
+def _compared(rows: DataFrame, length: int) -> DataFrame:
+    """(anchor, context, from, to) of the contexts that repeat in part; ``rows``: anchor, context, n, left, bytes."""
+    names = ["anchor", "context"]
+    dealt = rows.repartition(common.partitions(rows.sparkSession), "anchor").sortWithinPartitions(*names).select(*names, "n", "left", "bytes")
 
     def decide(ids: np.ndarray, n: np.ndarray, left: np.ndarray, data: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
         fresh = np.ones(len(ids), bool)
@@ -318,9 +326,9 @@ def _compared(rows: DataFrame, key: list[str], base: int, length: int) -> DataFr
         ids, n, left, starts, ends = ids[fresh], n[fresh], left[fresh].astype(np.int64), at[:-1][fresh], at[1:][fresh]
         owner = np.zeros(len(ids), np.int64)
         owner[1:] = np.cumsum((ids[1:, :-1] != ids[:-1, :-1]).any(axis=1))
-        before, after = repeated_contexts(owner, data, starts, left, ends, base, length)
-        copied = (n > 1) & (ends - starts + base >= length)
-        before, after = np.where(copied, left, before), np.where(copied, ends - starts - left + base, after)
+        before, after = repeated_contexts(owner, data, starts, left, ends, length)
+        copied = (n > 1) & (ends - starts >= length)
+        before, after = np.where(copied, left, before), np.where(copied, ends - starts - left, after)
         hit = before >= 0
         return pa.RecordBatch.from_arrays([*(pa.array(ids[hit, k]) for k in range(len(names))), pa.array(-before[hit], pa.int32()), pa.array(after[hit], pa.int32())], names=[*names, "from", "to"])
 
@@ -350,8 +358,7 @@ def _compared(rows: DataFrame, key: list[str], base: int, length: int) -> DataFr
         if held:
             yield decide(*joined())
 
-    schema = ", ".join(f"{name} long" for name in names)
-    return dealt.mapInArrow(run, f"{schema}, from int, to int")
+    return dealt.mapInArrow(run, "anchor long, context long, from int, to int")
 
 
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -406,7 +413,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
                 )
 
     contexts = common.cut(held.mapInArrow(slices, "anchor long, context long, n long, contexts long, left int, bytes binary"), "contexts")
-    spans = whole.union(_compared(contexts.where(F.col("contexts") <= CROWD), ["anchor"], 0, length))
+    spans = whole.union(_compared(contexts.where(F.col("contexts") <= CROWD), length))
     if (several.agg(F.max("contexts")).first()[0] or 0) > CROWD:
         spans = spans.union(_split(contexts.where(F.col("contexts") > CROWD), length))
     spans = common.cut(spans.join(classes.select("anchor", "context", "n"), ["anchor", "context"]), "found")
@@ -414,50 +421,45 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     return placed.select("doc", "body", F.greatest(F.col("pos") + F.col("from"), F.lit(0)).alias("start"), (F.col("pos") + F.col("to")).alias("end"))
 
 
+_DEALT = {"anchor": pa.int64(), "low": pa.int64(), "core": pa.int64(), "context": pa.int64(), "n": pa.int64(), "near": pa.binary(), "after": pa.binary()}
+
+
 def _split(contexts: DataFrame, length: int) -> DataFrame:
     """(anchor, context, from, to) of crowded anchors: their contexts dealt out by what windows of near offsets share."""
     side = length - ANCHOR
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cases of windows that start ``low`` to ``high`` bytes before the anchor: common bytes by hash, and those around."""
         from xxhash import xxh3_64_intdigest
 
         for batch in batches:
-            anchor, context, n, left, whole = (batch.column(k).to_pylist() for k in range(5))
             rows = []
-            for a, c, k, before, data in zip(anchor, context, n, left, whole):
+            for a, c, k, before, data in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 for low in range(0, side + 1, SPLIT):
-                    high = min(low + SPLIT - 1, side)  # windows that start low to high bytes before the anchor
-                    start, end = before - high, before + length - high
-                    end = before + length - high
-                    core = data[max(0, before - low) : before + length - high]
-                    if before < low or len(data) < before + length - high or len(core) != length - high + low:
-                        continue
-                    near = data[max(0, start) : before - low]
-                    after = data[end : before + length - low]
-                    rows.append((a, low, xxh3_64_intdigest(core) - (1 << 63), c, k, near, after))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 7, _DEALT)], names=["anchor", "low", "core", "context", "n", "near", "after"])
-
-    dealt = common.cut(contexts.select("anchor", "context", "n", "left", "bytes").dropDuplicates(["anchor", "context"]).mapInArrow(deal, "anchor long, low long, core long, context long, n long, near binary, after binary"), "dealt")
+                    high = min(low + SPLIT - 1, side)
+                    start, end = before - low, before + length - high
+                    if start >= 0 and end <= len(data):
+                        rows.append((a, low, xxh3_64_intdigest(data[start:end]) - (1 << 63), c, k, data[max(0, before - high) : start], data[end : before + length - low]))
+                if len(rows) > TOGETHER:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _DEALT.values())], names=list(_DEALT))
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _DEALT.values())], names=list(_DEALT))
+
+    crowd = contexts.select("anchor", "context", "n", "left", "bytes").dropDuplicates(["anchor", "context"])
+    dealt = common.cut(crowd.mapInArrow(deal, "anchor long, low long, core long, context long, n long, near binary, after binary"), "dealt")
     case = ["anchor", "low", "core", "near", "after"]
-    cases = dealt.groupBy(*case).agg(F.sum("n").alias("n"), F.count("*").alias("held"))
-    cases = common.cut(cases.withColumn("case", F.xxhash64("near", "after")), "cases")
-    met = cases.groupBy("anchor", "low", "core").agg(F.sum("n").alias("total")).where("total > 1").drop("total")
-    parts = []
-    for low in range(0, side + 1, SPLIT):
-        high = min(low + SPLIT - 1, side)
-        mine = cases.where(F.col("low") == low).join(met, ["anchor", "low", "core"], "left_semi")
-        rows = mine.select("anchor", "core", F.col("case").alias("context"), "n", F.length("near").alias("left"), F.concat("near", "after").alias("bytes"))
-        told = _compared(rows, ["anchor", "core"], length - high + low, length)
-        parts.append(told.select("anchor", F.lit(low).cast("long").alias("low"), "core", F.col("context").alias("case"), (F.col("from") - low).alias("from"), (F.col("to") - low).alias("to")))
-    told = parts[0]
-    for part in parts[1:]:
-        told = told.union(part)
-    told = common.cut(cases.select(*case, "case", "held").join(told, ["anchor", "low", "core", "case"]), "told")
-    each = common.weighted_join(dealt.select(*case, "context"), told, case, "held")
-    return each.groupBy("anchor", "context").agg(F.min("from").alias("from"), F.max("to").alias("to"))
-
-
-_DEALT = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    cases = common.cut(dealt.groupBy(*case).agg(F.sum("n").alias("n"), F.count("*").alias("held")), "cases")
+    wide = F.least(F.lit(SPLIT - 1), F.lit(side) - F.col("low"))
+    each = cases.withColumn("shift", F.explode(F.sequence(F.lit(0), wide))).where((F.length("near") >= F.col("shift")) & (F.length("after") >= wide - F.col("shift")))
+    each = each.withColumns({"head": F.expr("substring(near, length(near) - shift + 1, shift)"), "tail": F.substring("after", F.lit(1), wide - F.col("shift"))})
+    window = ["anchor", "low", "core", "shift", "head", "tail"]
+    repeated = each.groupBy(*window).agg(F.sum("n").alias("n"), F.count("*").alias("cases")).where("n > 1").drop("n")
+    starts = common.weighted_join(each.select(*case, "held", *window[3:]), common.cut(repeated, "repeated"), window, "cases")
+    span = [(-F.max(F.col("low") + F.col("shift"))).alias("from"), (length - F.min(F.col("low") + F.col("shift"))).alias("to")]
+    told = common.cut(starts.groupBy(*case, "held").agg(*span), "told")
+    found = common.weighted_join(dealt.select(*case, "context"), told, case, "held")
+    return found.groupBy("anchor", "context").agg(F.min("from").cast("int").alias("from"), F.max("to").cast("int").alias("to"))
 
 
 _REMOVED = T.StructType().add("kept", T.BinaryType()).add("n_bytes", T.LongType()).add("n_removed", T.LongType()).add("n_spans", T.LongType())
