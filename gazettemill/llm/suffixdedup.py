@@ -50,7 +50,7 @@ from . import common
 
 ANCHOR = 64
 #: Different contexts of an anchor beyond which they are split by their windows' offsets, and offsets in a range of the split.
-CROWD, SPLIT = 10_000, 8
+CROWD, SPLIT = 2_000, 16
 #: Contexts that go into one suffix array, unless one anchor has more.
 TOGETHER = 20_000
 _BASE = 0x9E3779B97F4A7C15
@@ -73,6 +73,22 @@ def lyndon_groups(text: list[int]) -> tuple[list[int], list[int]]:
     end = n - 1
     while end >= 0:
         g = group[order[end]]
+        if g == end:  # a group of one suffix
+            i = order[g]
+            p = i - 1
+            while p >= 0 and group[p] > g:
+                p = previous[p]
+            previous[i] = p
+            if p >= 0 and (left := size[h := group[p]] - 1):
+                at, hole = h + left, place[p]
+                other = order[at]
+                order[at], order[hole] = p, other
+                place[p], place[other] = at, hole
+                size[h] = left
+                size[at] = 1
+                group[p] = at
+            end = g - 1
+            continue
         members = order[g : end + 1]
         members.sort()
         reached: dict[int, int] = {}
@@ -81,16 +97,20 @@ def lyndon_groups(text: list[int]) -> tuple[list[int], list[int]]:
             while p >= 0 and group[p] >= g:
                 p = previous[p]
             previous[i] = p
-            if p >= 0:
-                reached[p] = reached.get(p, 0) + 1
+            if p in reached:
+                reached[p] += 1
+            else:
+                reached[p] = 1
+        reached.pop(-1, None)
         # Suffixes that this group extends, most often first, move to the end of their groups.
-        often: dict[int, list[int]] = {}
-        for p, times in reached.items():
-            often.setdefault(times, []).append(p)
-        for times in sorted(often, reverse=True):
+        times = set(reached.values())
+        for most in sorted(times, reverse=True):
             moved: dict[int, list[int]] = {}
-            for p in often[times]:
-                moved.setdefault(group[p], []).append(p)
+            for p in reached if len(times) == 1 else [p for p, k in reached.items() if k == most]:
+                if (h := group[p]) in moved:
+                    moved[h].append(p)
+                else:
+                    moved[h] = [p]
             for h, some in moved.items():
                 left = size[h] - len(some)
                 if not left:
@@ -157,30 +177,38 @@ def _best(order: np.ndarray, agree: np.ndarray) -> np.ndarray:
     return out
 
 
+def _nearest_smaller(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the nearest smaller value before and after each place, for values of a small range."""
+    n = len(values)
+    before, after = np.full(n, -1), np.full(n, n)
+    for v in np.unique(values):
+        here = np.flatnonzero(values == v)
+        smaller = np.flatnonzero(values < v)
+        if len(smaller):
+            k = np.searchsorted(smaller, here)
+            before[here] = np.where(k > 0, smaller[k - 1], -1)
+            after[here] = np.where(k < len(smaller), smaller[np.minimum(k, len(smaller) - 1)], n)
+    return before, after
+
+
 class _Cuts:
-    """One side of the contexts, cut where any two of an owner's rows part: classes of rows that agree up to a cut."""
+    """One side of the contexts, cut where rows part: (row, depth, symbol) of each class of rows that agree just so far."""
 
     def __init__(self, owner: np.ndarray, rows: np.ndarray, sizes: np.ndarray):
         order = _ordered(owner, rows, sizes)
-        owner, sizes = owner[order], sizes[order]
-        agree = _agreement(owner, rows[order], sizes)
-        cuts = np.unique((owner << 32 | agree)[agree > 0])  # (owner, cut) in order
-        cuts = np.stack([cuts >> 32, cuts & 0xFFFFFFFF], axis=1)
-        first, last = (np.searchsorted(owner, cuts[:, 0], side) for side in ("left", "right"))
-        times = last - first
-        cut = np.repeat(np.arange(len(cuts)), times)
-        at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)
-        depth = cuts[cut, 1]
-        symbol = np.cumsum(agree[at] < depth)  # a new class at each owner's first row, and where rows part
-        inside = sizes[at] >= depth
-        row, depth, symbol = order[at][inside], depth[inside], symbol[inside]
-        # A class counts where some of its rows part at this very cut: it is larger than the row's next one.
-        deep = np.lexsort((depth, row))
-        row, depth, symbol = row[deep], depth[deep], symbol[deep]
-        members = np.bincount(symbol)[symbol] if len(symbol) else symbol
-        later = np.append(np.where(row[1:] == row[:-1], members[1:], 1), 1)[: len(row)]
-        parts = members > later
-        self.row, self.depth, self.symbol = row[parts], depth[parts], symbol[parts]
+        agree = np.append(_agreement(owner[order], rows[order], sizes[order]), -1)
+        before, after = _nearest_smaller(agree)
+        live = np.arange(len(order))
+        low, high = live, live + 1  # the class is rows low to high - 1, at first the row alone
+        found = []
+        while len(live):
+            depth = np.maximum(agree[low], agree[high])
+            low, high = np.where(agree[low] == depth, before[low], low), np.where(agree[high] == depth, after[high], high)
+            inside = depth > 0
+            live, low, high = live[inside], low[inside], high[inside]
+            found.append((order[live], depth[inside], low << 32 | high))
+        self.row, self.depth, classes = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        self.symbol = np.unique(classes, return_inverse=True)[1]
 
 
 def repeated_contexts(owner: np.ndarray, data: np.ndarray, starts: np.ndarray, left: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -446,7 +474,8 @@ def _split(contexts: DataFrame, length: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _DEALT.values())], names=list(_DEALT))
 
-    crowd = contexts.select("anchor", "context", "n", "left", "bytes").dropDuplicates(["anchor", "context"])
+    # A repeated row of a document gives its contexts again; their count is over one in any case.
+    crowd = contexts.select("anchor", "context", "n", "left", "bytes")
     dealt = common.cut(crowd.mapInArrow(deal, "anchor long, low long, core long, context long, n long, near binary, after binary"), "dealt")
     case = ["anchor", "low", "core", "near", "after"]
     cases = common.cut(dealt.groupBy(*case).agg(F.sum("n").alias("n"), F.count("*").alias("held")), "cases")
