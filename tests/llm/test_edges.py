@@ -242,6 +242,43 @@ def test_decontamination(spark, docs, none):
     assert decontam.clean(docs, bench).count() == len(TEXTS) - 2
 
 
+def test_decontamination_of_very_long_texts(spark):
+    """Counts beyond 16 bits: an item and a document of 70 000 words."""
+    words = [f"w{i % 977}q{i % 31}" for i in range(70_000)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "a b c d e f g h i j")], "item_id long, text string")
+    rows = [(1, "x y z " + " ".join(words)), (2, " ".join(words[:30_000]))]
+    assert [tuple(r)[:2] for r in decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()] == [(1, 1)]
+
+
+def test_decontamination_finds_all_near_windows(spark):
+    """Edited passages at and just above the threshold: the fingerprint index misses none of what the exact way finds."""
+    import random
+    from collections import Counter
+
+    draw = random.Random(5)
+    word = lambda: draw.choice("abcdefghij") + str(draw.randint(0, 300))
+    items = [[word() for _ in range(draw.randint(12, 60))] for _ in range(40)]
+    docs = []
+    for i in range(400):
+        text = list(draw.choice(items))
+        for _ in range(draw.randint(0, 2)):
+            text[draw.randrange(len(text))] = word()
+        docs.append([word() for _ in range(draw.randint(0, 9))] + text + [word() for _ in range(draw.randint(0, 9))])
+    cut = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    want = set()
+    for d, text in enumerate(docs):
+        for k, item in enumerate(items):
+            s, t = cut(text), Counter(cut(item))
+            m = t.total()
+            for a in range(len(s)):
+                both = (Counter(s[a : a + m]) & t).total()
+                if both / (m + len(s[a : a + m]) - both) >= 0.8:
+                    want.add((d, k))
+    table = lambda rows, name: spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], f"{name} long, text string")
+    got = {tuple(r)[:2] for r in decontam.leaks(table(docs, "doc_id"), table(items, "item_id")).collect()}
+    assert len(want) > 150 and got == want
+
+
 def test_token_files(spark, docs, none, tmp_path):
     path = queries._tokenizer("word_bpe_49k.json")
     files = tokenfiles.write(docs, f"file://{tmp_path}", path, 1)
