@@ -27,7 +27,7 @@ _MARKS = ".,;:!?$%&*#"
 _RUNS = ("\n\n\n", "\n\n ")
 
 
-class _Generations(dict):
+class Generations(dict):
     """A bounded dictionary that makes missing values: what wasn't asked for during a whole generation goes."""
 
     def __init__(self, make):
@@ -75,7 +75,7 @@ class PieceEncoder:
         self.spaceless = probe(" a \n b") == probe("a b") == probe("a") + probe("b")
         self.spaced = not self.spaceless and probe("a b,\nc") == probe("a") + probe(" b,") + probe("\nc")
         self.letters = _Letters(self.tokenizer)
-        self.words, self.cores, self.others = (_Generations(make) for make in (self._word, self._core, self._other))
+        self.words, self.cores, self.others = (Generations(make) for make in (self._word, self._core, self._other))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

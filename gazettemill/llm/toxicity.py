@@ -1,19 +1,24 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
 
 The example set is a bounded sample of labelled rows (``max_examples``, the
-smallest hashes of doc_id; a documented parameter). Its vector space holds the
-words and word prefixes that mark toxic examples: at least ``MIN_SUPPORT``
-different toxic texts, where near copies (same smallest shingle hash) count
-once, and ``MIN_SHARE`` of all examples with the feature. Document frequencies
-for the weights are counted over all documents.
-
-Examples are kept in an inverted index in blocks; each feature knows its
-largest weight in each block, so a block whose bound is below the k-th best
-cosine is never opened, and the neighbours found are exact (all ties of the
-k-th are taken). Votes are weighted by similarity, shrunk towards the base
-rate, and calibrated by isotonic regression on leave-one-out votes.
-
-Null and empty texts have the zero vector, as any text without a feature;
+smallest hashes of doc_id; a documented parameter). Its vocabulary is every
+word of theirs and every prefix of four to six letters, for inflected and
+invented forms; words that no example holds are outside the vector space.
+Weights are log term frequencies times inverse document frequencies, counted
+over all documents, times a relevance: ``FLOOR`` for any term, more for one
+that tells toxic examples from others (the lower bound of its log odds over
+different texts, so that neither rare words nor copies count for much).
+
+Examples are kept in an inverted index. Postings of terms in up to a
+``COMMON`` th of the examples are read whole; those of common terms lie in
+blocks of ``BLOCK`` examples, each with its largest weight, and a block whose
+bound is below the k-th best cosine is never opened. The neighbours found are
+exact (all ties of the k-th are taken). An example never is its own text's
+neighbour.
+Votes are weighted by similarity, shrunk towards the base rate, and calibrated
+by isotonic regression on the votes of the examples themselves.
+
+Null and empty texts have the zero vector, as any text without a known term;
 these get the calibrated rate of such examples. Documents with null or
 repeated doc_id are scored each. Repeated labels of a doc_id count as toxic
 if any is; null labels are left out. Without usable labels every score is 0.
@@ -22,11 +27,9 @@ Other columns are ignored.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -34,25 +37,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .tokens import Generations
 
-MIN_SUPPORT = 5
-MIN_SHARE = 0.8
-MAX_FEATURES = 4000
 BLOCK = 64
+COMMON = 16
+#: Texts whose neighbours are sought together.
+TOGETHER = 256
+FLOOR = 0.05
+#: Standard errors between a term's log odds and their lower bound.
+CAUTION = 2.5
 _WORD = re.compile(r"\w+")
 _PREFIXES = (4, 5, 6)
 
 
-def features(text: str) -> Counter:
-    """Counts of words of three letters or more, and of their prefixes (marked ``-``)."""
-    out: Counter = Counter()
+def _hashes(word: str) -> list[int]:
+    """Hashes of a word and of its prefixes (marked ``-``)."""
+    from xxhash import xxh3_64_intdigest
+
+    return [xxh3_64_intdigest(word), *(xxh3_64_intdigest(word[:k] + "-") for k in _PREFIXES if len(word) > k)]
+
+
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words and word prefixes of a text, in order, and their counts."""
+    hashes, counts = [], []
     for word, n in Counter(_WORD.findall(text.lower())).items():
-        if len(word) >= 3:
-            out[word] += n
-        for k in _PREFIXES:
-            if len(word) > k:
-                out[word[:k] + "-"] += n
-    return out
+        own = _hashes(word)
+        hashes += own
+        counts += [n] * len(own)
+    found, at = np.unique(np.array(hashes, np.uint64), return_inverse=True)
+    return found, np.bincount(at, counts, len(found)).astype(np.int64)
 
 
 def _copy_key(text: str) -> int:
@@ -63,56 +76,153 @@ def _copy_key(text: str) -> int:
     return min(xxh64_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))) - (1 << 63)
 
 
-@dataclass
+def _text_key(text: str) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All numbers of the given ranges, one range after the other."""
+    sizes = ends - starts
+    total = np.cumsum(sizes)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(starts - total + sizes, sizes)
+
+
+class Vocabulary:
+    """The examples' terms by hash, in order; a worker remembers those of the words it met."""
+
+    def __init__(self, terms: np.ndarray):
+        self.terms, self.words, self.numbers = terms, Generations(self._numbers), None
+
+    def __reduce__(self):
+        return Vocabulary, (self.terms,)
+
+    def _numbers(self, word: str) -> list[int]:
+        if self.numbers is None:
+            self.numbers = dict(zip(self.terms.tolist(), range(len(self.terms))))
+        return [self.numbers[h] for h in _hashes(word) if h in self.numbers]
+
+    def known(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and counts of the known terms of a text."""
+        ids: list[int] = []
+        counts: list[int] = []
+        for word, n in Counter(_WORD.findall(text.lower())).items():
+            own = self.words[word]
+            ids += own
+            counts += [n] * len(own)
+        self.words.turn()
+        found, at = np.unique(np.array(ids, np.int64), return_inverse=True)
+        return found, np.bincount(at, counts, len(found)).astype(np.int64)
+
+
+def relevance(term: np.ndarray, example: np.ndarray, toxic: np.ndarray, copies: np.ndarray, n_terms: int) -> np.ndarray:
+    """FLOOR for each term, and the lower bound of its log odds in either class; near copies count once."""
+    label = np.bincount(copies, toxic) > 0
+    pairs = np.unique(term.astype(np.int64) * len(label) + copies[example])
+    at, of = pairs // len(label), label[pairs % len(label)]
+    a, b = np.bincount(at[of], minlength=n_terms), np.bincount(at[~of], minlength=n_terms)
+    odds = np.log((a + 0.5) / (label.sum() - a + 0.5)) - np.log((b + 0.5) / ((~label).sum() - b + 0.5))
+    return FLOOR + np.maximum(0, np.abs(odds) - CAUTION * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)))
+
+
 class Index:
-    """Unit TF-IDF vectors of the examples by feature, with block maxima."""
-
-    names: dict[str, int]
-    idf: np.ndarray
-    weights: np.ndarray  # features x examples
-    labels: np.ndarray
-    doc_ids: np.ndarray
-    k: int
-    base: float
-    levels: np.ndarray  # calibration: votes and their rates
-    rates: np.ndarray
-    empty_rate: float
-
-    def __post_init__(self):
-        pad = -self.weights.shape[1] % BLOCK
-        self.blocks = np.pad(self.weights, ((0, 0), (0, pad))).reshape(len(self.weights), (self.weights.shape[1] + pad) // BLOCK, BLOCK)
-        self.block_max = self.blocks.max(axis=2)
-
-    def vector(self, ids: list[int], counts: list[int]) -> np.ndarray:
-        v = (1 + np.log(np.array(counts, np.float64))) * self.idf[ids]
-        return (v / np.sqrt((v * v).sum())).astype(np.float32)
-
-    def neighbours(self, ids: list[int], vector: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest examples and all ties of the k-th; cosine 0 is no neighbour."""
-        bound = vector @ self.block_max[ids]
-        order = np.argsort(-bound, kind="stable")
-        at, cos, floor = np.empty(0, np.int64), np.empty(0, np.float32), 0.0
-        for lo in range(0, len(order), 8):
-            some = order[lo : lo + 8]
-            some = some[bound[some] >= max(floor - 1e-6, 1e-9)]
-            if not len(some):
-                break
-            found = np.einsum("f,fbj->bj", vector, self.blocks[np.ix_(ids, some)]).ravel()
-            where = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            keep = (found > 1e-6) & (where != without)
-            at, cos = np.concatenate([at, where[keep]]), np.concatenate([cos, found[keep]])
-            if len(cos) > self.k:
-                floor = float(np.partition(cos, -self.k)[-self.k])
-                keep = cos >= floor - 1e-6
-                at, cos = at[keep], cos[keep]
-        return at, cos
+    """Unit vectors of the examples by term, in blocks with their largest weights."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels, doc_ids, keys, weight: np.ndarray, k: int):
+        self.weight, self.k = weight, k
+        units = [self.vector(*v) for v in vectors]
+        # Examples with the same leading term stand together, which makes block bounds tight.
+        lead = [int(v[0][u.argmax()]) if len(u) else -1 for v, u in zip(vectors, units)]
+        order = np.lexsort((np.arange(len(lead)), lead))
+        self.labels, self.doc_ids, self.keys = (np.array(x)[order] for x in (labels, doc_ids, keys))
+        sizes = np.array([len(units[i]) for i in order], np.int64)
+        term = np.concatenate([vectors[i][0] for i in order]) if len(order) else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(order)), sizes)
+        unit = np.concatenate([units[i] for i in order]) if len(order) else np.zeros(0, np.float32)
+        by_term = np.lexsort((owner, term))
+        term, owner, unit = term[by_term], owner[by_term], unit[by_term]
+        n = np.bincount(term, minlength=len(weight))
+        self.n_blocks = -(-len(order) // BLOCK)
+        often = np.flatnonzero(n > len(order) / COMMON)
+        self.row = np.full(len(weight), -1)  # of a common term
+        self.row[often] = np.arange(len(often))
+        self.blocks = np.zeros((len(often), self.n_blocks * BLOCK), np.float32)
+        wide = self.row[term] >= 0
+        self.blocks[self.row[term[wide]], owner[wide]] = unit[wide]
+        self.blocks = self.blocks.reshape(len(often), self.n_blocks, BLOCK)
+        self.most = self.blocks.max(axis=2, initial=0)
+        self.example, self.unit = owner[~wide].astype(np.int32), unit[~wide]
+        self.starts = np.searchsorted(term[~wide], np.arange(len(weight) + 1))
+        self.alike: dict[int, list[int]] = {}
+        for i, key in enumerate(self.keys.tolist()):
+            self.alike.setdefault(key, []).append(i)
+        self.base = float(self.labels.mean()) if len(self.labels) else 0.0
+        self.levels, self.rates, self.empty_rate = np.array([0.0]), np.array([self.base]), self.base
+        empty = self.labels[sizes == 0]
+        self.empty_rate = float((empty.sum() + self.base) / (len(empty) + 1))
+        full = [i for i in order if len(units[i])]
+        near = self.neighbours([vectors[i][0] for i in full], [units[i] for i in full], [self.alike[int(keys[i])] for i in full])
+        votes = [(self.vote(*found), labels[i]) for found, i in zip(near, full)]
+        if votes:
+            self.levels, self.rates = _isotonic(*np.array(votes, np.float64).T)
+
+    def vector(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        v = (1 + np.log(counts)) * self.weight[ids]
+        return (v / np.sqrt((v * v).sum())).astype(np.float32) if len(v) else np.zeros(0, np.float32)
+
+    def neighbours(self, ids: list[np.ndarray], units: list[np.ndarray], without: list[list[int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Positions and cosines of the k nearest examples of each vector and all ties of the k-th; cosine 0 is no neighbour."""
+        out = []
+        for lo in range(0, len(ids), TOGETHER):
+            some = slice(lo, lo + TOGETHER)
+            out += self._nearest(ids[some], units[some], without[some])
+        return out
+
+    def _nearest(self, ids, units, without) -> list[tuple[np.ndarray, np.ndarray]]:
+        n, width = len(ids), self.n_blocks * BLOCK
+        common_part = np.zeros((n, len(self.blocks)), np.float32)
+        cosine = np.zeros((n, width))
+        for j, (i, unit) in enumerate(zip(ids, units)):
+            rows = self.row[i]
+            wide = rows >= 0
+            common_part[j, rows[wide]] = unit[wide]
+            starts, ends = self.starts[i], self.starts[i + 1]
+            postings = _ranges(starts, ends)
+            cosine[j] = np.bincount(self.example[postings], np.repeat(unit, ends - starts) * self.unit[postings], width)
+            cosine[j, without[j]] = -2  # never reaches 0
+        k = min(self.k, width)
+        if not k:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * n
+        floor = np.maximum(np.partition(cosine, -k, axis=1)[:, -k], 0)
+        bound = cosine.reshape(n, self.n_blocks, BLOCK).max(axis=2) + common_part @ self.most
+        order = np.argsort(-bound.max(axis=0), kind="stable")
+        seen = np.zeros((n, width))
+        for at, b in enumerate(order):
+            asks = np.flatnonzero(bound[:, b] >= np.maximum(floor - 1e-6, 1e-9))
+            if len(asks):
+                own = slice(b * BLOCK, (b + 1) * BLOCK)
+                seen[asks, own] = cosine[asks, own] + common_part[asks] @ self.blocks[:, b]
+            if at % 16 == 7:
+                floor = np.maximum(floor, np.partition(seen, -k, axis=1)[:, -k])
+        floor = np.maximum(np.partition(seen, -k, axis=1)[:, -k], 0)
+        found = (np.flatnonzero(row > max(least - 1e-6, 1e-6)) for row, least in zip(seen, floor))
+        return [(at, row[at]) for at, row in zip(found, seen)]
 
     def vote(self, at: np.ndarray, cos: np.ndarray) -> float:
         """Similarity-weighted share of toxic neighbours, shrunk by one example of the base rate."""
         return float(((cos * self.labels[at]).sum() + self.base) / (cos.sum() + 1))
 
-    def calibrated(self, vote: float) -> float:
-        return float(np.interp(vote, self.levels, self.rates))
+    def judge(self, texts: list[tuple[np.ndarray, np.ndarray]], keys: list[int]) -> list[tuple[float, list[dict]]]:
+        """The calibrated score and the five nearest examples of each text's vector."""
+        ids = [i for i, _ in texts]
+        near = self.neighbours(ids, [self.vector(*t) for t in texts], [self.alike.get(key, []) for key in keys])
+        out = []
+        for i, (at, cos) in zip(ids, near):
+            top = np.lexsort((self.doc_ids[at], -cos))[:5]
+            evidence = [{"doc_id": int(self.doc_ids[a]), "similarity": round(float(c), 6), "toxic": int(self.labels[a])} for a, c in zip(at[top], cos[top])]
+            out.append((float(np.interp(self.vote(at, cos), self.levels, self.rates)) if len(i) else self.empty_rate, evidence))
+        return out
 
 
 def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,27 +237,8 @@ def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[0] / p[2] for p in pools]), np.array([(p[1] + 0.5 * (p[1] / p[2])) / (p[2] + 0.5) for p in pools])
 
 
-def build_index(examples: list[tuple[int, int, dict[int, int]]], names: list[str], df: dict[int, int], n_docs: int, k: int) -> Index:
-    """Index of (doc_id, label, counts by feature number)."""
-    idf = np.array([math.log((1 + n_docs) / (1 + df.get(i, 0))) + 1 for i in range(len(names))])
-    labels = np.array([e[1] for e in examples], np.float32)
-    base = float(labels.mean()) if len(labels) else 0.0
-    full = [e for e in examples if e[2]]
-    index = Index({f: i for i, f in enumerate(names)}, idf, np.zeros((len(names), len(full)), np.float32), np.array([e[1] for e in full], np.float32), np.array([e[0] for e in full], np.int64), k, base, np.array([0.0]), np.array([base]), base)
-    for j, (_, _, counts) in enumerate(full):
-        ids = list(counts)
-        index.weights[ids, j] = index.vector(ids, list(counts.values()))
-    index.__post_init__()
-    index.labels = np.pad(index.labels, (0, -len(full) % BLOCK))
-    empty = np.array([e[1] for e in examples if not e[2]], np.float32)
-    index.empty_rate = float((empty.sum() + base) / (len(empty) + 1))
-    if full:
-        votes = []
-        for j, (_, _, counts) in enumerate(full):
-            ids = list(counts)
-            votes.append(index.vote(*index.neighbours(ids, index.vector(ids, list(counts.values())), without=j)))
-        index.levels, index.rates = _isotonic(np.array(votes), np.array([e[1] for e in full], np.float64))
-    return index
+def held_out(doc_id: str) -> F.Column:
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
 def _learnable(labels: DataFrame) -> DataFrame:
@@ -156,77 +247,60 @@ def _learnable(labels: DataFrame) -> DataFrame:
     return known.where(~held_out("doc_id"))
 
 
-def held_out(doc_id: str) -> F.Column:
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
+def sample(docs: DataFrame, labels: DataFrame, max_examples: int) -> pd.DataFrame:
+    """(doc_id, toxic, copy, own, terms, counts) of at most ``max_examples`` labelled documents."""
+    chosen = common.cut(_learnable(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples), "chosen")
+    texts = docs.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [features(t) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "copy": [_copy_key(t) for t in pdf["text"]], "own": [_text_key(t) for t in pdf["text"]], "terms": [h.view(np.int64) for h, _ in found], "counts": [c for _, c in found]})
 
+    examples = texts.mapInPandas(read, "doc_id long, toxic int, copy long, own long, terms array<long>, counts array<long>").toPandas()
+    return examples.sort_values("doc_id").reset_index(drop=True)
 
-def score(docs: DataFrame, labels: DataFrame, max_examples: int = 8000, k: int = 25) -> DataFrame:
+
+def fit(examples: pd.DataFrame, number: np.ndarray, df: np.ndarray, n_docs: int, k: int) -> Index:
+    """The index over the examples, whose terms have the given numbers and document frequencies."""
+    sizes = np.array([len(t) for t in examples["terms"]], np.int64)
+    copies = np.unique(examples["copy"].to_numpy(), return_inverse=True)[1]
+    toxic = examples["toxic"].to_numpy(np.int64)
+    weight = np.log((1 + n_docs) / (1 + df)) + 1
+    if len(examples):
+        weight = weight * relevance(number, np.repeat(np.arange(len(examples)), sizes), toxic, copies, len(df))
+    at = np.split(number, np.cumsum(sizes)[:-1]) if len(examples) else []
+    vectors = [(i.astype(np.int64), np.asarray(c)) for i, c in zip(at, examples["counts"])]
+    return Index(vectors, toxic.astype(np.float64), examples["doc_id"], examples["own"], weight, k)
+
+
+def score(docs: DataFrame, labels: DataFrame, max_examples: int = 4000, k: int = 25) -> DataFrame:
     """(doc_id, score, evidence) of every document; evidence: up to five nearest examples (doc_id, similarity, toxic)."""
     spark = docs.sparkSession
     common.small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
-    chosen = common.cut(_learnable(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples), "chosen")
-    sample = common.cut(texts.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), "sample")
-
-    def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for text, toxic in zip(pdf["text"], pdf["toxic"]):
-                found = pd.Series(list(features(text)), dtype=object)
-                yield pd.DataFrame({"feature": found, "copies": _copy_key(text), "toxic": toxic})
-
-    counted = sample.mapInPandas(marks, "feature string, copies long, toxic int").groupBy("feature", "toxic", "copies").agg(F.count("*").alias("n"))
-    by_feature = counted.groupBy("feature").agg(
-        F.count_if(F.col("toxic") == 1).alias("support"),
-        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("toxic"),
-        F.sum("n").alias("all"),
-    )
-    strong = by_feature.where((F.col("support") >= MIN_SUPPORT) & (F.col("toxic") >= MIN_SHARE * F.col("all")))
-    names = [r["feature"] for r in strong.orderBy(F.desc("support"), "feature").limit(MAX_FEATURES).collect()]
-    number = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})  # at most MAX_FEATURES
+    examples = sample(texts, labels, max_examples)
+    terms, number = np.unique(np.concatenate([np.zeros(0, np.int64), *examples["terms"]]).view(np.uint64), return_inverse=True)
+    vocabulary = spark.sparkContext.broadcast(Vocabulary(terms))  # the examples' terms, bounded by max_examples
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = number.value
         for pdf in batches:
-            ids, counts = [], []
-            for text in pdf["text"]:
-                found: Counter = Counter()
-                for word, n in Counter(_WORD.findall(text.lower())).items():
-                    if word in known and len(word) >= 3:
-                        found[known[word]] += n
-                    for p in _PREFIXES:
-                        if len(word) > p and (f := known.get(word[:p] + "-")) is not None:
-                            found[f] += n
-                ids.append(sorted(found))
-                counts.append([found[i] for i in ids[-1]])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": ids, "counts": counts})
-
-    sparse = common.cut(texts.mapInPandas(vectors, "doc_id long, ids array<int>, counts array<int>"), "vectors")
-    df = {r["i"]: r["n"] for r in sparse.select(F.explode("ids").alias("i")).groupBy("i").agg(F.count("*").alias("n")).collect()}  # at most MAX_FEATURES
-    held = sample.select("doc_id", "toxic", "text").mapInPandas(
-        lambda batches: (v.assign(toxic=pdf["toxic"].to_numpy()) for pdf in batches for v in vectors(iter([pdf]))), "doc_id long, ids array<int>, counts array<int>, toxic int"
-    )
-    examples = [(r["doc_id"], r["toxic"], dict(zip(r["ids"], r["counts"]))) for r in held.orderBy("doc_id").collect()]  # at most max_examples
-    shared = spark.sparkContext.broadcast(build_index(examples, names, df, sparse.count(), k))
+            found = [vocabulary.value.known(t) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "own": [_text_key(t) for t in pdf["text"]], "ids": [i.astype(np.int32) for i, _ in found], "counts": [c.astype(np.int32) for _, c in found]})
+
+    sparse = common.cut(texts.mapInPandas(vectors, "doc_id long, own long, ids array<int>, counts array<int>"), "vectors")
+    counted = sparse.select(F.explode("ids").alias("term")).groupBy("term").agg(F.count("*").alias("n")).toPandas()  # at most a row for each term
+    df = np.zeros(len(terms), np.int64)
+    df[counted["term"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast(fit(examples, number, df, sparse.count(), k))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, known = shared.value, {}
         for pdf in batches:
-            scores, evidence = [], []
-            for ids, counts in zip(pdf["ids"], pdf["counts"]):
-                key = (tuple(ids), tuple(counts))
-                if key not in known:
-                    if not len(ids):
-                        known[key] = (index.empty_rate, [])
-                    else:
-                        at, cos = index.neighbours(list(ids), index.vector(list(ids), list(counts)))
-                        top = np.lexsort((at, -cos))[:5]
-                        near = [{"doc_id": int(index.doc_ids[a]), "similarity": round(float(c), 6), "toxic": int(index.labels[a])} for a, c in zip(at[top], cos[top])]
-                        known[key] = (index.calibrated(index.vote(at, cos)) if len(at) else index.base, near)
-                    if len(known) > 50_000:
-                        known = {key: known[key]}
-                scores.append(known[key][0])
-                evidence.append(known[key][1])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": np.clip(scores, 0, 1), "evidence": evidence})
+            once = ~pdf["own"].duplicated()  # copies within a batch
+            some = pdf[once]
+            known = dict(zip(some["own"], shared.value.judge([(i.astype(np.int64), c) for i, c in zip(some["ids"], some["counts"])], some["own"].tolist())))
+            found = [known[t] for t in pdf["own"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": np.clip([s for s, _ in found], 0, 1), "evidence": [e for _, e in found]})
 
     return sparse.mapInPandas(judge, "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,toxic:int>>")
 
