@@ -32,19 +32,20 @@ from pyspark.sql import types as T
 from . import common
 
 _NO_ID = -(1 << 63)
+_DOC, _BODY, _BITMAP, _LOST = "__gm_doc", "__gm_body", "__gm_bitmap", "__gm_lost"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _STREAMED = "doc long, body long, pos int, n_lines int, h1 long, h2 long, open boolean, docs_here long"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with the join key of a row: its document and the hash of its text."""
-    return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "body": F.xxhash64(common.text_or_empty())})
+    return docs.withColumns({_DOC: F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), _BODY: F.xxhash64(common.text_or_empty())})
 
 
 def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc, body, n_lines, pos, h1, h2) of the lines that are long enough."""
     lines = F.split(common.text_or_empty(), "\n", -1)
-    rows = _keyed(docs).select("doc", "body", F.size(lines).alias("n_lines"), F.posexplode(lines).alias("pos", "line"))
+    rows = _keyed(docs).select(F.col(_DOC).alias("doc"), F.col(_BODY).alias("body"), F.size(lines).alias("n_lines"), F.posexplode(lines).alias("pos", "line"))
     trimmed = rows.withColumn("line", F.btrim("line", F.lit(" \t\n\x0b\f\r"))).where(F.length("line") >= min_chars)
     key = F.translate("line", _UPPER, _LOWER)
     return trimmed.select("doc", "body", "n_lines", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
@@ -96,7 +97,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Da
     """(doc, body, n_lines, pos) of every line that goes."""
     spark = docs.sparkSession
     hashes = common.cut(line_hashes(docs, min_chars), "lines")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100_000)  # short rows here
+    common.small_batches(spark)
     ordered = hashes.select("doc", "body", "pos", "n_lines", "h1", "h2").repartitionByRange(common.partitions(spark), "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "body", "pos")
     streamed = common.cut(ordered.mapInPandas(_stream(min_docs), _STREAMED), "streamed")
     undecided = streamed.where("open")
@@ -137,11 +138,11 @@ def _kept(text: pd.Series, bitmap: pd.Series) -> pd.Series:
 def apply(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with the kept text (never null) and n_lines, n_dropped."""
     common.small_batches(docs.sparkSession)
-    mine = bitmaps.select("doc", "body", "n_dropped", "bitmap")
+    mine = bitmaps.select(F.col("doc").alias(_DOC), F.col("body").alias(_BODY), F.col("n_dropped").alias(_LOST), F.col("bitmap").alias(_BITMAP))
     texts = _keyed(docs).withColumn("text", common.text_or_empty())
-    counted = texts.withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long"))
-    joined = counted.drop("n_dropped", "bitmap").join(mine, ["doc", "body"], "left").withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0).cast("long")))
-    return joined.withColumn("text", _kept("text", "bitmap")).drop("doc", "body", "bitmap")
+    joined = texts.withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long")).join(mine, [_DOC, _BODY], "left")
+    kept = joined.withColumns({"n_dropped": F.coalesce(_LOST, F.lit(0).cast("long")), "text": _kept("text", _BITMAP)})
+    return kept.drop(_DOC, _BODY, _BITMAP, _LOST)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:

@@ -96,10 +96,10 @@ def scan(docs: DataFrame, widely: int = 3) -> DataFrame:
     counts class all of them by the ownership of their value.
     """
     found = candidates(docs)
-    verdict = ownership(found, widely).select("value", "example")
+    verdict = common.cut(ownership(found, widely).select("value", "example", "n_repositories"), "verdict")
     apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     spans = found.select("row", F.explode(F.concat("base", F.filter("mixed", apart))).alias("s"))
-    judged = spans.withColumn("value", F.col("s.value")).join(verdict, "value")
+    judged = common.weighted_join(spans.withColumn("value", F.col("s.value")), verdict, ["value"], "n_repositories")
     kept = judged.where("s.kind < 3 or not example").groupBy("row").agg(
         F.collect_list(F.when(F.col("s.kind") == 3, F.col("s"))).alias("added"),
         F.count_if(~F.col("example")).alias("n_live"),

@@ -111,15 +111,12 @@ def _cells(fp: str) -> F.Column:
 
 def links(classes: DataFrame) -> DataFrame:
     """(a, b): links between different fingerprints that join all pairs within distance 2."""
-    cell = Window.partitionBy("cell")
-    visits = classes.select("fp", F.explode(_cells("fp")).alias("cell")).select(
-        "fp",
-        F.count("*").over(cell).alias("n"),
-        F.collect_list("fp").over(cell.orderBy("fp").rowsBetween(-CELL, -1)).alias("others"),
-    )
-    visits = common.cut(visits.where("n > 1"), "visits")
+    visits = common.cut(classes.select("fp", F.explode(_cells("fp")).alias("cell")), "cells")
+    met = common.cut(visits.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "met")  # counted before rows of a cell meet
+    visits = common.cut(common.weighted_join(visits, met, ["cell"], "n"), "visits")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
-    few = visits.where(F.col("n") <= CELL).select(F.col("fp").alias("a"), F.explode("others").alias("b")).where(close).distinct()
+    others = F.collect_list("fp").over(Window.partitionBy("cell").orderBy("fp").rowsBetween(-CELL, -1))
+    few = visits.where(F.col("n") <= CELL).select("fp", others.alias("others")).select(F.col("fp").alias("a"), F.explode("others").alias("b")).where(close).distinct()
     crowded = visits.where(F.col("n") > CELL).select("fp").distinct()
     variants = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)))
     grouped = crowded.select("fp", F.explode(variants).alias("variant"))
@@ -136,8 +133,8 @@ def components(prints: DataFrame) -> DataFrame:
     roots = roots.union(roots.select(F.col("root").alias("fp"), "root").distinct())
     reps = roots.join(classes.select("fp", "rep"), "fp")
     joined = reps.select("fp", "root").join(reps.groupBy("root").agg(F.min("rep").alias("linked")), "root").select("fp", "linked")
-    known = classes.join(joined, "fp", "left").where("n > 1 or linked is not null").select("fp", F.coalesce("linked", "rep").alias("component_id"))
-    return prints.join(known, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    known = classes.join(joined, "fp", "left").where("n > 1 or linked is not null").select("fp", "n", F.coalesce("linked", "rep").alias("component_id"))
+    return common.weighted_join(prints, common.cut(known, "known"), ["fp"], "n", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
@@ -244,8 +241,8 @@ def similar_groups(docs: DataFrame, size: int = 5, min_similarity: float = 0.8)
     rest = common.cut(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     roots = _rooted(similar.union(verified(rest)))
     grouped = classes.join(roots, classes["doc_id"] == roots["node"], "left").where("n > 1 or root is not null")
-    grouped = grouped.select("copies", F.coalesce("root", "doc_id").alias("group_id"))
-    return prints.join(grouped, "copies").select("doc_id", "group_id").distinct()
+    grouped = common.cut(grouped.select("copies", "n", F.coalesce("root", "doc_id").alias("group_id")), "grouped")
+    return common.weighted_join(prints.select("copies", "doc_id"), grouped, ["copies"], "n").select("doc_id", "group_id").distinct()
 
 
 def _rooted(links: DataFrame) -> DataFrame:

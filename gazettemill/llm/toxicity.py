@@ -45,7 +45,7 @@ COMMON = 16
 TOGETHER = 256
 FLOOR = 0.05
 #: Standard errors between a term's log odds and their lower bound.
-CAUTION = 2.5
+CAUTION = 2.0
 _WORD = re.compile(r"\w+")
 _PREFIXES = (4, 5, 6)
 
@@ -274,7 +274,7 @@ def fit(examples: pd.DataFrame, number: np.ndarray, df: np.ndarray, n_docs: int,
     return Index(vectors, toxic.astype(np.float64), examples["doc_id"], examples["own"], weight, k)
 
 
-def score(docs: DataFrame, labels: DataFrame, max_examples: int = 4000, k: int = 25) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, max_examples: int = 2500, k: int = 25) -> DataFrame:
     """(doc_id, score, evidence) of every document; evidence: up to five nearest examples (doc_id, similarity, toxic)."""
     spark = docs.sparkSession
     common.small_batches(spark)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gazettemill.llm import ctph, decontam, htmlmain, linededup, packing, queries, secrets, simhash, suffixdedup, tokenfiles, toxicity
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, anchor string, fp string, bitmap string, row long, length int, host string, kept string, ids string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, anchor string, fp string, bitmap string, row long, length int, host string, kept string, ids string, doc string, body string, spans string, r string, n int, h string, m int, start int, part int, noise string"
 LONG = " ".join(f"word{i % 97}x{i % 13}" for i in range(30_000))
 PASSAGE = " ".join(f"passage{i}" for i in range(60))
 TEXTS = [
@@ -18,7 +18,7 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame([(i, t, None if n % 3 else "en", None if n % 4 else "src", None, "a", "f", "b", 1, 2, "h", "k", "i") for n, (i, t) in enumerate(TEXTS)], SCHEMA)
+    return spark.createDataFrame([(i, t, None if n % 3 else "en", None if n % 4 else "src", None, "a", "f", "b", 1, 2, "h", "k", "i", "user's doc", "user's body", "s", "r", 3, "h", 4, 5, 6, "x") for n, (i, t) in enumerate(TEXTS)], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -141,7 +141,8 @@ def test_line_dedup(spark, docs, none):
     got = sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == sorted([(i, 4, 2, f"own {i}\nshort") for i in range(5)] + [(5, 4, 0, rows[5][1]), (5, 2, 0, rows[6][1]), (6, 2, 0, "short\nshort"), (7, 1, 0, "")])
     out = linededup.dedup_lines(docs)
-    assert out.count() == len(TEXTS) and set(docs.columns) - {"bitmap"} <= set(out.columns)
+    assert out.count() == len(TEXTS) and set(docs.columns) <= set(out.columns)
+    assert {(r["doc"], r["body"], r["bitmap"]) for r in out.collect()} == {("user's doc", "user's body", "b")}
     assert linededup.dedup_lines(none).count() == 0
 
 
@@ -177,7 +178,7 @@ def test_repeated_substrings(spark, docs, none):
     out = suffixdedup.dedup(docs)
     got = {(r["doc_id"], r["n_bytes"]): r for r in out.collect()}
     assert out.count() == len(TEXTS)
-    assert got[1, 0]["n_spans"] == 0
+    assert got[1, 0]["n_spans"] == 0 and {(r["doc"], r["body"], r["spans"]) for r in got.values()} == {("user's doc", "user's body", "s")}
     nine = [r for (i, _), r in got.items() if i == 9][0]
     text = TEXTS[10][1]
     assert bytes(nine["kept"]).decode() == text.replace(" " + PASSAGE + " ", "") and nine["n_spans"] == 1
