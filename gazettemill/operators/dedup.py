@@ -11,21 +11,16 @@ from ..functions import tokens as T
 def simhash(articles: DataFrame, text: str = "full_text", size: int = 2) -> DataFrame:
     """(article_id, outlet, fp): 64-bit SimHash over word pairs weighted by frequency; 0 without pairs.
 
-    Bits are summed in 16 lanes of four 16-bit counters, so the partial
-    aggregate of an article is 16 numbers.
+    Each bit has a count of its own in the partial aggregates, so texts may have any length.
     """
     pairs = articles.select("article_id", F.explode(T.shingles(T.words(F.col(text)), size)).alias("s"))
     high, low = T.md5_halves(F.col("s"))
     hashed = pairs.select("article_id", F.shiftleft(high, 32).bitwiseOR(low).alias("h"))
-    mask = F.lit(0x0001_0001_0001_0001)
-    lanes = hashed.groupBy("article_id").agg(F.count("*").alias("n"), *(F.sum(F.shiftrightunsigned("h", j).bitwiseAND(mask)).alias(f"s{j}") for j in range(16)))
     fp = F.lit(0).cast("long")
-    for j in range(16):
-        for lane in range(4):
-            bit = 16 * lane + j
-            ones = F.shiftrightunsigned(F.col(f"s{j}"), 16 * lane).bitwiseAND(F.lit(0xFFFF))
-            fp = fp.bitwiseOR(F.when(2 * ones > F.col("n"), F.lit(1 << bit if bit < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long")))
-    found = lanes.select("article_id", fp.alias("fp"))
+    for bit in range(64):
+        ones = F.sum(F.shiftrightunsigned("h", bit).bitwiseAND(F.lit(1)))
+        fp = fp.bitwiseOR(F.when(2 * ones > F.count("*"), F.lit(1 << bit if bit < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long")))
+    found = hashed.groupBy("article_id").agg(fp.alias("fp"))
     return articles.select("article_id", "outlet").join(found, "article_id", "left").withColumn("fp", F.coalesce("fp", F.lit(0).cast("long")))
 
 
@@ -36,13 +31,17 @@ def hexadecimal(fp: str) -> F.Column:
 def near_pairs(prints: DataFrame, distance: int = 3, within: list[str] | None = None) -> DataFrame:
     """(a, b, distance) of different fingerprints up to ``distance`` bits apart, by their classes' smallest article.
 
-    Pigeonhole: of four 16-bit bands at least one is equal at distance 3, so
-    bands join by equality and pairs are verified. Equal fingerprints are one
-    class; copies never form pairs.
+    Pigeonhole: of ``distance`` + 2 blocks of bits at least two are equal, so
+    articles join on each pair of blocks (26 bits for distance 3, few chance
+    meetings) and are verified. Equal fingerprints are one class; copies never
+    form pairs.
     """
     within = within or []
     classes = prints.groupBy(*within, "fp").agg(F.min("article_id").alias("article_id"))
-    bands = classes.select(*within, "article_id", "fp", F.posexplode(F.array(*(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)))).alias("band", "value"))
+    edges = [64 * i // (distance + 2) for i in range(distance + 3)]
+    blocks = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << hi - lo) - 1)) for lo, hi in zip(edges, edges[1:])]
+    keys = [F.shiftleft(blocks[i], 32).bitwiseOR(blocks[j]) for i in range(len(blocks)) for j in range(i)]
+    bands = classes.select(*within, "article_id", "fp", F.posexplode(F.array(*keys)).alias("band", "value"))
     left = bands.select(*within, "band", "value", F.col("article_id").alias("a"), F.col("fp").alias("fa"))
     right = bands.select(*within, "band", "value", F.col("article_id").alias("b"), F.col("fp").alias("fb"))
     d = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb")))

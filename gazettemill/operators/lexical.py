@@ -66,39 +66,102 @@ def outlet_tone(tones: DataFrame) -> DataFrame:
 
 
 def story_entities(titles: DataFrame, top: int = 8) -> DataFrame:
-    """(story, label, n): capitalised runs of up to four words, not first in a sentence, once per title."""
-    pattern = r"(?<![.!?]\s)(?<!^)\b(\p{Lu}[\p{L}\p{N}_'’-]+(?:\s+\p{Lu}[\p{L}\p{N}_'’-]+){0,3})"
-    each = titles.select("story", "article_id", F.explode(F.array_distinct(F.regexp_extract_all("title", F.lit(pattern), F.lit(1)))).alias("label")).where(F.length("label") >= 3)
+    """(story, label, n): runs of up to four capitalised words, not first in a sentence, once per title.
+
+    A title is taken sentence by sentence as an array of words. Its first word, words in lower case and whatever
+    follows a comma or the like end a run.
+    """
+    sentences = F.split("title", r"[.!?:]+(\s+|$)")
+    kept = lambda word, i: F.when((i > 0) & word.rlike(r"^\p{Lu}[\p{L}\p{N}]"), F.regexp_replace(word, r"[,;)\]\"»”]+$", " |")).otherwise("|")
+    marked = F.transform(sentences, lambda s: F.array_join(F.transform(F.split(F.trim(s), r"\s+"), kept), " "))
+    runs = F.filter(F.transform(F.split(F.array_join(marked, " | "), r"\|"), lambda r: F.trim(r)), lambda r: F.length(r) >= 3)
+    labels = F.array_distinct(F.transform(runs, lambda r: F.array_join(F.slice(F.split(r, r"\s+"), 1, 4), " ")))
+    each = titles.select("story", "article_id", F.explode(labels).alias("label"))
     size = titles.groupBy("story").agg(F.count("*").alias("titles"))
     counts = each.groupBy("story", "label").agg(F.count("*").alias("n"))
     ranked = counts.withColumn("rn", F.row_number().over(Window.partitionBy("story").orderBy(F.desc("n"), "label"))).where(F.col("rn") <= top)
     return ranked.join(size, "story").where(F.col("n") >= F.when(F.col("titles") > 1, 2).otherwise(1)).select("story", "label", "n")
 
 
-#: Verbs and words around a cited speaker's name.
-SAYING = "said|says|told|declared|announced|added|warned|claims|dice|ha detto|dichiara|afferma|sostiene|spiega|annuncia"
-_NAME = r"(?:[A-ZÀ-Þ][\wà-þ'’-]+)(?:\s+[A-ZÀ-Þ][\wà-þ'’-]+){0,3}"
-_SPEAKERS = [re.compile(rf"[»”\"],?\s*(?:{SAYING})\s+({_NAME})"), re.compile(rf"({_NAME})\s+(?:{SAYING})\b"), re.compile(rf"(?:[Aa]ccording to|[Ss]econdo)\s+({_NAME})")]
-_QUOTE = re.compile(r"«([^»]{10,400})»|“([^”]{10,400})”|\"([^\"]{10,400})\"")
-ROLES = [("government", ("minister", "ministro", "president", "governo")), ("business", ("ceo", "company", "azienda")), ("expert", ("professor", "researcher", "esperto"))]
+#: Words that say that somebody speaks, and phrases that name a source, in five languages.
+SPEAKING = set(
+    "said says told tells argued insisted announced stated wrote replied asked dice disse detto spiega spiegato afferma annuncia annunciato "
+    "sostiene dichiarato dit déclaré affirme explique annonce sagte sagt erklärte betonte dijo afirma declaró explicó anunció".split()
+)
+SOURCES = [("according", "to"), ("secondo",), ("selon",), ("laut",), ("según",)]
+#: Words between a quotation and its speaker's name or verb.
+LINKING = set("ha hanno a avait hat ha haben the il la lo le der die das el los las".split())
+#: Roles in order of precedence, with words that show them; the first ones of a name are titles and no part of it.
+ROLES = {
+    "government": "minister ministers president premier chancellor ministro ministra presidente ministre président minister governo gobierno gouvernement regierung",
+    "opposition": "opposition opposizione oposición leader deputy senator deputato senatore député",
+    "institution": "commissioner judge prosecutor mayor governor commissario giudice sindaco maire bürgermeister alcalde",
+    "expert": "professor doctor researcher economist analyst professore ricercatore esperto professeur forscher profesor",
+    "citizen": "resident witness neighbour student cittadino testimone studente habitant bürger vecino",
+    "company": "chief executive manager spokesman spokeswoman founder amministratore azienda fondatore directeur unternehmen empresa",
+}
+TITLES = set("mr mrs ms dr prof sir signor signora herr frau señor señora monsieur madame".split()) | {w for words in ROLES.values() for w in words.split()}
+_PARTS = re.compile(r"[\w'’-]+|[^\w\s]")
+_QUOTED = [("«", "»"), ("“", "”"), ('"', '"'), ("„", "“")]
+
+
+def role_of(context: str) -> str | None:
+    """The role with most of its words in a context; of equals the first in order."""
+    words = [w.lower() for w in _PARTS.findall(context)]
+    hits = {role: sum(w in some.split() for w in words) for role, some in ROLES.items()}
+    best = max(hits, key=hits.get)
+    return best if hits[best] else None
+
+
+def first_quote(text: str, least: int = 10, most: int = 400) -> str | None:
+    """The earliest span between quotation marks that is neither short nor long."""
+    found = []
+    for opening, closing in _QUOTED:
+        at = text.find(opening)
+        while at >= 0 and (end := text.find(closing, at + 1)) > 0:
+            if least <= end - at - 1 <= most:
+                found.append((at, text[at + 1 : end]))
+                break
+            at = text.find(opening, end + (opening == closing))
+    return min(found)[1] if found else None
+
+
+def _name(tokens: list[tuple[str, int, int]], at: int, step: int) -> list[tuple[str, int, int]]:
+    """The run of up to four capitalised words next to a place, without titles in front."""
+    while 0 <= at < len(tokens) and tokens[at][0].lower() in LINKING:
+        at += step
+    run = []
+    while 0 <= at < len(tokens) and len(run) < 6 and tokens[at][0][:1].isupper():
+        run.append(tokens[at])
+        at += step
+    run = run[::step]
+    while run and run[0][0].lower() in TITLES:
+        run = run[1:]
+    return run[:4]
 
 
 def citations(text: str) -> list[dict]:
-    """Speakers of a text in order of pattern, the role of their surroundings and the first quoted span."""
-    found: dict[str, dict] = {}
-    for pattern in _SPEAKERS:
-        for m in pattern.finditer(text):
-            name = m.group(1).strip()
-            if len(name) < 3:
-                continue
-            around = text[max(0, m.start() - 100) : m.end() + 60]
-            low = around.lower()
-            hits = [(sum(w in low for w in ws), -i, role) for i, (role, ws) in enumerate(ROLES)]
-            best = max(hits)
-            role = best[2] if best[0] else None
-            quote = _QUOTE.search(around)
-            entry = found.setdefault(name, {"speaker": name, "role": role, "quote": next(filter(None, quote.groups())) if quote else None})
-            entry["role"] = entry["role"] or role
+    """Speakers of a text in order, each once, with the first role their surroundings show, and the text's first quotation.
+
+    A speaker is a name beside a word for speaking, before it rather than after it, or after a phrase that names a source.
+    """
+    tokens = [(m.group(), m.start(), m.end()) for m in _PARTS.finditer(text)]
+    words = [t[0].lower() for t in tokens]
+    quote, found = first_quote(text), {}
+    for i, word in enumerate(words):
+        after_source = next((len(s) for s in SOURCES if tuple(words[i : i + len(s)]) == s), 0)
+        if after_source:
+            run = _name(tokens, i + after_source, 1)
+        elif word in SPEAKING:
+            run = _name(tokens, i - 1, -1) or _name(tokens, i + 1, 1)
+        else:
+            continue
+        name = " ".join(t[0] for t in run)
+        if len(name) < 3:
+            continue
+        start, end = min(run[0][1], tokens[i][1]), max(run[-1][2], tokens[i][2])
+        entry = found.setdefault(name, {"speaker": name, "role": None, "quote": quote})
+        entry["role"] = entry["role"] or role_of(text[max(0, start - 100) : end + 60])
     return list(found.values())
 
 
@@ -114,8 +177,12 @@ def cited_speakers(articles: DataFrame, text: str = "full_text") -> DataFrame:
 
 
 def outlet_speakers(cited: DataFrame, top: int = 15) -> DataFrame:
+    """Most cited speakers of each outlet, with their articles and the counts of their roles (none: unclassified)."""
+    role = F.coalesce("role", F.lit("unclassified"))
+    roles = cited.groupBy("outlet", "speaker", role.alias("role")).agg(F.count("*").alias("n")).groupBy("outlet", "speaker").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "n")))).alias("roles"))
     counts = cited.groupBy("outlet", "speaker").agg(F.count("*").alias("n"), F.countDistinct("article_id").alias("articles"))
-    return counts.withColumn("rn", F.row_number().over(Window.partitionBy("outlet").orderBy(F.desc("n"), "speaker"))).where(F.col("rn") <= top).drop("rn")
+    ranked = counts.withColumn("rn", F.row_number().over(Window.partitionBy("outlet").orderBy(F.desc("n"), "speaker"))).where(F.col("rn") <= top).drop("rn")
+    return ranked.join(roles, ["outlet", "speaker"])
 
 
 def word_variants(terms: DataFrame) -> DataFrame:

@@ -133,6 +133,24 @@ def test_citations_and_variants(spark):
     assert sorted(r["variant"] for r in lexical.word_variants(terms).collect()) == ["due", "dues", "ricci", "ricco", "riccos", "rosa", "rosas", "rose"]
 
 
+def test_citations_by_grammar(spark):
+    found = {c["speaker"]: c for c in lexical.citations('Yesterday Prof Anna Bianchi, told "short" us. Laut Minister Karl Ott, “this is a long quotation”. In Rome the mayor said no.')}
+    assert set(found) == {"Karl Ott"} or set(found) == {"Karl Ott", "Anna Bianchi"}
+    assert found["Karl Ott"]["role"] == "government" and found["Karl Ott"]["quote"] == "this is a long quotation"
+    assert lexical.citations("") == [] and lexical.role_of("nothing at all") is None
+    titles = spark.createDataFrame([(1, 1, "Today Angela Merkel met Emmanuel Macron, Paris says"), (1, 2, "Talks: Angela Merkel and others"), (2, 3, "A visit of Olaf Scholz to New York City Hall Square")], "story long, article_id long, title string")
+    assert sorted((r["story"], r["label"], r["n"]) for r in lexical.story_entities(titles).collect()) == [(2, "New York City Hall", 1), (2, "Olaf Scholz", 1)]
+
+
+def test_fingerprint_of_a_very_long_text(spark):
+    from gazettemill.operators import dedup
+
+    long = " ".join(f"w{i % 313}" for i in range(100_000))
+    rows = spark.createDataFrame([(1, "a", long), (2, "a", long + " end"), (3, "b", "")], "article_id long, outlet string, full_text string")
+    prints = dedup.simhash(rows)
+    assert dedup.near_pairs(prints).where("a = 1 and b = 2").count() + prints.where("article_id < 3").select("fp").distinct().count() in (1, 3)
+
+
 def test_story_fold():
     import numpy as np
 
