@@ -158,14 +158,9 @@ class Index:
         for i, key in enumerate(self.keys.tolist()):
             self.alike.setdefault(key, []).append(i)
         self.base = float(self.labels.mean()) if len(self.labels) else 0.0
-        self.levels, self.rates, self.empty_rate = np.array([0.0]), np.array([self.base]), self.base
+        self.levels, self.rates = np.array([0.0]), np.array([self.base])
         empty = self.labels[sizes == 0]
         self.empty_rate = float((empty.sum() + self.base) / (len(empty) + 1))
-        full = [i for i in order if len(units[i])]
-        near = self.neighbours([vectors[i][0] for i in full], [units[i] for i in full], [self.alike[int(keys[i])] for i in full])
-        votes = [(self.vote(*found), labels[i]) for found, i in zip(near, full)]
-        if votes:
-            self.levels, self.rates = _isotonic(*np.array(votes, np.float64).T)
 
     def vector(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         v = (1 + np.log(counts)) * self.weight[ids]
@@ -209,19 +204,24 @@ class Index:
         found = (np.flatnonzero(row > max(least - 1e-6, 1e-6)) for row, least in zip(seen, floor))
         return [(at, row[at]) for at, row in zip(found, seen)]
 
+    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
+        """Rates by vote from the examples' own votes."""
+        if len(votes):
+            self.levels, self.rates = _isotonic(votes, labels)
+
     def vote(self, at: np.ndarray, cos: np.ndarray) -> float:
         """Similarity-weighted share of toxic neighbours, shrunk by one example of the base rate."""
         return float(((cos * self.labels[at]).sum() + self.base) / (cos.sum() + 1))
 
     def judge(self, texts: list[tuple[np.ndarray, np.ndarray]], keys: list[int]) -> list[tuple[float, list[dict]]]:
-        """The calibrated score and the five nearest examples of each text's vector."""
+        """The vote and the five nearest examples of each text's vector; -1 for the zero vector."""
         ids = [i for i, _ in texts]
         near = self.neighbours(ids, [self.vector(*t) for t in texts], [self.alike.get(key, []) for key in keys])
         out = []
         for i, (at, cos) in zip(ids, near):
             top = np.lexsort((self.doc_ids[at], -cos))[:5]
             evidence = [{"doc_id": int(self.doc_ids[a]), "similarity": round(float(c), 6), "toxic": int(self.labels[a])} for a, c in zip(at[top], cos[top])]
-            out.append((float(np.interp(self.vote(at, cos), self.levels, self.rates)) if len(i) else self.empty_rate, evidence))
+            out.append((self.vote(at, cos) if len(i) else -1.0, evidence))
         return out
 
 
@@ -292,7 +292,20 @@ def score(docs: DataFrame, labels: DataFrame, max_examples: int = 2500, k: int =
     counted = sparse.select(F.explode("ids").alias("term")).groupBy("term").agg(F.count("*").alias("n")).toPandas()  # at most a row for each term
     df = np.zeros(len(terms), np.int64)
     df[counted["term"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(fit(examples, number, df, sparse.count(), k))
+    index = fit(examples, number, df, sparse.count(), k)
+    shared = spark.sparkContext.broadcast(index)
+
+    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = shared.value.judge([(i.astype(np.int64), c) for i, c in zip(pdf["ids"], pdf["counts"])], pdf["own"].tolist())
+            yield pd.DataFrame({"toxic": pdf["toxic"], "vote": [v for v, _ in found]})
+
+    # The examples' own votes, found in tasks; at most max_examples rows.
+    known = spark.createDataFrame(examples[["doc_id", "own", "toxic"]].to_records(index=False).tolist(), "doc_id long, own long, toxic int")
+    voted = sparse.join(F.broadcast(known), ["doc_id", "own"]).dropDuplicates(["doc_id"]).mapInPandas(votes, "toxic int, vote double").toPandas()
+    voted = voted.sort_values(["vote", "toxic"])
+    index.calibrate(*(voted.loc[voted["vote"] >= 0, c].to_numpy(np.float64) for c in ("vote", "toxic")))
+    levels, rates, empty_rate = index.levels, index.rates, index.empty_rate
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -300,7 +313,9 @@ def score(docs: DataFrame, labels: DataFrame, max_examples: int = 2500, k: int =
             some = pdf[once]
             known = dict(zip(some["own"], shared.value.judge([(i.astype(np.int64), c) for i, c in zip(some["ids"], some["counts"])], some["own"].tolist())))
             found = [known[t] for t in pdf["own"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": np.clip([s for s, _ in found], 0, 1), "evidence": [e for _, e in found]})
+            vote = np.array([v for v, _ in found])
+            scores = np.where(vote < 0, empty_rate, np.interp(vote, levels, rates))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": np.clip(scores, 0, 1), "evidence": [e for _, e in found]})
 
     return sparse.mapInPandas(judge, "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,toxic:int>>")
 
