@@ -30,6 +30,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -158,7 +159,6 @@ class Index:
         for i, key in enumerate(self.keys.tolist()):
             self.alike.setdefault(key, []).append(i)
         self.base = float(self.labels.mean()) if len(self.labels) else 0.0
-        self.levels, self.rates = np.array([0.0]), np.array([self.base])
         empty = self.labels[sizes == 0]
         self.empty_rate = float((empty.sum() + self.base) / (len(empty) + 1))
 
@@ -204,11 +204,6 @@ class Index:
         found = (np.flatnonzero(row > max(least - 1e-6, 1e-6)) for row, least in zip(seen, floor))
         return [(at, row[at]) for at, row in zip(found, seen)]
 
-    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
-        """Rates by vote from the examples' own votes."""
-        if len(votes):
-            self.levels, self.rates = _isotonic(votes, labels)
-
     def vote(self, at: np.ndarray, cos: np.ndarray) -> float:
         """Similarity-weighted share of toxic neighbours, shrunk by one example of the base rate."""
         return float(((cos * self.labels[at]).sum() + self.base) / (cos.sum() + 1))
@@ -263,7 +258,7 @@ def sample(docs: DataFrame, labels: DataFrame, max_examples: int) -> pd.DataFram
 
 def fit(examples: pd.DataFrame, number: np.ndarray, df: np.ndarray, n_docs: int, k: int) -> Index:
     """The index over the examples, whose terms have the given numbers and document frequencies."""
-    sizes = np.array([len(t) for t in examples["terms"]], np.int64)
+    sizes = np.array([len(c) for c in examples["counts"]], np.int64)
     copies = np.unique(examples["copy"].to_numpy(), return_inverse=True)[1]
     toxic = examples["toxic"].to_numpy(np.int64)
     weight = np.log((1 + n_docs) / (1 + df)) + 1
@@ -274,6 +269,20 @@ def fit(examples: pd.DataFrame, number: np.ndarray, df: np.ndarray, n_docs: int,
     return Index(vectors, toxic.astype(np.float64), examples["doc_id"], examples["own"], weight, k)
 
 
+class Deferred:
+    """An index that each worker builds for itself, once, from what is broadcast: the driver never holds it."""
+
+    def __init__(self, *parts):
+        self.parts = parts
+
+    def __reduce__(self):
+        return Deferred, self.parts
+
+    @cached_property
+    def index(self) -> Index:
+        return fit(*self.parts)
+
+
 def score(docs: DataFrame, labels: DataFrame, max_examples: int = 2500, k: int = 25) -> DataFrame:
     """(doc_id, score, evidence) of every document; evidence: up to five nearest examples (doc_id, similarity, toxic)."""
     spark = docs.sparkSession
@@ -281,6 +290,7 @@ def score(docs: DataFrame, labels: DataFrame, max_examples: int = 2500, k: int =
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
     examples = sample(texts, labels, max_examples)
     terms, number = np.unique(np.concatenate([np.zeros(0, np.int64), *examples["terms"]]).view(np.uint64), return_inverse=True)
+    number, examples = number.astype(np.int32), examples.drop(columns="terms")
     vocabulary = spark.sparkContext.broadcast(Vocabulary(terms))  # the examples' terms, bounded by max_examples
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -292,29 +302,29 @@ def score(docs: DataFrame, labels: DataFrame, max_examples: int = 2500, k: int =
     counted = sparse.select(F.explode("ids").alias("term")).groupBy("term").agg(F.count("*").alias("n")).toPandas()  # at most a row for each term
     df = np.zeros(len(terms), np.int64)
     df[counted["term"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-    index = fit(examples, number, df, sparse.count(), k)
-    shared = spark.sparkContext.broadcast(index)
+    shared = spark.sparkContext.broadcast(Deferred(examples, number, df, sparse.count(), k))
 
     def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = shared.value.judge([(i.astype(np.int64), c) for i, c in zip(pdf["ids"], pdf["counts"])], pdf["own"].tolist())
+            found = shared.value.index.judge([(i.astype(np.int64), c) for i, c in zip(pdf["ids"], pdf["counts"])], pdf["own"].tolist())
             yield pd.DataFrame({"toxic": pdf["toxic"], "vote": [v for v, _ in found]})
 
     # The examples' own votes, found in tasks; at most max_examples rows.
     known = spark.createDataFrame(examples[["doc_id", "own", "toxic"]].to_records(index=False).tolist(), "doc_id long, own long, toxic int")
     voted = sparse.join(F.broadcast(known), ["doc_id", "own"]).dropDuplicates(["doc_id"]).mapInPandas(votes, "toxic int, vote double").toPandas()
     voted = voted.sort_values(["vote", "toxic"])
-    index.calibrate(*(voted.loc[voted["vote"] >= 0, c].to_numpy(np.float64) for c in ("vote", "toxic")))
-    levels, rates, empty_rate = index.levels, index.rates, index.empty_rate
+    voted = voted[voted["vote"] >= 0]
+    base = float(examples["toxic"].mean()) if len(examples) else 0.0
+    levels, rates = _isotonic(voted["vote"].to_numpy(np.float64), voted["toxic"].to_numpy(np.float64)) if len(voted) else (np.array([0.0]), np.array([base]))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             once = ~pdf["own"].duplicated()  # copies within a batch
             some = pdf[once]
-            known = dict(zip(some["own"], shared.value.judge([(i.astype(np.int64), c) for i, c in zip(some["ids"], some["counts"])], some["own"].tolist())))
+            known = dict(zip(some["own"], shared.value.index.judge([(i.astype(np.int64), c) for i, c in zip(some["ids"], some["counts"])], some["own"].tolist())))
             found = [known[t] for t in pdf["own"]]
             vote = np.array([v for v, _ in found])
-            scores = np.where(vote < 0, empty_rate, np.interp(vote, levels, rates))
+            scores = np.where(vote < 0, shared.value.index.empty_rate, np.interp(vote, levels, rates))
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": np.clip(scores, 0, 1), "evidence": [e for _, e in found]})
 
     return sparse.mapInPandas(judge, "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,toxic:int>>")
