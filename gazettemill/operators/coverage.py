@@ -53,9 +53,11 @@ def weight(coverage: str, last_seen: str, as_of: Column, half_life: float = 12,
 
 
 def top_stories(articles: DataFrame, as_of: Column, story: str, limit: int, seen_hours: int = 48, candidates: int = 200) -> DataFrame:
-    """Front page: the ``limit`` heaviest of the latest stories; all stories if none is recent enough."""
-    spans = story_span(articles, story)
-    fresh = spans.where(F.col("last_seen") >= as_of - F.make_dt_interval(hours=F.lit(seen_hours))).orderBy(F.desc("last_seen"), story).limit(candidates)
+    """Front page: the ``limit`` heaviest of the latest stories; the ``limit`` latest if none was seen in ``seen_hours``."""
+    latest = story_span(articles, story).orderBy(F.desc("last_seen"), story).limit(candidates)
+    # A window over the candidates alone: never more than ``candidates`` rows.
+    seen = latest.withColumns({"recent": F.col("last_seen") >= as_of - F.make_dt_interval(hours=F.lit(seen_hours)), "place": F.row_number().over(Window.orderBy(F.desc("last_seen"), story))})
+    fresh = seen.withColumn("any", F.max("recent").over(Window.partitionBy())).where(F.col("recent") | (~F.col("any") & (F.col("place") <= limit))).select(story, "first_seen", "last_seen")
     ranked = fresh.join(recent_coverage(articles, as_of, story), story, "left").withColumn("recent_outlets", F.coalesce("recent_outlets", F.lit(1).cast("long")))
     return ranked.withColumn("weight", F.round(weight("recent_outlets", "last_seen", as_of), 4)).orderBy(F.desc("weight"), story).limit(limit).select(story, "recent_outlets", "weight")
 

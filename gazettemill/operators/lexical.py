@@ -39,6 +39,24 @@ def primary_topic(scores: DataFrame) -> DataFrame:
     return scores.withColumn("rn", F.row_number().over(best)).where("rn = 1").select("article_id", "topic", "score")
 
 
+def story_topics(stories: DataFrame, members: DataFrame, topics: DataFrame, titles: int = 8, top: int = 3) -> DataFrame:
+    """(story, topic, score, place): the ``top`` topics of a story's neutral title and its first ``titles`` members' titles.
+
+    ``stories`` holds story and title_neutral, ``members`` story, article_id, title and language. The language is
+    the one most of those members have (of equals the first by name); a story without members has no topic.
+    """
+    first = members.withColumn("nth", F.row_number().over(Window.partitionBy("story").orderBy("article_id"))).where(F.col("nth") <= titles)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.coalesce("title", F.lit("")).alias("title")))), lambda m: m["title"]), ". ")
+    gathered = first.groupBy("story").agg(joined.alias("titles"))
+    spoken = first.where("language is not null").groupBy("story", "language").agg(F.count("*").alias("n"))
+    main = spoken.withColumn("rn", F.row_number().over(Window.partitionBy("story").orderBy(F.desc("n"), "language"))).where("rn = 1").select("story", "language")
+    text = F.concat_ws(". ", "title_neutral", "titles").alias("text")
+    told = stories.join(gathered, "story").join(main, "story", "left").select(F.col("story").alias("article_id"), "language", text)
+    best = Window.partitionBy("article_id").orderBy(F.desc("score"), "ordinal")
+    ranked = topic_scores(told, topics, "text").withColumn("place", F.row_number().over(best).cast("long")).where(F.col("place") <= top)
+    return ranked.select(F.col("article_id").alias("story"), "topic", "score", "place")
+
+
 def frame_counts(articles: DataFrame, frames: DataFrame, text: str = "full_text", longest: int = 2) -> DataFrame:
     """(article_id, outlet, grp, term, n): whole-word counts of terms of up to ``longest`` words in the article's language."""
     w = T.words(F.col(text))

@@ -78,6 +78,45 @@ def sweep(pairs: DataFrame, similarity: str = "cosine", same: str = "same") -> D
     grid = pairs.sparkSession.range(1, 20).select((F.col("id") * 5 / 100).alias("threshold"))
     hit = F.col(similarity) >= F.col("threshold")
     sums = pairs.crossJoin(F.broadcast(grid)).groupBy("threshold").agg(F.count_if(hit & F.col(same)).alias("tp"), F.count_if(hit & ~F.col(same)).alias("fp"), F.count_if(~hit & F.col(same)).alias("fn"))  # 19 rows
+    return _rated(sums)
+
+
+def sweep_all(vectors: DataFrame) -> DataFrame:
+    """The sweep over every pair of different rows, in blocks of about ``BLOCK_ROWS``.
+
+    Two blocks meet once, in one matrix product that gives at most 40 counts: how many
+    of its pairs, of equal and of other labels, lie at each step of the thresholds.
+    """
+    n_slices = max(1, -(-vectors.count() // BLOCK_ROWS))
+    rows = vectors.select("vec_id", "embedding", "label").withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.lit(n_slices)))
+    blocks = rows.groupBy("slice").agg(F.collect_list(F.struct("vec_id", "embedding", "label")).alias("rows"))
+    lower = blocks.select("rows", F.explode(F.sequence(F.col("slice"), F.lit(n_slices - 1).cast("long"))).alias("slice"), F.col("slice").alias("from_slice"))
+    met = lower.join(blocks.withColumnRenamed("rows", "others"), "slice").select((F.col("slice") == F.col("from_slice")).alias("own"), "rows", "others")
+    steps = np.arange(1, 20) * 5 / 100
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def parts(xs):
+            m = np.array([x["embedding"] for x in xs], np.float64)
+            return np.array([x["vec_id"] for x in xs]), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12), np.array([x["label"] for x in xs])
+
+        for pdf in batches:
+            for own, one, other in zip(pdf["own"], pdf["rows"], pdf["others"]):
+                (i, a, la), (j, b, lb) = parts(one), parts(other)
+                counted = i[:, None] < j[None, :] if own else np.ones((len(i), len(j)), bool)
+                step = np.searchsorted(steps, (a @ b.T)[counted], side="right")
+                same = (la[:, None] == lb[None, :])[counted]
+                tally = np.array([np.bincount(step[same == s], minlength=20) for s in (False, True)])
+                yield pd.DataFrame([(k, s == 1, int(tally[s, k])) for s in (0, 1) for k in range(20)], columns=["step", "same", "n"])
+
+    tally = met.mapInPandas(count, "step long, same boolean, n long").groupBy("step", "same").agg(F.sum("n").alias("n"))
+    grid = vectors.sparkSession.range(1, 20).select("id", (F.col("id") * 5 / 100).alias("threshold"))
+    hit, same = F.col("step") >= F.col("id"), F.col("same")
+    total = lambda keep: F.coalesce(F.sum(F.when(keep, F.col("n"))), F.lit(0)).alias
+    sums = grid.join(F.broadcast(tally), F.lit(True), "left").groupBy("threshold").agg(total(hit & same)("tp"), total(hit & ~same)("fp"), total(~hit & same)("fn"))  # 40 rows
+    return _rated(sums)
+
+
+def _rated(sums: DataFrame) -> DataFrame:
     precision = F.when(F.col("tp") + F.col("fp") == 0, 1.0).otherwise(F.col("tp") / (F.col("tp") + F.col("fp")))
     recall = F.when(F.col("tp") + F.col("fn") == 0, 0.0).otherwise(F.col("tp") / (F.col("tp") + F.col("fn")))
     rated = sums.withColumns({"precision": precision, "recall": recall})

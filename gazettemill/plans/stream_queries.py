@@ -28,7 +28,7 @@ def _flushed(stream, spark, d, build):
     """
     closed = arrivals.drain(build(stream))
     batch = build(spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("article_id"), F.col("user_id").alias("outlet_id"), F.concat_ws("/", "event_type", F.date_format("ts", "yyyy-MM-dd")).alias("story"), F.col("ts").cast("timestamp").alias("published_at"), "event_type", "value"))
-    keys = [c for c in batch.columns if c in ("start", "event_type", "story", "outlet_id")]
+    keys = [c for c in batch.columns if c in ("start", "event_type", "story", "outlet_id", "article_id")]
     # An outer join, not an anti join: the optimizer would push that below the session windows.
     seen = closed.select(*keys, F.lit(True).alias("seen"))
     return closed.unionByName(batch.join(seen, keys, "left").where("seen is null").drop("seen"))
@@ -47,7 +47,7 @@ def st2(spark, d):
     return out.select(F.unix_seconds("start").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
 
 
-@query("st3_flash_candidates", """WITH e AS (SELECT user_id, event_type||'/'||strftime(ts,'%Y-%m-%d') AS story, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS b FROM events)
+@query("st3_flash_candidates", """WITH e AS (SELECT user_id, event_type||'/'||strftime(ts,'%Y-%m-%d') AS story, time_bucket(INTERVAL 10 MINUTE, ts) - k * INTERVAL 10 MINUTE AS b FROM events, range(12) r(k))
  SELECT epoch_us(b)//1000000 AS start, story, count(DISTINCT user_id) AS outlets FROM e GROUP BY 1,2 HAVING count(DISTINCT user_id)>=5""")
 def st3(spark, d):
     out = _flushed(arrivals.landed_events(spark, d), spark, d, arrivals.flash_candidates)
@@ -61,9 +61,8 @@ def st4(spark, d):
     return out.select("outlet_id", F.unix_seconds("start").alias("start"), "n")
 
 
-@query("st7_story_matches", """WITH e AS (SELECT event_id, event_type||'/'||strftime(ts,'%Y-%m-%d') AS story, ts FROM events) SELECT a.event_id AS article_id, b.event_id AS anchor_id, a.story FROM e a JOIN e b USING(story)
- WHERE b.event_id%10=0 AND a.ts>=b.ts AND a.ts<=b.ts + INTERVAL 1 HOUR AND a.event_id<>b.event_id""")
+@query("st7_story_matches", """WITH e AS (SELECT event_id, event_type||'/'||strftime(ts,'%Y-%m-%d') AS story, ts FROM events), h AS (SELECT story, time_bucket(INTERVAL 1 HOUR, ts) AS b, min(ts) AS f, max(ts) AS l, count(*) AS n FROM e GROUP BY 1,2)
+ SELECT event_id AS article_id, story, epoch_us(b)//1000000 AS start, n FROM e JOIN h USING(story) WHERE f<ts AND l>=ts - INTERVAL 72 HOUR""")
 def st7(spark, d):
-    a = arrivals.landed_events(spark, d)
-    anchors = arrivals.landed_events(spark, d).where("article_id % 10 = 0")
-    return arrivals.drain(arrivals.story_matches(a, anchors, 1, "365 days"))
+    out = _flushed(arrivals.landed_events(spark, d), spark, d, arrivals.story_matches)
+    return out.select("article_id", "story", F.unix_seconds("start").alias("start"), "n")

@@ -210,15 +210,12 @@ def c9(spark, d):
     return vectors.nearest_to_centroid(views.emb(spark, d))
 
 
-@query("c11_threshold_sweep", f"""WITH p AS (SELECT {_COS} AS c, a.label=b.label AS same FROM emb a JOIN emb b ON b.vec_id>a.vec_id AND b.vec_id<=a.vec_id+20), t AS (SELECT i*5/100.0 AS threshold FROM range(1,20) r(i)),
+@query("c11_threshold_sweep", f"""WITH p AS (SELECT {_COS} AS c, a.label=b.label AS same FROM emb a JOIN emb b ON b.vec_id>a.vec_id), t AS (SELECT i*5/100.0 AS threshold FROM range(1,20) r(i)),
  s AS (SELECT threshold, count(*) FILTER (c>=threshold AND same) AS tp, count(*) FILTER (c>=threshold AND NOT same) AS fp, count(*) FILTER (c<threshold AND same) AS fn FROM p, t GROUP BY 1),
  r AS (SELECT *, CASE WHEN tp+fp=0 THEN 1.0 ELSE tp/(tp+fp)::DOUBLE END AS pr, CASE WHEN tp+fn=0 THEN 0.0 ELSE tp/(tp+fn)::DOUBLE END AS rc FROM s)
  SELECT threshold::DOUBLE AS threshold, tp, fp, fn, round(pr,6)::DOUBLE AS precision, round(rc,6)::DOUBLE AS recall, round(CASE WHEN pr+rc=0 THEN 0 ELSE 2*pr*rc/(pr+rc) END,6)::DOUBLE AS f1 FROM r""", EMB)
 def c11(spark, d):
-    e = views.emb(spark, d).select("vec_id", "embedding", "label")
-    near = e.select(F.explode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + 20)).alias("vec_id"), F.col("embedding").alias("one"), F.col("label").alias("l1"))
-    pairs = near.join(e, "vec_id").select(T.cosine(F.col("one"), F.col("embedding")).alias("cosine"), (F.col("l1") == F.col("label")).alias("same"))
-    return vectors.sweep(pairs)
+    return vectors.sweep_all(views.emb(spark, d))
 
 
 @query("c4_story_assignment")
@@ -241,6 +238,21 @@ def n2(spark, d):
     return lexical.primary_topic(lexical.topic_scores(views.doc(spark, d), dims.topics(spark)))
 
 
+_STORY = f"""fm AS (SELECT * FROM (SELECT article_id//12 AS story, article_id, title, language, row_number() OVER (PARTITION BY article_id//12 ORDER BY article_id) AS nth FROM doc) WHERE nth<=8),
+ nt AS (SELECT article_id//12 AS story, arg_max(title, length(snippet)*1000000000-article_id) AS title_neutral FROM doc GROUP BY 1),
+ ln AS (SELECT story, language, row_number() OVER (PARTITION BY story ORDER BY count(*) DESC, language) AS rn FROM fm WHERE language IS NOT NULL GROUP BY 1,2),
+ tx AS (SELECT story, concat_ws('. ', first(title_neutral), string_agg(coalesce(title,''), '. ' ORDER BY nth)) AS text FROM fm JOIN nt USING(story) GROUP BY 1),
+ sw AS (SELECT DISTINCT tx.story, CASE WHEN language IN (SELECT lang FROM topics) THEN language ELSE 'en' END AS lang, unnest({_words("text")}) AS term FROM tx LEFT JOIN ln ON ln.story=tx.story AND rn=1),
+ st AS (SELECT story, topic, ordinal, round(count(*)/first(total)::DOUBLE,4) AS score FROM sw JOIN topics USING(lang, term) GROUP BY 1,2,3)"""
+
+
+@query("n2_story_topics", f"WITH {_STORY} SELECT story, topic, score, place FROM (SELECT *, row_number() OVER (PARTITION BY story ORDER BY score DESC, ordinal) AS place FROM st) WHERE place<=3", ("doc", "topics"))
+def n2_stories(spark, d):
+    told = views.doc(spark, d).withColumn("story", F.expr("article_id div 12"))
+    stories = told.groupBy("story").agg(F.max_by("title", F.struct(F.length("snippet").alias("n"), (-F.col("article_id")).alias("back"))).alias("title_neutral"))
+    return lexical.story_topics(stories, told.select("story", "article_id", "title", "language"), dims.topics(spark))
+
+
 _FRAME = f"""{_PAIRS}, gm AS (SELECT article_id, unnest(w) AS term FROM wl UNION ALL SELECT article_id, s FROM sg), fc AS (SELECT doc.article_id, outlet, grp, gm.term, count(*) AS n FROM gm JOIN doc USING(article_id) JOIN frames ON lang=language AND frames.term=gm.term GROUP BY 1,2,3,4)"""
 
 

@@ -64,12 +64,22 @@ def mastodon_links(spark: SparkSession, path: str) -> DataFrame:
     return raw.where("card.url is not null and card.title <> '' and reblog is null").select(F.col("card.url").alias("url"), F.col("card.title").alias("title"), F.col("url").alias("post_url"), "created_at")
 
 
-#: Language names of the news search.
-LANGUAGES = {"English": "en", "Italian": "it", "German": "de", "French": "fr", "Spanish": "es", "Russian": "ru", "Ukrainian": "uk"}
+#: Language names of the news search and their codes.
+LANGUAGES = {
+    "arabic": "ar", "chinese": "zh", "dutch": "nl", "english": "en", "french": "fr", "german": "de", "hebrew": "he", "hindi": "hi",
+    "italian": "it", "japanese": "ja", "korean": "ko", "portuguese": "pt", "russian": "ru", "spanish": "es", "turkish": "tr", "ukrainian": "uk",
+}
 
 
 def language_code(name: Column) -> Column:
-    return F.element_at(F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair)), name)
+    """Code of a language name in any case; null if unknown."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair)), F.lower(F.trim(name)))
+
+
+def labelled_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """(id, title_a, title_b, same_story, cross_language): title pairs for calibration from JSON lines; not across languages unless stated."""
+    raw = spark.read.schema("id string, title_a string, title_b string, same_story boolean, cross_language boolean").json(path)
+    return raw.where("id is not null and title_a is not null and title_b is not null and same_story is not null").withColumn("cross_language", F.coalesce("cross_language", F.lit(False)))
 
 
 def compact_time(text: Column) -> Column:

@@ -54,7 +54,7 @@ def windowed_coverage(articles: DataFrame, width: str = "1 hour", late: str = "1
     return articles.withWatermark("published_at", late).groupBy(F.window("published_at", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("window.start").alias("start"), "event_type", "n", "value")
 
 
-def flash_candidates(articles: DataFrame, min_outlets: int = 5, width: str = "2 hours", slide: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+def flash_candidates(articles: DataFrame, min_outlets: int = 5, width: str = "2 hours", slide: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
     """Sliding windows in which ``min_outlets`` different outlets covered a story; sets are bounded by the outlets."""
     grouped = articles.withWatermark("published_at", late).groupBy(F.window("published_at", width, slide), "story").agg(F.size(F.collect_set("outlet_id")).cast("long").alias("outlets"))
     return grouped.where(F.col("outlets") >= min_outlets).select(F.col("window.start").alias("start"), "story", "outlets")
@@ -65,12 +65,19 @@ def activity_sessions(articles: DataFrame, key: str, gap: str = "72 hours", late
     return articles.withWatermark("published_at", late).groupBy(F.session_window("published_at", gap), key).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("start"), "n")
 
 
-def story_matches(articles: DataFrame, stories: DataFrame, hours: int = 72, late: str = "10 minutes") -> DataFrame:
-    """Interval join: articles within ``hours`` after a story's activity in the same story key."""
-    a = articles.withWatermark("published_at", late)
-    s = stories.select(F.col("story").alias("s_story"), F.col("published_at").alias("last_seen"), F.col("article_id").alias("anchor_id")).withWatermark("last_seen", late)
-    near = F.expr(f"story = s_story and published_at >= last_seen and published_at <= last_seen + interval {hours} hours and article_id <> anchor_id")
-    return a.join(s, near).select("article_id", "anchor_id", "story")
+def story_matches(articles: DataFrame, hours: int = 72, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """(article_id, story, start, n): the articles' earlier activity of their story within ``hours``.
+
+    A story's activity is reduced to one row for each ``width`` first, so an article meets a bounded number of rows
+    (73 at most) however busy its story is. An hour counts if it began before the article and was still active
+    ``hours`` before it.
+    """
+    a = articles.select("article_id", F.col("story").alias("of_story"), "published_at").withWatermark("published_at", late)
+    hourly = articles.withWatermark("published_at", late).groupBy(F.window("published_at", width), "story")
+    activity = hourly.agg(F.min("published_at").alias("first_at"), F.max("published_at").alias("last_at"), F.count("*").alias("n"))
+    activity = activity.select("story", F.window_time("window").alias("closed"), F.col("window.start").alias("start"), "first_at", "last_at", "n")
+    kept = F.expr(f"of_story = story and published_at >= closed - interval {width} and published_at <= closed + interval {hours} hours")
+    return a.join(activity, kept & F.expr(f"first_at < published_at and last_at >= published_at - interval {hours} hours")).select("article_id", "story", "start", "n")
 
 
 def split_late(articles: DataFrame, horizon_start) -> tuple[DataFrame, DataFrame]:
