@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as T
+from ..session import shared_dir
 
 
 def simhash(articles: DataFrame, text: str = "full_text", size: int = 2) -> DataFrame:
@@ -62,29 +63,33 @@ def repeats_in_outlet(prints: DataFrame, distance: int = 3) -> DataFrame:
 
 
 def greedy_keep(prints: DataFrame, distance: int = 3) -> DataFrame:
-    """Sequential rule: an article stays unless near a kept earlier one of its outlet.
+    """Sequential rule: an article stays unless near a kept earlier one of its outlet, however long ago.
 
-    Only articles that have a near pair at all go through the fold, one
-    (outlet, fold) group at a time.
+    Decided in rounds of joins on the near pairs. Articles without an undecided earlier neighbour stay, their
+    later neighbours go, and pairs of decided articles leave the table; the smallest article of what remains is
+    decided in every round, and the rounds are as many as the longest chain of neighbours that decide each other.
+    Every round is written to the shared folder. Copies of one fingerprint follow their first article.
     """
-    near = near_pairs(prints, distance, ["outlet"])
-    involved = near.select("outlet", F.explode(F.array("a", "b")).alias("article_id")).distinct().join(prints, ["outlet", "article_id"])
-
-    def fold(pdf):
-        kept, out = [], []
-        for article, fp in sorted(zip(pdf["article_id"], pdf["fp"])):
-            keep = all((int(fp) ^ k).bit_count() > distance if (int(fp) ^ k) >= 0 else ((int(fp) ^ k) & (1 << 64) - 1).bit_count() > distance for k in kept)
-            if keep:
-                kept.append(int(fp))
-            out.append((article, keep))
-        import pandas as pd
-
-        return pd.DataFrame(out, columns=["article_id", "kept"])
-
-    folded = involved.groupBy("outlet").applyInPandas(fold, "article_id long, kept boolean")
+    spark, path = prints.sparkSession, shared_dir(prints.sparkSession, "greedy")
+
+    def written(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    pairs, turn = written(near_pairs(prints, distance, ["outlet"]).select("a", "b"), "pairs-0"), 0
+    dropped = pairs.select(F.col("b").alias("article_id")).limit(0)
+    while not pairs.isEmpty():
+        turn += 1
+        kept = pairs.select("a").distinct().join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        gone = written(pairs.join(kept, "a", "left_semi").select(F.col("b").alias("article_id")).distinct(), f"gone-{turn}")
+        dropped = dropped.union(gone)
+        rest = pairs.join(kept, "a", "left_anti")
+        for end in ("a", "b"):
+            rest = rest.join(gone.withColumnRenamed("article_id", end), end, "left_anti")
+        pairs = written(rest.select("a", "b"), f"pairs-{turn}")
     first = F.min("article_id").over(Window.partitionBy("outlet", "fp"))
-    marked = prints.withColumn("copy", F.col("article_id") > first).join(folded, "article_id", "left")
-    return marked.select("article_id", "outlet", (~F.col("copy") & F.coalesce("kept", F.lit(True))).alias("kept"))
+    marked = prints.withColumn("copy", F.col("article_id") > first).join(dropped.withColumn("gone", F.lit(True)), "article_id", "left")
+    return marked.select("article_id", "outlet", (~F.col("copy") & F.col("gone").isNull()).alias("kept"))
 
 
 def unknown(incoming: DataFrame, stored: DataFrame, url: str = "url", order: str = "page_id") -> DataFrame:

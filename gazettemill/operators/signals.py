@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -123,6 +125,18 @@ def outlet_blind_spot_summary(articles: DataFrame, keep: int = 50) -> DataFrame:
     )
 
 
+def signal_rows(kind: str, rows: DataFrame, outlet: str, value: Column, axis: Column | None = None) -> DataFrame:
+    """One family of signals in long form: (outlet, type, axis, value), values as JSON."""
+    none = F.lit(None).cast("string")
+    return rows.select(F.col(outlet).cast("string").alias("outlet"), F.lit(kind).alias("type"), (none if axis is None else axis.cast("string")).alias("axis"), F.to_json(value).alias("value"))
+
+
+def signal_run(families: list[DataFrame], period_start: Column, period_end: Column) -> DataFrame:
+    """All families of one window, dated: (outlet, type, axis, period_start, period_end, value), the key of a replacing write but for the value."""
+    rows = functools.reduce(DataFrame.unionByName, families)
+    return rows.select("outlet", "type", "axis", period_start.alias("period_start"), period_end.alias("period_end"), "value")
+
+
 def _big_pairs(articles: DataFrame, min_outlets: int) -> DataFrame:
     pairs = articles.select("outlet_id", "country", "story_id").distinct()
     big = pairs.groupBy("story_id").agg(F.count("*").alias("covering_sources"), F.countDistinct("country").alias("covering_countries")).where(F.col("covering_sources") >= min_outlets)

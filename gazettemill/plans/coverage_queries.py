@@ -522,14 +522,3 @@ def s14(spark, d):
 def s15(spark, d):
     shares = signals.topic_shares(views.cov(spark, d)).groupBy("outlet_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("topic", "n")))).alias("value"))
     return shares.select(F.concat(F.lit("o"), F.col("outlet_id").cast("string")).alias("slug"), F.lit("agenda").alias("type"), F.to_json("value").alias("value"))
-
-
-@query("b20_signal_run", f"""WITH {_SHARES}, {_SPOTS}, {_PAIRS} SELECT 'agenda' AS type, count(DISTINCT outlet_id) AS n FROM s UNION ALL SELECT 'blindspot', count(DISTINCT outlet_id) FROM sp UNION ALL SELECT 'cocoverage', count(DISTINCT outlet_id) FROM p""", COV)
-def b20(spark, d):
-    c = views.cov(spark, d)
-    runs = [("agenda", signals.topic_shares(c)), ("blindspot", signals.outlet_blind_spots(c)), ("cocoverage", signals.cocoverage_pairs(c))]
-    out = None
-    for kind, rows in runs:
-        one = rows.agg(F.countDistinct("outlet_id").alias("n")).select(F.lit(kind).alias("type"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions import tokens as T
-from ..operators import dedup, lexical, vectors
+from ..operators import annotation, dedup, lexical, signals, vectors
+from . import coverage_queries as cq
 from . import views
 
 QUERIES: dict = {}
@@ -348,3 +349,26 @@ def b21(spark, d):
         part = model.transform(e.where(F.col("fold") == fold)).select("vec_id", "fold", F.abs(F.col("prediction") - F.col("label")).alias("error"))
         out = part if out is None else out.unionByName(part)
     return out.groupBy("fold").agg(F.count("*").alias("n"), F.avg("error").alias("mae"))
+
+
+@query("b20_signal_run", f"""WITH {cq._AGENDA}, {cq._SPOTS}, {cq._PAIRS}, {_FRAME}, {_TONE}
+ SELECT 'agenda' AS type, count(DISTINCT outlet_id) AS outlets, count(DISTINCT outlet_id) AS signals FROM a WHERE c>=2 UNION ALL SELECT 'cocoverage', count(DISTINCT outlet_id), count(DISTINCT outlet_id) FROM p
+ UNION ALL SELECT 'blindspot', count(DISTINCT outlet_id), count(DISTINCT outlet_id) FROM sp
+ UNION ALL SELECT 'framing', count(DISTINCT outlet), count(DISTINCT outlet) FROM fc WHERE outlet IN (SELECT outlet FROM doc GROUP BY 1 HAVING count(*)>=5)
+ UNION ALL SELECT 'tone', count(DISTINCT outlet), count(DISTINCT outlet) FROM tn UNION ALL SELECT 'annotation', count(DISTINCT outlet), count(DISTINCT outlet||axis) FROM ann""", ("cov", "doc", "ann", "frames", "valence"))
+def b20(spark, d):
+    """Signals of each family over the whole fixture; the given prose cites nobody, so the family of speakers is empty here and in the SQL."""
+    c, a = views.cov(spark, d), views.doc(spark, d)
+    pairs = lambda key, value: F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value))))
+    families = [
+        signals.signal_rows("agenda", signals.agenda(c).groupBy("outlet_id").agg(pairs("topic", "deviation").alias("v")), "outlet_id", F.col("v")),
+        signals.signal_rows("cocoverage", signals.cocoverage_map(c), "outlet_id", F.struct("x", "y")),
+        signals.signal_rows("blindspot", signals.outlet_blind_spot_summary(c), "outlet_id", F.struct("n", "peers")),
+        signals.signal_rows("framing", lexical.outlet_framing(lexical.frame_counts(a, dims.frames(spark)), a).groupBy("outlet").agg(pairs(F.concat_ws("/", "grp", "term").alias("term"), "n").alias("v")), "outlet", F.col("v")),
+        signals.signal_rows("actors", lexical.outlet_speakers(lexical.cited_speakers(a)).groupBy("outlet").agg(pairs("speaker", "n").alias("v")), "outlet", F.col("v")),
+        signals.signal_rows("tone", lexical.outlet_tone(lexical.tone(a, dims.valence(spark))), "outlet", F.struct("negative", "neutral", "positive")),
+        signals.signal_rows("annotation", annotation.signals(views.ann(spark, d), min_alpha=-1.0), "outlet", F.struct("label", "published", "missing"), F.col("axis")),
+    ]
+    first, last = c.agg(F.min("published_at"), F.max("published_at")).first()
+    run = signals.signal_run(families, F.lit(first), F.lit(last))
+    return run.groupBy("type").agg(F.countDistinct("outlet").alias("outlets"), F.count("*").alias("signals"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -28,6 +29,16 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(shutil.make_archive(str(staged / "gazettemill"), "zip", staged / "pkg"))
 
 
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder on the storage that driver and executors share: below spark.checkpoint.dir, a local one only for a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="gazettemill-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def build_session(app: str = "gazettemill", cpus: int | str = "*", **conf: str) -> SparkSession:
     """Local session for development; on a cluster the submit settings win.
 

@@ -7,15 +7,13 @@ landed and stops, into a table on shared storage.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tokens
+from ..session import shared_dir
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -26,15 +24,9 @@ def landed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select(F.col("event_id").alias("article_id"), F.col("user_id").alias("outlet_id"), F.concat_ws("/", "event_type", F.date_format("ts", "yyyy-MM-dd")).alias("story"), F.col("ts").cast("timestamp").alias("published_at"), "event_type", "value")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder on the storage that all executors share; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gazettemill-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Process all that has landed, write it as Parquet with a checkpoint, and read it back."""
-    spark, path = stream.sparkSession, shared_dir(stream.sparkSession)
+    spark, path = stream.sparkSession, shared_dir(stream.sparkSession, "stream")
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gazettemill.functions import tokens
-from gazettemill.operators import annotation, lexical, signals, vectors
+from gazettemill.operators import annotation, coverage, dedup, lexical, signals, vectors
 from gazettemill.sources import feeds
 from gazettemill.streaming import arrivals
 
@@ -69,6 +69,8 @@ def test_search_and_social(spark, tmp_path):
 
 
 def test_small_parsers(spark):
+    for name, code in ((" KOREAN ", "ko"), ("Dutch", "nl"), ("Klingon", None)):
+        assert one(spark, feeds.language_code(F.col("t")), t=name) == code
     assert one(spark, feeds.compact_time(F.col("t")), t="bad") is None
     assert one(spark, F.struct(*feeds.account_parts(F.col("u"))), u="https://mas.to/@ann") == ("mas.to", "ann")
     assert one(spark, feeds.first_image(F.lit(""), F.col("t"), F.lit("e")), t="thumb") == "thumb"
@@ -171,3 +173,36 @@ def test_late_split_and_state(spark, tmp_path):
     spark.createDataFrame([(1, "k", 0.0, [1.0, 0.0]), (2, "k", 1.0, [1.0, 0.1]), (3, "k", 2.0, [0.0, 1.0]), (4, "j", 0.0, [0.0, 1.0])], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
     out = arrivals.drain(arrivals.stateful_stories(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "block", 0.5))
     assert {r["article_id"]: r["story"] for r in out.collect()} == {1: "k/0", 2: "k/0", 3: "k/1", 4: "j/0"}
+
+
+def test_labelled_pairs(spark, tmp_path):
+    rows = [{"id": "1", "title_a": "a", "title_b": "b", "same_story": True, "cross_language": True}, {"id": "2", "title_a": "a", "title_b": "c", "same_story": False}, {"id": "3", "title_a": "a"}]
+    (tmp_path / "p.json").write_text("\n".join(map(json.dumps, rows)))
+    assert sorted((r["id"], r["same_story"], r["cross_language"]) for r in feeds.labelled_pairs(spark, f"{tmp_path}/p.json").collect()) == [("1", True, True), ("2", False, False)]
+
+
+def test_front_page_falls_back_to_the_latest(spark):
+    seen = spark.createDataFrame([(s, 1, dt.datetime(2024, 1, s)) for s in (1, 2, 3)], "story long, outlet_id long, published_at timestamp")
+    page = lambda day: {r["story"] for r in coverage.top_stories(seen, F.lit(dt.datetime(2024, 1, day)), "story", 2).collect()}
+    assert page(4) == {2, 3} and page(30) == {2, 3} and coverage.top_stories(seen.limit(0), F.lit(dt.datetime(2024, 1, 4)), "story", 2).count() == 0
+
+
+def test_story_topics(spark):
+    stories = spark.createDataFrame([(1, "Money"), (2, "nothing")], "story long, title_neutral string")
+    members = spark.createDataFrame([(1, 1, "the vote", "en"), (1, 2, "geld", "de"), (1, 3, None, "en"), (2, 4, "x", None)] + [(2, i, "y", "en") for i in range(5, 12)] + [(2, 12, "vote", "en")], "story long, article_id long, title string, language string")
+    topics = spark.createDataFrame([("economy", 0, "en", "money", 1), ("politics", 1, "en", "vote", 2), ("economy", 0, "de", "geld", 1)], "topic string, ordinal int, lang string, term string, total int")
+    rows = lexical.story_topics(stories, members, topics).collect()
+    assert sorted((r["story"], r["topic"], r["score"], r["place"]) for r in rows) == [(1, "economy", 1.0, 1), (1, "politics", 0.5, 2)]
+
+
+def test_greedy_keep_decides_in_order(spark):
+    chain = [(i, "o", v) for i, v in enumerate([0, 0b111, 0b111111, 0b111111111, 0, 1 << 40])] + [(9, "p", 0)]
+    kept = dedup.greedy_keep(spark.createDataFrame(chain, "article_id long, outlet string, fp long"))
+    assert sorted(r["article_id"] for r in kept.where("kept").collect()) == [0, 2, 9]
+    assert sorted(r["article_id"] for r in kept.where("not kept").collect()) == [1, 3, 4, 5]
+
+
+def test_stories_do_not_live_across_a_gap(spark):
+    rows = [(1, "x", 0.0, [1.0, 0.0]), (2, "x", 10.0, [1.0, 0.1]), (3, "x", 90.0, [1.0, 0.0]), (4, "x", 91.0, [0.0, 1.0])]
+    got = {r["article_id"]: r["story"] for r in vectors.assign_stories(spark.createDataFrame(rows, "article_id long, block string, t double, embedding array<double>"), "block").collect()}
+    assert got[1] == got[2] and len(set(got.values())) == 3
