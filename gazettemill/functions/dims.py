@@ -12,6 +12,9 @@ STOP_WORDS = {
     "en": "the of and to in is that for it with as was on be at by this from are or an have has not but",
     "fr": "le la les de des du et en un une est que qui dans pour sur par au aux avec pas ce",
     "de": "der die das und ist von den dem mit nicht ein eine zu im auf für als auch sich es",
+    "it": "il lo la gli le di del della e che in un una per con non è sono da al dei si come anche più",
+    "pt": "o a os as de do da dos das e que em um uma por para com não no na se ao é mais como",
+    "nl": "de het een en van in is dat op te voor met niet zijn aan er om ook als bij door naar dan",
     "es": "el la los las de del y que en un una es por con para se su al lo como",
 }
 

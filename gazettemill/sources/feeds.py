@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from ..functions import tokens
 
-_FEED = "title string, link string, description string, pubDate string, updated string, author string, thumbnail string"
+_LINK = "array<struct<_VALUE:string,_href:string,_rel:string>>"
+_FEED = f"title string, link {_LINK}, description string, summary string, pubDate string, published string, updated string, author string, thumbnail string"
 
 
 _CATALOGUE = ["slug", "name", "domain", "country", "language", "region", "enabled", "feed_urls"]
@@ -25,13 +26,17 @@ def catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rss_items(spark: SparkSession, path: str, tag: str = "item") -> DataFrame:
-    """RSS items (or Atom entries) with a link and a title; published, else updated date."""
+    """RSS items, or Atom entries (``tag`` entry), with a link and a title; published, else updated date.
+
+    RSS writes the link as text, Atom as the address of a link without a relation or of an alternate.
+    """
     raw = spark.read.format("xml").option("rowTag", tag).schema(_FEED).load(path)
     title = F.trim(F.regexp_replace(tokens.unescape(F.col("title")), r"\s+", " "))
+    stated = F.transform("link", lambda x: F.when(F.coalesce(x["_rel"], F.lit("alternate")) == "alternate", F.coalesce(F.nullif(F.trim(x["_VALUE"]), F.lit("")), F.trim(x["_href"]))))
     return raw.select(
-        F.trim("link").alias("url"), title.alias("title"), tokens.snippet(F.coalesce("description", F.lit(""))).alias("snippet"),
-        F.coalesce("pubDate", "updated").alias("published"), first_image(F.lit(None).cast("string"), F.col("thumbnail"), F.lit(None).cast("string")).alias("image"),
-        authors(F.lit(None).cast("array<string>"), F.col("author")).alias("authors"),
+        F.get(F.filter(stated, lambda u: u != ""), 0).alias("url"), title.alias("title"), tokens.snippet(F.coalesce("description", "summary", F.lit(""))).alias("snippet"),
+        F.coalesce("pubDate", "published", "updated").alias("published"), first_image(F.lit(None).cast("string"), F.col("thumbnail"), F.lit(None).cast("string")).alias("image"),
+        authors(F.lit(None).cast("array<string>"), F.regexp_replace("author", r"<[^>]*>", "")).alias("authors"),
     ).where("url <> '' and title <> ''")
 
 

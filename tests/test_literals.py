@@ -175,6 +175,15 @@ def test_late_split_and_state(spark, tmp_path):
     assert {r["article_id"]: r["story"] for r in out.collect()} == {1: "k/0", 2: "k/0", 3: "k/1", 4: "j/0"}
 
 
+def test_atom_feed(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(
+        '<feed><entry><title>T</title><link rel="self" href="http://e.org/self"/><link rel="alternate" href="http://e.org/1"/><summary>S</summary><published>p</published><updated>u</updated><author><name>Ann</name></author></entry>'
+        '<entry><title>U</title><link href="http://e.org/2"/><updated>u</updated></entry><entry><title>V</title></entry></feed>'
+    )
+    rows = feeds.rss_items(spark, str(tmp_path), "entry").collect()
+    assert [(r["url"], r["title"], r["snippet"], r["published"], r["authors"]) for r in rows] == [("http://e.org/1", "T", "S", "p", ["Ann"]), ("http://e.org/2", "U", "", "u", None)]
+
+
 def test_labelled_pairs(spark, tmp_path):
     rows = [{"id": "1", "title_a": "a", "title_b": "b", "same_story": True, "cross_language": True}, {"id": "2", "title_a": "a", "title_b": "c", "same_story": False}, {"id": "3", "title_a": "a"}]
     (tmp_path / "p.json").write_text("\n".join(map(json.dumps, rows)))
