@@ -28,9 +28,10 @@ Other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import cached_property
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -38,12 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import Generations
 
 BLOCK = 64
 COMMON = 16
 #: Texts whose neighbours are sought together.
 TOGETHER = 256
+#: Words a worker remembers from one batch to the next.
+REMEMBERED = 500_000
 FLOOR = 0.05
 #: Standard errors between a term's log odds and their lower bound.
 CAUTION = 2.0
@@ -58,17 +60,6 @@ def _hashes(word: str) -> list[int]:
     return [xxh3_64_intdigest(word), *(xxh3_64_intdigest(word[:k] + "-") for k in _PREFIXES if len(word) > k)]
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words and word prefixes of a text, in order, and their counts."""
-    hashes, counts = [], []
-    for word, n in Counter(_WORD.findall(text.lower())).items():
-        own = _hashes(word)
-        hashes += own
-        counts += [n] * len(own)
-    found, at = np.unique(np.array(hashes, np.uint64), return_inverse=True)
-    return found, np.bincount(at, counts, len(found)).astype(np.int64)
-
-
 def _copy_key(text: str) -> int:
     """Smallest hash of the five-word shingles: alike for near copies."""
     from xxhash import xxh64_intdigest
@@ -90,31 +81,67 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.arange(total[-1] if len(total) else 0) + np.repeat(starts - total + sizes, sizes)
 
 
+class Words(dict):
+    """The integers that ``make`` gives for a word, remembered for all words met; texts are counted by them."""
+
+    def __init__(self, make):
+        self.make = make
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
+        # Integers of word i: flat[starts[i] : starts[i + 1]].
+        self.flat, self.starts = array("Q", [0]), array("q", [1])
+
+    def __missing__(self, word: str) -> int:
+        self.flat.extend(self.make(word))
+        self[word] = len(self.starts) - 1
+        self.starts.append(len(self.flat))
+        return self[word]
+
+    def counted(self, texts: Iterable[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The different integers of each text's words, in order, and their counts."""
+        if len(self) > REMEMBERED:
+            self._forget()
+        number = self.__getitem__
+        texts = [np.array(list(map(number, _WORD.findall(text.lower()))), np.int64) for text in texts]
+        flat, starts = np.frombuffer(self.flat, np.uint64), np.frombuffer(self.starts, np.int64)
+        out = []
+        for words in texts:
+            words.sort()
+            first = np.flatnonzero(np.append(True, words[1:] != words[:-1])) if len(words) else words
+            times, words = np.diff(np.append(first, len(words))), words[first]
+            lows, highs = starts[words], starts[words + 1]
+            found, times = flat[_ranges(lows, highs)], np.repeat(times, highs - lows)
+            order = np.argsort(found)
+            found, times = found[order], times[order]
+            first = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else found.astype(np.int64)
+            out.append((found[first], np.add.reduceat(times, first) if len(first) else first))
+        return out
+
+
+def features(texts: Iterable[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the words and word prefixes of each text, in order, and their counts."""
+    return Words(_hashes).counted(texts)
+
+
 class Vocabulary:
     """The examples' terms by hash, in order; a worker remembers those of the words it met."""
 
     def __init__(self, terms: np.ndarray):
-        self.terms, self.words, self.numbers = terms, Generations(self._numbers), None
+        self.terms = terms
 
     def __reduce__(self):
         return Vocabulary, (self.terms,)
 
-    def _numbers(self, word: str) -> list[int]:
-        if self.numbers is None:
-            self.numbers = dict(zip(self.terms.tolist(), range(len(self.terms))))
-        return [self.numbers[h] for h in _hashes(word) if h in self.numbers]
+    @cached_property
+    def _words(self) -> Words:
+        numbers = dict(zip(self.terms.tolist(), range(len(self.terms))))
+        return Words(lambda word: [numbers[h] for h in _hashes(word) if h in numbers])
 
-    def known(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and counts of the known terms of a text."""
-        ids: list[int] = []
-        counts: list[int] = []
-        for word, n in Counter(_WORD.findall(text.lower())).items():
-            own = self.words[word]
-            ids += own
-            counts += [n] * len(own)
-        self.words.turn()
-        found, at = np.unique(np.array(ids, np.int64), return_inverse=True)
-        return found, np.bincount(at, counts, len(found)).astype(np.int64)
+    def known(self, texts: Iterable[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Numbers and counts of the known terms of each text."""
+        return [(ids.astype(np.int32), counts) for ids, counts in self._words.counted(texts)]
 
 
 def relevance(term: np.ndarray, example: np.ndarray, toxic: np.ndarray, copies: np.ndarray, n_terms: int) -> np.ndarray:
@@ -177,7 +204,7 @@ class Index:
     def _nearest(self, ids, units, without) -> list[tuple[np.ndarray, np.ndarray]]:
         n, width = len(ids), self.n_blocks * BLOCK
         common_part = np.zeros((n, len(self.blocks)), np.float32)
-        cosine = np.zeros((n, width))
+        cosine = np.zeros((n, width), np.float32)
         for j, (i, unit) in enumerate(zip(ids, units)):
             rows = self.row[i]
             wide = rows >= 0
@@ -192,13 +219,16 @@ class Index:
         floor = np.maximum(np.partition(cosine, -k, axis=1)[:, -k], 0)
         bound = cosine.reshape(n, self.n_blocks, BLOCK).max(axis=2) + common_part @ self.most
         order = np.argsort(-bound.max(axis=0), kind="stable")
-        seen = np.zeros((n, width))
+        seen = np.zeros((n, width), np.float32)
         for at, b in enumerate(order):
             asks = np.flatnonzero(bound[:, b] >= np.maximum(floor - 1e-6, 1e-9))
             if len(asks):
                 own = slice(b * BLOCK, (b + 1) * BLOCK)
-                seen[asks, own] = cosine[asks, own] + common_part[asks] @ self.blocks[:, b]
-            if at % 16 == 7:
+                if len(asks) == n:
+                    seen[:, own] = cosine[:, own] + common_part @ self.blocks[:, b]
+                else:
+                    seen[asks, own] = cosine[asks, own] + common_part[asks] @ self.blocks[:, b]
+            if at == 7:
                 floor = np.maximum(floor, np.partition(seen, -k, axis=1)[:, -k])
         floor = np.maximum(np.partition(seen, -k, axis=1)[:, -k], 0)
         found = (np.flatnonzero(row > max(least - 1e-6, 1e-6)) for row, least in zip(seen, floor))
@@ -242,31 +272,46 @@ def _learnable(labels: DataFrame) -> DataFrame:
     return known.where(~held_out("doc_id"))
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_examples: int) -> pd.DataFrame:
-    """(doc_id, toxic, copy, own, terms, counts) of at most ``max_examples`` labelled documents."""
+class Examples(NamedTuple):
+    """The labelled examples by doc_id, their terms and counts one example after the other."""
+
+    doc_id: np.ndarray
+    toxic: np.ndarray
+    copy: np.ndarray
+    own: np.ndarray
+    sizes: np.ndarray
+    terms: np.ndarray
+    counts: np.ndarray
+
+
+def sample(docs: DataFrame, labels: DataFrame, max_examples: int) -> Examples:
+    """At most ``max_examples`` labelled documents; their terms are hashes."""
     chosen = common.cut(_learnable(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples), "chosen")
     texts = docs.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [features(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "copy": [_copy_key(t) for t in pdf["text"]], "own": [_text_key(t) for t in pdf["text"]], "terms": [h.view(np.int64) for h, _ in found], "counts": [c for _, c in found]})
+            found = features(pdf["text"])
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "copy": [_copy_key(t) for t in pdf["text"]], "own": [_text_key(t) for t in pdf["text"]], "terms": [h.view(np.int64) for h, _ in found], "counts": [c.astype(np.int32) for _, c in found]})
 
-    examples = texts.mapInPandas(read, "doc_id long, toxic int, copy long, own long, terms array<long>, counts array<long>").toPandas()
-    return examples.sort_values("doc_id").reset_index(drop=True)
+    rows = texts.mapInPandas(read, "doc_id long, toxic int, copy long, own long, terms array<long>, counts array<int>").toArrow()
+    rows = rows.sort_by("doc_id").combine_chunks()
+    flat = {name: rows[name].combine_chunks() for name in rows.column_names}
+    plain = [flat[name].to_numpy(zero_copy_only=False) for name in ("doc_id", "toxic", "copy", "own")]
+    terms, counts = (flat[name].flatten().to_numpy(zero_copy_only=False) for name in ("terms", "counts"))
+    return Examples(*plain, np.diff(flat["terms"].offsets.to_numpy()), terms.view(np.uint64), counts)
 
 
-def fit(examples: pd.DataFrame, number: np.ndarray, df: np.ndarray, n_docs: int, k: int) -> Index:
-    """The index over the examples, whose terms have the given numbers and document frequencies."""
-    sizes = np.array([len(c) for c in examples["counts"]], np.int64)
-    copies = np.unique(examples["copy"].to_numpy(), return_inverse=True)[1]
-    toxic = examples["toxic"].to_numpy(np.int64)
+def fit(examples: Examples, df: np.ndarray, n_docs: int, k: int) -> Index:
+    """The index over the examples, whose terms are numbers, with these document frequencies."""
+    n, toxic = len(examples.sizes), examples.toxic.astype(np.int64)
+    copies = np.unique(examples.copy, return_inverse=True)[1]
     weight = np.log((1 + n_docs) / (1 + df)) + 1
-    if len(examples):
-        weight = weight * relevance(number, np.repeat(np.arange(len(examples)), sizes), toxic, copies, len(df))
-    at = np.split(number, np.cumsum(sizes)[:-1]) if len(examples) else []
-    vectors = [(i.astype(np.int64), np.asarray(c)) for i, c in zip(at, examples["counts"])]
-    return Index(vectors, toxic.astype(np.float64), examples["doc_id"], examples["own"], weight, k)
+    if n:
+        weight = weight * relevance(examples.terms, np.repeat(np.arange(n), examples.sizes), toxic, copies, len(df))
+    ends = np.cumsum(examples.sizes)
+    vectors = [(examples.terms[b - m : b].astype(np.int64), examples.counts[b - m : b]) for b, m in zip(ends.tolist(), examples.sizes.tolist())]
+    return Index(vectors, toxic.astype(np.float64), examples.doc_id, examples.own, weight, k)
 
 
 class Deferred:
@@ -289,20 +334,20 @@ def score(docs: DataFrame, labels: DataFrame, max_examples: int = 2500, k: int =
     common.small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
     examples = sample(texts, labels, max_examples)
-    terms, number = np.unique(np.concatenate([np.zeros(0, np.int64), *examples["terms"]]).view(np.uint64), return_inverse=True)
-    number, examples = number.astype(np.int32), examples.drop(columns="terms")
+    terms, number = np.unique(examples.terms, return_inverse=True)
+    examples = examples._replace(terms=number.astype(np.int32))
     vocabulary = spark.sparkContext.broadcast(Vocabulary(terms))  # the examples' terms, bounded by max_examples
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [vocabulary.value.known(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "own": [_text_key(t) for t in pdf["text"]], "ids": [i.astype(np.int32) for i, _ in found], "counts": [c.astype(np.int32) for _, c in found]})
+            found = vocabulary.value.known(pdf["text"])
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "own": [_text_key(t) for t in pdf["text"]], "ids": [i for i, _ in found], "counts": [c.astype(np.int32) for _, c in found]})
 
     sparse = common.cut(texts.mapInPandas(vectors, "doc_id long, own long, ids array<int>, counts array<int>"), "vectors")
     counted = sparse.select(F.explode("ids").alias("term")).groupBy("term").agg(F.count("*").alias("n")).toPandas()  # at most a row for each term
     df = np.zeros(len(terms), np.int64)
     df[counted["term"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(Deferred(examples, number, df, sparse.count(), k))
+    shared = spark.sparkContext.broadcast(Deferred(examples, df, sparse.count(), k))
 
     def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -310,11 +355,11 @@ def score(docs: DataFrame, labels: DataFrame, max_examples: int = 2500, k: int =
             yield pd.DataFrame({"toxic": pdf["toxic"], "vote": [v for v, _ in found]})
 
     # The examples' own votes, found in tasks; at most max_examples rows.
-    known = spark.createDataFrame(examples[["doc_id", "own", "toxic"]].to_records(index=False).tolist(), "doc_id long, own long, toxic int")
+    known = spark.createDataFrame(list(zip(*(x.tolist() for x in (examples.doc_id, examples.own, examples.toxic)))), "doc_id long, own long, toxic int")
     voted = sparse.join(F.broadcast(known), ["doc_id", "own"]).dropDuplicates(["doc_id"]).mapInPandas(votes, "toxic int, vote double").toPandas()
     voted = voted.sort_values(["vote", "toxic"])
     voted = voted[voted["vote"] >= 0]
-    base = float(examples["toxic"].mean()) if len(examples) else 0.0
+    base = float(examples.toxic.mean()) if len(examples.toxic) else 0.0
     levels, rates = _isotonic(voted["vote"].to_numpy(np.float64), voted["toxic"].to_numpy(np.float64)) if len(voted) else (np.array([0.0]), np.array([base]))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -152,11 +152,11 @@ def test_op3(spark, sf, documents):
 
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", common.text_or_empty().alias("text"))
     examples = toxicity.sample(docs, spark.read.parquet(f"{sf}/labels.parquet"), 4000)
-    terms, number = np.unique(np.concatenate(list(examples["terms"])).view(np.uint64), return_inverse=True)
+    terms, number = np.unique(examples.terms, return_inverse=True)
     words = toxicity.Vocabulary(terms)
-    found = {d["doc_id"]: words.known(d["text"] or "") for d in documents}
+    found = dict(zip([d["doc_id"] for d in documents], words.known([d["text"] or "" for d in documents])))
     df = np.bincount(np.concatenate([i for i, _ in found.values()]), minlength=len(terms))
-    index = toxicity.fit(examples, number, df, len(documents), 25)
+    index = toxicity.fit(examples._replace(terms=number), df, len(documents), 25)
 
     def dense(ids, counts):
         v = np.zeros(len(terms))
@@ -165,7 +165,7 @@ def test_op3(spark, sf, documents):
 
     texts = {d["doc_id"]: d["text"] or "" for d in documents}
     matrix = np.array([dense(*found[i]) for i in index.doc_ids])
-    assert all((words.known(texts[i])[0] == np.flatnonzero(m)).all() for i, m in zip(index.doc_ids[:20], matrix))
+    assert all((words.known([texts[i]])[0][0] == np.flatnonzero(m)).all() for i, m in zip(index.doc_ids[:20], matrix))
     for doc_id, (ids, counts) in found.items():
         own = [j for j, i in enumerate(index.doc_ids) if texts[i] == texts[doc_id]]
         cos = matrix @ dense(ids, counts)
