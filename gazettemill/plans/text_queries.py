@@ -126,9 +126,9 @@ def d2(spark, d):
     return dedup.near_pairs(dedup.simhash(views.doc(spark, d)))
 
 
-@query("d4_latest_prints", "SELECT article_id, outlet FROM (SELECT article_id, outlet, row_number() OVER (PARTITION BY outlet ORDER BY article_id DESC) AS rn FROM doc) WHERE rn<=30", DOC)
+@query("d4_latest_prints", "SELECT article_id, outlet FROM (SELECT article_id, outlet, row_number() OVER (PARTITION BY outlet ORDER BY article_id DESC) AS rn FROM doc) WHERE rn<=300", DOC)
 def d4(spark, d):
-    return dedup.latest_prints(views.doc(spark, d).select("article_id", "outlet"), 30)
+    return dedup.latest_prints(views.doc(spark, d).select("article_id", "outlet"), 300)
 
 
 @query("d5_repeats_in_outlet", f"""WITH {_SIMHASH}, co AS (SELECT outlet, hi, lo, min(article_id) AS id FROM sh GROUP BY 1,2,3)

@@ -124,16 +124,56 @@ COMMITMENTS = [
 ]
 
 
+def _part(node: Column, *names: str) -> Column:
+    """The values of these keys of a variant as one array; a list counts as its members, a missing key as none."""
+    got = [F.try_variant_get(node, f'$["{name}"]', "variant") for name in names]
+    return F.filter(F.flatten(F.array(*(_listed(v) for v in got))), lambda v: v.isNotNull())
+
+
+def _listed(value: Column) -> Column:
+    return F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array(value))
+
+
+def _web_addresses(value: Column) -> Column:
+    """http addresses of a value: of the string itself, or of an object's url or @id."""
+    text = lambda path: F.try_variant_get(value, path, "string")
+    return F.filter(F.array(text("$"), text("$.url"), text('$["@id"]')), lambda t: F.coalesce(F.trim(t).rlike("^(?i)https?://"), F.lit(False)))
+
+
 def trust_markup(pages: DataFrame) -> DataFrame:
-    """(domain, commitments, score) from JSON-LD blocks: commitments whose value holds an http URL."""
+    """(domain, commitments, score) from JSON-LD blocks: commitments of organisations whose value holds an http URL.
+
+    Organisations are looked for in lists, under @graph, and as publisher or parent, up to three steps down.
+    """
     blocks = pages.select("domain", F.explode(F.regexp_extract_all("html", F.lit(r"(?s)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))).alias("block"))
-    held = blocks.where(F.try_parse_json("block").isNotNull() & F.col("block").rlike(r'"@type"\s*:\s*\[?\s*"[^"]*(Organization|Media)'))
-    named = F.array_compact(F.array(*(F.when(F.col("block").rlike(rf'"{c}"\s*:\s*(\[\s*)?(\{{[^}}]*)?"https?://'), c) for c in COMMITMENTS)))
+    level = blocks.select("domain", F.explode(_listed(F.try_parse_json("block"))).alias("node")).where("node is not null")
+    nodes = level
+    for _ in range(3):
+        level = level.select("domain", F.explode(_part(F.col("node"), "@graph", "publisher", "parentOrganization")).alias("node"))
+        nodes = nodes.union(level)
+    kinds = F.transform(_part(F.col("node"), "@type"), lambda t: F.try_variant_get(t, "$", "string"))
+    held = nodes.where(F.exists(kinds, lambda t: F.coalesce(t.rlike("Organization|Media"), F.lit(False))))
+    stated = lambda c: F.exists(_part(F.col("node"), c), lambda v: F.size(_web_addresses(v)) > 0)
+    named = F.array_compact(F.array(*(F.when(stated(c), c) for c in COMMITMENTS)))
     each = held.select("domain", F.explode(named).alias("commitment")).distinct()
     found = each.groupBy("domain").agg(F.array_sort(F.collect_list("commitment")).alias("commitments"), F.count("*").alias("score"))
     return pages.select("domain").distinct().join(found, "domain", "left").withColumn("score", F.coalesce("score", F.lit(0)))
 
 
+def feed_links(pages: DataFrame) -> DataFrame:
+    """(url, feed): distinct absolute addresses of the RSS and Atom feeds that pages (url, html) declare as alternates."""
+    attribute = lambda name: F.trim(F.regexp_extract("tag", rf"""(?i)\s{name}\s*=\s*["']?([^"'>]*)""", 1))
+    tags = pages.select("url", F.explode(F.regexp_extract_all("html", F.lit(r"(?i)(<link\s[^>]*>)"), F.lit(1))).alias("tag"))
+    feeds = tags.where(attribute("rel").rlike(r"(?i)(^|\s)alternate(\s|$)") & attribute("type").rlike(r"(?i)^application/(rss|atom)\+xml"))
+    href, scheme = tokens.unescape(attribute("href")), F.regexp_extract("url", r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
+    origin, folder = F.regexp_extract("url", r"^([^:/]+://[^/?#]+)", 1), F.regexp_extract("url", r"^([^:/]+://[^/?#]+(?:/[^?#]*(?=/))?)", 1)
+    absolute = (
+        F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, href)).when(href.startswith("/"), F.concat(origin, href))
+        .otherwise(F.concat(folder, F.lit("/"), href))
+    )
+    return feeds.where(href != "").select("url", absolute.alias("feed")).where(F.col("feed").rlike("^(?i)https?://")).distinct()
+
+
 def script_language(text: Column) -> Column:
     """Language by majority alphabet; Cyrillic splits by marker letters; null for Latin."""
     count = lambda p: F.regexp_count(text, F.lit(p))

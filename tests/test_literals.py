@@ -215,3 +215,22 @@ def test_stories_do_not_live_across_a_gap(spark):
     rows = [(1, "x", 0.0, [1.0, 0.0]), (2, "x", 10.0, [1.0, 0.1]), (3, "x", 90.0, [1.0, 0.0]), (4, "x", 91.0, [0.0, 1.0])]
     got = {r["article_id"]: r["story"] for r in vectors.assign_stories(spark.createDataFrame(rows, "article_id long, block string, t double, embedding array<double>"), "block").collect()}
     assert got[1] == got[2] and len(set(got.values())) == 3
+
+
+def test_feed_links(spark):
+    html = """<head><link rel="alternate" type="application/rss+xml" href="/feed?a=1&amp;b=2"><LINK TYPE='application/atom+xml' HREF='//cdn.example/atom' REL='alternate home'>
+    <link rel="alternate" type="application/rss+xml" href="local.xml"/><link rel=alternate type=application/rss+xml href=ftp://x/feed><link rel="stylesheet" href="/s.css"><link rel="alternate" hreflang="it" href="/it"></head>"""
+    got = feeds.feed_links(spark.createDataFrame([("https://a.example/news/today?x", html), ("https://b.example", html), (None, None)], "url string, html string")).collect()
+    assert {(r["url"], r["feed"]) for r in got} == {
+        ("https://a.example/news/today?x", f) for f in ("https://a.example/feed?a=1&b=2", "https://cdn.example/atom", "https://a.example/news/local.xml")
+    } | {("https://b.example", f) for f in ("https://b.example/feed?a=1&b=2", "https://cdn.example/atom", "https://b.example/local.xml")}
+
+
+def test_trust_markup_below_other_nodes(spark):
+    block = lambda x: f'<script type="application/ld+json">{x}</script>'
+    graph = """{"@graph": [{"@type": "WebPage", "ethicsPolicy": "https://no.example"}, {"@type": "Article", "publisher": {"@type": ["NewsMediaOrganization"],
+     "ethicsPolicy": {"@id": "https://x.example/e"}, "masthead": ["none", {"url": "http://x.example/m"}], "diversityPolicy": "none",
+     "parentOrganization": {"@type": "Organization", "ownershipFundingInfo": "https://x.example/o"}}}]}"""
+    rows = [("graph", block(graph)), ("list", block('[{"@type": "Organization", "correctionsPolicy": "https://y.example"}]')), ("broken", block("{")), ("none", None)]
+    got = {r["domain"]: (r["commitments"], r["score"]) for r in feeds.trust_markup(spark.createDataFrame(rows, "domain string, html string")).collect()}
+    assert got == {"graph": (["ethicsPolicy", "masthead", "ownershipFundingInfo"], 3), "list": (["correctionsPolicy"], 1), "broken": (None, 0), "none": (None, 0)}
