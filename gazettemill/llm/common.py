@@ -54,10 +54,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     The written table survives lost executors, and its file sizes give the
     planner real statistics for its own broadcast-or-shuffle choice.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
+    return df.sparkSession.read.schema(df.schema).parquet(write(df, name))
+
+
+def write(df: DataFrame, name: str) -> str:
+    """Write ``df`` into the shared folder; the path."""
+    path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, ctph, decontam, htmlmain, linededup, packing, secrets, simhash, suffixdedup, tokenfiles, toxicity
+from . import common, ctph, decontam, htmlmain, linededup, packing, secrets, simhash, suffixdedup, tokenfiles, toxicity, whitening
 
 
 def _tokenizer(name: str) -> str:
@@ -61,6 +61,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read().select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(common.read(spark, sf_dir, "embeddings"), components=4, scale=256))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_best_fit_packing, op3_toxicity, op4_line_dedup, op5_main_text, op6_repeated_substrings, op7_piecewise_hashes, op8_secret_scan, op9_benchmark_decontamination, op10_token_files, pipeline)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_best_fit_packing, op3_toxicity, op4_line_dedup, op5_main_text, op6_repeated_substrings, op7_piecewise_hashes, op8_secret_scan, op9_benchmark_decontamination, op10_token_files, op11_whitening, pipeline)}
 
 
 _OP4 = """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
