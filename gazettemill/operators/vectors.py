@@ -145,22 +145,3 @@ def fold_stories(rows: list[tuple], threshold: float, window_hours: float = 72)
             at = len(stories) - 1
         out.append(at)
     return out
-
-
-def assign_stories(articles: DataFrame, block: str, threshold: float = 0.18, window_hours: float = 72) -> DataFrame:
-    """(article_id, story): the sequential fold within each candidate block (block, article_id, t in hours, embedding).
-
-    A block is cut where nothing comes for longer than the window, as no story lives across such a gap.
-    """
-    order = Window.partitionBy(block).orderBy("t", "article_id")
-    gap = F.coalesce((F.col("t") - F.lag("t").over(order) > window_hours).cast("long"), F.lit(0))
-    cut = articles.withColumn("gap", gap).withColumn("stretch", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("gap")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "article_id"])
-        unit = [np.array(v, np.float64) / max(float(np.linalg.norm(v)), 1e-12) for v in pdf["embedding"]]
-        found = fold_stories(list(zip(pdf["t"], unit)), threshold, window_hours)
-        name = f"{pdf[block].iat[0]}/{pdf['stretch'].iat[0]}"
-        return pd.DataFrame({"article_id": pdf["article_id"], "story": [f"{name}/{s}" for s in found]})
-
-    return cut.groupBy(block, "stretch").applyInPandas(run, "article_id long, story string")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions import tokens as T
-from ..operators import annotation, dedup, lexical, signals, vectors
+from ..operators import annotation, dedup, lexical, stories, signals, vectors
 from . import coverage_queries as cq
 from . import views
 
@@ -221,8 +221,9 @@ def c11(spark, d):
 
 @query("c4_story_assignment")
 def c4(spark, d):
-    e = views.emb(spark, d)
-    return vectors.assign_stories(e.select(F.col("vec_id").alias("article_id"), F.col("label").alias("block"), F.col("vec_id").cast("double").alias("t"), "embedding"), "block", 0.18)
+    """Embeddings with the times of events, in order of time; a story is open for 72 hours after its last article."""
+    timed = views.arr(spark, d).select("article_id", (F.unix_micros("published_at") / 3.6e9).alias("t"), "embedding")
+    return stories.assign_stories(timed, threshold=0.18, window_hours=72)
 
 
 _TOPIC = f"""tm AS (SELECT DISTINCT article_id, CASE WHEN language IN (SELECT lang FROM topics) THEN language ELSE 'en' END AS lang, unnest({_words("full_text")}) AS term FROM doc),

@@ -64,6 +64,15 @@ def emb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings")
 
 
+def arr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as timed articles: each takes time, outlet and desk of an event, spread evenly over the events."""
+    vectors, events = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "events")
+    step = vectors.agg((F.max("vec_id") + 1).alias("v")).crossJoin(events.agg((F.max("event_id") + 1).alias("e"))).select(F.floor(F.col("e") / F.col("v")).alias("step"))  # one row
+    placed = vectors.crossJoin(F.broadcast(step)).select("vec_id", "embedding", (F.col("vec_id") * F.col("step")).alias("event_id"))
+    timed = events.select("event_id", F.col("ts").cast("timestamp").alias("published_at"), F.col("user_id").alias("outlet_id"), F.col("event_type").alias("desk"))
+    return placed.join(timed, "event_id").select(F.col("vec_id").alias("article_id"), "published_at", "outlet_id", "desk", "embedding")
+
+
 def page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")
 

@@ -1,4 +1,4 @@
-"""Structured Streaming forms: arrival dedup, windows, flash, sessions, interval joins, stateful stories.
+"""Structured Streaming forms: arrival dedup, windows, flash, sessions, interval joins.
 
 Each function takes a streaming (or batch) DataFrame and returns one; sinks
 and triggers belong to the caller. ``drain`` runs a query over what has
@@ -7,8 +7,9 @@ landed and stops, into a table on shared storage.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import contextlib
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +25,57 @@ def landed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select(F.col("event_id").alias("article_id"), F.col("user_id").alias("outlet_id"), F.concat_ws("/", "event_type", F.date_format("ts", "yyyy-MM-dd")).alias("story"), F.col("ts").cast("timestamp").alias("published_at"), "event_type", "value")
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process all that has landed, write it as Parquet with a checkpoint, and read it back."""
+CLOSING = "~closing"
+
+
+class Closing:
+    """A stream that is empty until ``land`` puts one article of another story and outlet into it, later than all others.
+
+    Joined to a landed stream, it moves the watermark past every window that
+    the landed rows left open, as the next day's arrivals would.
+    """
+
+    def __init__(self, landed: DataFrame, batch: DataFrame, hours: int = 24 * 7):
+        self.spark, self.path = landed.sparkSession, shared_dir(landed.sparkSession, "closing")
+        self.schema, self.batch, self.hours = landed.schema, batch, hours
+        self.spark.createDataFrame([], landed.schema).write.parquet(self.path)
+        self.stream = landed.unionByName(self.spark.readStream.schema(landed.schema).parquet(self.path))
+
+    def land(self) -> None:
+        latest = self.batch.agg(F.max("published_at").alias("published_at"))
+        at = F.coalesce("published_at", F.timestamp_seconds(F.lit(0))) + F.make_dt_interval(hours=F.lit(self.hours))
+        dull = {"string": F.lit(CLOSING), "array": F.array()}
+        values = [at if f.name == "published_at" else dull.get(f.dataType.typeName(), F.lit(-1)).cast(f.dataType) for f in self.schema]
+        latest.select(*(v.alias(f.name) for v, f in zip(values, self.schema))).write.mode("append").parquet(self.path)
+
+
+@contextlib.contextmanager
+def state_store(spark: SparkSession, provider: str) -> Iterator[None]:
+    """The session's state store while streams are started."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+
+
+def run_landed(writer, path: str) -> None:
+    """Start a stream's writer on the checkpoint below ``path``, process what has landed since its last run, and stop."""
+    writer.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def drain(stream: DataFrame, mode: str = "append", then: tuple = ()) -> DataFrame:
+    """Process all that has landed into a Parquet table with a checkpoint, and read that back.
+
+    Each of ``then`` lands more; after each the stream restarts from its checkpoint.
+    """
     spark, path = stream.sparkSession, shared_dir(stream.sparkSession, "stream")
-    query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    for land in (None, *then):
+        if land is not None:
+            land()
+        run_landed(stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/out"), path)
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
@@ -76,37 +123,3 @@ def split_late(articles: DataFrame, horizon_start) -> tuple[DataFrame, DataFrame
     """Rows within the look-back, and older ones for the side batch that widens first_seen."""
     late = F.col("published_at") < horizon_start
     return articles.where(~late), articles.where(late)
-
-
-def stateful_stories(articles: DataFrame, block: str, threshold: float = 0.18, window_hours: float = 72) -> DataFrame:
-    """Story of each article, fold state per block: centroid, size and last time of active stories.
-
-    Rows of a block are folded in (time, id) order within a micro-batch;
-    stories idle for longer than the window leave the state.
-    """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def fold(key, batches, state: GroupState):
-        stories = [[int(i), np.array(c), int(n), float(t)] for i, c, n, t in zip(*state.get)] if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["t", "article_id"])
-        following = max((s[0] for s in stories), default=-1) + 1
-        out = []
-        for article, t, vector in zip(rows["article_id"], rows["t"], rows["embedding"]):
-            v = np.array(vector, float)
-            v /= max(float(np.linalg.norm(v)), 1e-12)
-            active = [s for s in stories if s[3] >= t - window_hours]
-            best = max(active, key=lambda s: float(s[1] @ v), default=None)
-            if best is None or float(best[1] @ v) < threshold:
-                best = [following, v, 0, t]
-                following += 1
-                stories.append(best)
-            mean = (best[1] * best[2] + v) / (best[2] + 1)
-            best[1], best[2], best[3] = mean / max(float(np.linalg.norm(mean)), 1e-12), best[2] + 1, max(best[3], t)
-            out.append((article, f"{key[0]}/{best[0]}"))
-        last = max((s[3] for s in stories), default=0.0)
-        stories = [s for s in stories if s[3] >= last - window_hours]
-        state.update(([s[0] for s in stories], [s[1].tolist() for s in stories], [s[2] for s in stories], [s[3] for s in stories]))
-        yield pd.DataFrame(out, columns=["article_id", "story"])
-
-    kept = "ids array<long>, centroids array<array<double>>, sizes array<long>, last array<double>"
-    return articles.groupBy(block).applyInPandasWithState(fold, "article_id long, story string", kept, "append", GroupStateTimeout.NoTimeout)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gazettemill.functions import tokens
-from gazettemill.operators import annotation, coverage, dedup, lexical, signals, vectors
+from gazettemill.operators import annotation, coverage, dedup, lexical, signals, stories, vectors
 from gazettemill.sources import feeds
 from gazettemill.streaming import arrivals
 
@@ -165,14 +165,10 @@ def test_small_map_is_empty(spark):
     assert signals.cocoverage_map(rows).count() == 0
 
 
-def test_late_split_and_state(spark, tmp_path):
+def test_late_split(spark):
     rows = spark.createDataFrame([(1, dt.datetime(2024, 1, 1)), (2, dt.datetime(2024, 1, 9))], "article_id long, published_at timestamp")
     fresh, late = arrivals.split_late(rows, F.lit(dt.datetime(2024, 1, 5)))
     assert [r["article_id"] for r in fresh.collect()] == [2] and [r["article_id"] for r in late.collect()] == [1]
-    schema = "article_id long, block string, t double, embedding array<double>"
-    spark.createDataFrame([(1, "k", 0.0, [1.0, 0.0]), (2, "k", 1.0, [1.0, 0.1]), (3, "k", 2.0, [0.0, 1.0]), (4, "j", 0.0, [0.0, 1.0])], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
-    out = arrivals.drain(arrivals.stateful_stories(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "block", 0.5))
-    assert {r["article_id"]: r["story"] for r in out.collect()} == {1: "k/0", 2: "k/0", 3: "k/1", 4: "j/0"}
 
 
 def test_atom_feed(spark, tmp_path):
@@ -212,9 +208,9 @@ def test_greedy_keep_decides_in_order(spark):
 
 
 def test_stories_do_not_live_across_a_gap(spark):
-    rows = [(1, "x", 0.0, [1.0, 0.0]), (2, "x", 10.0, [1.0, 0.1]), (3, "x", 90.0, [1.0, 0.0]), (4, "x", 91.0, [0.0, 1.0])]
-    got = {r["article_id"]: r["story"] for r in vectors.assign_stories(spark.createDataFrame(rows, "article_id long, block string, t double, embedding array<double>"), "block").collect()}
-    assert got[1] == got[2] and len(set(got.values())) == 3
+    rows = [(1, 0.0, [1.0, 0.0]), (2, 10.0, [1.0, 0.1]), (3, 90.0, [1.0, 0.0]), (4, 91.0, [0.0, 1.0])]
+    got = {r["article_id"]: r["story"] for r in stories.assign_stories(spark.createDataFrame(rows, "article_id long, t double, embedding array<double>"), slice_rows=2).collect()}
+    assert got == {1: 0, 2: 0, 3: 1, 4: 2}
 
 
 def test_feed_links(spark):
