@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,8 +25,10 @@ COUNTRY_FIXES = {
     "saudi arabia": "Saudi Arabia", "south korea": "South Korea", "north korea": "North Korea", "new zealand": "New Zealand",
 }
 
-#: Named character references that snippets meet; numeric ones go by rule.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+#: The standard's character references: names with their semicolon, older names that may lack it, and the numbers that mean Windows-1252.
+NAMED = {name: text for name, text in html.entities.html5.items() if name.endswith(";")}
+BARE = sorted((name for name in html.entities.html5 if not name.endswith(";")), key=lambda n: (-len(n), n))
+CP1252 = {n: bytes([n]).decode("cp1252") for n in range(0x80, 0xA0) if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
 
 def words(text: Column) -> Column:
@@ -38,10 +43,35 @@ def shingles(tokens: Column, n: int) -> Column:
     return F.transform(F.array(tokens), grams)[0]
 
 
+def _character(code: Column) -> Column:
+    """The character of a numeric reference; what isn't one becomes the replacement character, control codes go."""
+    old = F.create_map(*(F.lit(x) for n, c in CP1252.items() for x in (n, c)))
+    none = code.isNull() | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    control = code.between(1, 8) | code.isin(0x0B) | code.between(0x0E, 0x1F) | code.between(0x7F, 0x9F) | code.between(0xFDD0, 0xFDEF) | (code % 0x10000 >= 0xFFFE)
+    return F.when(none, F.lit("\ufffd")).when(code.between(0x80, 0x9F) & F.map_contains_key(old, code.cast("int")), F.try_element_at(old, code.cast("int"))).when(control, F.lit("")).otherwise(plain)
+
+
 def unescape(text: Column) -> Column:
-    for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Character references decoded as browsers do: numbers, names, and older names without a semicolon."""
+    known = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
+    old = F.from_json(F.lit(json.dumps({n: html.entities.html5[n] for n in BARE})), "map<string,string>")
+
+    def decoded(part: Column) -> Column:
+        number, hexed = F.regexp_extract(part, "^#([0-9]+);?", 1), F.regexp_extract(part, "^#[xX]([0-9a-fA-F]+);?", 1)
+        digits = F.ltrim(hexed, F.lit("0"))
+        code = F.when(number != "", number.try_cast("long")).when(digits == "", F.lit(0).cast("long")).when(F.length(digits) <= 7, F.conv(digits, 16, 10).try_cast("long"))
+        name, bare = F.regexp_extract(part, "^([A-Za-z][A-Za-z0-9]*;)", 1), F.regexp_extract(part, "^(" + "|".join(BARE) + ")", 1)
+        after = lambda length: F.substring(part, length + 1, F.length(part))
+        numeric = F.concat(_character(code), F.regexp_replace(part, "^#([0-9]+|[xX][0-9a-fA-F]+);?", ""))
+        return (
+            F.when((number != "") | (hexed != ""), numeric).when(F.map_contains_key(known, name), F.concat(F.try_element_at(known, name), after(F.length(name))))
+            .when(bare != "", F.concat(F.try_element_at(old, bare), after(F.length(bare)))).otherwise(F.concat(F.lit("&"), part))
+        )
+
+    parts = F.split(text, "&")
+    rest = F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decoded), "")
+    return F.when(text.contains("&"), F.concat(parts[0], rest)).otherwise(text)
 
 
 def canonical_url(url: Column) -> Column:
@@ -63,9 +93,9 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1))
 
 
-def snippet(html: Column, limit: int = 200) -> Column:
+def snippet(markup: Column, limit: int = 200) -> Column:
     """Plain text with single spaces, cut at a word with an ellipsis."""
-    text = F.trim(F.regexp_replace(unescape(F.regexp_replace(html, r"<[^>]*>", " ")), r"\s+", " "))
+    text = F.trim(F.regexp_replace(unescape(F.regexp_replace(markup, r"<[^>]*>", " ")), r"\s+", " "))
     cut = F.substring(text, 1, limit - 1)
     at_word = F.when(cut.contains(" "), F.regexp_extract(cut, r"^(.*) ", 1)).otherwise(cut)
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(at_word, F.lit("…")))

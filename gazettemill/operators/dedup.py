@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +96,48 @@ def greedy_keep(prints: DataFrame, distance: int = 3) -> DataFrame:
     return marked.select("article_id", "outlet", (~F.col("copy") & F.col("gone").isNull()).alias("kept"))
 
 
+def _recent(distance: int, limit: int):
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The slice's articles of an outlet in order, after the kept ones carried into it (``carried``)."""
+        pdf = pdf.sort_values(["carried", "article_id"], ascending=[False, True])
+        prints, ids, carried = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["article_id"].to_numpy(), pdf["carried"].to_numpy()
+        window = np.zeros(len(pdf), np.uint64)  # kept prints, the latest last
+        last, kept = 0, np.zeros(len(pdf), bool)
+        for i, fp in enumerate(prints):
+            near = not carried[i] and (np.bitwise_count(window[max(0, last - limit) : last] ^ fp) <= distance).any()
+            if not near:
+                window[last], kept[i], last = fp, True, last + 1
+        return pd.DataFrame({"outlet": pdf["outlet"].iat[0], "article_id": ids, "fp": pdf["fp"], "carried": carried, "kept": kept})
+
+    return decide
+
+
+def keep_recent(prints: DataFrame, distance: int = 3, limit: int = 300, slice_rows: int = 1_000_000) -> DataFrame:
+    """(article_id, outlet, kept): an article stays unless near one of the ``limit`` latest kept articles of its outlet.
+
+    The decision is sequential in an outlet. The table is cut into slices of
+    about ``slice_rows`` by article_id; in a slice each outlet is one group, so a task
+    holds an outlet's share of one slice. The last ``limit`` kept prints of
+    every outlet are carried to the next slice in a written table.
+    """
+    spark, path = prints.sparkSession, shared_dir(prints.sparkSession, "recent")
+    shape = "outlet string, article_id long, fp long, carried boolean, kept boolean"
+    prints = prints.select(F.col("outlet").cast("string").alias("outlet"), F.col("article_id").cast("long").alias("article_id"), "fp", F.lit(False).alias("carried"))
+    slices = max(1, -(-prints.count() // slice_rows))
+    cuts = sorted(set(prints.approxQuantile("article_id", [k / slices for k in range(1, slices)], 0.1 / slices))) if slices > 1 else []
+    newest = Window.partitionBy("outlet").orderBy(F.desc("article_id"))
+    carried, done = None, []
+    for turn, (low, high) in enumerate(zip([None, *cuts], [*cuts, None])):
+        part = prints if low is None else prints.where(F.col("article_id") >= int(low))
+        part = part if high is None else part.where(F.col("article_id") < int(high))
+        rows = part if carried is None else part.unionByName(carried)
+        rows.groupBy("outlet").applyInPandas(_recent(distance, limit), shape).write.parquet(f"{path}/{turn}")
+        out = spark.read.schema(shape).parquet(f"{path}/{turn}")
+        done.append(out.where("not carried"))
+        carried = out.where("kept").withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= limit).select("outlet", "article_id", "fp", F.lit(True).alias("carried"))
+    return functools.reduce(DataFrame.unionByName, done).select("article_id", "outlet", "kept")
+
+
 def unknown(incoming: DataFrame, stored: DataFrame, url: str = "url", order: str = "page_id") -> DataFrame:
     """Incoming rows whose URL and canonical URL aren't stored, the first of each canonical URL."""
     new = incoming.withColumn("canonical", T.canonical_url(F.col(url)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -57,11 +58,99 @@ def story_topics(stories: DataFrame, members: DataFrame, topics: DataFrame, titl
     return ranked.select(F.col("article_id").alias("story"), "topic", "score", "place")
 
 
-def frame_counts(articles: DataFrame, frames: DataFrame, text: str = "full_text", longest: int = 2) -> DataFrame:
-    """(article_id, outlet, grp, term, n): whole-word counts of terms of up to ``longest`` words in the article's language."""
-    w = T.words(F.col(text))
-    grams = articles.select("article_id", "outlet", F.col("language").alias("lang"), F.explode(F.concat(*(T.shingles(w, n) for n in range(1, longest + 1)))).alias("term"))
-    return grams.join(F.broadcast(frames), ["lang", "term"]).groupBy("article_id", "outlet", "grp", "term").agg(F.count("*").alias("n"))
+def variants(word: str) -> set[str]:
+    """Inflections of a word of over three letters: o to i, a to e, e to i at its end, and a plural s."""
+    ends = {"o": "i", "a": "e", "e": "i"}
+    found = {word}
+    if len(word) > 3:
+        if word[-1] in ends:
+            found.add(word[:-1] + ends[word[-1]])
+        if not word.endswith("s"):
+            found.add(word + "s")
+    return found
+
+
+_TERM_WORD = re.compile(r"\w+")
+
+
+class TermTrie:
+    """Terms of a dictionary as a trie of words, each word in all its inflections; finds all terms in one pass.
+
+    As a text is read word by word, the places in the trie that a term begun
+    at an earlier word has reached move on; a word that no place continues
+    with ends them. Words of a term stand apart by white space only. A term's
+    own occurrences don't overlap.
+    """
+
+    def __init__(self, terms: list[tuple[str, str]]):
+        self.next: list[dict[str, list[int]]] = [{}]
+        self.ends: list[list[tuple[str, str, int]]] = [[]]
+        for group, term in terms:
+            words, at = term.lower().split(), 0
+            for word in words:
+                forms = tuple(sorted(variants(word)))
+                known = self.next[at].setdefault(forms[0] if len(forms) == 1 else "|".join(forms), [])
+                if not known:
+                    known.append(len(self.next))
+                    self.next.append({})
+                    self.ends.append([])
+                at = known[0]
+            if words:
+                self.ends[at].append((group, term, len(words)))
+        # By form: places that a word leads to.
+        for place, ways in enumerate(self.next):
+            by_form: dict[str, list[int]] = {}
+            for forms, to in ways.items():
+                for form in forms.split("|"):
+                    by_form.setdefault(form, []).extend(to)
+            self.next[place] = by_form
+
+    def count(self, text: str) -> Counter:
+        counts: Counter = Counter()
+        places: list[int] = []
+        free_from: dict[tuple[str, str], int] = {}
+        end, i = -1, 0
+        for match in _TERM_WORD.finditer(text):
+            if places and not (end >= 0 and text[end : match.start()].isspace()):
+                places = []
+            end, word = match.end(), match.group().lower()
+            places = [to for place in (0, *places) for to in self.next[place].get(word, ())]
+            for place in places:
+                for group, term, length in self.ends[place]:
+                    if free_from.get((group, term), 0) <= i - length + 1:
+                        counts[group, term] += 1
+                        free_from[group, term] = i + 1
+            i += 1
+        return counts
+
+
+#: Tries are sent to tasks up to so many terms; a larger dictionary is an error, not a slow job.
+MOST_TERMS = 200_000
+
+
+def frame_counts(articles: DataFrame, frames: DataFrame, text: str = "full_text") -> DataFrame:
+    """(article_id, outlet, grp, term, n): counts of a dictionary's terms and their inflections, of any number of words, in the article's language.
+
+    ``frames`` holds lang, grp and term. One trie for each language is built
+    from it and sent to the tasks, which read each text once; only counts
+    leave them.
+    """
+    rows = frames.select("lang", "grp", "term").distinct().limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"a framing dictionary of over {MOST_TERMS} terms doesn't fit a task")
+    by_lang: dict[str, list[tuple[str, str]]] = {}
+    for row in rows:
+        by_lang.setdefault(row["lang"], []).append((row["grp"], row["term"]))
+    sent = articles.sparkSession.sparkContext.broadcast({lang: TermTrie(terms) for lang, terms in by_lang.items()})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tries = sent.value
+        for pdf in batches:
+            out = [(a, o, g, t, n) for a, o, lang, body in zip(pdf["article_id"], pdf["outlet"], pdf["language"], pdf["body"]) for (g, t), n in tries[lang].count(body).items()]
+            yield pd.DataFrame(out, columns=["article_id", "outlet", "grp", "term", "n"])
+
+    read = articles.where(F.col("language").isin(list(by_lang)) & F.col(text).isNotNull())
+    return read.select("article_id", "outlet", "language", F.col(text).alias("body")).mapInPandas(run, "article_id long, outlet string, grp string, term string, n long")
 
 
 def outlet_framing(counts: DataFrame, articles: DataFrame, min_articles: int = 5) -> DataFrame:
@@ -207,9 +296,9 @@ def word_variants(terms: DataFrame) -> DataFrame:
     """Inflection variants of single words: o to i, a to e, e to i (over three letters), and a plural s."""
     t = F.col("term")
     stem = F.expr("left(term, length(term) - 1)")
-    long = F.length(t) > 3
+    long = F.length(t) > 3  # shorter words stay as they are
     forms = F.array_compact(F.array(
         t, F.when(long & t.endswith("o"), F.concat(stem, F.lit("i"))), F.when(long & t.endswith("a"), F.concat(stem, F.lit("e"))),
-        F.when(long & t.endswith("e"), F.concat(stem, F.lit("i"))), F.when(~t.endswith("s"), F.concat(t, F.lit("s"))),
+        F.when(long & t.endswith("e"), F.concat(stem, F.lit("i"))), F.when(long & ~t.endswith("s"), F.concat(t, F.lit("s"))),
     ))
     return terms.select("*", F.explode(F.array_distinct(forms)).alias("variant"))

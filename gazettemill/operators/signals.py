@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import spectral
+
 
 def topic_shares(articles: DataFrame) -> DataFrame:
     """(outlet_id, topic, n, share) over articles with a topic."""
@@ -70,24 +72,15 @@ def cocoverage_gram(pairs: DataFrame) -> DataFrame:
 
 
 def cocoverage_map(articles: DataFrame) -> DataFrame:
-    """(outlet_id, x, y, variance_x, variance_y): two leading principal coordinates.
-
-    Only the outlets x outlets matrix (hundreds of rows, whatever the number of articles) reaches the driver.
-    """
-    spark = articles.sparkSession
-    gram = cocoverage_gram(cocoverage_pairs(articles)).select("i", "j", "centred").toPandas()
+    """(outlet_id, x, y, variance_x, variance_y): two leading principal coordinates; none for fewer than three outlets."""
+    pairs = cocoverage_pairs(articles)
     schema = "outlet_id long, x double, y double, variance_x double, variance_y double"
-    ids = sorted(gram["i"].unique())
-    if len(ids) < 3:
-        return spark.createDataFrame([], schema)
-    matrix = gram.pivot(index="i", columns="j", values="centred").loc[ids, ids].to_numpy()
-    values, vectors = np.linalg.eigh((matrix + matrix.T) / 2)
-    values, vectors = values[::-1], vectors[:, ::-1]
-    coordinates = vectors[:, :2] * np.sqrt(np.maximum(values[:2], 0))
-    signs = np.sign(coordinates[np.abs(coordinates).argmax(axis=0), [0, 1]])
-    coordinates = np.round(coordinates * np.where(signs == 0, 1, signs), 4)
-    share = np.round(np.maximum(values[:2], 0) / max(values[values > 0].sum(), 1e-12), 3)
-    return spark.createDataFrame([(int(i), float(x), float(y), float(share[0]), float(share[1])) for i, (x, y) in zip(ids, coordinates)], schema)
+    if pairs.select("outlet_id").distinct().limit(3).count() < 3:
+        return articles.sparkSession.createDataFrame([], schema)
+    placed, shares = spectral.principal_coordinates(pairs.select("outlet_id", "story_id"))
+    at = lambda i: F.round(F.coalesce(F.get("coordinates", i), F.lit(0.0)), 4) + 0.0
+    share = lambda i: F.lit(round(shares[i], 3) if len(shares) > i else 0.0)
+    return placed.select("outlet_id", at(0).alias("x"), at(1).alias("y"), share(0).alias("variance_x"), share(1).alias("variance_y"))
 
 
 def map_loadings(articles: DataFrame, top: int = 10) -> DataFrame:

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import tokens
+from ..session import shared_dir
 
-_LINK = "array<struct<_VALUE:string,_href:string,_rel:string>>"
-_FEED = f"title string, link {_LINK}, description string, summary string, pubDate string, published string, updated string, author string, thumbnail string"
+_MEDIA = "array<struct<_url:string,_medium:string,_type:string,_VALUE:string>>"
+_PERSON = "array<struct<name:string,_VALUE:string>>"
+_FEED = f"""title string, link array<struct<_VALUE:string,_href:string,_rel:string,_type:string>>, description string, summary string, pubDate string, published string, updated string,
+    author {_PERSON}, `dc:creator` array<string>, `media:content` {_MEDIA}, `media:thumbnail` {_MEDIA}, thumbnail {_MEDIA}, enclosure {_MEDIA}, `media:group` struct<`media:content`:{_MEDIA},`media:thumbnail`:{_MEDIA}>"""
 
 
 _CATALOGUE = ["slug", "name", "domain", "country", "language", "region", "enabled", "feed_urls"]
@@ -33,10 +36,16 @@ def rss_items(spark: SparkSession, path: str, tag: str = "item") -> DataFrame:
     raw = spark.read.format("xml").option("rowTag", tag).schema(_FEED).load(path)
     title = F.trim(F.regexp_replace(tokens.unescape(F.col("title")), r"\s+", " "))
     stated = F.transform("link", lambda x: F.when(F.coalesce(x["_rel"], F.lit("alternate")) == "alternate", F.coalesce(F.nullif(F.trim(x["_VALUE"]), F.lit("")), F.trim(x["_href"]))))
+    address = lambda media: F.get(F.filter(F.transform(media, lambda m: F.coalesce(F.nullif(F.trim(m["_url"]), F.lit("")), F.trim(m["_VALUE"]))), lambda u: u != ""), 0)
+    pictures = F.filter("enclosure", lambda e: F.coalesce(e["_type"].startswith("image/"), F.lit(False)))
+    linked = F.get(F.transform(F.filter("link", lambda x: (x["_rel"] == "enclosure") & F.coalesce(x["_type"].startswith("image/"), F.lit(False))), lambda x: x["_href"]), 0)
+    media = F.coalesce(address(F.col("`media:content`")), address(F.col("`media:group`.`media:content`")))
+    thumbnail = F.coalesce(address(F.col("`media:thumbnail`")), address(F.col("`media:group`.`media:thumbnail`")), address(F.col("thumbnail")))
+    people = F.concat(F.coalesce(F.transform("author", lambda a: F.coalesce(a["name"], a["_VALUE"])), F.array().cast("array<string>")), F.coalesce("`dc:creator`", F.array().cast("array<string>")))
     return raw.select(
         F.get(F.filter(stated, lambda u: u != ""), 0).alias("url"), title.alias("title"), tokens.snippet(F.coalesce("description", "summary", F.lit(""))).alias("snippet"),
-        F.coalesce("pubDate", "published", "updated").alias("published"), first_image(F.lit(None).cast("string"), F.col("thumbnail"), F.lit(None).cast("string")).alias("image"),
-        authors(F.lit(None).cast("array<string>"), F.regexp_replace("author", r"<[^>]*>", "")).alias("authors"),
+        F.coalesce("pubDate", "published", "updated").alias("published"), first_image(media, thumbnail, F.coalesce(address(pictures), linked)).alias("image"),
+        authors(people, F.lit(None).cast("string")).alias("authors"),
     ).where("url <> '' and title <> ''")
 
 
@@ -117,47 +126,73 @@ def ads_lines(files: DataFrame) -> DataFrame:
     return out.where(F.col("exchange").contains(".") & (F.col("account") != "") & F.col("relation").isin("direct", "reseller")).distinct()
 
 
-#: The declared commitments of a news organisation's markup.
+#: The declared commitments of a news organisation's markup, the types that may declare them, and where further nodes stand.
 COMMITMENTS = [
-    "actionableFeedbackPolicy", "correctionsPolicy", "diversityPolicy", "diversityStaffingReport", "ethicsPolicy", "masthead", "missionCoveragePrioritiesPolicy",
+    "actionableFeedbackPolicy", "correctionsPolicy", "diversityPolicy", "diversityStaffingReport", "ethicsPolicy", "masthead", "noBylinesPolicy",
     "ownershipFundingInfo", "unnamedSourcesPolicy", "verificationFactCheckingPolicy",
 ]
+ORGANISATIONS = ["corporation", "newsmediaorganization", "newspaper", "organization"]
+BELOW = ["@graph", "publisher", "parentOrganization", "sourceOrganization"]
 
 
-def _part(node: Column, *names: str) -> Column:
-    """The values of these keys of a variant as one array; a list counts as its members, a missing key as none."""
-    got = [F.try_variant_get(node, f'$["{name}"]', "variant") for name in names]
-    return F.filter(F.flatten(F.array(*(_listed(v) for v in got))), lambda v: v.isNotNull())
+def _at(node: Column, name: str) -> Column:
+    return F.try_variant_get(node, f'$["{name}"]', "variant")
+
+
+def _is(value: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
 
 
 def _listed(value: Column) -> Column:
-    return F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array(value))
+    """A list's members, else the value itself; none for a missing one."""
+    return F.when(value.isNull(), F.array().cast("array<variant>")).when(_is(value, "ARRAY"), F.try_variant_get(value, "$", "array<variant>")).otherwise(F.array(value))
 
 
-def _web_addresses(value: Column) -> Column:
-    """http addresses of a value: of the string itself, or of an object's url or @id."""
-    text = lambda path: F.try_variant_get(value, path, "string")
-    return F.filter(F.array(text("$"), text("$.url"), text('$["@id"]')), lambda t: F.coalesce(F.trim(t).rlike("^(?i)https?://"), F.lit(False)))
+def _told(value: Column) -> Column:
+    """First text of a value: a string, an object's url, @id or name, or what the first member of a list tells that tells anything."""
+    text = lambda v: F.when(_is(v, "STRING"), F.nullif(F.trim(F.try_variant_get(v, "$", "string")), F.lit("")))
+    tells = lambda v: F.coalesce(text(v), *(F.when(_is(v, "OBJECT"), text(_at(v, key))) for key in ("url", "@id", "name")))
+    members = F.flatten(F.transform(_listed(value), _listed))
+    return F.get(F.array_compact(F.transform(members, tells)), 0)
 
 
 def trust_markup(pages: DataFrame) -> DataFrame:
-    """(domain, commitments, score) from JSON-LD blocks: commitments of organisations whose value holds an http URL.
+    """(domain, commitments, score, name, founded, publisher) from the JSON-LD blocks of pages (domain, html).
 
-    Organisations are looked for in lists, under @graph, and as publisher or parent, up to three steps down.
+    Nodes are objects in lists of any depth, and under ``BELOW`` of other
+    nodes, step by step to any depth; a step's nodes are written to shared
+    storage. Organisations are nodes with one of ``ORGANISATIONS`` among their
+    types; a commitment counts where its text starts with http. Of several
+    names the first in the order of the markup stays. Broken blocks are none.
     """
-    blocks = pages.select("domain", F.explode(F.regexp_extract_all("html", F.lit(r"(?s)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))).alias("block"))
-    level = blocks.select("domain", F.explode(_listed(F.try_parse_json("block"))).alias("node")).where("node is not null")
-    nodes = level
-    for _ in range(3):
-        level = level.select("domain", F.explode(_part(F.col("node"), "@graph", "publisher", "parentOrganization")).alias("node"))
-        nodes = nodes.union(level)
-    kinds = F.transform(_part(F.col("node"), "@type"), lambda t: F.try_variant_get(t, "$", "string"))
-    held = nodes.where(F.exists(kinds, lambda t: F.coalesce(t.rlike("Organization|Media"), F.lit(False))))
-    stated = lambda c: F.exists(_part(F.col("node"), c), lambda v: F.size(_web_addresses(v)) > 0)
-    named = F.array_compact(F.array(*(F.when(stated(c), c) for c in COMMITMENTS)))
-    each = held.select("domain", F.explode(named).alias("commitment")).distinct()
-    found = each.groupBy("domain").agg(F.array_sort(F.collect_list("commitment")).alias("commitments"), F.count("*").alias("score"))
-    return pages.select("domain").distinct().join(found, "domain", "left").withColumn("score", F.coalesce("score", F.lit(0)))
+    spark, path = pages.sparkSession, shared_dir(pages.sparkSession, "markup")
+    blocks = pages.select("domain", F.posexplode(F.regexp_extract_all("html", F.lit(r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))).alias("at", "block"))
+    level = blocks.select("domain", F.array("at").alias("place"), F.try_parse_json(F.trim("block")).alias("node")).where("node is not null")
+    steps = []
+    while True:
+        level.write.parquet(f"{path}/{len(steps)}")
+        level = spark.read.parquet(f"{path}/{len(steps)}")
+        if level.isEmpty():
+            break
+        steps.append(level)
+        members = F.when(_is(F.col("node"), "ARRAY"), _listed(F.col("node"))).when(_is(F.col("node"), "OBJECT"), F.array(*(_at(F.col("node"), key) for key in BELOW)))
+        level = level.select("domain", "place", F.posexplode(members).alias("at", "node")).where("node is not null").select("domain", F.concat("place", F.array("at")).alias("place"), "node")
+    columns = ["name", "founded", "publisher"]
+    if not steps:
+        return pages.select("domain").distinct().select("domain", F.lit(None).cast("array<string>").alias("commitments"), F.lit(0).cast("long").alias("score"), *(F.lit(None).cast("string").alias(c) for c in columns))
+    nodes = steps[0]
+    for step in steps[1:]:
+        nodes = nodes.unionByName(step)
+    node = F.col("node")
+    kinds = F.transform(_listed(_at(node, "@type")), lambda t: F.lower(F.when(_is(t, "STRING"), F.try_variant_get(t, "$", "string"))))
+    held = nodes.where(_is(node, "OBJECT")).where(F.exists(kinds, lambda t: F.coalesce(t.isin(ORGANISATIONS), F.lit(False))))
+    stated = F.array_compact(F.array(*(F.when(F.coalesce(_told(_at(node, c)).startswith("http"), F.lit(False)), c) for c in COMMITMENTS)))
+    told = held.select("domain", "place", stated.alias("stated"), *(_told(_at(node, key)).alias(c) for c, key in zip(columns, ("name", "foundingDate", "parentOrganization"))))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("place"))).alias(c)
+    names = told.groupBy("domain").agg(*(first(c) for c in columns))
+    found = told.select("domain", F.explode("stated").alias("c")).distinct().groupBy("domain").agg(F.array_sort(F.collect_list("c")).alias("commitments"), F.count("*").alias("score"))
+    whole = pages.select("domain").distinct().join(found, "domain", "left").join(names, "domain", "left")
+    return whole.withColumn("score", F.coalesce("score", F.lit(0).cast("long"))).select("domain", "commitments", "score", *columns)
 
 
 def feed_links(pages: DataFrame) -> DataFrame:
