@@ -18,8 +18,9 @@ Where there are more frequent ones (the tail) these have 62-bit hashes as
 numbers, a bitmap of fixed size tells which hashes may occur, and pairs with
 such a number are counted by coordinates in hashed tiles. (Two tail phrases of
 one language with equal hashes would be counted as one: unlikely below a
-billion of them.) The counts of a tile are split into slots by volume and
-added once more, so no task meets more than about ``_SLOT`` of them.
+billion of them.) A tile whose counts come from very many tasks is first added
+up in groups of ``_TOGETHER`` parts, again and again, so that no task meets
+more than ``_CROWDED`` counts or ``_TOGETHER`` tiles.
 
 Null texts are empty, a null language is ``und``. Repeated rows count each
 time, null doc_ids as well; nothing but text and lang is read, and texts may have any length.
@@ -49,11 +50,10 @@ _DENSE = _TILE * _TILE >> 4
 _NUMBERED = 1 << 20
 #: Words that a task gathers before it counts.
 _GATHERED = 1 << 22
-#: Counts that a task adds up, about.
-_SLOT = 1 << 24
+#: Counts of a tile that a task adds up, and parts of a larger one.
+_CROWDED, _TOGETHER = 1 << 24, 8
 _TAIL = 1 << 62
 _BITS = 27  # of the bitmap: 16 MB
-_TAIL_TILES = 1024
 
 
 def _tokens(text: str) -> list[bytes]:
@@ -102,7 +102,7 @@ class _Pairs(_Numbers):
         self.by_lang[lang] = (one, two, key[order], order)
 
     def of(self, lang: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = self.tail(_mixed(a, b))
+        out = np.full(len(a), -1, np.int64) if self.bits is None else self.tail(_mixed(a, b))
         if lang in self.by_lang and len(a):
             one, two, keys, numbers = self.by_lang[lang]
             i, j = np.minimum(np.searchsorted(one, a), len(one) - 1), np.minimum(np.searchsorted(two, b), len(two) - 1)
@@ -148,8 +148,19 @@ def _dense(cells: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     return found, total[found].astype(np.int64)
 
 
+def _packed(keys: np.ndarray, counts: np.ndarray) -> tuple[int, bytes, bytes]:
+    """Number, steps of the sorted addresses and counts, in four bytes each where counts fit."""
+    narrow = np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64
+    return len(keys), np.diff(keys, prepend=0).astype(np.uint32).tobytes(), counts.astype(narrow).tobytes()
+
+
+def _unpacked(entries: int, keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    narrow = np.uint32 if len(counts) == 4 * entries else np.uint64
+    return np.cumsum(np.frombuffer(keys, np.uint32).astype(np.int64)), np.frombuffer(counts, narrow).astype(np.int64)
+
+
 def _tiles(lang: str, ids: np.ndarray) -> Iterator[tuple]:
-    """(lang, tile_a, tile_b, entries, keys, counts) of the adjacent numbers; tile_a is -1 where a number is of the tail."""
+    """(lang, tile_a, tile_b, entries, keys, counts) of the adjacent numbers; pairs themselves, with tile_a -1, where a number is of the tail."""
     a, b = _adjacent(ids)
     low = (a < _TAIL) & (b < _TAIL)
     across = int(b[low].max(initial=0) >> _SHIFT) + 1
@@ -158,14 +169,10 @@ def _tiles(lang: str, ids: np.ndarray) -> Iterator[tuple]:
     cells = ((a[low] & (_TILE - 1)) << _SHIFT | b[low] & (_TILE - 1))[order]
     names, starts = np.unique(tile[order], return_index=True)
     for name, start, end in zip(names.tolist(), starts, [*starts[1:], len(order)]):
-        keys, counts = (_dense if end - start >= _DENSE else _summed)(cells[start:end])
-        yield lang, name // across, name % across, len(keys), keys.astype(np.int64).tobytes(), counts.astype(np.int64).tobytes()
+        yield lang, name // across, name % across, *_packed(*(_dense if end - start >= _DENSE else _summed)(cells[start:end]))
     if not low.all():
         pairs, counts = np.unique(np.stack([a[~low], b[~low]], 1), axis=0, return_counts=True)
-        tile = _mixed(pairs[:, 0], pairs[:, 1]) % _TAIL_TILES
-        for name in np.unique(tile).tolist():
-            here = tile == name
-            yield lang, -1, name, int(here.sum()), pairs[here].tobytes(), counts[here].astype(np.int64).tobytes()
+        yield lang, -1, -1, len(pairs), pairs.tobytes(), counts.astype(np.int64).tobytes()
 
 
 def _map_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,33 +196,51 @@ def _map_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from counted()
 
 
-def _add_tiles(least: int):
-    """Adds up the parts of a tile; counts under ``least`` go."""
+def _total(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Addresses and sums of a tile's parts."""
+    parts = [_unpacked(*part) for part in zip(pdf["entries"], pdf["keys"], pdf["counts"])]
+    keys, counts = (np.concatenate(x) for x in zip(*parts))
+    return (_dense if len(keys) >= _DENSE else _summed)(keys, counts)
+
+
+def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    name = pdf.iloc[0]
+    return pd.DataFrame([(name["lang"], name["tile_a"], name["tile_b"], *_packed(*_total(pdf)))], columns=["lang", "tile_a", "tile_b", "entries", "keys", "counts"])
 
+
+def _frequent(least: int):
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         name = pdf.iloc[0]
-        keys, counts = (np.frombuffer(b"".join(pdf[c]), np.int64) for c in ("keys", "counts"))
-        if name["tile_a"] < 0:
-            pairs, index = np.unique(keys.reshape(-1, 2), axis=0, return_inverse=True)
-            a, b, total = pairs[:, 0], pairs[:, 1], np.bincount(index.ravel(), counts).astype(np.int64)
-        else:
-            cells, total = (_dense if len(keys) >= _DENSE else _summed)(keys, counts)
-            a, b = (int(name["tile_a"]) << _SHIFT) + (cells >> _SHIFT), (int(name["tile_b"]) << _SHIFT) + (cells & (_TILE - 1))
-        kept = total >= least
-        return pd.DataFrame({"lang": name["lang"], "a": a[kept], "b": b[kept], "f": total[kept]})
+        cells, total = _total(pdf)
+        cells, total = cells[total >= least], total[total >= least]
+        return pd.DataFrame({"lang": name["lang"], "a": (int(name["tile_a"]) << _SHIFT) + (cells >> _SHIFT), "b": (int(name["tile_b"]) << _SHIFT) + (cells & (_TILE - 1)), "f": total})
 
     return add
 
 
+def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for lang, keys, counts in zip(pdf["lang"], pdf["keys"], pdf["counts"]):
+            pairs = np.frombuffer(keys, np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"lang": lang, "a": pairs[:, 0], "b": pairs[:, 1], "f": np.frombuffer(counts, np.int64)})
+
+
 def count_pairs(ids: DataFrame, least: int) -> DataFrame:
     """(lang, a, b, f): adjacent numbers in the rows (lang, ids) found ``least`` times or more in a language."""
-    tiles = common.cut(ids.mapInPandas(_map_tiles, "lang string, tile_a long, tile_b long, entries long, keys binary, counts binary"), "tiles")
-    slots = 1 + (tiles.agg(F.sum("entries")).first()[0] or 0) // _SLOT
-    dealt = tiles.withColumn("slot", F.pmod(F.xxhash64("keys", "counts"), F.lit(slots)))
-    added = dealt.groupBy("lang", "tile_a", "tile_b", "slot").applyInPandas(_add_tiles(least if slots == 1 else 1), "lang string, a long, b long, f long")
-    if slots > 1:
-        added = added.groupBy("lang", "a", "b").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    return common.cut(added, "pairs")
+    shape, tile = "lang string, tile_a long, tile_b long, entries long, keys binary, counts binary", ["lang", "tile_a", "tile_b"]
+    counted = common.cut(ids.mapInPandas(_map_tiles, shape), "tiles")
+    tail, tiles = counted.where("tile_a < 0"), counted.where("tile_a >= 0")
+    while True:
+        sizes = tiles.groupBy(*tile).agg(F.count("*").alias("parts"), F.sum("entries").alias("all"))
+        crowded = common.cut(sizes.where((F.col("all") > _CROWDED) & (F.col("parts") > _TOGETHER)), "crowded")
+        if crowded.isEmpty():
+            break
+        slots = F.ceil(F.col("parts") / _TOGETHER)
+        dealt = tiles.join(crowded, tile).withColumn("slot", F.pmod(F.xxhash64("keys", "counts"), slots))
+        tiles = common.cut(tiles.join(crowded, tile, "left_anti").unionByName(dealt.groupBy(*tile, "slot").applyInPandas(_merge, shape)), "tiles")
+    frequent = tiles.groupBy(*tile).applyInPandas(_frequent(least), "lang string, a long, b long, f long")
+    others = tail.mapInPandas(_pairs, "lang string, a long, b long, f long").groupBy("lang", "a", "b").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return common.cut(frequent.unionByName(others), "pairs")
 
 
 def _bitmap(tail: DataFrame) -> np.ndarray | None:
@@ -308,13 +333,18 @@ def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4, numbered:
 
         def next_ids(batches: Iterator[pd.DataFrame], known=pairs_sent) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                out = []
-                for lang, row in zip(pdf["lang"], pdf["ids"]):
-                    number = np.full(max(0, len(row) - 1), -1, np.int64)
-                    if len(number):
-                        both = (row[:-1] >= 0) & (row[1:] >= 0)
-                        number[both] = known.value.of(lang, row[:-1][both], row[1:][both])
-                    out.append(number)
+                out = [np.empty(0, np.int64)] * len(pdf)
+                for lang, places in pdf.groupby("lang").indices.items():
+                    rows = [pdf["ids"].iat[i] for i in places]
+                    flat = np.concatenate(rows)
+                    number = np.full(len(flat), -1, np.int64)  # of the pair that begins here; a row's last place has none
+                    if len(flat) > 1:
+                        both = np.flatnonzero((flat[:-1] >= 0) & (flat[1:] >= 0))
+                        number[both] = known.value.of(lang, flat[both], flat[both + 1])
+                    end = 0
+                    for i, row in zip(places, rows):
+                        end += len(row)
+                        out[i] = number[end - len(row) : max(end - len(row), end - 1)]
                 yield pd.DataFrame({"lang": pdf["lang"], "ids": out})
 
         ids = common.cut(ids.mapInPandas(next_ids, "lang string, ids array<long>"), "ids")
