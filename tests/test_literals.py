@@ -132,7 +132,7 @@ def test_citations_and_variants(spark):
     assert [(c["speaker"], c["role"]) for c in found][0] == ("Mario Rossi", "government") and {c["speaker"] for c in found} == {"Mario Rossi", "Jane Doe"}
     assert found[0]["quote"] == "Non ci fermeremo mai più"
     terms = spark.createDataFrame([("ricco",), ("rosa",), ("due",)], "term string")
-    assert sorted(r["variant"] for r in lexical.word_variants(terms).collect()) == ["due", "dues", "ricci", "ricco", "riccos", "rosa", "rosas", "rose"]
+    assert sorted(r["variant"] for r in lexical.word_variants(terms).collect()) == ["due", "ricci", "ricco", "riccos", "rosa", "rosas", "rose"]
 
 
 def test_citations_by_grammar(spark):
