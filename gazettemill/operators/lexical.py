@@ -7,32 +7,100 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as T
 
 
 def detect_language(articles: DataFrame, stops: DataFrame, text: str = "full_text", least: float = 0.10, margin: float = 0.02) -> DataFrame:
-    """Language by the share of its stop words; none below ``least`` or within ``margin`` of the second."""
-    each = articles.select("article_id", F.explode(T.words(F.col(text))).alias("word"))
+    """(article_id, language, detected, confidence): by script, for Latin letters by the share of stop words among the words.
+
+    No language below ``least`` or within ``margin`` of the second; a text without letters, or of an unknown script, has none.
+    """
+    told = articles.select("article_id", "language", script_guess(F.col(text)).alias("guess"), F.col(text).alias("body"))
+    each = told.where("guess.script = 'Latin'").select("article_id", F.explode(F.regexp_extract_all(F.lower("body"), F.lit(f"({LETTERS})"), F.lit(1))).alias("word"))
     counts = each.groupBy("article_id", "word").agg(F.count("*").alias("n"))
     total = counts.groupBy("article_id").agg(F.sum("n").alias("total"))
-    shares = counts.join(F.broadcast(stops), "word").groupBy("article_id", "stop_lang").agg(F.sum("n").alias("hits")).join(total, "article_id")  # a fixed dictionary
+    shares = counts.join(stops, "word").groupBy("article_id", "stop_lang").agg(F.sum("n").alias("hits")).join(total, "article_id")
     shares = shares.withColumn("share", F.col("hits") / F.col("total"))
     best = shares.groupBy("article_id").agg(F.sort_array(F.collect_list(F.struct("share", "stop_lang")), asc=False).alias("r"))
     first, second = F.col("r")[0], F.coalesce(F.get("r", 1)["share"], F.lit(0.0))
-    found = best.where((first["share"] >= least) & (first["share"] - second >= margin)).select("article_id", first["stop_lang"].alias("detected"), F.least(F.lit(0.99), 3 * first["share"]).alias("confidence"))
-    return articles.select("article_id", "language").join(found, "article_id", "left")
+    found = best.where((first["share"] >= least) & (first["share"] - second >= margin)).select("article_id", first["stop_lang"].alias("latin"), F.least(F.lit(0.99), 3 * first["share"]).alias("sure"))
+    joined = told.join(found, "article_id", "left")
+    return joined.select("article_id", "language", F.coalesce("guess.language", "latin").alias("detected"), F.coalesce("guess.confidence", "sure").alias("confidence"))
+
+
+#: Words of the language guess: letters and number signs, no digits.
+LETTERS = r"[\p{L}\p{Nl}\p{No}]+"
+#: Scripts with the language and confidence they stand for; Cyrillic and Latin need a closer look.
+SCRIPTS = {"Cyrillic": None, "Arabic": ("ar", 0.9), "Hebrew": ("he", 0.9), "Hiragana": ("ja", 0.9), "Katakana": ("ja", 0.9), "Han": ("zh", 0.7), "Devanagari": ("hi", 0.8), "Hangul": ("ko", 0.9), "Greek": ("el", 0.9), "Latin": None}
+
+
+def script_guess(text: Column) -> Column:
+    """Struct of script, language and confidence by the script with most letters; of equals the first of ``SCRIPTS``.
+
+    Cyrillic is Ukrainian with one of its own letters, Russian with one of its own, else Russian with less confidence.
+    """
+    counts = F.array(*(F.struct(F.regexp_count(text, F.lit(rf"[\p{{Is{s}}}&&\p{{L}}]")).alias("n"), F.lit(-i).alias("place"), F.lit(s).alias("script")) for i, s in enumerate(SCRIPTS)))
+    own = lambda letters: F.lower(text).rlike(f"[{letters}]")
+
+    def guess(top: Column) -> Column:
+        script = F.when(top["n"] > 0, top["script"])
+        answer = lambda lang, sure: F.struct(script.alias("script"), F.lit(lang).cast("string").alias("language"), F.lit(sure).cast("double").alias("confidence"))
+        found = F.when(script == "Cyrillic", F.when(own("іїєґ"), answer("uk", 0.9)).when(own("ыъэё"), answer("ru", 0.9)).otherwise(answer("ru", 0.5)))
+        for name, known in SCRIPTS.items():
+            found = found.when(script == name, answer(*known)) if known else found
+        return found.otherwise(answer(None, None))
+
+    return F.transform(F.array(F.array_max(counts)), guess)[0]  # bound once, not counted anew in each branch
+
+
+def _automata(rows: list) -> dict:
+    """An Aho-Corasick automaton of each language's keywords, with the topics they stand for."""
+    import ahocorasick
+
+    by_lang: dict[str, dict[str, list]] = {}
+    for row in rows:
+        by_lang.setdefault(row["lang"], {}).setdefault(row["term"].lower(), []).append((row["topic"], row["ordinal"], row["total"]))
+    out = {}
+    for lang, terms in by_lang.items():
+        out[lang] = ahocorasick.Automaton()
+        for term, topics in terms.items():
+            out[lang].add_word(term, (term, topics))
+        out[lang].make_automaton()
+    return out
 
 
 def topic_scores(articles: DataFrame, topics: DataFrame, text: str = "full_text") -> DataFrame:
-    """(article_id, topic, score): share of a topic's keywords found; English keywords where a language has none."""
-    langs = topics.select("lang").distinct().withColumn("own", F.lit(True))
-    used = articles.join(F.broadcast(langs), articles["language"] == langs["lang"], "left").select("article_id", F.when(F.col("own"), F.col("language")).otherwise("en").alias("lang"), text)
-    terms = used.select("article_id", "lang", F.explode(F.array_distinct(T.words(F.col(text)))).alias("term"))
-    hits = terms.join(F.broadcast(topics), ["lang", "term"])
-    return hits.groupBy("article_id", "topic", "ordinal").agg(F.round(F.count("*") / F.first("total"), 4).alias("score"))
+    """(article_id, topic, ordinal, score): share of a topic's keywords found; English keywords where a language has none.
+
+    Keywords may be phrases with any marks; they are found as they stand, without regard to case, between no word
+    characters. One automaton for each language finds all of them in one pass over a text.
+    """
+    rows = topics.select("topic", "ordinal", "lang", "term", "total").distinct().limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"a topic dictionary of over {MOST_TERMS} keywords doesn't fit a task")
+    sent = articles.sparkSession.sparkContext.broadcast(_automata(rows))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automata, joined = sent.value, re.compile(r"\w")
+        for pdf in batches:
+            out = []
+            for article, lang, body in zip(pdf["article_id"], pdf["language"], pdf["body"]):
+                automaton = automata.get(lang) or automata.get("en")
+                low, found = body.lower(), {}
+                for end, (term, marked) in automaton.iter(low) if automaton else ():
+                    before, after = low[max(0, end - len(term)) : end - len(term) + 1], low[end + 1 : end + 2]
+                    if term not in found and not joined.match(before) and not joined.match(after):
+                        found[term] = marked
+                hits = Counter(topic for marked in found.values() for topic in marked)
+                out += [(article, topic, ordinal, round(n / total, 4)) for (topic, ordinal, total), n in hits.items()]
+            yield pd.DataFrame(out, columns=["article_id", "topic", "ordinal", "score"])
+
+    kind = dict(articles.dtypes)["article_id"]
+    read = articles.select("article_id", "language", F.col(text).alias("body")).where("body is not null")
+    return read.mapInPandas(run, f"article_id {kind}, topic string, ordinal int, score double")
 
 
 def primary_topic(scores: DataFrame) -> DataFrame:
@@ -161,9 +229,9 @@ def outlet_framing(counts: DataFrame, articles: DataFrame, min_articles: int = 5
 def tone(articles: DataFrame, valence: DataFrame, text: str = "title") -> DataFrame:
     """Mean valence of matched title words; without a match neutral; languages without a dictionary use English."""
     langs = valence.select("lang").distinct().withColumn("own", F.lit(True))
-    used = articles.join(F.broadcast(langs), articles["language"] == langs["lang"], "left").select("article_id", F.when(F.col("own"), F.col("language")).otherwise("en").alias("lang"), text)
+    used = articles.join(langs, articles["language"] == langs["lang"], "left").select("article_id", F.when(F.col("own"), F.col("language")).otherwise("en").alias("lang"), text)
     each = used.select("article_id", "lang", F.explode(T.words(F.col(text))).alias("word"))
-    means = each.join(F.broadcast(valence), ["lang", "word"]).groupBy("article_id").agg(F.round(F.avg("score"), 4).alias("score"))
+    means = each.join(valence, ["lang", "word"]).groupBy("article_id").agg(F.round(F.avg("score"), 4).alias("score"))
     scored = articles.select("article_id", "outlet").join(means, "article_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     return scored.withColumn("tone", F.when(F.col("score") <= -0.5, "negative").when(F.col("score") >= 0.5, "positive").otherwise("neutral"))
 
@@ -198,24 +266,24 @@ SPEAKING = set(
 SOURCES = [("according", "to"), ("secondo",), ("selon",), ("laut",), ("según",)]
 #: Words between a quotation and its speaker's name or verb.
 LINKING = set("ha hanno a avait hat ha haben the il la lo le der die das el los las".split())
-#: Roles in order of precedence, with words that show them; the first ones of a name are titles and no part of it.
+#: Roles in order of precedence, with words and phrases that show them; single words in front of a name are titles and no part of it.
 ROLES = {
-    "government": "minister ministers president premier chancellor ministro ministra presidente ministre président minister governo gobierno gouvernement regierung",
-    "opposition": "opposition opposizione oposición leader deputy senator deputato senatore député",
-    "institution": "commissioner judge prosecutor mayor governor commissario giudice sindaco maire bürgermeister alcalde",
-    "expert": "professor doctor researcher economist analyst professore ricercatore esperto professeur forscher profesor",
-    "citizen": "resident witness neighbour student cittadino testimone studente habitant bürger vecino",
-    "company": "chief executive manager spokesman spokeswoman founder amministratore azienda fondatore directeur unternehmen empresa",
+    "government": "minister, prime minister, premier, chancellor, president, government, white house, ministro, ministra, presidente del consiglio, presidente, ministre, président, governo, gobierno, gouvernement, regierung",
+    "opposition": "opposition, opposition leader, opposizione, oposición, party secretary, deputy, senator, deputato, senatore, député",
+    "institution": "court, judge, prosecutor, parliament, commission, united nations, central bank, banca centrale, commissioner, mayor, governor, commissario, giudice, sindaco, maire, bürgermeister, alcalde",
+    "expert": "professor, doctor, researcher, economist, analyst, expert, scientist, professore, ricercatore, esperto, professeur, forscher, profesor",
+    "citizen": "resident, witness, bystander, neighbour, student, cittadino, testimone, studente, habitant, bürger, vecino",
+    "company": "chief executive, manager, spokesman, spokeswoman, spokesperson, company, founder, amministratore delegato, azienda, fondatore, directeur, unternehmen, empresa",
 }
-TITLES = set("mr mrs ms dr prof sir signor signora herr frau señor señora monsieur madame".split()) | {w for words in ROLES.values() for w in words.split()}
+TITLES = set("mr mrs ms dr prof sir signor signora herr frau señor señora monsieur madame".split()) | {w for words in ROLES.values() for w in words.split(", ") if " " not in w}
 _PARTS = re.compile(r"[\w'’-]+|[^\w\s]")
 _QUOTED = [("«", "»"), ("“", "”"), ('"', '"'), ("„", "“")]
 
 
 def role_of(context: str) -> str | None:
-    """The role with most of its words in a context; of equals the first in order."""
-    words = [w.lower() for w in _PARTS.findall(context)]
-    hits = {role: sum(w in some.split() for w in words) for role, some in ROLES.items()}
+    """The role with most of its words and phrases in a context, inside other words too; of equals the first in order."""
+    low = context.lower()
+    hits = {role: sum(phrase in low for phrase in some.split(", ")) for role, some in ROLES.items()}
     best = max(hits, key=hits.get)
     return best if hits[best] else None
 

@@ -17,7 +17,7 @@ BLOCK_ROWS = 2000
 
 def hashed_features(articles: DataFrame, stops: DataFrame, text: str = "title") -> DataFrame:
     """(article_id, idx, weight): signed feature hashing of content words and their character 4- and 5-grams, L2-normalised."""
-    words = articles.select("article_id", F.posexplode(T.words(F.col(text))).alias("pos", "word")).join(F.broadcast(stops.select("word").distinct()), "word", "left_anti")
+    words = articles.select("article_id", F.posexplode(T.words(F.col(text))).alias("pos", "word")).join(stops.select("word").distinct(), "word", "left_anti")
     joined = words.groupBy("article_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda s: s["word"]), " ").alias("joined"))
     chars = lambda n: F.when(F.length("joined") >= n, F.transform(F.sequence(F.lit(1), F.length("joined") - n + 1), lambda i: F.substring(F.col("joined"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
     features = F.concat(F.transform(F.split("joined", " "), lambda w: F.concat(F.lit("w:"), w)), F.transform(chars(4), lambda g: F.concat(F.lit("c:"), g)), F.transform(chars(5), lambda g: F.concat(F.lit("c:"), g)))
@@ -66,11 +66,12 @@ def centroids(vectors: DataFrame, group: str = "label") -> DataFrame:
     return means.withColumn("norm", norm).select(group, F.col("pos").cast("long").alias("pos"), F.when(F.col("norm") == 0, 0.0).otherwise(F.col("m") / F.col("norm")).alias("value"))
 
 
-def nearest_to_centroid(vectors: DataFrame, group: str = "label") -> DataFrame:
-    """The member closest to its group's centroid: the one that titles the group."""
+def nearest_to_centroid(vectors: DataFrame, group: str = "label", preferred: str | None = None) -> DataFrame:
+    """The member that titles the group: one with ``preferred`` (has a snippet) if there is any, then the closest to the centroid."""
     mean = centroids(vectors, group).groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("centroid"))
-    scored = vectors.join(mean, group).withColumn("cos", F.round(T.cosine(F.col("embedding"), F.col("centroid")), 6))
-    return scored.groupBy(group).agg(F.max_by(F.struct("vec_id", "cos"), F.struct("cos", (-F.col("vec_id")).alias("back"))).alias("x")).select(group, "x.vec_id", "x.cos")
+    first = F.lit(True) if preferred is None else F.coalesce(F.col(preferred), F.lit(False))
+    scored = vectors.join(mean, group).withColumns({"first": first, "cos": F.round(T.cosine(F.col("embedding"), F.col("centroid")), 6)})
+    return scored.groupBy(group).agg(F.max_by(F.struct("vec_id", "cos"), F.struct("first", "cos", (-F.col("vec_id")).alias("back"))).alias("x")).select(group, "x.vec_id", "x.cos")
 
 
 def sweep(pairs: DataFrame, similarity: str = "cosine", same: str = "same") -> DataFrame:

@@ -496,9 +496,9 @@ def p26(spark, d):
 @query("p29_map_canvas")
 def p29(spark, d):
     m = signals.cocoverage_map(views.cov(spark, d))
-    everything = Window.partitionBy()
-    scaled = lambda c: (F.col(c) - F.min(c).over(everything)) / F.when(F.max(c).over(everything) == F.min(c).over(everything), 1.0).otherwise(F.max(c).over(everything) - F.min(c).over(everything))
-    return m.select("outlet_id", scaled("x").alias("px"), scaled("y").alias("py"))
+    ends = m.agg(*(f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("least", F.min), ("most", F.max))))  # one row
+    scaled = lambda c: (F.col(c) - F.col(f"least_{c}")) / F.when(F.col(f"most_{c}") == F.col(f"least_{c}"), 1.0).otherwise(F.col(f"most_{c}") - F.col(f"least_{c}"))
+    return m.crossJoin(F.broadcast(ends)).select("outlet_id", scaled("x").alias("px"), scaled("y").alias("py"))
 
 
 @query("p19_story_language", "SELECT story_id, language FROM (SELECT story_id, language, row_number() OVER (PARTITION BY story_id ORDER BY count(*) DESC, language) AS rn FROM cov GROUP BY 1,2) WHERE rn=1", COV)

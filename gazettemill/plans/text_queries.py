@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import blocks as blocks_of
 from ..functions import dims
 from ..functions import tokens as T
-from ..operators import annotation, dedup, lexical, signals, stories, vectors
+from ..operators import annotation, dedup, lexical, positioning, signals, stories, vectors
 from ..session import shared_dir
 from ..sources import feeds
 from ..sources.signal_store import SignalStore
@@ -101,7 +101,7 @@ def e8(spark, d):
     return views.page(spark, d).select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))).alias("link"))
 
 
-@query("e13_language", f"""WITH w AS (SELECT article_id, unnest({_words("full_text")}) AS word FROM doc), n AS (SELECT article_id, count(*) AS total FROM w GROUP BY 1),
+@query("e13_language", rf"""WITH w AS (SELECT article_id, unnest(regexp_extract_all(lower(full_text), '{lexical.LETTERS}')) AS word FROM doc), n AS (SELECT article_id, count(*) AS total FROM w GROUP BY 1),
  s AS (SELECT article_id, stop_lang, count(*) AS hits FROM w JOIN stops USING(word) GROUP BY 1,2), r AS (SELECT article_id, stop_lang, hits/total::DOUBLE AS share, row_number() OVER (PARTITION BY article_id ORDER BY hits/total::DOUBLE DESC, stop_lang DESC) AS rn FROM s JOIN n USING(article_id)),
  b AS (SELECT a.article_id, a.stop_lang AS detected, least(0.99, 3*a.share) AS confidence FROM r a LEFT JOIN r c ON c.article_id=a.article_id AND c.rn=2 WHERE a.rn=1 AND a.share>=0.10 AND a.share-coalesce(c.share,0)>=0.02)
  SELECT article_id, language, detected, round(confidence,6) AS confidence FROM doc LEFT JOIN b USING(article_id)""", ("doc", "stops"))
@@ -228,10 +228,12 @@ def c6(spark, d):
     return vectors.centroids(views.emb(spark, d)).select("label", "pos", (F.round("value", 6) + 0.0).alias("value"))
 
 
-@query("c9_title_member", f"""WITH {_CENT}, cl AS (SELECT label, list(value ORDER BY pos) AS c FROM ce GROUP BY 1), s AS (SELECT emb.label, vec_id, round(list_dot_product(embedding::DOUBLE[], c)/sqrt(list_dot_product(embedding::DOUBLE[],embedding::DOUBLE[])),6) AS cos FROM emb JOIN cl USING(label))
- SELECT label, vec_id, cos FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY cos DESC, vec_id) AS rn FROM s) WHERE rn=1""", EMB)
+@query("c9_title_member", f"""WITH {_CENT}, cl AS (SELECT label, list(value ORDER BY pos) AS c FROM ce GROUP BY 1), s AS (SELECT emb.label, vec_id, coalesce(length(snippet)>100, false) AS told, round(list_dot_product(embedding::DOUBLE[], c)/sqrt(list_dot_product(embedding::DOUBLE[],embedding::DOUBLE[])),6) AS cos FROM emb JOIN cl USING(label) LEFT JOIN doc ON article_id=vec_id)
+ SELECT label, vec_id, cos FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY told DESC, cos DESC, vec_id) AS rn FROM s) WHERE rn=1""", ("emb", "doc"))
 def c9(spark, d):
-    return vectors.nearest_to_centroid(views.emb(spark, d))
+    """Titles of label groups; every given document has a snippet, so one of over 100 characters stands for having one."""
+    told = views.doc(spark, d).select(F.col("article_id").alias("vec_id"), (F.length("snippet") > 100).alias("told"))
+    return vectors.nearest_to_centroid(views.emb(spark, d).join(told, "vec_id", "left"), preferred="told")
 
 
 @query("c11_threshold_sweep", f"""WITH p AS (SELECT {_COS} AS c, a.label=b.label AS same FROM emb a JOIN emb b ON b.vec_id>a.vec_id), t AS (SELECT i*5/100.0 AS threshold FROM range(1,20) r(i)),
@@ -365,17 +367,13 @@ def p20(spark, d):
 
 @query("b21_positioning_regression")
 def b21(spark, d):
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import LinearRegression
-
-    e = views.emb(spark, d).select("vec_id", F.col("label").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).withColumn("fold", F.pmod(F.xxhash64("vec_id"), F.lit(5)))
-    n = e.count()
-    out = None
-    for fold in range(5):  # five models over the whole table, not a loop over rows
-        model = LinearRegression(elasticNetParam=0.0, regParam=1.0 / max(1, n), standardization=False).fit(e.where(F.col("fold") != fold))
-        part = model.transform(e.where(F.col("fold") == fold)).select("vec_id", "fold", F.abs(F.col("prediction") - F.col("label")).alias("error"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("fold").agg(F.count("*").alias("n"), F.avg("error").alias("mae"))
+    """Mean ratings of articles by axis, their embeddings as features; positions of outlets by the axes with 200 examples."""
+    rated = views.ann(spark, d).groupBy("article_id", "axis", "outlet").agg(F.avg("value").alias("label"))
+    features = views.emb(spark, d).select(F.col("vec_id").alias("article_id"), F.col("embedding").alias("features"))
+    examples = rated.join(features, "article_id")
+    models = positioning.fit(examples)
+    found = positioning.outlet_positions(examples.select("article_id", "outlet", "features").distinct(), models)
+    return found.select("outlet", "axis", "articles", F.round("position", 6).alias("position"), F.round("mae", 6).alias("mae"), "examples")
 
 
 @query("b20_signal_run", f"""WITH {cq._AGENDA}, {cq._SPOTS}, {cq._PAIRS}, {_FRAME}, {_TONE}, {cq._gate_sql(-1.0)}, {cq._LABEL}, w AS (SELECT min(published_at)::DATE AS period_start, max(published_at)::DATE AS period_end FROM cov),

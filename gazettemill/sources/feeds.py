@@ -209,22 +209,12 @@ def feed_links(pages: DataFrame) -> DataFrame:
     return feeds.where(href != "").select("url", absolute.alias("feed")).where(F.col("feed").rlike("^(?i)https?://")).distinct()
 
 
-def script_language(text: Column) -> Column:
-    """Language by majority alphabet; Cyrillic splits by marker letters; null for Latin."""
-    count = lambda p: F.regexp_count(text, F.lit(p))
-    cyrillic, greek, arabic, hebrew, han = (count(rf"\p{{Is{s}}}") for s in ("Cyrillic", "Greek", "Arabic", "Hebrew", "Han"))
-    kana, letters = count(r"[\p{IsHiragana}\p{IsKatakana}]"), count(r"\p{L}")
-    slavic = F.when(count("[іїєґІЇЄҐ]") > count("[ыэъёЫЭЪЁ]"), "uk").otherwise("ru")
-    major = lambda n: 2 * n > letters
-    return F.when(major(cyrillic), slavic).when(major(greek), "el").when(major(arabic), "ar").when(major(hebrew), "he").when((kana > 0) & major(kana + han), "ja").when(major(han), "zh")
-
-
 def claims(entities: DataFrame, allowed: DataFrame, most: int = 8) -> DataFrame:
     """(entity, property, target, from_year, to_year): allow-listed claims, the first ``most`` of each property."""
     snak = "array<struct<datavalue:struct<value:struct<time:string>>>>"
     claim = f"array<struct<mainsnak:struct<datavalue:struct<value:struct<id:string>>>,qualifiers:map<string,{snak}>>>"
     parsed = entities.select("entity", F.explode(F.from_json("claims", f"map<string,{claim}>")).alias("property", "values"))
-    each = parsed.join(F.broadcast(allowed), "property").select("entity", "property", F.posexplode("values").alias("pos", "c"))  # a fixed allow-list
+    each = parsed.join((allowed), "property").select("entity", "property", F.posexplode("values").alias("pos", "c"))  # a fixed allow-list
     year = lambda p: F.try_element_at(F.col("c.qualifiers"), F.lit(p))[0]["datavalue"]["value"]["time"]
     out = each.select("entity", "property", "pos", F.col("c.mainsnak.datavalue.value.id").alias("target"), *(F.regexp_extract(year(p), r"([0-9]{4})", 1).try_cast("int").alias(n) for p, n in (("P580", "from_year"), ("P582", "to_year"))))
     order = Window.partitionBy("entity", "property").orderBy("pos")

@@ -74,8 +74,8 @@ def test_small_parsers(spark):
     assert one(spark, feeds.compact_time(F.col("t")), t="bad") is None
     assert one(spark, F.struct(*feeds.account_parts(F.col("u"))), u="https://mas.to/@ann") == ("mas.to", "ann")
     assert one(spark, feeds.first_image(F.lit(""), F.col("t"), F.lit("e")), t="thumb") == "thumb"
-    for text, want in (("Привет, мы были", "ru"), ("Привіт її", "uk"), ("hello", None), ("日本のニュース", "ja"), ("新闻", "zh"), ("γειά", "el")):
-        assert one(spark, feeds.script_language(F.col("t")), t=text) == want
+    for text, want in (("Привет, мы были", ("ru", 0.9)), ("Привіт її", ("uk", 0.9)), ("и так", ("ru", 0.5)), ("hello", (None, None)), ("日本のニュースだよ", ("ja", 0.9)), ("新闻", ("zh", 0.7)), ("γειά ok", ("el", 0.9)), ("한국", ("ko", 0.9)), ("हिन्दी", ("hi", 0.8)), ("12 !", (None, None))):
+        assert one(spark, lexical.script_guess(F.col("t")), t=text)[1:] == want, text
 
 
 def test_ads_and_trust(spark):

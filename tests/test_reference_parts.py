@@ -160,3 +160,85 @@ def test_axes_of_more_rows_than_the_basis(spark):
     placed, told = spectral.principal_coordinates(spark.createDataFrame(pairs, "outlet_id long, story_id long"), tolerance=1e-7)
     got = {r["outlet_id"]: np.array(r["coordinates"]) for r in placed.collect()}
     assert max(np.abs(got[i] - want[i]).max() for i in want) < 5e-5 and np.allclose(told, shares, atol=1e-6)
+
+
+def test_landed_dictionaries(spark, tmp_path):
+    from gazettemill.sources import dictionaries
+
+    land = lambda name, value: (tmp_path / name).write_text(json.dumps(value)) and str(tmp_path / name)
+    topics = dictionaries.topics(spark, land("t.json", {"version": 1, "topics": [
+        {"id": "politics", "keywords": {"en": ["Prime Minister's office", "parliament vote", " "], "it": ["governo"]}}, {"id": "elections", "keywords": {"en": ["ballot", "exit poll", "ballot"]}}]}))
+    assert sorted((r["topic"], r["ordinal"], r["lang"], r["term"], r["total"]) for r in topics.collect()) == [
+        ("elections", 1, "en", "ballot", 2), ("elections", 1, "en", "exit poll", 2), ("politics", 0, "en", "parliament vote", 2), ("politics", 0, "en", "prime minister's office", 2), ("politics", 0, "it", "governo", 1)]
+    texts = [(1, "en", "The PRIME MINISTER'S OFFICE on the ballots"), (2, "en", "exit poll: a ballot"), (3, "fr", "a Parliament Vote"), (4, "it", "il governo, il ballot"), (5, "en", "parliament  vote"), (6, "en", None), (7, "en", "")]
+    rows = spark.createDataFrame(texts, "article_id long, language string, full_text string")
+    assert sorted((r["article_id"], r["topic"], r["score"]) for r in lexical.topic_scores(rows, topics).collect()) == [(1, "politics", 0.5), (2, "elections", 1.0), (3, "politics", 0.5), (4, "politics", 1.0)]
+    frames = dictionaries.frames(spark, land("f.json", {"language": "en", "groups": [{"id": "migration", "terms": [{"term": "illegal alien", "connotation": "negative"}, {"term": " migrant "}, {"term": ""}]}]}))
+    assert sorted((r["lang"], r["grp"], r["term"], r["connotation"], r["n_tokens"]) for r in frames.collect()) == [("en", "migration", "illegal alien", "negative", 2), ("en", "migration", "migrant", "neutral", 1)]
+    valence = dictionaries.valence(spark, land("v.json", {"language": "en", "valence": {"Crisis": -1.5, "good": 1}}))
+    assert sorted(map(tuple, valence.collect())) == [("en", "crisis", -1.5), ("en", "good", 1.0)]
+    stops = dictionaries.stop_words(spark, land("s.json", {"language": "en", "words": ["The", "of", "the"]}))
+    assert sorted(map(tuple, stops.collect())) == [("en", "of"), ("en", "the")]
+
+
+def test_language_by_script_then_by_words(spark):
+    stops = spark.createDataFrame([("en", "the"), ("en", "of"), ("fr", "le"), ("fr", "de")], "stop_lang string, word string")
+    texts = ["the end of the day 2024", "le jour de la fin", "Новости дня", "the le", "", None, "1 2 3", "ニュースの the"]
+    rows = spark.createDataFrame([(i, "x", t) for i, t in enumerate(texts)], "article_id long, language string, full_text string")
+    got = {r["article_id"]: (r["detected"], None if r["confidence"] is None else round(r["confidence"], 6)) for r in lexical.detect_language(rows, stops).collect()}
+    nothing = (None, None)
+    assert got == {0: ("en", 0.99), 1: ("fr", 0.99), 2: ("ru", 0.5), 3: nothing, 4: nothing, 5: nothing, 6: nothing, 7: ("ja", 0.9)}
+
+
+def test_roles_of_phrases():
+    assert lexical.role_of("The Prime Minister said") == "government" and lexical.role_of("its chief executive and manager") == "company"
+    assert lexical.role_of("a chief of an executive board") is None and lexical.role_of("UNITED NATIONS") == "institution"
+
+
+def test_positions_against_numpy(spark):
+    from gazettemill.operators import positioning
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(230, 5))
+    y = x @ [1, -2, 0, 0.5, 3] + rng.normal(size=230) + 4
+    rows = [(i, "econ", f"o{i % 3}", [float(v) for v in x[i]], float(y[i])) for i in range(230)] + [(i, "few", "o0", [0.0] * 5, 1.0) for i in range(199)] + [(500, "econ", "o0", None, 1.0)]
+    table = spark.createDataFrame(rows, "article_id long, axis string, outlet string, features array<double>, label double")
+    models = positioning.fit(table)
+
+    def ridge(a, b):
+        centre = a.mean(axis=0)
+        w = np.linalg.solve((a - centre).T @ (a - centre) + np.eye(5), (a - centre).T @ (b - b.mean()))
+        return np.concatenate([[b.mean() - centre @ w], w])
+
+    fold = {r["article_id"]: r["f"] for r in table.select("article_id", F.pmod(F.xxhash64("article_id"), F.lit(5)).alias("f")).collect()}
+    folds = np.array([fold[i] for i in range(230)])
+    errors = []
+    for k in range(5):
+        w = ridge(x[folds != k], y[folds != k])
+        errors.append(np.abs(w[0] + x[folds == k] @ w[1:] - y[folds == k]).mean())
+    assert list(models) == ["econ"] and models["econ"]["n"] == 230 and np.isclose(models["econ"]["mae"], np.mean(errors))
+    want = ridge(x, y)
+    assert np.allclose(models["econ"]["weights"], want)
+    got = {r["outlet"]: (r["articles"], r["position"], r["examples"]) for r in positioning.outlet_positions(table.where("axis = 'econ'"), models).collect()}
+    for o in range(3):
+        at = np.arange(230) % 3 == o
+        assert got[f"o{o}"][0] == at.sum() and np.isclose(got[f"o{o}"][1], (want[0] + x[at] @ want[1:]).mean()) and got[f"o{o}"][2] == 230
+
+
+def test_loadings_and_canvas_against_svd(spark, sf):
+    c = views.cov(spark, sf)
+    pairs = [tuple(r) for r in signals.cocoverage_pairs(c).select("outlet_id", "story_id").collect()]
+    rows, columns = sorted({p[0] for p in pairs}), sorted({p[1] for p in pairs})
+    m = np.zeros((len(rows), len(columns)))
+    for a, b in pairs:
+        m[rows.index(a), columns.index(b)] = 1
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    m -= m.mean(axis=0)
+    u, s, vt = np.linalg.svd(m, full_matrices=False)
+    signs = np.sign((u[:, :2] * s[:2])[np.abs(u[:, :2]).argmax(axis=0), [0, 1]])
+    loads = signals.map_loadings(c, 10).collect()
+    for axis in (0, 1):
+        told = sorted(r["loading"] for r in loads if r["axis"] == axis)
+        mine = np.sort(vt[axis] * signs[axis] / s[axis])
+        scale = max(abs(mine[0]), abs(mine[-1]))
+        assert len(told) == 20 and np.allclose(np.array(told) / max(map(abs, told)), np.concatenate([mine[:10], mine[-10:]]) / scale, atol=2e-3)
