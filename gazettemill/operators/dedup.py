@@ -138,6 +138,66 @@ def keep_recent(prints: DataFrame, distance: int = 3, limit: int = 300, slice_ro
     return functools.reduce(DataFrame.unionByName, done).select("article_id", "outlet", "kept")
 
 
+_STATUS = ["created", "existing", "duplicate"]
+
+
+def _decided(distance: int, limit: int):
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Items of an outlet in the feed's order, after its stored prints (place null)."""
+        stored = pdf[pdf["place"].isna()].sort_values("article_id")["fp"].to_numpy(np.int64).view(np.uint64).tolist()
+        items = pdf[pdf["place"].notna()].sort_values("place")
+        window, created, status = np.array(stored[-limit:] + [0] * len(items), np.uint64), set(), []
+        last = len(stored[-limit:])
+        for canonical, known, fp in zip(items["canonical"], items["known"], items["fp"].to_numpy(np.int64).view(np.uint64)):
+            if known or canonical in created:
+                status.append("existing")
+            elif (np.bitwise_count(window[:last] ^ fp) <= distance).any():
+                status.append("duplicate")
+            else:
+                status.append("created")
+                created.add(canonical)
+                window[last] = fp
+                last += 1
+        return pd.DataFrame({"outlet": items["outlet"], "place": items["place"].astype("int64"), "status": status})
+
+    return decide
+
+
+def ingest(incoming: DataFrame, stored: DataFrame, distance: int = 3, limit: int = 300) -> DataFrame:
+    """A run's feed items with their fate: (outlet, place, url, canonical, title, snippet, status, retitled).
+
+    ``incoming`` holds outlet, place (order in the outlet's feed), url, title and snippet, ``stored`` article_id,
+    outlet, url, title and snippet. An item is existing if its URL or canonical URL is stored, or was created
+    earlier in the run; then a stored row without snippet takes its other title (retitled). Else it is a
+    duplicate if near one of the outlet's ``limit`` latest stored prints or one created in the run, else created.
+    Only an outlet's items of one run and ``limit`` stored prints meet in a task.
+    """
+    items = incoming.select("outlet", F.col("place").cast("long").alias("place"), "url", T.canonical_url(F.col("url")).alias("canonical"), "title", "snippet")
+    old = stored.select("url", T.canonical_url(F.col("url")).alias("canonical"), F.col("title").alias("old_title"), (F.coalesce(F.trim("snippet"), F.lit("")) == "").alias("bare"))
+    first = lambda key: old.groupBy(key).agg(F.min(F.struct("old_title", "bare")).alias(f"by_{key}"))
+    seen = items.join(first("url"), "url", "left").join(first("canonical"), "canonical", "left").withColumn("old", F.coalesce("by_url", "by_canonical"))
+    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit(""))).alias("text")
+    key = F.concat_ws("\u0001", "outlet", F.col("place").cast("string"))
+    prints = simhash(seen.select(key.alias("article_id"), "outlet", text), "text").select(F.col("article_id").alias("key"), "fp")
+    new = seen.withColumn("key", key).join(prints, "key").select("outlet", "place", "canonical", F.col("old").isNotNull().alias("known"), "fp", F.lit(None).cast("long").alias("article_id"))
+    latest = latest_prints(stored.select("article_id", "outlet", "title", "snippet"), limit)
+    kept = simhash(latest.select("article_id", "outlet", text), "text").select("outlet", F.lit(None).cast("long").alias("place"), F.lit(None).cast("string").alias("canonical"), F.lit(True).alias("known"), "fp", F.col("article_id").cast("long").alias("article_id"))
+    fate = new.unionByName(kept.join(items.select("outlet").distinct(), "outlet", "left_semi")).groupBy("outlet").applyInPandas(_decided(distance, limit), "outlet string, place long, status string")
+    retitled = F.coalesce(F.col("old.bare") & (F.col("title") != F.col("old.old_title")) & (F.col("title") != ""), F.lit(False))
+    return seen.join(fate, ["outlet", "place"]).select("outlet", "place", "url", "canonical", "title", "snippet", "status", retitled.alias("retitled"))
+
+
+def ingest_counts(items: DataFrame) -> DataFrame:
+    """(outlet, fetched, created, existing, duplicate, retitled) of a run's items."""
+    return items.groupBy("outlet").agg(F.count("*").alias("fetched"), *(F.count_if(F.col("status") == s).alias(s) for s in _STATUS), F.count_if("retitled").alias("retitled"))
+
+
+def with_language(items: DataFrame, guesses: DataFrame, outlets: DataFrame) -> DataFrame:
+    """Items with the language found in their text (outlet, place, detected), else their outlet's (outlet, language)."""
+    joined = items.join(guesses, ["outlet", "place"], "left").join(outlets.select("outlet", F.col("language").alias("own")), "outlet", "left")
+    return joined.withColumn("language", F.coalesce("detected", "own")).drop("detected", "own")
+
+
 def unknown(incoming: DataFrame, stored: DataFrame, url: str = "url", order: str = "page_id") -> DataFrame:
     """Incoming rows whose URL and canonical URL aren't stored, the first of each canonical URL."""
     new = incoming.withColumn("canonical", T.canonical_url(F.col(url)))
@@ -147,6 +207,14 @@ def unknown(incoming: DataFrame, stored: DataFrame, url: str = "url", order: str
     return new.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
 
 
+def own_links(cards: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Link cards (handle, url) that lead to the account's own outlet: verified accounts (handle, domain, verified), the domain itself or one below it."""
+    where = F.regexp_replace(T.host(F.col("url")), r"^www\.", "")
+    own = F.lower(F.regexp_replace("domain", r"^www\.", ""))
+    joined = cards.withColumn("key", F.lower(F.ltrim("handle", F.lit("@")))).join(accounts.where("verified").select(F.lower(F.ltrim("handle", F.lit("@"))).alias("key"), "domain"), "key")
+    return joined.where((where == own) | where.endswith(F.concat(F.lit("."), own))).drop("key")
+
+
 def attribute(pages: DataFrame, outlets: DataFrame) -> DataFrame:
     """(page_id, domain): the outlet whose domain is the page's host or its longest dot-suffix, by equi-join on suffixes."""
     labels = F.split(F.regexp_replace(T.host(F.col("url")), r"^www\.", ""), r"\.")

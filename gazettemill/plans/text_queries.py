@@ -155,6 +155,14 @@ def d5(spark, d):
     return dedup.repeats_in_outlet(dedup.simhash(views.doc(spark, d)))
 
 
+@query("d8_ingest_counts")
+def d8_counts(spark, d):
+    """A run that brings every document as a feed item of its outlet, into a store that holds the first half of them."""
+    a = views.doc(spark, d).withColumn("url", F.concat(F.lit("https://"), "outlet", F.lit(".example/"), F.col("article_id").cast("string")))
+    half = a.agg(F.floor(F.max("article_id") / 2)).first()[0]
+    return dedup.ingest_counts(dedup.ingest(a.withColumnRenamed("article_id", "place"), a.where(F.col("article_id") <= half)))
+
+
 @query("d5_recent_keep")
 def d5_recent(spark, d):
     """The sequential rule against the 300 latest kept prints of an outlet, in slices of the table."""

@@ -242,3 +242,26 @@ def test_loadings_and_canvas_against_svd(spark, sf):
         mine = np.sort(vt[axis] * signs[axis] / s[axis])
         scale = max(abs(mine[0]), abs(mine[-1]))
         assert len(told) == 20 and np.allclose(np.array(told) / max(map(abs, told)), np.concatenate([mine[:10], mine[-10:]]) / scale, atol=2e-3)
+
+
+def test_a_run_of_feed_items(spark):
+    text = lambda i: " ".join(f"word{i}_{k}" for k in range(30))
+    stored = spark.createDataFrame([(1, "a", "http://e.org/1?utm_source=x", "Old", ""), (2, "a", "http://e.org/2", "Two", text(2)), (3, "b", "http://b.org/1", "B", text(9))], "article_id long, outlet string, url string, title string, snippet string")
+    items = [
+        ("a", 0, "http://e.org/1", "New title", "s"), ("a", 1, "http://e.org/2", "Two again", text(2)), ("a", 2, "http://e.org/3", "Two", text(2)), ("a", 3, "http://e.org/4", "Four", text(4)),
+        ("a", 4, "http://e.org/4#top", "Four", text(4)), ("a", 5, "http://e.org/5", "Four", text(4)), ("b", 0, "http://b.org/2", "Two", text(2)), ("c", 0, "http://c.org/1", "C", None), ("a", 6, "http://e.org/1", "Old", "s"),
+    ]
+    got = dedup.ingest(spark.createDataFrame(items, "outlet string, place long, url string, title string, snippet string"), stored)
+    assert {(r["outlet"], r["place"]): (r["status"], r["retitled"]) for r in got.collect()} == {
+        ("a", 0): ("existing", True), ("a", 1): ("existing", False), ("a", 2): ("duplicate", False), ("a", 3): ("created", False), ("a", 4): ("existing", False),
+        ("a", 5): ("duplicate", False), ("b", 0): ("created", False), ("c", 0): ("created", False), ("a", 6): ("existing", False)}
+    assert sorted(map(tuple, dedup.ingest_counts(got).collect())) == [("a", 7, 1, 4, 2, 1), ("b", 1, 1, 0, 0, 0), ("c", 1, 1, 0, 0, 0)]
+    guesses = spark.createDataFrame([("a", 3, "en"), ("b", 0, None)], "outlet string, place long, detected string")
+    told = dedup.with_language(got, guesses, spark.createDataFrame([("a", "it"), ("b", "de")], "outlet string, language string"))
+    assert {(r["outlet"], r["place"]): r["language"] for r in told.collect() if r["status"] == "created"} == {("a", 3): "en", ("b", 0): "de", ("c", 0): None}
+
+
+def test_own_links_of_verified_accounts(spark):
+    cards = spark.createDataFrame([("@Paper", "https://www.paper.example/1"), ("paper", "https://news.paper.example/2"), ("paper", "https://notpaper.example/3"), ("other", "https://other.example/4"), ("nobody", "https://paper.example/5")], "handle string, url string")
+    accounts = spark.createDataFrame([("paper", "www.Paper.example", True), ("other", "other.example", False)], "handle string, domain string, verified boolean")
+    assert sorted(r["url"][-1] for r in dedup.own_links(cards, accounts).collect()) == ["1", "2"]
