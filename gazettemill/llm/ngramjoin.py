@@ -11,17 +11,18 @@ can't reach the similarity is left out early:
 * Screen. Rows of similar size that are similar share so many of their
   smallest hashes (``_prefix``) that a row without enough columns of others
   among these is similar to none.
-* Columns of the remaining rows are ordered by how often they occur (counted
-  in ``_LOADS`` shared counters, so that the table of counts has a fixed
-  size), rare ones first. Two rows that are similar share a column among the
-  first ``size - needed + 1`` of each; only these are multiplied. A pair goes
-  on if sizes allow the similarity and the overlap counted so far plus what is
-  left after the last shared column reaches the least overlap of both sizes.
+* Columns of the remaining rows are ordered by how many rows have them, rare
+  ones first; a row with too few columns of several rows is left out. Two rows
+  that are similar share a column among the first ``size - needed + 1`` of
+  each; only these are multiplied. A pair goes on if sizes allow the similarity
+  and the overlap counted so far plus what is left after the last shared column
+  reaches the least overlap of both sizes.
 * Columns of large groups: every row of a column first meets the column's most
   connected row only. Those links make components, and then rows outside the
-  column's largest component meet the rows of other components. A group of
-  near copies is thus linked by about as many pairs as it has rows, and no
-  link between components is lost.
+  column's largest component meet the rows of other components, where what is
+  left of both from that column on reaches the least overlap. A group of near
+  copies is thus linked by about as many pairs as it has rows, and no link
+  between components is lost.
 
 Each pair that passes is counted exactly over both whole sets.
 
@@ -47,8 +48,8 @@ from . import common
 from .components import connected_components
 from .simhash import _shingle_hashes
 
-#: Counters of column frequencies; several columns share one in large corpora, which only affects the order.
-_LOADS = 1 << 18
+#: Bits of the map of documents whose sets are needed: 2 MB. Where it is crowded more sets are made and left out.
+_BITS = 1 << 24
 
 
 def _sets(texts: list[str], size: int) -> list[np.ndarray]:
@@ -97,15 +98,22 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     enough = F.floor(F.ceil(F.col("size") * percent / 100 - 1e-9) / 20) + 1  # a smaller similar row has this many more columns, at least
     named = common.cut(able.select("row", "rep", "s1", "s2", "size").join(met, "row").where(F.col("met") >= enough).select("row", "rep", "s1", "s2"), "named")
 
+    bits = _bitmap(named, spark)
+
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        named_bits = bits.value
         for pdf in batches:
+            at = pdf["at"].to_numpy()
+            pdf = pdf[named_bits[at >> 5] >> (at & 31) & 1 == 1]
+            if pdf.empty:
+                continue
             sets = _sets(pdf["text"].tolist(), size)
             keys = [_key(s) for s in sets]
             yield pd.DataFrame({"s1": [k[0] for k in keys], "s2": [k[1] for k in keys], "columns": sets})
 
-    chosen = texts.join(named.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = chosen.mapInPandas(whole, "s1 long, s2 long, columns array<long>").join(named.select("row", "s1", "s2"), ["s1", "s2"])
-    sets = common.cut(sets.groupBy("row").agg(F.first("columns").alias("columns")), "sets")
+    # Sets are made before any shuffle, so that no texts are shuffled; the bitmap spares most texts that aren't needed.
+    sets = texts.where("doc_id is not null").select("text", _bit("doc_id").alias("at")).mapInPandas(whole, "s1 long, s2 long, columns array<long>")
+    sets = common.cut(sets.dropDuplicates(["s1", "s2"]).join(named.select("row", "s1", "s2"), ["s1", "s2"]).select("row", "columns"), "sets")
     entries = _entries(sets, percent)
 
     tried = common.cut(_meet_heads(entries, percent), "pairs")
@@ -121,28 +129,29 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _bit(name: str):
+    return F.pmod(F.xxhash64(name), F.lit(_BITS))
+
+
+def _bitmap(named: DataFrame, spark):
+    """A bitmap of ``_BITS`` bits, whatever the input, with those of the named documents set; sent to all tasks."""
+    at = named.select(_bit("rep").alias("at"))
+    found = at.groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("bits")).toPandas()
+    words = np.zeros(_BITS >> 5, np.uint32)
+    words[found["word"]] = found["bits"].astype(np.uint32)
+    return spark.sparkContext.broadcast(words)
+
+
 def _entries(sets: DataFrame, percent: int) -> DataFrame:
     """(column, row, size, at): the incidence restricted to each row's first columns, and to columns of several rows."""
-    spark = sets.sparkSession
-    loads = sets.select(F.explode("columns").alias("column")).groupBy(F.pmod("column", F.lit(_LOADS)).alias("at")).count().toPandas()  # _LOADS rows at most
-    counts = np.zeros(_LOADS, np.int64)
-    counts[loads["at"]] = loads["count"]
-    sent = spark.sparkContext.broadcast(counts)
-
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        load = sent.value
-        for pdf in batches:
-            out = []
-            for row, columns in zip(pdf["row"], pdf["columns"]):
-                order = columns[np.lexsort((columns, load[np.mod(columns, _LOADS)]))]
-                kept = order[: len(order) - _needed(len(order), percent) + 1]
-                out.append(pd.DataFrame({"column": kept, "row": row, "size": len(order), "at": np.arange(len(kept))}))
-            if out:
-                yield pd.concat(out)
-
-    entries = common.cut(sets.mapInPandas(first, "column long, row long, size long, at long"), "entries")
-    shared = common.cut(entries.groupBy("column").agg(F.count("*").alias("n")).where("n > 1"), "columns")
-    return common.cut(common.weighted_join(entries, shared, ["column"], "n"), "incidence")
+    terms = sets.select("row", F.size("columns").cast("long").alias("size"), F.explode("columns").alias("column"))
+    shared = common.cut(terms.groupBy("column").agg(F.count("*").alias("n")).where("n > 1"), "columns")
+    found = common.weighted_join(terms, shared, ["column"], "n").groupBy("row", "size").agg(F.sort_array(F.collect_list(F.struct("n", "column"))).alias("found"))
+    spare = F.size("found") - F.ceil(F.col("size") * percent / 100 - 1e-9).cast("int")
+    first = found.where(spare >= 0).select("row", "size", (F.col("size") - F.size("found")).alias("alone"), F.posexplode(F.slice("found", 1, spare + 1)).alias("at", "first"))
+    entries = common.cut(first.select("first.column", "row", "size", (F.col("alone") + F.col("at")).alias("at")), "entries")
+    several = common.cut(entries.groupBy("column").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    return common.cut(common.weighted_join(entries, several, ["column"], "n"), "incidence")
 
 
 def _possible(products: DataFrame, percent: int) -> DataFrame:
@@ -176,8 +185,10 @@ def _meet_others(entries: DataFrame, roots: DataFrame, percent: int) -> DataFram
     known = common.cut(common.weighted_join(placed, common.cut(major, "major"), ["column"], "weight"), "known")
     one = known.where("part <> major").select("column", F.col("row").alias("x"), F.col("size").alias("x_size"), F.col("at").alias("x_at"), F.col("part").alias("x_part"))
     two = known.select("column", F.col("row").alias("y"), F.col("size").alias("y_size"), F.col("at").alias("y_at"), F.col("part").alias("y_part"), (F.col("part") == F.col("major")).alias("in_major"))
-    fits = (F.least("x_size", "y_size") * 100 >= F.greatest("x_size", "y_size") * percent) & (F.col("x_part") != F.col("y_part")) & (F.col("in_major") | (F.col("x") < F.col("y")))
-    return _possible(one.join(two, "column").where(fits), percent)
+    # All shared columns of a pair stand at or behind its first one, so what is left there bounds the overlap.
+    left = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
+    fits = (left >= _overlap(F.col("x_size"), F.col("y_size"), percent)) & (F.col("x_part") != F.col("y_part")) & (F.col("in_major") | (F.col("x") < F.col("y")))
+    return one.join(two, "column").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
