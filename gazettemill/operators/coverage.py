@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import tokens
+
 
 def story_counts(articles: DataFrame, story: str = "story_id", outlet: str = "outlet_id") -> DataFrame:
     """Articles and distinct outlets of each story."""
@@ -79,19 +81,27 @@ def version_order(articles: DataFrame, country: int, language: str) -> DataFrame
     return articles.select("story_id", "article_id", F.row_number().over(w).cast("long").alias("position"))
 
 
-def diverse_versions(articles: DataFrame) -> DataFrame:
+def diverse_versions(articles: DataFrame, positions: DataFrame | None = None) -> DataFrame:
     """Three most different versions of a story: one article per outlet, then two farthest-point steps.
 
-    Distance is 1 for another country plus 0.5 for another language; ties go to the earlier article.
+    Distance is that of the outlets' places on the map (outlet_id, x, y) where both have one, else 1 for another
+    country plus 0.5 for another language; ties go to the earlier article.
     """
     one = articles.withColumn("rn", F.row_number().over(Window.partitionBy("story_id", "outlet_id").orderBy("published_at", "article_id"))).where("rn = 1")
+    nowhere = F.lit(None).cast("double")
+    one = one.withColumns({"x": nowhere, "y": nowhere}) if positions is None else one.join(positions.select("outlet_id", "x", "y"), "outlet_id", "left")
+    told = ("article_id", "country", "language", "x", "y")
     order = Window.partitionBy("story_id").orderBy("published_at", "article_id")
-    seeds = one.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("story_id", F.struct("article_id", "country", "language").alias("a"))
-    gap = lambda x: (F.col("country") != F.col(f"{x}.country")).cast("double") + 0.5 * (F.col("language") != F.col(f"{x}.language")).cast("double")
+    seeds = one.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("story_id", F.struct(*told).alias("a"))
+
+    def gap(other: str) -> Column:
+        of = lambda c: F.col(f"{other}.{c}")
+        apart = lambda c: F.coalesce((~F.col(c).eqNullSafe(of(c))).cast("double"), F.lit(0.0))
+        return F.coalesce(F.hypot(F.col("x") - of("x"), F.col("y") - of("y")), apart("country") + 0.5 * apart("language"))
 
     def farthest(rows: DataFrame, distance: Column, name: str) -> DataFrame:
         w = Window.partitionBy("story_id").orderBy(F.desc("d"), "published_at", "article_id")
-        return rows.withColumn("d", distance).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("story_id", F.struct("article_id", "country", "language").alias(name))
+        return rows.withColumn("d", distance).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("story_id", F.struct(*told).alias(name))
 
     rest = one.join(seeds, "story_id").where(F.col("article_id") != F.col("a.article_id"))
     second = farthest(rest, gap("a"), "b")
@@ -101,6 +111,26 @@ def diverse_versions(articles: DataFrame) -> DataFrame:
     return out.select("story_id", F.col("a.article_id").alias("first"), F.col("b.article_id").alias("second"), F.col("c.article_id").alias("third"))
 
 
+def headline_subtitles(stories: DataFrame, articles: DataFrame, locale: str) -> DataFrame:
+    """(story, subtitle, translated): what a story's title means in the reader's language; null where nothing fits.
+
+    ``stories`` holds story, title_neutral, title_language and translations (a map), ``articles`` story, article_id,
+    title, snippet, language, outlet_language and published_at. A title in the reader's language needs none; else
+    the translation, else the title of a version whose own and outlet's language both are the reader's, that
+    differs from the neutral title and shares a strong word with it (where both have some): one with a snippet
+    if there is any, then the earliest.
+    """
+    fits = articles.where((F.col("language") == locale) & (F.col("outlet_language") == locale) & (F.coalesce("title", F.lit("")) != ""))
+    met = fits.join(stories.select("story", "title_neutral"), "story").where("title <> title_neutral")
+    ours, theirs = tokens.strong_words(F.col("title")), tokens.strong_words(F.col("title_neutral"))
+    met = met.where((F.size(ours) == 0) | (F.size(theirs) == 0) | tokens.same_news(ours, theirs))
+    bare = (F.coalesce(F.trim("snippet"), F.lit("")) == "").cast("int")
+    best = met.groupBy("story").agg(F.min_by("title", F.struct(bare.alias("bare"), "published_at", "article_id")).alias("version"))
+    joined = stories.join(best, "story", "left").withColumn("made", F.nullif(F.try_element_at("translations", F.lit(locale)), F.lit("")))
+    foreign = ~F.col("title_language").eqNullSafe(F.lit(locale))
+    return joined.select("story", F.when(foreign, F.coalesce("made", "version")).alias("subtitle"), (foreign & F.col("made").isNotNull()).alias("translated"))
+
+
 def guaranteed_slots(top: DataFrame, breaking: DataFrame, story: str, limit: int) -> DataFrame:
     """Breaking stories that the list lacks take its last places; the list is then sorted again."""
     missing = breaking.join(top, story, "left_anti").withColumn("forced", F.lit(0))

@@ -130,6 +130,37 @@ def signal_run(families: list[DataFrame], period_start: Column, period_end: Colu
     return rows.select("outlet", "type", "axis", period_start.alias("period_start"), period_end.alias("period_end"), "value")
 
 
+def signal_views(rows: DataFrame) -> DataFrame:
+    """(outlet, view, axis, place, item, value): what a page shows of each outlet's latest signals, from stored ones (``signal_run``).
+
+    Of each type the latest period counts, of annotation the latest of each axis. Agenda: the three topics most over
+    and most under the mean, in points. Tone: percent of each. Framing: the four largest groups. Speakers: the five
+    most cited. Blind spots, map and annotation: their numbers as they are.
+    """
+    own = F.when(F.col("type") == "annotation", F.col("axis"))
+    latest = rows.withColumn("axis", own).groupBy("outlet", "type", "axis").agg(F.max_by("value", F.struct("period_end", "period_start")).alias("value"))
+    items = latest.select("outlet", "type", "axis", F.explode(F.from_json("value", "map<string,string>")).alias("item", "text"))
+    number = F.when(F.col("text") == "true", 1.0).when(F.col("text") == "false", 0.0).otherwise(F.col("text").try_cast("double"))
+    items = items.withColumn("value", number).where("value is not null").drop("text")
+    of = Window.partitionBy("outlet", "type")
+    grouped = items.where("type = 'framing'").withColumn("item", F.split_part("item", F.lit("/"), F.lit(1))).groupBy("outlet", "type", "axis", "item").agg(F.sum("value").alias("value"))
+    ranked = items.where("type <> 'framing'").unionByName(grouped).withColumns({
+        "place": F.row_number().over(of.orderBy(F.desc("value"), "item")), "last": F.row_number().over(of.orderBy("value", F.desc("item"))), "all": F.sum("value").over(of),
+    })
+    agenda = F.col("type") == "agenda"
+    over, under = agenda & (F.col("place") <= 3), agenda & (F.col("last") <= 3)
+    points = F.round(F.col("value") * 100, 1)
+    show = lambda keep, view, place, value: ranked.where(keep).select("outlet", view.alias("view"), "axis", place.cast("long").alias("place"), "item", value.alias("value"))
+    plain = F.col("type").isin("blindspot", "cocoverage", "annotation")
+    parts = [
+        show(over, F.lit("agenda over"), F.col("place"), points), show(under, F.lit("agenda under"), F.col("last"), points),
+        show(F.col("type") == "tone", F.lit("tone"), F.col("place"), F.round(F.col("value") * 100 / F.when(F.col("all") == 0, 1).otherwise(F.col("all")))),
+        show((F.col("type") == "framing") & (F.col("place") <= 4), F.lit("framing"), F.col("place"), F.col("value")),
+        show((F.col("type") == "actors") & (F.col("place") <= 5), F.lit("actors"), F.col("place"), F.col("value")), show(plain, F.col("type"), F.lit(None), F.col("value")),
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def _big_pairs(articles: DataFrame, min_outlets: int) -> DataFrame:
     pairs = articles.select("outlet_id", "country", "story_id").distinct()
     big = pairs.groupBy("story_id").agg(F.count("*").alias("covering_sources"), F.countDistinct("country").alias("covering_countries")).where(F.col("covering_sources") >= min_outlets)

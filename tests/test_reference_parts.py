@@ -265,3 +265,41 @@ def test_own_links_of_verified_accounts(spark):
     cards = spark.createDataFrame([("@Paper", "https://www.paper.example/1"), ("paper", "https://news.paper.example/2"), ("paper", "https://notpaper.example/3"), ("other", "https://other.example/4"), ("nobody", "https://paper.example/5")], "handle string, url string")
     accounts = spark.createDataFrame([("paper", "www.Paper.example", True), ("other", "other.example", False)], "handle string, domain string, verified boolean")
     assert sorted(r["url"][-1] for r in dedup.own_links(cards, accounts).collect()) == ["1", "2"]
+
+
+def test_versions_far_apart_on_the_map(spark):
+    from gazettemill.operators import coverage
+
+    rows = spark.createDataFrame([(1, o, 10 + o, "it", "it", dt.datetime(2024, 1, 1, o)) for o in range(4)], "story_id long, outlet_id long, article_id long, country string, language string, published_at timestamp")
+    places = spark.createDataFrame([(0, 0.0, 0.0), (1, 0.1, 0.0), (2, 1.0, 1.0), (3, 0.0, 0.8)], "outlet_id long, x double, y double")
+    assert tuple(coverage.diverse_versions(rows, places).first()) == (1, 10, 12, 13)
+    assert tuple(coverage.diverse_versions(rows, places.where("outlet_id <> 2")).first()) == (1, 10, 13, 11)  # no place: same country and language
+    assert tuple(coverage.diverse_versions(rows).first()) == (1, 10, 11, 12)
+
+
+def test_subtitles(spark):
+    from gazettemill.operators import coverage
+
+    stories = spark.createDataFrame([(1, "Governo vara piano", "it", {"en": "Made"}), (2, "Governo vara piano", "it", {}), (3, "Government acts", "en", {"en": "x"}), (4, "piano", None, None), (5, "Governo vara piano", "it", {"en": ""})], "story long, title_neutral string, title_language string, translations map<string,string>")
+    at = lambda d: dt.datetime(2024, 1, d)
+    articles = [
+        (2, 1, "Other Topic Entirely", "s", "en", "en", at(1)), (2, 2, "Government plan", "", "en", "en", at(2)), (2, 3, "The Governor speaks", "s", "en", "en", at(4)), (2, 4, "Government early", "s", "en", "no", at(1)),
+        (4, 5, "small plan", None, "en", "en", at(1)), (5, 6, "Governo vara piano", "s", "en", "en", at(1)),
+    ]
+    rows = spark.createDataFrame(articles, "story long, article_id long, title string, snippet string, language string, outlet_language string, published_at timestamp")
+    got = {r["story"]: (r["subtitle"], r["translated"]) for r in coverage.headline_subtitles(stories, rows, "en").collect()}
+    assert got == {1: ("Made", True), 2: ("The Governor speaks", False), 3: (None, False), 4: ("small plan", False), 5: (None, False)}
+
+
+def test_views_of_the_latest_signals(spark):
+    rows = [
+        ("x", "agenda", None, 1, {"a": 0.9}), ("x", "agenda", None, 8, {"a": 0.05, "b": -0.0312, "c": 0.01, "d": 0.0, "e": -0.2}), ("x", "tone", None, 8, {"negative": 1, "neutral": 2, "positive": 0}),
+        ("x", "framing", None, 8, {"g/t1": 2, "g/t2": 3, "h/t": 1}), ("x", "annotation", "econ", 1, {"label": 0.5, "published": True, "missing": ""}), ("x", "annotation", "cult", 8, {"published": False, "missing": "articles"}), ("y", "tone", None, 1, {"negative": 0, "neutral": 0, "positive": 0}),
+    ]
+    stored = spark.createDataFrame([(o, t, a, dt.date(2024, 1, w), dt.date(2024, 1, w + 6), json.dumps(v)) for o, t, a, w, v in rows], "outlet string, type string, axis string, period_start date, period_end date, value string")
+    got = sorted((r["outlet"], r["view"], r["axis"] or "", r["place"] or 0, r["item"], r["value"]) for r in signals.signal_views(stored).collect())
+    assert got == sorted([
+        ("x", "agenda over", "", 1, "a", 5.0), ("x", "agenda over", "", 2, "c", 1.0), ("x", "agenda over", "", 3, "d", 0.0), ("x", "agenda under", "", 1, "e", -20.0), ("x", "agenda under", "", 2, "b", -3.1), ("x", "agenda under", "", 3, "d", 0.0),
+        ("x", "tone", "", 1, "neutral", 67.0), ("x", "tone", "", 2, "negative", 33.0), ("x", "tone", "", 3, "positive", 0.0), ("y", "tone", "", 1, "negative", 0.0), ("y", "tone", "", 2, "neutral", 0.0), ("y", "tone", "", 3, "positive", 0.0),
+        ("x", "framing", "", 1, "g", 5.0), ("x", "framing", "", 2, "h", 1.0), ("x", "annotation", "econ", 0, "label", 0.5), ("x", "annotation", "econ", 0, "published", 1.0), ("x", "annotation", "cult", 0, "published", 0.0),
+    ])
