@@ -297,6 +297,7 @@ def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4, numbered:
     words_sent = sent(_Words, True, None)
     items = common.cut(words.mapInPandas(number_words, shape), "items")
     if len(top) == numbered:
+        words_sent.destroy()
         words_sent = sent(_Words, True, items.where(F.col("number") >= _TAIL))
     word_numbers = words_sent
 
@@ -306,6 +307,7 @@ def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4, numbered:
             yield pd.DataFrame({"lang": pdf["lang"], "ids": [known.of(lang, _tokens(text)) for lang, text in zip(pdf["lang"], pdf["text"])]})
 
     ids = common.cut(texts.mapInPandas(ids_of, "lang string, ids array<long>"), "ids")
+    word_numbers.destroy()  # what it served is written; the driver keeps one step's numbers at a time
     levels = [items.select("lang", "phrase", F.lit(1).alias("words"), "f")]
     for length in range(2, longest + 1):
         pairs = count_pairs(ids, least)
@@ -323,12 +325,14 @@ def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4, numbered:
 
         numbered_pairs = common.cut(pairs.mapInPandas(number_pairs, "lang string, number long, a long, b long, f long"), "numbered")
         if len(top) == numbered:
+            pairs_sent.destroy()
             pairs_sent = sent(_Pairs, False, numbered_pairs.where(F.col("number") >= _TAIL).select("number"))
         one = items.select("lang", F.col("number").alias("a"), "phrase")
         two = items.select("lang", F.col("number").alias("b"), F.col("last"))
         items = common.cut(numbered_pairs.join(one, ["lang", "a"]).join(two, ["lang", "b"]).select("lang", "number", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f"), "items")
         levels.append(items.select("lang", "phrase", F.lit(length).alias("words"), "f"))
         if length == longest:
+            pairs_sent.destroy()
             break
 
         def next_ids(batches: Iterator[pd.DataFrame], known=pairs_sent) -> Iterator[pd.DataFrame]:
@@ -348,6 +352,7 @@ def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4, numbered:
                 yield pd.DataFrame({"lang": pdf["lang"], "ids": out})
 
         ids = common.cut(ids.mapInPandas(next_ids, "lang string, ids array<long>"), "ids")
+        pairs_sent.destroy()
     counts = levels[0]
     for level in levels[1:]:
         counts = counts.unionByName(level)
