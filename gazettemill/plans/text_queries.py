@@ -384,34 +384,59 @@ def b21(spark, d):
     return found.select("outlet", "axis", "articles", F.round("position", 6).alias("position"), F.round("mae", 6).alias("mae"), "examples")
 
 
-@query("b20_signal_run", f"""WITH {cq._AGENDA}, {cq._SPOTS}, {cq._PAIRS}, {_FRAME}, {_TONE}, {cq._gate_sql(-1.0)}, {cq._LABEL}, w AS (SELECT min(published_at)::DATE AS period_start, max(published_at)::DATE AS period_end FROM cov),
- l AS (SELECT outlet_id::VARCHAR AS outlet, 'agenda' AS type, NULL AS axis, topic AS item, round(deviation,4)+0.0 AS number FROM a WHERE c>=2
- UNION ALL SELECT outlet_id::VARCHAR, 'cocoverage', NULL, unnest(['x','y']), NULL FROM (SELECT DISTINCT outlet_id FROM p)
+_SIGNALS = f"""{cq._AGENDA}, {cq._SPOTS}, {cq._PAIRS}, {_FRAME}, {_TONE}, {cq._gate_sql(-1.0)}, {cq._LABEL},
+ l AS (SELECT outlet_id::VARCHAR AS outlet, 'agenda' AS type, NULL AS axis, topic AS item, deviation AS number FROM a WHERE c>=2
  UNION ALL SELECT outlet_id::VARCHAR, 'blindspot', NULL, 'n', count(*)::DOUBLE FROM sp GROUP BY 1 UNION ALL SELECT outlet_id::VARCHAR, 'blindspot', NULL, 'peers', max(peers)::DOUBLE FROM sp GROUP BY 1
  UNION ALL SELECT outlet, 'framing', NULL, grp||'/'||term, sum(n)::DOUBLE FROM fc WHERE outlet IN (SELECT outlet FROM doc GROUP BY 1 HAVING count(*)>=5) GROUP BY outlet, grp, term
  UNION ALL SELECT outlet, 'tone', NULL, k.tone, count(*) FILTER (tn.tone=k.tone)::DOUBLE FROM tn, (VALUES ('negative'),('neutral'),('positive')) k(tone) GROUP BY outlet, k.tone
- UNION ALL SELECT outlet, 'annotation', axis, 'published', (missing='')::INT::DOUBLE FROM gt UNION ALL SELECT outlet, 'annotation', axis, 'label', label FROM gt JOIN lb USING(outlet, axis) WHERE missing='')
- SELECT outlet, type, axis, item, number, period_start::VARCHAR AS period_start, period_end::VARCHAR AS period_end FROM l, w""", ("cov", "doc", "ann", "frames", "valence"))
-def b20(spark, d):
-    """All families over the whole fixture, written to a signal store and read back, one row for each number of a signal.
+ UNION ALL SELECT outlet, 'annotation', axis, 'published', (missing='')::INT::DOUBLE FROM gt UNION ALL SELECT outlet, 'annotation', axis, 'label', label FROM gt JOIN lb USING(outlet, axis) WHERE missing='')"""
 
-    Coordinates of the map have no SQL form, so their numbers are left out here (tests hold them against numpy); the
-    given prose cites nobody, so the family of speakers is empty here and in the SQL.
-    """
-    c, a = views.cov(spark, d), views.doc(spark, d)
+
+def _families(spark, c, a, d):
+    """Signals of all families but the map, in long form."""
     pairs = lambda key, value: F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value))))
-    families = [
+    return [
         signals.signal_rows("agenda", signals.agenda(c).groupBy("outlet_id").agg(pairs("topic", "deviation").alias("v")), "outlet_id", F.col("v")),
-        signals.signal_rows("cocoverage", signals.cocoverage_map(c), "outlet_id", F.struct("x", "y")),
         signals.signal_rows("blindspot", signals.outlet_blind_spot_summary(c), "outlet_id", F.struct("n", "peers")),
         signals.signal_rows("framing", lexical.outlet_framing(lexical.frame_counts(a, dims.frames(spark)), a).groupBy("outlet").agg(pairs(F.concat_ws("/", "grp", "term").alias("term"), "n").alias("v")), "outlet", F.col("v")),
         signals.signal_rows("actors", lexical.outlet_speakers(lexical.cited_speakers(a)).groupBy("outlet").agg(pairs("speaker", "n").alias("v")), "outlet", F.col("v")),
         signals.signal_rows("tone", lexical.outlet_tone(lexical.tone(a, dims.valence(spark))), "outlet", F.struct("negative", "neutral", "positive")),
         signals.signal_rows("annotation", annotation.signals(views.ann(spark, d), min_alpha=-1.0), "outlet", F.struct("label", "published", "missing"), F.col("axis")),
     ]
+
+
+def _stored(spark, families, c):
+    """What a store holds after a run of these families over the whole fixture."""
     first, last = c.agg(F.min("published_at"), F.max("published_at")).first()
     store = SignalStore(spark, shared_dir(spark, "signals"))
     store.write(signals.signal_run(families, F.lit(first), F.lit(last)), "weekly-run")
-    told = store.read().select("outlet", "type", "axis", "period_start", "period_end", F.explode(F.from_json("value", "map<string,string>")).alias("item", "text")).where("item <> 'missing'")
+    return store.read()
+
+
+@query("b20_signal_run", f"""WITH {_SIGNALS}, w AS (SELECT min(published_at)::DATE AS period_start, max(published_at)::DATE AS period_end FROM cov)
+ SELECT outlet, type, axis, item, round(number,4)+0.0 AS number, period_start::VARCHAR AS period_start, period_end::VARCHAR AS period_end FROM
+ (SELECT * FROM l UNION ALL SELECT outlet_id::VARCHAR, 'cocoverage', NULL, unnest(['x','y']), NULL FROM (SELECT DISTINCT outlet_id FROM p)), w""", ("cov", "doc", "ann", "frames", "valence"))
+def b20(spark, d):
+    """All families over the whole fixture, written to a signal store and read back, one row for each number of a signal.
+
+    Coordinates of the map have no SQL form, so their numbers are left out here (tests hold them against numpy); the
+    given prose cites nobody, so the family of speakers is empty here and in the SQL.
+    """
+    c = views.cov(spark, d)
+    families = [*_families(spark, c, views.doc(spark, d), d), signals.signal_rows("cocoverage", signals.cocoverage_map(c), "outlet_id", F.struct("x", "y"))]
+    stored = _stored(spark, families, c)
+    told = stored.select("outlet", "type", "axis", "period_start", "period_end", F.explode(F.from_json("value", "map<string,string>")).alias("item", "text")).where("item <> 'missing'")
     number = F.when(F.col("text") == "true", 1.0).when(F.col("text") == "false", 0.0).when(F.col("type") != "cocoverage", F.round(F.col("text").try_cast("double"), 4) + 0.0)
     return told.select("outlet", "type", "axis", "item", number.alias("number"), F.col("period_start").cast("string").alias("period_start"), F.col("period_end").cast("string").alias("period_end"))
+
+
+@query("p17_signal_views", f"""WITH {_SIGNALS}, t AS (SELECT * FROM l WHERE type<>'framing' UNION ALL SELECT outlet, type, axis, split_part(item,'/',1), sum(number) FROM l WHERE type='framing' GROUP BY 1,2,3,4),
+ r AS (SELECT *, row_number() OVER (PARTITION BY outlet, type ORDER BY number DESC, item) AS place, row_number() OVER (PARTITION BY outlet, type ORDER BY number, item DESC) AS back, sum(number) OVER (PARTITION BY outlet, type) AS whole FROM t WHERE number IS NOT NULL)
+ SELECT outlet, 'agenda over' AS view, axis, place, item, round(number*100,1)+0.0 AS value FROM r WHERE type='agenda' AND place<=3 UNION ALL SELECT outlet, 'agenda under', axis, back, item, round(number*100,1)+0.0 FROM r WHERE type='agenda' AND back<=3
+ UNION ALL SELECT outlet, 'tone', axis, place, item, round(number*100/CASE WHEN whole=0 THEN 1 ELSE whole END) FROM r WHERE type='tone' UNION ALL SELECT outlet, 'framing', axis, place, item, number FROM r WHERE type='framing' AND place<=4
+ UNION ALL SELECT outlet, type, axis, NULL, item, number FROM r WHERE type IN ('blindspot','annotation')""", ("cov", "doc", "ann", "frames", "valence"))
+def p17_views(spark, d):
+    """What pages show of each outlet's latest stored signals (all families but the map)."""
+    c = views.cov(spark, d)
+    shown = signals.signal_views(_stored(spark, _families(spark, c, views.doc(spark, d), d), c))
+    return shown.withColumn("value", F.col("value") + 0.0)
