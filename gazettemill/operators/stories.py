@@ -65,8 +65,9 @@ def _nearest(articles: DataFrame, stories: DataFrame, n_stories: int, listed: in
 def _best_member(near: DataFrame, articles: DataFrame, members: DataFrame) -> DataFrame:
     """(article_id, story, member): the nearest member's cosine, by blocks of a story's members."""
     asked = near.join(articles.select("article_id", "embedding"), "article_id").groupBy("story").agg(F.collect_list(F.struct("article_id", "embedding")).alias("articles"))
-    held = members.withColumn("block", F.pmod(F.xxhash64("article_id"), F.greatest(F.lit(1), F.ceil(F.count("*").over(Window.partitionBy("story")) / BLOCK_ROWS))))
-    held = held.groupBy("story", "block").agg(F.collect_list("vector").alias("members"))
+    # Members of the asked stories only; a large story's are dealt over blocks of bounded size.
+    sizes = members.join(near.select("story").distinct(), "story", "left_semi").groupBy("story").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+    held = members.join(sizes, "story").groupBy("story", F.pmod(F.xxhash64("article_id"), F.col("blocks")).alias("block")).agg(F.collect_list("vector").alias("members"))
 
     def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
