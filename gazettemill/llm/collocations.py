@@ -52,6 +52,8 @@ _NUMBERED = 1 << 20
 _GATHERED = 1 << 22
 #: Counts of a tile that a task adds up, and parts of a larger one.
 _CROWDED, _TOGETHER = 1 << 24, 8
+#: Shares of a language in which phrases are ranked first.
+_SHARES = 32
 _TAIL = 1 << 62
 _BITS = 27  # of the bitmap: 16 MB
 
@@ -377,6 +379,10 @@ def mine(docs: DataFrame, least: int = 30, longest: int = 4, contained: int = 80
     inner = phrases.where(F.size("w") > 2).select("lang", "a", F.explode(spans).alias("phrase")).groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     kept = weakest.join(inner, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.lit(100) * F.col("longer") < F.lit(contained) * F.col("x.a")))
     ranked = kept.select("lang", "phrase", "x.a", "x.l", "x.r", "x.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    by_score = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    # First within shares of a language, so that its last task ranks a bounded number of phrases.
+    share = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(_SHARES))).orderBy(*by_score)
+    ranked = ranked.withColumn("rank", F.row_number().over(share)).where(F.col("rank") <= top)
+    order = Window.partitionBy("lang").orderBy(*by_score)
     first = ranked.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
     return first.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
