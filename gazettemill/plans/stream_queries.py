@@ -39,8 +39,7 @@ def st1(spark, d):
 @query("st1_canonical_arrivals", views.with_views(f"WITH {_CANON} SELECT DISTINCT canonical FROM cu", "page"))
 def st1_canonical(spark, d):
     """Pages as arrivals, all of one instant: each canonical URL arrives once."""
-    stream = spark.readStream.schema("page_id long, url string, html string").option("pathGlobFilter", "pages.parquet").parquet(d)
-    stream = stream.select("page_id", "url", F.timestamp_seconds(F.lit(1_704_067_200)).alias("published_at"))
+    stream = arrivals.landed(spark, d, "pages", "page_id long, url string").select("page_id", "url", F.timestamp_seconds(F.lit(1_704_067_200)).alias("published_at"))
     return arrivals.drain(arrivals.canonical_arrivals(stream)).select("canonical")
 
 

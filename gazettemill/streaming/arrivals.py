@@ -19,9 +19,14 @@ from ..session import shared_dir
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
+def landed(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFrame:
+    """A given table as a stream, be it one file or a folder of files (which only a pattern finds alike)."""
+    return spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet*")
+
+
 def landed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of article arrivals."""
-    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    raw = landed(spark, sf_dir, "events", EVENTS)
     return raw.select(F.col("event_id").alias("article_id"), F.col("user_id").alias("outlet_id"), F.concat_ws("/", "event_type", F.date_format("ts", "yyyy-MM-dd")).alias("story"), F.col("ts").cast("timestamp").alias("published_at"), "event_type", "value")
 
 

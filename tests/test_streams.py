@@ -89,3 +89,14 @@ def test_late_articles_and_replays(spark, tmp_path):
     assert {r["story"] for r in coverage.flash_stories(both, "story").collect()} == {r[0] for r in told if r[6]}
     store.merge(batch(("c", 1, 5.0)), 2)
     assert store.stories().count() == 3
+
+
+def test_tables_in_folders_land(spark, sf, tmp_path):
+    from gazettemill.plans import catalog
+
+    for name in ("pages", "events"):
+        spark.read.parquet(f"{sf}/{name}.parquet").repartition(3).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    for name in ("st1_canonical_arrivals", "st1_first_arrivals"):
+        want = catalog.queries()[name](spark, sf)
+        got = catalog.queries()[name](spark, f"file://{tmp_path}")
+        assert want.count() and sorted(got.collect()) == sorted(want.collect())
