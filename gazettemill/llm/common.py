@@ -9,6 +9,8 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import small_batches as small_batches
+
 #: ASCII white space of the contracts, as a regex class.
 ASCII_SPACE = r"[\x20\x09-\x0D]"
 
@@ -64,18 +66,6 @@ def write(df: DataFrame, name: str) -> str:
     return path
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches bounded by bytes and rows, for jobs that hand whole texts to Python.
-
-    Every operator asks for the same bounds, and only where the session still
-    has Spark's own defaults, so it doesn't matter which plan runs last.
-    """
-    for name, default, bound in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", str((1 << 31) - 1), str(16 << 20))):
-        name = f"spark.sql.execution.arrow.{name}"
-        if spark.conf.get(name, default).rstrip("Bb") == default:
-            spark.conf.set(name, bound)
-
-
 def weighted_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
     """``left`` joined to ``right``, whose rows have different keys and tell in ``weight`` how many rows of ``left`` hold theirs.
 

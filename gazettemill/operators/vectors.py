@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,23 +13,52 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as T
+from ..session import small_batches
 
 DIMENSIONS = 768
+#: Stop words that a task takes.
+MOST_STOPS = 200_000
 BLOCK_ROWS = 2000
 
 
 def hashed_features(articles: DataFrame, stops: DataFrame, text: str = "title") -> DataFrame:
-    """(article_id, idx, weight): signed feature hashing of content words and their character 4- and 5-grams, L2-normalised."""
-    words = articles.select("article_id", F.posexplode(T.words(F.col(text))).alias("pos", "word")).join(stops.select("word").distinct(), "word", "left_anti")
-    joined = words.groupBy("article_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda s: s["word"]), " ").alias("joined"))
-    chars = lambda n: F.when(F.length("joined") >= n, F.transform(F.sequence(F.lit(1), F.length("joined") - n + 1), lambda i: F.substring(F.col("joined"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    features = F.concat(F.transform(F.split("joined", " "), lambda w: F.concat(F.lit("w:"), w)), F.transform(chars(4), lambda g: F.concat(F.lit("c:"), g)), F.transform(chars(5), lambda g: F.concat(F.lit("c:"), g)))
-    counts = joined.where("joined <> ''").select("article_id", F.explode(features).alias("f")).groupBy("article_id", "f").agg(F.count("*").alias("tf"))
-    high, low = T.md5_halves(F.col("f"))
-    signed = (1 + F.log("tf")) * F.when(low % 2 == 0, 1.0).otherwise(-1.0)
-    sums = counts.select("article_id", (high % DIMENSIONS).alias("idx"), signed.alias("w")).groupBy("article_id", "idx").agg(F.sum("w").alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("article_id")))
-    return sums.withColumn("norm", norm).where("norm > 0").select("article_id", "idx", (F.col("w") / F.col("norm")).alias("weight"))
+    """(article_id, idx, weight): signed feature hashing of content words and their character 4- and 5-grams, L2-normalised.
+
+    A text's features are counted inside its row: a task holds one batch of texts, and nothing is shuffled.
+    """
+    small_batches(articles.sparkSession)
+    words = {r["word"] for r in stops.select("word").distinct().limit(MOST_STOPS + 1).collect()}
+    if len(words) > MOST_STOPS:
+        raise ValueError(f"a dictionary of over {MOST_STOPS} stop words doesn't fit a task")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for article, joined in zip(pdf["article_id"], pdf["joined"]):
+                held, sums = _hashed(joined)
+                at = np.flatnonzero(held)
+                norm = np.sqrt((sums * sums).sum())
+                if norm > 0:
+                    out.append((article, at, sums[at] / norm))
+            if out:
+                ids, at, weights = zip(*out)
+                yield pd.DataFrame({"article_id": np.repeat(ids, [len(a) for a in at]), "idx": np.concatenate(at), "weight": np.concatenate(weights)})
+
+    kept = F.array_join(F.filter(T.words(F.col(text)), lambda w: ~w.isin(sorted(words))) if words else T.words(F.col(text)), " ")
+    kind = dict(articles.dtypes)["article_id"]
+    joined = articles.select("article_id", kept.alias("joined")).where("article_id is not null and joined <> ''")
+    return joined.mapInPandas(run, f"article_id {kind}, idx long, weight double")
+
+
+def _hashed(joined: str) -> tuple[np.ndarray, np.ndarray]:
+    """Features of each dimension and their signed weights, for a text of space-joined words."""
+    grams = (f"c:{joined[i : i + n]}" for n in (4, 5) for i in range(len(joined) - n + 1))
+    tf = Counter(itertools.chain((f"w:{w}" for w in joined.split(" ")), grams))
+    digests = b"".join(hashlib.md5(f.encode("utf-8", "replace")).digest()[:8] for f in tf)
+    halves = np.frombuffer(digests, ">u4").reshape(-1, 2).astype(np.int64)
+    weights = (1 + np.log(np.array(list(tf.values()), np.float64))) * np.where(halves[:, 1] % 2 == 0, 1.0, -1.0)
+    idx = halves[:, 0] % DIMENSIONS
+    return np.bincount(idx, minlength=DIMENSIONS), np.bincount(idx, weights, DIMENSIONS)
 
 
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
