@@ -60,11 +60,15 @@ def _shingle_hashes(text: str, size: int) -> list[int]:
 
 def fingerprints_of(texts: list[str], size: int) -> np.ndarray:
     """64-bit fingerprints: a bit is set if it is set in over half the shingle hashes."""
-    out = np.zeros(len(texts), np.uint64)
+    return _prints([_shingle_hashes(text, size) for text in texts])
+
+
+def _prints(shingles: list[list[int]]) -> np.ndarray:
+    out = np.zeros(len(shingles), np.uint64)
     hashes, rows, starts, first, counts = [], [], [], [], []
     at = 0
-    for i, text in enumerate(texts):
-        if found := _shingle_hashes(text, size):
+    for i, found in enumerate(shingles):
+        if len(found):
             rows.append(i)
             counts.append(len(found))
             first.append(len(starts))
@@ -174,8 +178,8 @@ def similar_groups(docs: DataFrame, size: int = 5, min_similarity: float = 0.8)
     more for a tenth more of them, so none is missed. The order by hash
     leaves the texts that have enough shingles of others there (a tenth of
     the smallest similar text's and one); among these the order is by frequency, rare ones first, so that common passages make
-    no buckets unless they are nearly the whole text. Texts of a bucket first
-    meet its most central and its first document; then all pairs of a bucket
+    no buckets unless they are nearly the whole text. Texts first meet those
+    whose SimHash is within ``DISTANCE`` bits of theirs, and in a bucket its most central and its first document; then all pairs of a bucket
     that aren't yet in one component meet, unless their sizes or the number
     of their shingles found elsewhere exclude the similarity. Each candidate
     pair is verified by the shingle sets of both whole texts, and links are
@@ -195,12 +199,13 @@ def similar_groups(docs: DataFrame, size: int = 5, min_similarity: float = 0.8)
 
         for pdf in batches:
             found = pdf["text"].tolist()
-            sets = [np.unique(np.array(_shingle_hashes(t, size), np.uint64)).view(np.int64) for t in found]
+            hashes = [np.array(_shingle_hashes(t, size), np.uint64) for t in found]
+            sets = [np.unique(h).view(np.int64) for h in hashes]
             copies = [xxh64_intdigest(" ".join(t.split()).encode("utf-8", "replace")) - (1 << 63) for t in found]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "copies": copies, "needed": [_shared(len(s), min_similarity) // 10 + 1 for s in sets], "prefix": [s[: _prefix(len(s), min_similarity, len(s) // 10)] for s in sets]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "copies": copies, "fp": _prints(hashes).view(np.int64), "needed": [_shared(len(s), min_similarity) // 10 + 1 for s in sets], "prefix": [s[: _prefix(len(s), min_similarity, len(s) // 10)] for s in sets]})
 
-    prints = common.cut(texts.mapInPandas(sketch, "doc_id long, copies long, needed int, prefix array<long>"), "sketches")
-    classes = common.cut(prints.groupBy("copies").agg(F.min("doc_id").alias("doc_id"), F.first("needed").alias("needed"), F.first("prefix").alias("prefix"), F.count("*").alias("n")), "classes")
+    prints = common.cut(texts.mapInPandas(sketch, "doc_id long, copies long, fp long, needed int, prefix array<long>"), "sketches")
+    classes = common.cut(prints.groupBy("copies").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("needed").alias("needed"), F.first("prefix").alias("prefix"), F.count("*").alias("n")), "classes")
     visits = classes.select("doc_id", F.explode("prefix").alias("shingle"))
     met = visits.select("doc_id", F.count("*").over(Window.partitionBy("shingle")).alias("n")).where("n > 1")
     met = common.cut(met.groupBy("doc_id").agg(F.count("*").alias("met")), "met")
@@ -228,6 +233,7 @@ def similar_groups(docs: DataFrame, size: int = 5, min_similarity: float = 0.8)
     heads = weighed.groupBy("shingle").agg(F.max(F.struct("common", "weight", (-F.col("doc_id")).alias("back"))).alias("top"), F.min("doc_id").alias("first"))
     heads = heads.select("shingle", F.array_distinct(F.array(-F.col("top.back"), F.col("first"))).alias("heads"))
     met = buckets.join(heads, "shingle").select(F.col("doc_id").alias("x"), F.explode("heads").alias("y"))
+    met = met.union(_near_in_print(classes.join(named, "doc_id").select("doc_id", "fp")))
     tried = common.cut(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct(), "pairs")
     similar = verified(tried)
 
@@ -245,6 +251,15 @@ def similar_groups(docs: DataFrame, size: int = 5, min_similarity: float = 0.8)
     return common.weighted_join(prints.select("copies", "doc_id"), grouped, ["copies"], "n").select("doc_id", "group_id").distinct()
 
 
+def _near_in_print(prints: DataFrame) -> DataFrame:
+    """(x, y): pairs of documents that join all whose fingerprints (doc_id, fp) link, equal ones by their first document."""
+    prints = common.cut(prints, "prints")
+    firsts = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "firsts")
+    equal = common.weighted_join(prints, firsts.where("n > 1"), ["fp"], "n").select(F.col("doc_id").alias("x"), F.col("first").alias("y"))
+    a, b = (firsts.select(F.col("fp").alias(end), F.col("first").alias(name)) for end, name in (("a", "x"), ("b", "y")))
+    return equal.where("x <> y").union(links(firsts).join(a, "a").join(b, "b").select("x", "y"))
+
+
 def _rooted(links: DataFrame) -> DataFrame:
     """(node, root) of every linked document, the roots included."""
     roots = connected_components(links, "a", "b")

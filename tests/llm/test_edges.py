@@ -288,3 +288,16 @@ def test_token_files(spark, docs, none, tmp_path):
     assert [r["start"] for r in rows] == [sum(x["n_tokens"] for x in rows[:k]) for k in range(len(rows))]
     assert all(len(r["ids"]) == 4 * r["n_tokens"] for r in rows)
     assert tokenfiles.write(none, f"file://{tmp_path}", path, 1).read().count() == 0
+
+
+def test_similar_groups_meet_by_simhash(spark, monkeypatch):
+    """Documents within two bits of a SimHash are among the pairs that are verified first; only similar ones become groups."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:399], "x"])), (3, " ".join(f"v{i}" for i in range(400)))]
+    asked = []
+    found = simhash._near_in_print
+    monkeypatch.setattr(simhash, "_near_in_print", lambda prints: asked.append(found(prints).collect()) or found(prints))
+    got = {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1} and len(asked) == 1
+    prints = spark.createDataFrame([(5, 7), (6, 7), (9, 4), (8, ~7)], "doc_id long, fp long")
+    assert {frozenset((r["x"], r["y"])) for r in found(prints).collect()} == {frozenset((5, 6)), frozenset((5, 9))}
