@@ -41,6 +41,11 @@ def _unit(vectors) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
+def _meet(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """A join by shuffle: a broadcast in each of many slices would bring their tables to the driver one after the other."""
+    return left.join(right.hint("merge"), keys, how)
+
+
 def _nearest(articles: DataFrame, stories: DataFrame, n_stories: int, listed: int, window_hours: float) -> DataFrame:
     """(article_id, rank, story, cosine): each article's ``listed`` nearest open stories, by blocks of stories."""
     blocks = stories.withColumn("block", F.pmod(F.xxhash64("story"), F.lit(-(-n_stories // BLOCK_ROWS)))).groupBy("block").agg(F.collect_list(F.struct("story", "centroid", "last")).alias("stories"))
@@ -57,17 +62,17 @@ def _nearest(articles: DataFrame, stories: DataFrame, n_stories: int, listed: in
                     best = best[row[best] > -2]
                     yield pd.DataFrame({"article_id": a["article_id"], "story": names[best], "cosine": row[best]})
 
-    near = asked.crossJoin(blocks).mapInPandas(product, "article_id long, story long, cosine double")
+    near = asked.hint("shuffle_replicate_nl").crossJoin(blocks).mapInPandas(product, "article_id long, story long, cosine double")
     order = Window.partitionBy("article_id").orderBy(F.desc("cosine"), "story")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= listed)
 
 
 def _best_member(near: DataFrame, articles: DataFrame, members: DataFrame) -> DataFrame:
     """(article_id, story, member): the nearest member's cosine, by blocks of a story's members."""
-    asked = near.join(articles.select("article_id", "embedding"), "article_id").groupBy("story").agg(F.collect_list(F.struct("article_id", "embedding")).alias("articles"))
+    asked = _meet(near, articles.select("article_id", "embedding"), "article_id").groupBy("story").agg(F.collect_list(F.struct("article_id", "embedding")).alias("articles"))
     # Members of the asked stories only; a large story's are dealt over blocks of bounded size.
-    sizes = members.join(near.select("story").distinct(), "story", "left_semi").groupBy("story").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
-    held = members.join(sizes, "story").groupBy("story", F.pmod(F.xxhash64("article_id"), F.col("blocks")).alias("block")).agg(F.collect_list("vector").alias("members"))
+    sizes = _meet(members, near.select("story").distinct(), "story", "left_semi").groupBy("story").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+    held = _meet(members, sizes, "story").groupBy("story", F.pmod(F.xxhash64("article_id"), F.col("blocks")).alias("block")).agg(F.collect_list("vector").alias("members"))
 
     def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -75,7 +80,7 @@ def _best_member(near: DataFrame, articles: DataFrame, members: DataFrame) -> Da
                 cos = (_unit(a["embedding"] for a in ones) @ np.array(list(others)).T).max(axis=1)
                 yield pd.DataFrame({"article_id": [a["article_id"] for a in ones], "story": story, "member": cos})
 
-    found = asked.join(held, "story").mapInPandas(product, "article_id long, story long, member double")
+    found = _meet(asked, held, "story").mapInPandas(product, "article_id long, story long, member double")
     return found.groupBy("article_id", "story").agg(F.max("member").alias("member"))
 
 
@@ -161,10 +166,10 @@ def assign_stories(articles: DataFrame, threshold: float = 0.18, window_hours: f
                 near = written(_nearest(rest, stories, n_stories, listed, window_hours), f"near-{name}")
                 held_by = members[0] if len(members) == 1 else _union(members)
                 best = _best_member(near, rest, held_by)
-                listed_stories = near.join(best, ["article_id", "story"]).join(stories, "story")
+                listed_stories = _meet(_meet(near, best, ["article_id", "story"]), stories, "story")
                 fields = ", ".join(["story", "cosine", "member", "centroid", "n", "last"])
                 found = listed_stories.groupBy("article_id").agg(F.expr(f"transform(array_sort(collect_list(struct(rank, struct({fields}) AS c))), x -> x.c)").cast(f"array<{_CANDIDATE}>").alias("candidates"))
-                asked = rest.join(found, "article_id", "left")
+                asked = _meet(rest, found, "article_id", "left")
             else:
                 asked = rest.withColumn("candidates", F.lit(None).cast(f"array<{_CANDIDATE}>"))
 
@@ -174,11 +179,11 @@ def assign_stories(articles: DataFrame, threshold: float = 0.18, window_hours: f
             done.append(new.select("article_id", "story"))
             following = max(following, newest + 1)
             changed = out.where("article_id is null").select("story", F.col("vector").alias("centroid"), "n", "last")
-            kept = changed if stories is None else stories.join(changed, "story", "left_anti").unionByName(changed)
+            kept = changed if stories is None else _meet(stories, changed, "story", "left_anti").unionByName(changed)
             stories = written(kept.where(F.col("last") >= end[0] - window_hours), f"open-{name}")
             members.append(new.select("story", "article_id", "vector"))
             if len(members) > _TABLES:
-                members = [written(_union(members).join(stories, "story", "left_semi"), f"members-{name}")]
+                members = [written(_meet(_union(members), stories, "story", "left_semi"), f"members-{name}")]
             rest = rest.where((F.col("t") > end[0]) | ((F.col("t") == end[0]) & (F.col("article_id") > end[1])))
             left, part = left - new.count(), part + 1
     return _union(done) if done else articles.select("article_id", F.lit(0).cast("long").alias("story")).limit(0)

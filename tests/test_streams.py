@@ -100,3 +100,14 @@ def test_tables_in_folders_land(spark, sf, tmp_path):
         want = catalog.queries()[name](spark, sf)
         got = catalog.queries()[name](spark, f"file://{tmp_path}")
         assert want.count() and sorted(got.collect()) == sorted(want.collect())
+
+
+def test_slices_of_stories_broadcast_nothing(spark):
+    rows = spark.createDataFrame([(1, 0.0, [1.0, 0.0])], "article_id long, t double, embedding array<double>")
+    opened = spark.createDataFrame([(7, [1.0, 0.0], 1, 0.0)], "story long, centroid array<double>, n long, last double")
+    members = spark.createDataFrame([(7, 9, [1.0, 0.0])], "story long, article_id long, vector array<double>")
+    near = stories._nearest(rows, opened, 1, 8, 72)
+    best = stories._best_member(near.select("article_id", "story"), rows, members)
+    assert [tuple(r) for r in best.collect()] == [(1, 7, 1.0)]
+    for found in (near, best):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
