@@ -29,6 +29,12 @@ def simhash(articles: DataFrame, text: str = "full_text", size: int = 2) -> Data
     return articles.select("article_id", "outlet").join(found, "article_id", "left").withColumn("fp", F.coalesce("fp", F.lit(0).cast("long")))
 
 
+def _stored(prints: DataFrame, path: str) -> DataFrame:
+    """``prints`` written below ``path`` and read back, for rules that read them several times: texts are hashed once."""
+    prints.write.parquet(f"{path}/prints")
+    return prints.sparkSession.read.schema(prints.schema).parquet(f"{path}/prints")
+
+
 def hexadecimal(fp: str) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -60,6 +66,7 @@ def latest_prints(prints: DataFrame, limit: int = 300) -> DataFrame:
 
 def repeats_in_outlet(prints: DataFrame, distance: int = 3) -> DataFrame:
     """Articles with an earlier near-duplicate in their outlet (equal fingerprints included)."""
+    prints = _stored(prints, shared_dir(prints.sparkSession, "repeats"))
     first = F.min("article_id").over(Window.partitionBy("outlet", "fp"))
     copies = prints.withColumn("first", first).where("article_id > first").select("article_id", "outlet")
     near = near_pairs(prints, distance, ["outlet"]).select(F.col("b").alias("article_id"), "outlet")
@@ -72,9 +79,10 @@ def greedy_keep(prints: DataFrame, distance: int = 3) -> DataFrame:
     Decided in rounds of joins on the near pairs. Articles without an undecided earlier neighbour stay, their
     later neighbours go, and pairs of decided articles leave the table; the smallest article of what remains is
     decided in every round, and the rounds are as many as the longest chain of neighbours that decide each other.
-    Every round is written to the shared folder. Copies of one fingerprint follow their first article.
+    The prints and every round are written to the shared folder. Copies of one fingerprint follow their first article.
     """
     spark, path = prints.sparkSession, shared_dir(prints.sparkSession, "greedy")
+    prints = _stored(prints, path)
 
     def written(rows: DataFrame, name: str) -> DataFrame:
         rows.write.parquet(f"{path}/{name}")
@@ -123,6 +131,7 @@ def keep_recent(prints: DataFrame, distance: int = 3, limit: int = 300, slice_ro
     spark, path = prints.sparkSession, shared_dir(prints.sparkSession, "recent")
     shape = "outlet string, article_id long, fp long, carried boolean, kept boolean"
     prints = prints.select(F.col("outlet").cast("string").alias("outlet"), F.col("article_id").cast("long").alias("article_id"), "fp", F.lit(False).alias("carried"))
+    prints = _stored(prints, path)
     slices = max(1, -(-prints.count() // slice_rows))
     cuts = sorted(set(prints.approxQuantile("article_id", [k / slices for k in range(1, slices)], 0.1 / slices))) if slices > 1 else []
     newest = Window.partitionBy("outlet").orderBy(F.desc("article_id"))

@@ -303,3 +303,19 @@ def test_views_of_the_latest_signals(spark):
         ("x", "tone", "", 1, "neutral", 67.0), ("x", "tone", "", 2, "negative", 33.0), ("x", "tone", "", 3, "positive", 0.0), ("y", "tone", "", 1, "negative", 0.0), ("y", "tone", "", 2, "neutral", 0.0), ("y", "tone", "", 3, "positive", 0.0),
         ("x", "framing", "", 1, "g", 5.0), ("x", "framing", "", 2, "h", 1.0), ("x", "annotation", "econ", 0, "label", 0.5), ("x", "annotation", "econ", 0, "published", 1.0), ("x", "annotation", "cult", 0, "published", 0.0),
     ])
+
+
+def test_rules_on_prints_hash_each_text_once(spark):
+    """Greedy, recent and per-outlet rules read prints several times, but what makes them runs once for each row."""
+    hashed = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for pdf in batches:
+            hashed.add(len(pdf))
+            yield pdf
+
+    rows = [(i, "ab"[i % 2], (i * 0x9E3779B97F4A7C15) % (1 << 63) if i % 5 else 7) for i in range(40)]
+    shape = "article_id long, outlet string, fp long"
+    for turn, rule in enumerate((dedup.greedy_keep, dedup.repeats_in_outlet, lambda p: dedup.keep_recent(p, 3, 300, 10)), 1):
+        rule(spark.createDataFrame(rows, shape).mapInPandas(counting, shape)).collect()
+        assert hashed.value == len(rows) * turn
