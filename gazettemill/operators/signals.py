@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from . import spectral
 
 
@@ -45,9 +46,19 @@ def agenda_interval(articles: DataFrame, resamples: int = 200, min_articles: int
     return points.groupBy("outlet_id").applyInPandas(draw, "outlet_id long, topic string, deviation double, low double, high double")
 
 
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` in the shared folder, for what is read several times."""
+    path = shared_dir(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def cocoverage_pairs(articles: DataFrame, min_outlets: int = 2, min_stories: int = 3) -> DataFrame:
-    """Distinct (outlet_id, story_id) of stories that enough outlets covered and outlets with enough such stories."""
-    pairs = articles.select("outlet_id", "story_id").distinct()
+    """Distinct (outlet_id, story_id) of stories that enough outlets covered and outlets with enough such stories.
+
+    Read three times, the distinct pairs are written first, a story's together.
+    """
+    pairs = _written(articles.select("outlet_id", "story_id").repartition("story_id").distinct(), "covering")
     shared = pairs.groupBy("story_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_outlets).select("story_id")
     pairs = pairs.join(shared, "story_id")
     active = pairs.groupBy("outlet_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_stories).select("outlet_id")
@@ -73,11 +84,14 @@ def cocoverage_gram(pairs: DataFrame) -> DataFrame:
 
 def cocoverage_map(articles: DataFrame) -> DataFrame:
     """(outlet_id, x, y, variance_x, variance_y): two leading principal coordinates; none for fewer than three outlets."""
-    pairs = cocoverage_pairs(articles)
+    return _map_of(_written(cocoverage_pairs(articles).select("outlet_id", "story_id"), "pairs"))
+
+
+def _map_of(pairs: DataFrame) -> DataFrame:
     schema = "outlet_id long, x double, y double, variance_x double, variance_y double"
     if pairs.select("outlet_id").distinct().limit(3).count() < 3:
-        return articles.sparkSession.createDataFrame([], schema)
-    placed, shares = spectral.principal_coordinates(pairs.select("outlet_id", "story_id"))
+        return pairs.sparkSession.createDataFrame([], schema)
+    placed, shares = spectral.principal_coordinates(pairs)
     at = lambda i: F.round(F.coalesce(F.get("coordinates", i), F.lit(0.0)), 4) + 0.0
     share = lambda i: F.lit(round(shares[i], 3) if len(shares) > i else 0.0)
     return placed.select("outlet_id", at(0).alias("x"), at(1).alias("y"), share(0).alias("variance_x"), share(1).alias("variance_y"))
@@ -85,15 +99,18 @@ def cocoverage_map(articles: DataFrame) -> DataFrame:
 
 def map_loadings(articles: DataFrame, top: int = 10) -> DataFrame:
     """(axis, story_id, loading): the stories that pull each axis up and down most."""
-    pairs = cocoverage_pairs(articles)
-    positions = cocoverage_map(articles)
-    size = pairs.groupBy("outlet_id").agg(F.count("*").alias("size"))
-    axes = positions.select("outlet_id", F.posexplode(F.array("x", "y")).alias("axis", "value"))
-    norm = axes.groupBy("axis").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("s"), F.sum("value").alias("total"), F.count("*").alias("outlets"))
-    parts = pairs.join(size, "outlet_id").join(axes, "outlet_id").groupBy("axis", "story_id").agg(F.sum(F.col("value") / F.sqrt("size")).alias("dot"), F.sum(1 / F.sqrt("size")).alias("mass"))
-    loads = parts.join(norm, "axis").select("axis", "story_id", F.round((F.col("dot") - F.col("mass") * F.col("total") / F.col("outlets")) / (F.col("s") * F.col("s")), 6).alias("loading")).where("abs(loading) > 1e-6")
-    up, down = (Window.partitionBy("axis").orderBy(o, "story_id") for o in (F.desc("loading"), F.asc("loading")))
-    return loads.withColumns({"up": F.row_number().over(up), "down": F.row_number().over(down)}).where((F.col("up") <= top) | (F.col("down") <= top)).drop("up", "down")
+    pairs = _written(cocoverage_pairs(articles).select("outlet_id", "story_id"), "pairs")
+    positions = _map_of(pairs)
+    weights = pairs.groupBy("outlet_id").agg((1 / F.sqrt(F.count("*"))).alias("w")).join(positions.select("outlet_id", "x", "y"), "outlet_id")
+    norm = positions.agg(*(f.alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("s", F.sqrt(F.sum(F.col(c) * F.col(c)))), ("total", F.sum(c)))), F.count("*").alias("outlets"))  # one row
+    parts = pairs.join(weights, "outlet_id").groupBy("story_id").agg(F.sum("w").alias("mass"), *(F.sum(F.col(c) * F.col("w")).alias(c) for c in ("x", "y")))
+    load = lambda c: F.round((F.col(c) - F.col("mass") * F.col(f"total_{c}") / F.col("outlets")) / (F.col(f"s_{c}") * F.col(f"s_{c}")), 6)
+    loads = _written(parts.crossJoin(F.broadcast(norm)).select("story_id", F.posexplode(F.array(load("x"), load("y"))).alias("axis", "loading")).where("abs(loading) > 1e-6"), "loads")
+    ends = []
+    for order in (F.desc("loading"), F.asc("loading")):  # a filter on one rank each, so that only the first ones of a partition are shuffled
+        place = F.row_number().over(Window.partitionBy("axis").orderBy(order, "story_id"))
+        ends.append(loads.withColumn("place", place).where(F.col("place") <= top).select("axis", "story_id", "loading"))
+    return ends[0].union(ends[1]).distinct()
 
 
 def outlet_blind_spots(articles: DataFrame, share: float = 0.5, min_active: int = 3) -> DataFrame:

@@ -2,7 +2,8 @@
 
 The row-normalised, column-centred matrix M (outlets x stories) is never
 formed: M M' times a few columns is two joins of the sparse pairs with those
-columns, two sums and a correction by column means. The columns of all outlets
+columns, two sums and a correction by means. Up to ``_BASIS`` outlets are spanned
+at once, and one join and one sum do. The columns of all outlets
 stay a table; what reaches the driver are inner products of columns, at most
 ``2 * _BASIS`` squared numbers, whatever the number of outlets and stories.
 """
@@ -28,12 +29,12 @@ def _products(table: DataFrame, left: str, right: str) -> np.ndarray:
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                yield pd.DataFrame({"p": [(np.stack(pdf["a"]).T @ np.stack(pdf["b"])).ravel()]})
+                p = np.stack(pdf["a"]).T @ np.stack(pdf["b"])
+                yield pd.DataFrame({"width": [p.shape[1]], "p": [p.ravel()]})
 
     wide = table.select(F.col(left).alias("a"), F.col(right).alias("b"))
-    rows = wide.mapInPandas(partial, "p array<double>").select(F.posexplode("p").alias("at", "p")).groupBy("at").agg(F.sum("p").alias("p")).orderBy("at").toPandas()
-    widths = table.select(F.size(left), F.size(right)).first()
-    return rows["p"].to_numpy().reshape(widths) if len(rows) else np.zeros(widths)
+    rows = wide.mapInPandas(partial, "width int, p array<double>").select("width", F.posexplode("p").alias("at", "p")).groupBy("width", "at").agg(F.sum("p").alias("p")).orderBy("at").toPandas()
+    return rows["p"].to_numpy().reshape(-1, rows["width"].iat[0]) if len(rows) else np.zeros((0, 0))
 
 
 def _mapped(table: DataFrame, keep: list[str], **made) -> DataFrame:
@@ -58,9 +59,9 @@ def _mapped(table: DataFrame, keep: list[str], **made) -> DataFrame:
 def principal_coordinates(pairs: DataFrame, row: str = "outlet_id", column: str = "story_id", k: int = 2, tolerance: float = 1e-9, rounds: int = 60) -> tuple[DataFrame, list[float]]:
     """((row, coordinates array), shares of the total variance) of the ``k`` leading axes.
 
-    ``pairs`` holds distinct (row, column). An axis points to the side of its
-    largest coordinate. Ends when the residuals of the leading axes are below
-    ``tolerance`` of the largest eigenvalue, or nothing new is left to span.
+    ``pairs`` holds distinct (row, column); they are read twice. An axis points to the side of its
+    largest coordinate. With more rows than ``_BASIS`` it ends when the residuals of the leading
+    axes are below ``tolerance`` of the largest eigenvalue, or nothing new is left to span.
     """
     spark, path = pairs.sparkSession, shared_dir(pairs.sparkSession, "axes")
     step = iter(range(1_000_000))
@@ -70,22 +71,29 @@ def principal_coordinates(pairs: DataFrame, row: str = "outlet_id", column: str
         table.write.parquet(name)
         return spark.read.schema(table.schema).parquet(name)
 
-    sized = pairs.join(pairs.groupBy(row).agg((1 / F.sqrt(F.count("*"))).alias("w")), row)
-    n = pairs.select(row).distinct().count()
-    entries = written(sized.select(row, column, "w"))
-    means = written(entries.groupBy(column).agg((F.sum("w") / n).alias("mean")))
-    total = (entries.agg(F.sum(F.col("w") * F.col("w"))).first()[0] or 0.0) - n * (means.agg(F.sum(F.col("mean") * F.col("mean"))).first()[0] or 0.0)
+    sizes = pairs.groupBy(row).agg((1 / F.sqrt(F.count("*"))).alias("w"))
+    n = sizes.count()
+    # A column's entries stand together, so that the sums over it are made before the shuffle.
+    entries = written(pairs.join(sizes, row).select(row, column, "w").repartition(column).sortWithinPartitions(column))
+    masses = entries.groupBy(column).agg(F.sum("w").alias("mass"), F.sum(F.col("w") * F.col("w")).alias("squares"))
+    told = masses.agg(F.sum("squares"), F.sum(F.col("mass") * F.col("mass"))).first()
+    total = (told[0] or 0.0) - (told[1] or 0.0) / max(n, 1)
 
-    def multiplied(table: DataFrame, name: str) -> DataFrame:
-        """(row, y): M M' times the array column."""
+    def projected(table: DataFrame, name: str) -> DataFrame:
+        """(column, z0 ...): M' times the array column; a column's mean comes from a further sum, of its weights."""
         width = table.select(F.size(name)).first()[0]
         parts = [F.col(name)[i] for i in range(width)]
         sums = table.agg(*(F.sum(p) for p in parts)).first()
-        up = entries.join(table.select(row, name), row).groupBy(column).agg(*(F.sum(F.col("w") * p).alias(f"z{i}") for i, p in enumerate(parts)))
-        held = written(up.join(means, column).select(column, "mean", *((F.col(f"z{i}") - F.col("mean") * F.lit(float(sums[i]))).alias(f"z{i}") for i in range(width))))
-        shift = held.agg(*(F.sum(F.col("mean") * F.col(f"z{i}")) for i in range(width))).first()
-        down = entries.join(held, column).groupBy(row).agg(*(F.sum(F.col("w") * F.col(f"z{i}")).alias(f"z{i}") for i in range(width)))
-        return down.select(row, F.array(*(F.col(f"z{i}") - F.lit(float(shift[i])) for i in range(width))).alias("y"))
+        up = entries.join(table.select(row, name), row).groupBy(column).agg(F.sum("w").alias("mass"), *(F.sum(F.col("w") * p).alias(f"z{i}") for i, p in enumerate(parts)))
+        return up.select(column, *((F.col(f"z{i}") - F.col("mass") * F.lit(float(sums[i]) / n)).alias(f"z{i}") for i in range(width)))
+
+    def multiplied(table: DataFrame, name: str) -> DataFrame:
+        """(row, y): M M' times the array column; what the centring takes off is the mean over all rows."""
+        held = projected(table, name)
+        z = [c for c in held.columns if c != column]
+        down = written(entries.join(held, column).groupBy(row).agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in z)))
+        shift = down.agg(*(F.avg(c) for c in z)).first()
+        return down.select(row, F.array(*(F.col(c) - F.lit(float(m)) for c, m in zip(z, shift))).alias("y"))
 
     def orthonormal(table: DataFrame, against: bool) -> DataFrame | None:
         """The new columns y without what ``v`` spans, of unit length and orthogonal; twice, for rounding's sake."""
@@ -104,12 +112,18 @@ def principal_coordinates(pairs: DataFrame, row: str = "outlet_id", column: str
             table = written(_mapped(table, [row, "v"], y=(["y", "v"], [turn, -inside @ turn])) if against else _mapped(table, [row], y=(["y"], [turn])))
         return table
 
-    seeds = F.array(*(F.xxhash64(row, F.lit(i)) / F.lit(2.0**63) for i in range(min(_BLOCK, n))))
+    spanned = n <= _BASIS  # the basis spans all rows, so inner products of the projections are the whole matrix
+    seeds = F.array(*(F.xxhash64(row, F.lit(i)) / F.lit(2.0**63) for i in range(n if spanned else _BLOCK)))
     started = orthonormal(written(entries.select(row).distinct().select(row, seeds.alias("y"))), False)
     basis = written(started.select(row, F.col("y").alias("v"), F.array().cast("array<double>").alias("kv"))) if started is not None else None
     block = None if started is None else started.select(row, F.col("y").alias("v"))
     values = vectors = None
-    for _ in range(rounds if block is not None else 0):
+    if spanned and block is not None:
+        held = projected(block, "v")
+        small = _products(held.select(F.array(*(c for c in held.columns if c != column)).alias("z")), "z", "z")
+        values, vectors = np.linalg.eigh((small + small.T) / 2)
+        values, vectors = values[::-1], vectors[:, ::-1]
+    for _ in range(rounds if block is not None and not spanned else 0):
         basis = written(basis.join(multiplied(block, "v"), row).select(row, "v", F.concat("kv", "y").alias("kv"), "y"))
         small = _products(basis, "v", "kv")
         values, vectors = np.linalg.eigh((small + small.T) / 2)
@@ -117,7 +131,7 @@ def principal_coordinates(pairs: DataFrame, row: str = "outlet_id", column: str
         top = vectors[:, :k]
         square = _products(basis, "kv", "kv")
         off = np.sqrt(np.maximum(np.diag(top.T @ square @ top) - values[:k] ** 2, 0))
-        if (off <= tolerance * max(values[0], 1e-300)).all() or len(values) >= n:
+        if (off <= tolerance * max(values[0], 1e-300)).all():
             break
         if len(values) + _BLOCK > _BASIS:  # start again from the best of what is spanned
             best = vectors[:, :_BLOCK]

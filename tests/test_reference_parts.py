@@ -319,3 +319,16 @@ def test_rules_on_prints_hash_each_text_once(spark):
     for turn, rule in enumerate((dedup.greedy_keep, dedup.repeats_in_outlet, lambda p: dedup.keep_recent(p, 3, 300, 10)), 1):
         rule(spark.createDataFrame(rows, shape).mapInPandas(counting, shape)).collect()
         assert hashed.value == len(rows) * turn
+
+
+def test_axes_of_few_rows_take_one_product(spark, monkeypatch):
+    """Up to ``_BASIS`` rows are spanned at once: the pairs are joined for one product, not one a round."""
+    rng = np.random.default_rng(5)
+    pairs = sorted({(int(i), int(s)) for i in range(40) for s in rng.integers(0, 90, 15)})
+    want, shares = _by_svd(pairs)
+    steps, products = [], spectral._products
+    monkeypatch.setattr(spectral, "_products", lambda *a: steps.append(a[1:]) or products(*a))
+    placed, told = spectral.principal_coordinates(spark.createDataFrame(pairs, "outlet_id long, story_id long"))
+    got = {r["outlet_id"]: np.array(r["coordinates"]) for r in placed.collect()}
+    assert [s for s in steps if s != ("both", "both")] == [("z", "z")]
+    assert max(np.abs(got[i] - want[i]).max() for i in want) < 1e-8 and np.allclose(told, shares, atol=1e-9)
