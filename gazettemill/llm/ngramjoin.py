@@ -146,7 +146,8 @@ def _entries(sets: DataFrame, percent: int) -> DataFrame:
     """(column, row, size, at): the incidence restricted to each row's first columns, and to columns of several rows."""
     terms = sets.select("row", F.size("columns").cast("long").alias("size"), F.explode("columns").alias("column"))
     shared = common.cut(terms.groupBy("column").agg(F.count("*").alias("n")).where("n > 1"), "columns")
-    found = common.weighted_join(terms, shared, ["column"], "n").groupBy("row", "size").agg(F.sort_array(F.collect_list(F.struct("n", "column"))).alias("found"))
+    found = common.weighted_join(terms, shared, ["column"], "n").groupBy("row", "size").agg(F.collect_list("n").alias("n"), F.collect_list("column").alias("column"))
+    found = found.select("row", "size", F.sort_array(F.arrays_zip("n", "column")).alias("found"))  # two flat arrays take less of the shuffle than one of structs
     spare = F.size("found") - F.ceil(F.col("size") * percent / 100 - 1e-9).cast("int")
     first = found.where(spare >= 0).select("row", "size", (F.col("size") - F.size("found")).alias("alone"), F.posexplode(F.slice("found", 1, spare + 1)).alias("at", "first"))
     entries = common.cut(first.select("first.column", "row", "size", (F.col("alone") + F.col("at")).alias("at")), "entries")
@@ -200,7 +201,9 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             union = pdf["x"].map(len).to_numpy(np.int64) + pdf["y"].map(len).to_numpy(np.int64) - both
             yield pdf.loc[100 * both >= percent * union, ["a", "b"]]
 
-    with_sets = pairs.join(sets.select(F.col("row").alias("b"), F.col("columns").alias("y")), "b").join(sets.select(F.col("row").alias("a"), F.col("columns").alias("x")), "a")
+    # Only sets of rows in pairs are shuffled: the row numbers are few and small next to the sets.
+    side = lambda end, name: sets.join(pairs.select(F.col(end).alias("row")).distinct(), "row", "left_semi").select(F.col("row").alias(end), F.col("columns").alias(name))
+    with_sets = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a")
     return common.cut(with_sets.select("a", "b", "x", "y").mapInPandas(count, "a long, b long"), "similar")
 
 

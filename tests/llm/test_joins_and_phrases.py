@@ -195,3 +195,27 @@ def test_dense_and_sparse_tiles_agree():
     keys, counts = collocations._summed(cells)
     packed = collocations._packed(keys, counts << 40)
     assert all(np.array_equal(a, b) for a, b in zip(collocations._unpacked(*packed), (keys, counts << 40)))
+
+
+def test_only_sets_of_paired_rows_are_shuffled(spark):
+    from gazettemill.llm import common
+
+    rng = np.random.default_rng(6)
+    rows = [(i, np.unique(rng.integers(0, 1 << 60, 1000)).tolist()) for i in range(200)]
+    rows[7] = (7, sorted([*rows[3][1][:990], *range(10)]))
+    sets = common.cut(spark.createDataFrame(rows, "row long, columns array<long>"), "sets")
+    pairs = common.cut(spark.createDataFrame([(3, 7), (3, 9)], "a long, b long"), "pairs")
+
+    def shuffled():
+        jvm = spark.sparkContext._gateway
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before, limit = shuffled(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+        got = [tuple(r) for r in ngramjoin._similar(pairs, sets, 90).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == [(3, 7)]
+    assert shuffled() - before < 200_000  # the sets are 1.6 MB
