@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +19,35 @@ from ..session import small_batches as small_batches
 ASCII_SPACE = r"[\x20\x09-\x0D]"
 
 
+_owner: str | None = None
+_kept: dict[str, object] = {}
+
+
+def take_over(owner: str) -> None:
+    """First thing in a Python task: what another owner's tasks left in this worker process goes back to the system.
+
+    Workers live on through all stages of a job, so without this the words,
+    indexes and freed memory of one stage count on top of the next one's.
+    """
+    global _owner
+    if owner == _owner:
+        return
+    _owner = owner
+    _kept.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def kept(owner: str, make: Callable[[], object]):
+    """What ``owner`` keeps in this worker process from one task to the next, until another owner takes over."""
+    take_over(owner)
+    if owner not in _kept:
+        _kept[owner] = make()
+    return _kept[owner]
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

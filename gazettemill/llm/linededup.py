@@ -71,6 +71,7 @@ def _stream(min_docs: int):
         return rows[keep].assign(open=is_open[run][keep], docs_here=here[keep])
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.take_over("lines")
         held: list[pd.DataFrame] = []  # the run that goes on, in pieces
         first = True
         for pdf in batches:
@@ -109,6 +110,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Da
 
 @F.pandas_udf(T.BinaryType())
 def _bitmap(positions: pd.Series, n_lines: pd.Series) -> pd.Series:
+    common.take_over("lines")
+
     def one(drop, n):
         keep = np.ones(n, bool)
         keep[np.asarray(drop, np.int64)] = False
@@ -125,6 +128,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
 
 @F.pandas_udf(T.StringType())
 def _kept(text: pd.Series, bitmap: pd.Series) -> pd.Series:
+    common.take_over("lines")
+
     def one(t, b):
         if b is None:
             return t

@@ -161,6 +161,7 @@ def _prefix(size: int, least: float, more: int = 0) -> int:
 
 
 def _similarities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    common.take_over("similar texts")
     for pdf in batches:
         out = []
         for x, y in zip(pdf["x"], pdf["y"]):
@@ -197,6 +198,7 @@ def similar_groups(docs: DataFrame, size: int = 5, min_similarity: float = 0.8)
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh64_intdigest
 
+        common.take_over("similar texts")
         for pdf in batches:
             found = pdf["text"].tolist()
             hashes = [np.array(_shingle_hashes(t, size), np.uint64) for t in found]
@@ -212,6 +214,7 @@ def similar_groups(docs: DataFrame, size: int = 5, min_similarity: float = 0.8)
     named = common.cut(classes.select("doc_id", "needed").join(met, "doc_id").where("met >= needed").select("doc_id").distinct(), "named")
 
     def shingle_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.take_over("similar texts")
         for pdf in batches:
             sets = [np.unique(np.array(_shingle_hashes(t, size), np.uint64)) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "hashes": [s.view(np.int64) for s in sets], "shingles": [s.astype(np.uint32).tobytes() for s in sets]})

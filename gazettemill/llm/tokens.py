@@ -17,7 +17,8 @@ import json
 import os
 import re
 from array import array
-from functools import cache
+
+from . import common
 
 #: Entries of a cache's generation; two generations are kept, so words in use survive.
 _GENERATION = 250_000
@@ -141,7 +142,6 @@ class PieceEncoder:
         return out
 
 
-@cache
 def encoder(path: str) -> PieceEncoder:
-    """One encoder for each worker process and file."""
-    return PieceEncoder(path)
+    """One encoder for each worker process and file, while tasks of its kind follow each other."""
+    return common.kept(f"tokens of {path}", lambda: PieceEncoder(path))

@@ -290,6 +290,7 @@ def sample(docs: DataFrame, labels: DataFrame, max_examples: int) -> Examples:
     texts = docs.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.take_over("toxicity, examples")
         for pdf in batches:
             found = features(pdf["text"])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "copy": [_copy_key(t) for t in pdf["text"]], "own": [_text_key(t) for t in pdf["text"]], "terms": [h.view(np.int64) for h, _ in found], "counts": [c.astype(np.int32) for _, c in found]})
@@ -339,6 +340,7 @@ def score(docs: DataFrame, labels: DataFrame, max_examples: int = 2500, k: int =
     vocabulary = spark.sparkContext.broadcast(Vocabulary(terms))  # the examples' terms, bounded by max_examples
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.take_over("toxicity, words")
         for pdf in batches:
             found = vocabulary.value.known(pdf["text"])
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "own": [_text_key(t) for t in pdf["text"]], "ids": [i for i, _ in found], "counts": [c.astype(np.int32) for _, c in found]})
@@ -350,6 +352,7 @@ def score(docs: DataFrame, labels: DataFrame, max_examples: int = 2500, k: int =
     shared = spark.sparkContext.broadcast(Deferred(examples, df, sparse.count(), k))
 
     def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.take_over("toxicity, index")
         for pdf in batches:
             found = shared.value.index.judge([(i.astype(np.int64), c) for i, c in zip(pdf["ids"], pdf["counts"])], pdf["own"].tolist())
             yield pd.DataFrame({"toxic": pdf["toxic"], "vote": [v for v, _ in found]})
@@ -363,6 +366,7 @@ def score(docs: DataFrame, labels: DataFrame, max_examples: int = 2500, k: int =
     levels, rates = _isotonic(voted["vote"].to_numpy(np.float64), voted["toxic"].to_numpy(np.float64)) if len(voted) else (np.array([0.0]), np.array([base]))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.take_over("toxicity, index")
         for pdf in batches:
             once = ~pdf["own"].duplicated()  # copies within a batch
             some = pdf[once]

@@ -301,3 +301,24 @@ def test_similar_groups_meet_by_simhash(spark, monkeypatch):
     assert got == {1: 1, 2: 1} and len(asked) == 1
     prints = spark.createDataFrame([(5, 7), (6, 7), (9, 4), (8, ~7)], "doc_id long, fp long")
     assert {frozenset((r["x"], r["y"])) for r in found(prints).collect()} == {frozenset((5, 6)), frozenset((5, 9))}
+
+
+def test_workers_give_up_what_other_stages_kept(spark):
+    def held(owner: str | None):
+        def run(batches):
+            from gazettemill.llm import common, tokens
+
+            if owner:
+                common.take_over(owner)
+            else:
+                import public_tokenizers
+
+                tokens.encoder(public_tokenizers.path("byte_bpe_50k.json")).encode(["some words"])
+            for _ in batches:
+                import pandas as pd
+
+                yield pd.DataFrame({"n": [len(common._kept)]})
+
+        return spark.range(1, numPartitions=1).mapInPandas(run, "n int").collect()[0]["n"]
+
+    assert [held(None), held("another stage"), held(None)] == [1, 0, 1]
