@@ -22,13 +22,15 @@ An anchor with more than ``CROWD`` different contexts (the end of a passage
 in a third of all documents, say) is no task's group: its contexts are dealt
 out by ranges of ``SPLIT`` window offsets. Contexts that share a window there
 have the bytes common to all these windows in common and differ in under
-``SPLIT`` bytes at each end, of which each different case is kept once, with
-its count, and its windows are counted one by one in partial aggregates. That
-is as exact, and loses nothing.
+``SPLIT`` bytes at each end. Bytes that only one context has in common go
+first; of the rest each different case is kept once, with its count, and its
+windows are counted one by one in partial aggregates. That is as exact, and
+loses nothing.
 
 Whole contexts are held equal by two independent 64-bit hashes, of the anchor
-and of all bytes; a range's common bytes by these and a third; everything else by
-bytes. Null text counts as empty. Matches never cross documents;
+and of all bytes; a range's common bytes by the anchor's and one of their own,
+and the windows around them by two more; everything else by bytes. Null text
+counts as empty. Matches never cross documents;
 spans are judged on the input. A row is a document of its own, so repeated
 rows repeat each other's strings. An empty table gives no rows. Other columns
 pass through, but for those that carry the results' names.
@@ -50,7 +52,7 @@ from . import common
 
 ANCHOR = 64
 #: Different contexts of an anchor beyond which they are split by their windows' offsets, and offsets in a range of the split.
-CROWD, SPLIT = 2_000, 16
+CROWD, SPLIT = 500, 16
 #: Contexts that go into one suffix array, unless one anchor has more.
 TOGETHER = 20_000
 _BASE = 0x9E3779B97F4A7C15
@@ -477,20 +479,29 @@ def _split(contexts: DataFrame, length: int) -> DataFrame:
     # A repeated row of a document gives its contexts again; their count is over one in any case.
     crowd = contexts.select("anchor", "context", "n", "left", "bytes")
     dealt = common.cut(crowd.mapInArrow(deal, "anchor long, low long, core long, context long, n long, near binary, after binary"), "dealt")
-    case = ["anchor", "low", "core", "near", "after"]
-    cases = common.cut(dealt.groupBy(*case).agg(F.sum("n").alias("n"), F.count("*").alias("held")), "cases")
+    # Bytes that nobody else has in common share no window: they are told by their hashes alone, and go before windows are made.
+    place, case = ["anchor", "low", "core"], ["anchor", "low", "core", "near", "after"]
+    shared = dealt.groupBy(*place).agg(F.sum("n").alias("n"), F.count("*").alias("here")).where("n > 1").drop("n")
+    joint = common.cut(common.weighted_join(dealt, common.cut(shared, "shared"), place, "here").drop("here"), "joint")
+    cases = common.cut(joint.groupBy(*case).agg(F.sum("n").alias("n"), F.count("*").alias("held")), "cases")
+    cases = cases.withColumn("id", F.monotonically_increasing_id())
     wide = F.least(F.lit(SPLIT - 1), F.lit(side) - F.col("low"))
     each = cases.withColumn("shift", F.explode(F.sequence(F.lit(0), wide))).where((F.length("near") >= F.col("shift")) & (F.length("after") >= wide - F.col("shift")))
-    each = each.withColumns({"head": F.expr("substring(near, length(near) - shift + 1, shift)"), "tail": F.substring("after", F.lit(1), wide - F.col("shift"))})
-    window = ["anchor", "low", "core", "shift", "head", "tail"]
-    repeated = each.groupBy(*window).agg(F.sum("n").alias("n"), F.count("*").alias("cases")).where("n > 1").drop("n")
-    starts = common.weighted_join(each.select(*case, "held", *window[3:]), common.cut(repeated, "repeated"), window, "cases")
-    span = [(-F.max(F.col("low") + F.col("shift"))).alias("from"), (length - F.min(F.col("low") + F.col("shift"))).alias("to")]
-    told = common.cut(starts.groupBy(*case, "held").agg(*span), "told")
-    found = common.weighted_join(dealt.select(*case, "context"), told, case, "held")
+    head, tail = F.expr("substring(near, length(near) - shift + 1, shift)"), F.substring("after", F.lit(1), wide - F.col("shift"))
+    each = each.select("id", (F.col("low") + F.col("shift")).cast("int").alias("at"), "n", *_both_hashes(*place, "shift", head, tail))
+    repeated = each.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.count("*").alias("cases")).where("n > 1").drop("n")
+    starts = common.weighted_join(each.drop("n"), common.cut(repeated, "repeated"), ["h1", "h2"], "cases")
+    span = starts.groupBy("id").agg((-F.max("at")).alias("from"), (length - F.min("at")).alias("to"))
+    told = common.cut(cases.join(span, "id").select(*_both_hashes(*case), "held", "from", "to"), "told")
+    found = common.weighted_join(joint.select("anchor", "context", *_both_hashes(*case)), told, ["h1", "h2"], "held")
     return found.groupBy("anchor", "context").agg(F.min("from").cast("int").alias("from"), F.max("to").cast("int").alias("to"))
 
 
+def _both_hashes(*columns) -> list:
+    """h1 and h2, two 64-bit hashes of the columns: what is shuffled in place of the bytes."""
+    return [F.xxhash64(*columns).alias("h1"), F.xxhash64(F.lit(1), *columns).alias("h2")]
+
+
 _REMOVED = T.StructType().add("kept", T.BinaryType()).add("n_bytes", T.LongType()).add("n_removed", T.LongType()).add("n_spans", T.LongType())
 
 

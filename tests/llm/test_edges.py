@@ -322,3 +322,19 @@ def test_workers_give_up_what_other_stages_kept(spark):
         return spark.range(1, numPartitions=1).mapInPandas(run, "n int").collect()[0]["n"]
 
     assert [held(None), held("another stage"), held(None)] == [1, 0, 1]
+
+
+def test_windows_are_made_of_common_bytes_only(spark, monkeypatch):
+    """Contexts of a crowd whose ranges nobody shares go before their windows are counted one by one."""
+    monkeypatch.setattr(suffixdedup, "CROWD", 50)
+    made, cut = {}, suffixdedup.common.cut
+
+    def counted(df, name):
+        out = cut(df, name)
+        made[name] = out.count() if name == "cases" else None
+        return out
+
+    monkeypatch.setattr(suffixdedup.common, "cut", counted)
+    rows = [(i, hashlib.sha512(str(i).encode()).hexdigest() * 2 + "the passage of all " * 6 + hashlib.sha512(str(-i).encode()).hexdigest() * 2) for i in range(1, 81)]
+    assert all(r["n_removed"] == 0 for r in suffixdedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert made["cases"] == 0
