@@ -50,6 +50,8 @@ from .simhash import _shingle_hashes
 
 #: Bits of the map of documents whose sets are needed: 2 MB. Where it is crowded more sets are made and left out.
 _BITS = 1 << 24
+#: Bits of a column's hash in the incidence: columns that agree there only bring more candidates, as pairs are counted over whole sets.
+_COLUMN_BITS = 40
 
 
 def _sets(texts: list[str], size: int) -> list[np.ndarray]:
@@ -145,6 +147,7 @@ def _bitmap(named: DataFrame, spark):
 def _entries(sets: DataFrame, percent: int) -> DataFrame:
     """(column, row, size, at): the incidence restricted to each row's first columns, and to columns of several rows."""
     terms = sets.select("row", F.size("columns").cast("long").alias("size"), F.explode("columns").alias("column"))
+    terms = terms.withColumn("column", F.col("column").bitwiseAND(F.lit((1 << _COLUMN_BITS) - 1)))
     shared = common.cut(terms.groupBy("column").agg(F.count("*").alias("n")).where("n > 1"), "columns")
     found = common.weighted_join(terms, shared, ["column"], "n").groupBy("row", "size").agg(F.collect_list("n").alias("n"), F.collect_list("column").alias("column"))
     found = found.select("row", "size", F.sort_array(F.arrays_zip("n", "column")).alias("found"))  # two flat arrays take less of the shuffle than one of structs

@@ -219,3 +219,15 @@ def test_only_sets_of_paired_rows_are_shuffled(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert got == [(3, 7)]
     assert shuffled() - before < 200_000  # the sets are 1.6 MB
+
+
+def test_ngram_join_with_columns_that_agree_in_part(spark, monkeypatch):
+    """Shortened hashes of columns lose no link and make none, even if most columns of a row agree with another."""
+    monkeypatch.setattr(ngramjoin, "_COLUMN_BITS", 6)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base[:k] + [f"e{rng.randrange(10**6)}"] + base[k + 1 :]) for k in rng.sample(range(120), 25)]
+    texts += [" ".join(f"o{n}_{i}" for i in range(100)) for n in range(10)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = sorted(tuple(r) for r in ngramjoin.join(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == _groups(rows, 3, 90)
