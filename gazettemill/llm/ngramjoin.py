@@ -52,6 +52,9 @@ from .simhash import _shingle_hashes
 _BITS = 1 << 24
 #: Bits of a column's hash in the incidence: columns that agree there only bring more candidates, as pairs are counted over whole sets.
 _COLUMN_BITS = 40
+#: A screened row's smallest hashes are so many more than it may lack, as a part of its size, and it must share as many. With
+#: fewer, columns that unrelated rows happen to share pass more rows the larger the table is; with more, more columns are counted.
+_SPARE = 10
 
 
 def _sets(texts: list[str], size: int) -> list[np.ndarray]:
@@ -69,6 +72,11 @@ def _needed(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
+def _prefix(size: int, percent: int) -> int:
+    """Smallest hashes of a row of this size that are screened."""
+    return size - _needed(size, percent) + 1 + size // _SPARE
+
+
 def _overlap(a, b, percent: int):
     """Least overlap of similar rows of sizes ``a`` and ``b``: percent * (a + b) / (100 + percent), rounded up."""
     return F.ceil(F.lit(percent) * (a + b) / F.lit(100 + percent) - 1e-9)
@@ -84,7 +92,7 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
         for pdf in batches:
             sets = _sets(pdf["text"].tolist(), size)
             keys = [_key(s) for s in sets]
-            prefixes = [s[: len(s) - _needed(len(s), percent) + 1 + len(s) // 20] for s in sets]
+            prefixes = [s[: _prefix(len(s), percent)] for s in sets]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "s1": [k[0] for k in keys], "s2": [k[1] for k in keys], "prefix": prefixes})
 
     shape = "doc_id long, n_shingles long, s1 long, s2 long, prefix array<long>"
@@ -97,7 +105,7 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     visits = able.select("row", F.explode("prefix").alias("column"))
     shared = common.cut(visits.groupBy("column").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     met = common.weighted_join(visits, shared, ["column"], "n").groupBy("row").agg(F.count("*").alias("met"))
-    enough = F.floor(F.ceil(F.col("size") * percent / 100 - 1e-9) / 20) + 1  # a smaller similar row has this many more columns, at least
+    enough = F.floor(F.ceil(F.col("size") * percent / 100 - 1e-9) / _SPARE) + 1  # a smaller similar row has this many more columns, at least
     named = common.cut(able.select("row", "rep", "s1", "s2", "size").join(met, "row").where(F.col("met") >= enough).select("row", "rep", "s1", "s2"), "named")
 
     bits = _bitmap(named, spark)
@@ -146,10 +154,11 @@ def _bitmap(named: DataFrame, spark):
 
 def _entries(sets: DataFrame, percent: int) -> DataFrame:
     """(column, row, size, at): the incidence restricted to each row's first columns, and to columns of several rows."""
-    terms = sets.select("row", F.size("columns").cast("long").alias("size"), F.explode("columns").alias("column"))
+    sizes = sets.select("row", F.size("columns").cast("long").alias("size"))  # joined late, so that no size goes with every column
+    terms = sets.select("row", F.explode("columns").alias("column"))
     terms = terms.withColumn("column", F.col("column").bitwiseAND(F.lit((1 << _COLUMN_BITS) - 1)))
     shared = common.cut(terms.groupBy("column").agg(F.count("*").alias("n")).where("n > 1"), "columns")
-    found = common.weighted_join(terms, shared, ["column"], "n").groupBy("row", "size").agg(F.collect_list("n").alias("n"), F.collect_list("column").alias("column"))
+    found = common.weighted_join(terms, shared, ["column"], "n").groupBy("row").agg(F.collect_list("n").alias("n"), F.collect_list("column").alias("column")).join(sizes, "row")
     found = found.select("row", "size", F.sort_array(F.arrays_zip("n", "column")).alias("found"))  # two flat arrays take less of the shuffle than one of structs
     spare = F.size("found") - F.ceil(F.col("size") * percent / 100 - 1e-9).cast("int")
     first = found.where(spare >= 0).select("row", "size", (F.col("size") - F.size("found")).alias("alone"), F.posexplode(F.slice("found", 1, spare + 1)).alias("at", "first"))

@@ -231,3 +231,21 @@ def test_ngram_join_with_columns_that_agree_in_part(spark, monkeypatch):
     rows = [(i, t) for i, t in enumerate(texts)]
     got = sorted(tuple(r) for r in ngramjoin.join(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect())
     assert got == _groups(rows, 3, 90)
+
+
+def test_ngram_join_screens_rows_that_share_with_unlike_ones(spark, monkeypatch):
+    """Rows with under two fifths of their columns in others are similar to none: their whole sets are not made."""
+    made, cut = {}, ngramjoin.common.cut
+
+    def counted(df, name):
+        out = cut(df, name)
+        if name == "named":
+            made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngramjoin.common, "cut", counted)
+    passage = " ".join(f"p{i}" for i in range(684))
+    rows = [(i, passage + " " + " ".join(f"w{i}_{k}" for k in range(1116))) for i in range(20)]
+    got = ngramjoin.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in got)
+    assert made["named"] <= 3
