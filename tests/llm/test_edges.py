@@ -338,3 +338,21 @@ def test_windows_are_made_of_common_bytes_only(spark, monkeypatch):
     rows = [(i, hashlib.sha512(str(i).encode()).hexdigest() * 2 + "the passage of all " * 6 + hashlib.sha512(str(-i).encode()).hexdigest() * 2) for i in range(1, 81)]
     assert all(r["n_removed"] == 0 for r in suffixdedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert made["cases"] == 0
+
+
+def test_windows_are_joined_once(spark, monkeypatch):
+    """No join that sets large keys apart, and so passes its left rows again, gets all windows of a crowd's cases."""
+    monkeypatch.setattr(suffixdedup, "CROWD", 50)
+    passed, join = [], suffixdedup.common.weighted_join
+
+    def counted(left, right, keys, *rest):
+        passed.append(left.count() if keys == ["h1", "h2"] else 0)
+        return join(left, right, keys, *rest)
+
+    monkeypatch.setattr(suffixdedup.common, "weighted_join", counted)
+    passage = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(260))
+    rows = [(i, hashlib.md5(str(i).encode()).hexdigest() * 4 + passage + hashlib.sha1(str(i).encode()).hexdigest() * 5) for i in range(60)]
+    got = suffixdedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["n_removed"] >= 260 for r in got)
+    whole = 60 * (128 // suffixdedup.SPLIT + 1)  # every context in every range
+    assert 0 < max(passed) <= whole
