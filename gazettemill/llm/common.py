@@ -99,20 +99,31 @@ def write(df: DataFrame, name: str) -> str:
     return path
 
 
-def weighted_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+def meet(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join by shuffle, however small Spark takes a side to be.
+
+    An explode's rows count as those it was given, and arrays and counts are a
+    fraction on disk of what they are in memory, so a side that passes for
+    small can be more than the driver holds.
+    """
+    return left.join(right.hint("merge"), keys, how)
+
+
+def weighted_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "inner", rest: Callable[..., DataFrame] = DataFrame.join) -> DataFrame:
     """``left`` joined to ``right``, whose rows have different keys and tell in ``weight`` how many rows of ``left`` hold theirs.
 
     A key of over 1000 rows and over a 100 000th of all is broadcast, so that
     no task gets all its rows; there are under 100 000 such keys at any size.
-    All others are joined by a shuffle.
+    All others are joined by a shuffle, or as ``rest`` joins (``meet``: by a
+    shuffle always).
     """
     bounds = right.agg(F.sum(weight).alias("all"), F.max(weight).alias("most")).first()
     heavy = 1000 + (bounds["all"] or 0) / 100_000
     if (bounds["most"] or 0) <= heavy:
-        return left.join(right, keys, how)
+        return rest(left, right, keys, how)
     often = F.broadcast(right.where(F.col(weight) > heavy))
-    rest = left.join(often.select(*keys), keys, "left_anti").join(right.where(F.col(weight) <= heavy), keys, how)
-    return left.join(often, keys).unionByName(rest)
+    others = rest(left.join(often.select(*keys), keys, "left_anti"), right.where(F.col(weight) <= heavy), keys, how)
+    return left.join(often, keys).unionByName(others)
 
 
 def text_or_empty(column: str = "text"):

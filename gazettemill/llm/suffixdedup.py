@@ -416,15 +416,15 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     texts = _keyed(docs).select(F.col(_DOC).alias("doc"), F.col(_BODY).alias("body"), "text")
     found = common.cut(texts.mapInArrow(find, "anchor long, context long, doc long, body long, pos int"), "anchors")
     often = common.cut(found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1"), "often")
-    again = common.cut(common.weighted_join(found, often, ["anchor"], "times").drop("times"), "again")
+    again = common.cut(common.weighted_join(found, often, ["anchor"], "times", "inner", common.meet).drop("times"), "again")
 
     classes = common.cut(again.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc", "body", "pos")).alias("at")), "classes")
     several = common.cut(classes.groupBy("anchor").agg(F.count("*").alias("contexts")), "several")
-    counted = common.cut(common.weighted_join(classes, several, ["anchor"], "contexts"), "counted")
+    counted = common.cut(common.weighted_join(classes, several, ["anchor"], "contexts", "inner", common.meet), "counted")
     whole = counted.where("contexts = 1 and n > 1").select("anchor", "context", F.lit(-side).alias("from"), F.lit(length).alias("to"))
     split = counted.where("contexts > 1")
     wanted = split.groupBy(F.col("at.doc").alias("doc"), F.col("at.body").alias("body")).agg(F.collect_list(F.struct("anchor", "context", "n", "contexts", F.col("at.pos").alias("pos"))).alias("wanted"))
-    held = texts.join(common.cut(wanted, "wanted"), ["doc", "body"]).select("text", "wanted")
+    held = common.meet(texts, common.cut(wanted, "wanted"), ["doc", "body"]).select("text", "wanted")
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -446,8 +446,8 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     spans = whole.union(_compared(contexts.where(F.col("contexts") <= CROWD), length))
     if (several.agg(F.max("contexts")).first()[0] or 0) > CROWD:
         spans = spans.union(_split(contexts.where(F.col("contexts") > CROWD), length))
-    spans = common.cut(spans.join(classes.select("anchor", "context", "n"), ["anchor", "context"]), "found")
-    placed = common.weighted_join(again, spans, ["anchor", "context"], "n")
+    spans = common.cut(common.meet(spans, classes.select("anchor", "context", "n"), ["anchor", "context"]), "found")
+    placed = common.weighted_join(again, spans, ["anchor", "context"], "n", "inner", common.meet)
     return placed.select("doc", "body", F.greatest(F.col("pos") + F.col("from"), F.lit(0)).alias("start"), (F.col("pos") + F.col("to")).alias("end"))
 
 
@@ -482,7 +482,7 @@ def _split(contexts: DataFrame, length: int) -> DataFrame:
     # Bytes that nobody else has in common share no window: they are told by their hashes alone, and go before windows are made.
     place, case = ["anchor", "low", "core"], ["anchor", "low", "core", "near", "after"]
     shared = dealt.groupBy(*place).agg(F.sum("n").alias("n"), F.count("*").alias("here")).where("n > 1").drop("n")
-    joint = common.cut(common.weighted_join(dealt, common.cut(shared, "shared"), place, "here").drop("here"), "joint")
+    joint = common.cut(common.weighted_join(dealt, common.cut(shared, "shared"), place, "here", "inner", common.meet).drop("here"), "joint")
     cases = common.cut(joint.groupBy(*case).agg(F.sum("n").alias("n"), F.count("*").alias("held")), "cases")
     cases = cases.withColumn("id", F.monotonically_increasing_id())
     wide = F.least(F.lit(SPLIT - 1), F.lit(side) - F.col("low"))
@@ -492,10 +492,10 @@ def _split(contexts: DataFrame, length: int) -> DataFrame:
     repeated = each.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").drop("n")
     # Keys come once on the right and windows are short, so large keys are left to the splitting of skewed partitions: to set them
     # apart would make and pass all windows, sixteen a case, once more.
-    starts = each.drop("n").join(common.cut(repeated, "repeated"), ["h1", "h2"])
+    starts = common.meet(each.drop("n"), common.cut(repeated, "repeated"), ["h1", "h2"])
     span = starts.groupBy("id").agg((-F.max("at")).alias("from"), (length - F.min("at")).alias("to"))
-    told = common.cut(cases.join(span, "id").select(*_both_hashes(*case), "held", "from", "to"), "told")
-    found = common.weighted_join(joint.select("anchor", "context", *_both_hashes(*case)), told, ["h1", "h2"], "held")
+    told = common.cut(common.meet(cases, span, ["id"]).select(*_both_hashes(*case), "held", "from", "to"), "told")
+    found = common.weighted_join(joint.select("anchor", "context", *_both_hashes(*case)), told, ["h1", "h2"], "held", "inner", common.meet)
     return found.groupBy("anchor", "context").agg(F.min("from").cast("int").alias("from"), F.max("to").cast("int").alias("to"))
 
 
@@ -532,6 +532,6 @@ def dedup(docs: DataFrame, length: int = 200) -> DataFrame:
     spans = repeated_spans(docs, length).select(F.col("doc").alias(_DOC), F.col("body").alias(_BODY), F.struct("start", "end").alias("span"))
     by_doc = common.cut(spans.groupBy(_DOC, _BODY).agg(F.collect_set("span").alias("__gm_spans")), "spans")
     kept = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans")]
-    joined = _keyed(docs).join(by_doc, [_DOC, _BODY], "left")
+    joined = common.meet(_keyed(docs), by_doc, [_DOC, _BODY], "left")
     done = joined.select(*kept, _cut_out("text", "__gm_spans").alias("__gm_done"))
     return done.select(*kept, "__gm_done.*")

@@ -356,3 +356,22 @@ def test_windows_are_joined_once(spark, monkeypatch):
     assert all(r["n_removed"] >= 260 for r in got)
     whole = 60 * (128 // suffixdedup.SPLIT + 1)  # every context in every range
     assert 0 < max(passed) <= whole
+
+
+def test_repeated_substrings_broadcast_nothing_that_grows(spark, monkeypatch):
+    """Windows of a crowd come from an explode, spans and wanted places lie in arrays: Spark sizes them too low, so it may not choose."""
+    monkeypatch.setattr(suffixdedup, "CROWD", 50)
+    plans, write = {}, suffixdedup.common.write
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(suffixdedup.common, "write", seen)
+    passage = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(260))
+    rows = [(i, hashlib.md5(str(i).encode()).hexdigest() * 4 + passage + hashlib.sha1(str(i).encode()).hexdigest() * 5) for i in range(90)]
+    done = suffixdedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    plans["result"] = done._jdf.queryExecution().executedPlan().toString()
+    assert {"again", "counted", "contexts", "joint", "told", "found", "spans", "result"} <= set(plans)
+    assert [name for name, plan in plans.items() if "Broadcast" in plan] == []
+    assert sum(r["n_removed"] > 0 for r in done.collect()) == 90
