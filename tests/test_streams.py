@@ -111,3 +111,18 @@ def test_slices_of_stories_broadcast_nothing(spark):
     assert [tuple(r) for r in best.collect()] == [(1, 7, 1.0)]
     for found in (near, best):
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("held,listed,slices", [(2000, 2, 3), (0, 2, None), (0, 8, None)])
+def test_slices_end_early_only_beyond_the_held_stories(spark, monkeypatch, held, listed, slices):
+    """Articles around 30 centres change every open story in a slice; a task that holds all stories decides to its end."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 64))
+    rows = [(i, i / 25, (centres[rng.integers(30)] + 1.5 * rng.normal(size=64)).tolist()) for i in range(1500)]
+    rounds, decider = [], stories._decider
+    monkeypatch.setattr(stories, "HELD", held)
+    monkeypatch.setattr(stories, "_decider", lambda *settings: rounds.append(1) or decider(*settings))
+    timed = spark.createDataFrame(rows, "article_id long, t double, embedding array<double>")
+    got = {r["article_id"]: r["story"] for r in stories.assign_stories(timed, 0.18, slice_rows=500, listed=listed).collect()}
+    assert got == folded(rows)
+    assert slices is None or len(rounds) == slices
